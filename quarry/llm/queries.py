@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate
+from quarry.llm import bpe, decontaminate, langid, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_topk": topk.op5_topk,
+    "op8_langid": langid.op8_langid,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_topk": topk.OP5_SQL,
 }
