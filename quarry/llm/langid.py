@@ -139,6 +139,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
     """Per row of docs: id_col (and the columns in keep), lang_pred and score, the share of the text's n-grams found."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(F.col(id_col), *keep).schema
+    names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -151,9 +152,9 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
                 scores = np.clip(total[np.arange(len(bodies)), best] / np.maximum(number, 1), 0, 1)
                 langs = [model.languages[k] if b else "und" for k, b in zip(best, bodies)]
             scores = np.where([x == "und" for x in langs], 0.0, scores)
-            columns = [batch.column(f.name) for f in schema]
+            columns = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*schema.names, "lang_pred", "score"]
+                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"]
             )
 
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("binary").alias("__body"))

@@ -5,7 +5,8 @@ quantile bins) is fitted by gradient descent on the non-negative unbiased risk
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)),   with the logistic loss,
 
-so its sigmoid estimates the probability of a positive among all documents. The class prior is estimated as the share of
+so its sigmoid ranks texts by the probability of a positive; the bias is then set so that the prior's share of unlabelled rows
+reaches the threshold. The class prior is estimated as the share of
 positives among the labelled training rows. The fit uses bounded samples (POSITIVES and UNLABELLED rows, chosen by a hash of
 the id); scoring covers every row in one narrow pass.
 
@@ -30,6 +31,7 @@ POSITIVES = 15_000  # bound of the sample of trusted positives
 UNLABELLED = 30_000  # bound of the sample of unlabelled documents
 BINS = 16
 ROUNDS = 400
+PENALTY = 1e-3
 THRESHOLD = 0.3
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -117,10 +119,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityMo
         negative = -np.log(1 - u + 1e-12).mean() + prior * np.log(1 - p + 1e-12).mean()
         good, rest = prior * slope(at_p, p - 1), slope(at_u, u) - prior * slope(at_p, p)
         g = good + rest if negative >= 0 else -rest  # below zero the estimate over-fits: step back
-        g[:-1] += 1e-4 * w[:-1]
+        g[:-1] += PENALTY * w[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.05 * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
-    model.weights, model.bias = w[:-1].reshape(-1, BINS), float(w[-1])
+    # as many unlabelled rows fall below the threshold as the prior says are negative
+    cut = np.quantile(w[-1] + w[at_u].sum(axis=1), 1 - prior)
+    model.weights, model.bias = w[:-1].reshape(-1, BINS), float(w[-1] - cut + np.log(THRESHOLD / (1 - THRESHOLD)))
     return model
 
 
