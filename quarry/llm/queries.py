@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, langid, quality, topk
+from quarry.llm import bpe, decontaminate, langid, mainhtml, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_html": mainhtml.op4_html,
     "op5_topk": topk.op5_topk,
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
