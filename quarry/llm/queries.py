@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, langid, mainhtml, quality, topk
+from quarry.llm import bpe, decontaminate, langid, mainhtml, quality, substring, suffixdedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_html": mainhtml.op4_html,
     "op5_topk": topk.op5_topk,
+    "op6_suffix": suffixdedup.op6_suffix,
+    "op7_substring": substring.op7_substring,
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
@@ -20,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_topk": topk.OP5_SQL,
+    "op7_substring": substring.OP7_SQL,
 }
