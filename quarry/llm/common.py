@@ -32,10 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that this process has written to the shared folder, in order.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders written by stored() or pack() that no later job reads."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

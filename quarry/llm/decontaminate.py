@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.common import slices, table
 
@@ -143,35 +144,38 @@ def spans_of(marks: bytearray) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = "row long, id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+_HITS = "__n_words long, __spans array<struct<first:int,last:int>>, __items array<string>"
 
 
 def _hits_of_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    """docs: row, id, body. One row per row of docs, with the hit spans of one block of items."""
+    """docs: __body and other columns. The other columns with the hit spans of one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    names = [c for c in docs.columns if c != "__body"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton([(name, words_of(body)) for name, body in shared.value], window)
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "__body"):
             rows: dict[str, list] = {"n_words": [], "spans": [], "items": []}
-            for body in batch.column("body"):
+            for body in batch.column("__body"):
                 words = words_of(body.as_py())
-                marks, names = automaton.scan(words)
+                marks, found = automaton.scan(words)
                 rows["n_words"].append(len(words))
                 rows["spans"].append([{"first": a, "last": b} for a, b in spans_of(marks)])
-                rows["items"].append(sorted(n for n in names if n is not None))
+                rows["items"].append(sorted(n for n in found if n is not None))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"),
-                    batch.column("id"),
+                    *[batch.column(name) for name in names],
                     pa.array(rows["n_words"], pa.int64()),
                     pa.array(rows["spans"], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                     pa.array(rows["items"], pa.list_(pa.string())),
                 ],
-                names=["row", "id", "n_words", "spans", "items"],
+                names=[*names, "__n_words", "__spans", "__items"],
             )
 
-    return docs.mapInArrow(scan, _HITS)
+    schema = docs.drop("__body").schema
+    for field in StructType.fromDDL(_HITS):
+        schema = StructType([*schema, field])
+    return docs.mapInArrow(scan, schema)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
@@ -199,35 +203,45 @@ def benchmark_hits(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of docs: id_col, n_words, n_hit, spans (word runs that are hit) and items (ids of items with a window there)."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
-    base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.col("id").cast("long"))
-    parts = [_hits_of_block(base, block, window) for block in _blocks(benchmark, item_col, item_text_col, block_words)]
-    hits = parts[0] if len(parts) == 1 else _merged(parts)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return hits.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
-
-
-def _merged(blocks: list[DataFrame]) -> DataFrame:
+    """Per row of docs: id_col, the columns in keep, n_words, n_hit, spans (word runs that are hit) and items (ids of items with
+    a window there). With keep, the last four have names that begin with two underscores."""
+    columns = [F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep]]
+    base = docs.select(*columns, F.col(text_col).cast("binary").alias("__body"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        hits = _hits_of_block(base, first, window)
+    else:
+        base = base.withColumn("__at", F.monotonically_increasing_id())
+        hits = _merged([_hits_of_block(base, block, window) for block in (first, second, *blocks)], [id_col, *keep])
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    hits = hits.withColumn("__n_hit", n_hit)
+    if keep:
+        return hits
+    return hits.select(id_col, *[F.col("__" + c).alias(c) for c in ("n_words", "n_hit", "spans", "items")])
+
+
+def _merged(blocks: list[DataFrame], columns: list[str]) -> DataFrame:
     """Several blocks: spans overlap between blocks, so runs are merged per row by a gaps-and-islands window."""
-    parts = blocks[0]
+    parts = blocks[0].select("__at", "__n_words", "__spans", "__items")
     for part in blocks[1:]:
-        parts = parts.unionByName(part)
-    runs = parts.select("row", F.explode("spans").alias("s")).select("row", "s.first", "s.last")
-    w = Window.partitionBy("row").orderBy("first", "last")
+        parts = parts.unionByName(part.select(parts.columns))
+    runs = parts.select("__at", F.explode("__spans").alias("s")).select("__at", "s.first", "s.last")
+    w = Window.partitionBy("__at").orderBy("first", "last")
     reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("new", F.when(reach >= F.col("first"), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("new").over(w)).groupBy("row", "run")
+    runs = runs.withColumn("run", F.sum("new").over(w)).groupBy("__at", "run")
     runs = runs.agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    spans = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    per_row = parts.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    spans = runs.groupBy("__at").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__spans"))
+    per_row = parts.groupBy("__at").agg(
+        F.max("__n_words").alias("__n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
     )
     empty = F.array().cast("array<struct<first:int,last:int>>")
-    return per_row.join(spans, "row", "left").select("id", "n_words", F.coalesce("spans", empty).alias("spans"), "items")
+    found = blocks[0].select("__at", *columns).join(per_row, "__at").join(spans, "__at", "left")
+    return found.withColumn("__spans", F.coalesce("__spans", empty)).drop("__at")
 
 
 def contaminated(n_hit, n_words):
@@ -237,9 +251,9 @@ def contaminated(n_hit, n_words):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose hit words exceed the coverage limit; rows below it keep their text as it is."""
-    hits = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col, **how)
-    bad = hits.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    row = docs.withColumn("__row", F.monotonically_increasing_id())
+    hits = benchmark_hits(row, benchmark, id_col="__row", text_col=text_col, keep=tuple(docs.columns), **how)
+    return hits.where(~contaminated(F.col("__n_hit"), F.col("__n_words"))).select(docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,11 +135,11 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return LanguageFilter(languages, SIZES, planes, false)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: id_col (and the columns in keep), lang_pred and score, the share of the text's n-grams found."""
+def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row of docs: id_col (and the columns in keep), the language and its score, the share of the text's n-grams found."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(F.col(id_col), *keep).schema
-    names = list(schema.names)
+    kept, out = list(schema.names), list(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,14 +152,13 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
                 scores = np.clip(total[np.arange(len(bodies)), best] / np.maximum(number, 1), 0, 1)
                 langs = [model.languages[k] if b else "und" for k, b in zip(best, bodies)]
             scores = np.where([x == "und" for x in langs], 0.0, scores)
-            columns = [batch.column(name) for name in names]
+            columns = [batch.column(name) for name in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"]
+                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *out]
             )
 
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("binary").alias("__body"))
-    out = schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, schema.add(names[0], "string").add(names[1], "double"))
 
 
 def held_out(doc_id: Column) -> Column:

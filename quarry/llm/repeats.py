@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, slices, stored
+from quarry.llm.common import WRITTEN, shared_dir, slices, stored
 
 BATCH_BYTES = 4 << 20
 #: Rows without an id are later than every other row.
@@ -66,7 +66,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     name = f"quarry_batches_{uuid.uuid4().hex}"
-    packed = rows.mapInArrow(run, _PACKED).write.option("path", f"{shared_dir(spark).rstrip('/')}/{name}")
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    WRITTEN.append(path)
+    packed = rows.mapInArrow(run, _PACKED).write.option("path", path)
     packed.option("compression", "zstd").bucketBy(buckets(docs), "batch").saveAsTable(name)
     return spark.table(name)
 
