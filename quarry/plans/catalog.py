@@ -1 +1,125 @@
+"""Catalog queries: parts, suppliers and documents stand for the items, files and notes of a library."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.operators import catalog as K
+from quarry.plans.base import Tables, query
+
+
+@query(
+    "k1_split_notes",
+    """WITH n AS (SELECT conv_id, string_agg(turn::VARCHAR || '. ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS notes FROM conversations GROUP BY conv_id),
+x AS (SELECT conv_id, unnest(string_split(notes, chr(10))) AS line FROM n)
+SELECT conv_id, regexp_extract(line, '^([0-9]+)\\. ', 1)::BIGINT AS number, regexp_replace(line, '^[0-9]+\\. ', '') AS note FROM x""",
+)
+def k1(t: Tables) -> DataFrame:
+    """Notes with numbered headings become one row for each item."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(x["turn"].cast("string"), F.lit(". "), F.regexp_replace(x["text"], "\n", " ")))
+    notes = t.conversations.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("notes"))
+    items = notes.select("conv_id", F.explode(F.split("notes", "\n")).alias("line"))
+    return items.select("conv_id", F.regexp_extract("line", "^([0-9]+)\\. ", 1).cast("long").alias("number"), F.regexp_replace("line", "^[0-9]+\\. ", "").alias("note"))
+
+
+@query(
+    "k2_extract_fields",
+    """SELECT doc_id, nullif(regexp_extract(text, '(https?://[^ \\n]+)', 1), '') AS link, nullif(regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1), '') AS reader,
+  array_to_string(list_filter(['license', 'public', 'work', 'outre', 'nicht'], lambda k: contains(lower(text), k)), ';') AS keywords FROM documents""",
+)
+def k2(t: Tables) -> DataFrame:
+    found = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    words = F.array(*[F.lit(w) for w in ("license", "public", "work", "outre", "nicht")])
+    hits = F.array_join(F.filter(words, lambda w: F.contains(F.lower(F.col("text")), w)), ";")
+    return t.documents.select("doc_id", found("(https?://[^ \\n]+)").alias("link"), found("([A-Za-z0-9._]+@[A-Za-z0-9.]+)").alias("reader"), hits.alias("keywords"))
+
+
+@query("k3_attachments", """SELECT page_id, array_to_string(list_distinct_keep, '|') AS names FROM (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_keep FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages))""")
+def k3(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.array_join(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)), "|").alias("names"))
+
+
+FOLD = r"regexp_replace(lower(coalesce({0}, '')), '[\s.,;:()\[\]{{}}<>\"''`!?/\\|~@#$%^&*+=_-]+', '', 'g')"
+
+
+@query("k4_match_files")
+def k4(t: Tables) -> DataFrame:
+    """Parts look for their files, whose names lost every fifth character."""
+    short = F.array_join(F.filter(F.split(F.lower("p_name"), ""), lambda c, i: i % 5 != 4), "")
+    return K.match(t.part.select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name")), t.part.select(F.col("p_partkey").alias("file"), short.alias("file_name")))
+
+
+@query(
+    "k5_status",
+    "SELECT p_partkey, CASE WHEN s AND o THEN 'ready' WHEN s THEN 'missing_ppt' WHEN o THEN 'missing_pdf' ELSE 'note_only' END AS status FROM (SELECT p_partkey, p_size > 25 AS s, p_retailprice > 1000 AS o FROM part)",
+)
+def k5(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", K.status(F.col("p_size") > 25, F.col("p_retailprice") > 1000).alias("status"))
+
+
+@query(
+    "k6_override",
+    """WITH o AS (SELECT s_suppkey AS p_partkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS p_name, '' AS p_brand FROM supplier)
+SELECT p.p_partkey, coalesce(nullif(o.p_name, ''), p.p_name) AS p_name, coalesce(nullif(o.p_brand, ''), p.p_brand) AS p_brand, coalesce(o.p_name <> '', false) AS changed FROM part p LEFT JOIN o USING (p_partkey)""",
+)
+def k6(t: Tables) -> DataFrame:
+    by = t.supplier.select(F.col("s_suppkey").alias("p_partkey"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).otherwise("").alias("p_name"), F.lit("").alias("p_brand"))
+    return K.override(t.part.select("p_partkey", "p_name", "p_brand"), by, "p_partkey", ["p_name", "p_brand"])
+
+
+@query(
+    "k7_fill_by_order",
+    """WITH c AS (SELECT c_custkey, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+s AS (SELECT s_suppkey, s_nationkey AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier)
+SELECT g, c_custkey, s_suppkey FROM c LEFT JOIN s USING (g, i)""",
+)
+def k7(t: Tables) -> DataFrame:
+    left = t.customer.select(F.col("c_nationkey").alias("g"), "c_custkey")
+    return K.fill_by_order(left, t.supplier.select(F.col("s_nationkey").alias("g"), "s_suppkey"), "g", "c_custkey", "s_suppkey")
+
+
+@query("k8_lookup", "SELECT CASE WHEN length(p_partkey::VARCHAR) < 3 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END AS item_id, p_name FROM part WHERE contains(p_name, 'green') OR p_brand = 'Brand#11'")
+def k8(t: Tables) -> DataFrame:
+    found = t.part.where(F.contains(F.col("p_name"), F.lit("green")) | (F.col("p_brand") == "Brand#11"))
+    return found.select(K.item_id(F.col("p_partkey").cast("string")).alias("item_id"), "p_name").orderBy("item_id")
+
+
+@query(
+    "k9_library_search",
+    """WITH h AS (SELECT p_partkey, p_name, p_partkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS favourite FROM part
+  WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type, p_size::VARCHAR)), 'brand#1'))
+SELECT p_partkey, p_name, favourite, count(*) OVER () AS total FROM h ORDER BY p_partkey LIMIT 300""",
+)
+def k9(t: Tables) -> DataFrame:
+    """The first 300 hits and the number of all: the page size is the feature."""
+    liked = t.events.where("event_type = 'purchase'").select(F.col("user_id").alias("p_partkey")).distinct().withColumn("favourite", F.lit(True))
+    hits = t.part.where(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"))), F.lit("brand#1")))
+    total = hits.agg(F.count("*").alias("total"))  # one row
+    first = hits.join(liked, "p_partkey", "left").orderBy("p_partkey").limit(300)
+    return first.crossJoin(F.broadcast(total)).select("p_partkey", "p_name", F.coalesce("favourite", F.lit(False)).alias("favourite"), "total")
+
+
+@query("k10_first_row", "SELECT source, min(doc_id) AS doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source")
+def k10(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels, "doc_id", "left_semi").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("k11_next_id", "SELECT source, lpad((max(doc_id) + 1)::VARCHAR, 8, '0') AS next_id FROM documents GROUP BY source")
+def k11(t: Tables) -> DataFrame:
+    return t.documents.groupBy("source").agg(F.lpad((F.max(F.expr("try_cast(doc_id as bigint)")) + 1).cast("string"), 8, "0").alias("next_id"))
+
+
+@query("k12_title_map", "SELECT source, min_by(title, doc_id) AS title, count(DISTINCT title)::BIGINT AS titles FROM (SELECT source, doc_id, string_split(text, chr(10))[1] AS title FROM documents) WHERE length(title) >= 8 GROUP BY source")
+def k12(t: Tables) -> DataFrame:
+    titles = t.documents.select("source", "doc_id", X.first_line(F.col("text")).alias("title")).where("length(title) >= 8")
+    return titles.groupBy("source").agg(F.min_by("title", "doc_id").alias("title"), F.countDistinct("title").alias("titles"))
+
+
+@query("k13_source_lookup", "SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN source ELSE '' END, ''), url, 'unknown') AS source_url FROM documents LEFT JOIN pages ON page_id = doc_id")
+def k13(t: Tables) -> DataFrame:
+    """A source that a chunk names itself wins over the one in the table of sources (pages)."""
+    own = F.nullif(F.when(F.col("lang") == "en", F.col("source")).otherwise(""), F.lit(""))
+    joined = t.documents.join(t.pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce(own, "url", F.lit("unknown")).alias("source_url"))

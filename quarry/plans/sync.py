@@ -1 +1,209 @@
+"""Sync queries.
 
+The ledger holds the labelled documents; the current snapshot all documents but those labelled as of low quality; the text of
+toxic ones has changed since. So new, changed, restored, unchanged and missing rows all occur.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.operators import sync as Y
+from quarry.plans.base import Tables, query
+
+BASE = """
+ledger AS (SELECT DISTINCT d.doc_id, source, md5(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS print,
+  CASE WHEN length(text) < 200 THEN 'suspect_missing' ELSE 'active' END AS status, CASE WHEN length(text) < 200 THEN 1 ELSE 0 END AS missing_count
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+snap AS (SELECT doc_id, source, md5(text) AS print FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM low)),
+df AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.print IS NULL THEN 'new' WHEN n.print IS NULL THEN 'missing' WHEN status <> 'active' THEN 'restored'
+  WHEN o.print <> n.print THEN 'changed' ELSE 'unchanged' END AS outcome FROM ledger o FULL JOIN snap n ON o.doc_id = n.doc_id)"""
+
+
+def ledger(t: Tables) -> DataFrame:
+    marks = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    short = F.length("text") < 200
+    return t.documents.join(marks, "doc_id").select(
+        "doc_id", "source", F.md5(text).alias("print"), F.when(short, "suspect_missing").otherwise("active").alias("status"), F.when(short, 1).otherwise(0).alias("missing_count")
+    )
+
+
+def snapshot(t: Tables) -> DataFrame:
+    low = t.labels.where("quality = 0").select("doc_id")
+    return t.documents.join(low, "doc_id", "left_anti").select("doc_id", "source", F.md5("text").alias("print"))
+
+
+def outcomes(t: Tables) -> DataFrame:
+    return Y.diff(ledger(t), snapshot(t), "doc_id", "print")
+
+
+@query("y1_stable_id", "SELECT doc_id, left(sha256('tenant:' || doc_id::VARCHAR), 16) AS item_id, sha256(concat_ws(chr(31), source, lang, n_chars::VARCHAR)) AS fingerprint FROM documents")
+def y1(t: Tables) -> DataFrame:
+    print_ = F.sha2(F.concat_ws("\x1f", "source", "lang", F.col("n_chars").cast("string")), 256)
+    return t.documents.select("doc_id", Y.stable_id(F.lit("tenant"), F.col("doc_id").cast("string")).alias("item_id"), print_.alias("fingerprint"))
+
+
+@query("y2_scan_filter", "SELECT source, count(*)::BIGINT AS seen, count(*) FILTER (lang IN ('en', 'de') AND length(text) > 0)::BIGINT AS taken, count(*) FILTER (lang NOT IN ('en', 'de'))::BIGINT AS wrong_type FROM documents GROUP BY source")
+def y2(t: Tables) -> DataFrame:
+    good = F.col("lang").isin("en", "de")
+    return t.documents.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(good & (F.length("text") > 0)).alias("taken"), F.count_if(~good).alias("wrong_type"))
+
+
+@query("y3_snapshot_diff", f"WITH {BASE} SELECT doc_id, outcome FROM df")
+def y3(t: Tables) -> DataFrame:
+    return outcomes(t).select("doc_id", "outcome")
+
+
+def _missing(strikes: int) -> str:
+    return f"""WITH {BASE} SELECT doc_id, CASE WHEN missing_count + 1 >= {strikes} THEN 'soft_deleted' ELSE 'suspect_missing' END AS status, (missing_count + 1)::INTEGER AS missing_count
+FROM ledger WHERE doc_id NOT IN (SELECT doc_id FROM snap)"""
+
+
+@query("y4_missing_two_strikes", _missing(2))
+def y4(t: Tables) -> DataFrame:
+    return Y.strike(ledger(t), snapshot(t), "doc_id").select("doc_id", "status", "missing_count")
+
+
+@query("y5_missing_one_strike", _missing(1))
+def y5(t: Tables) -> DataFrame:
+    return Y.strike(ledger(t), snapshot(t), "doc_id", strikes=1).select("doc_id", "status", "missing_count")
+
+
+HEALTHY = "ok AS (SELECT source FROM documents GROUP BY source HAVING avg(n_chars) < 2500)"
+
+
+@query("y6_root_isolation", f"WITH {BASE}, {HEALTHY} SELECT doc_id, source FROM ledger WHERE source IN (SELECT source FROM ok) AND doc_id NOT IN (SELECT doc_id FROM snap)")
+def y6(t: Tables) -> DataFrame:
+    """Sources that failed their scan (here: by their mean length) are left out of missing detection."""
+    healthy = t.documents.groupBy("source").agg(F.avg("n_chars").alias("a")).where("a < 2500").select("source")
+    return Y.strike(ledger(t).join(healthy, "source", "left_semi"), snapshot(t), "doc_id").select("doc_id", "source")
+
+
+@query(
+    "y7_work_list",
+    """WITH j AS (SELECT user_id, event_type, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, event_type, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, status = 'failed' AS revived FROM j""",
+)
+def y7(t: Tables) -> DataFrame:
+    """One job for each token and type, however often it is asked for; failed ones are revived."""
+    jobs = t.events.groupBy("user_id", "event_type").agg(F.bool_or(F.col("event_type") == "error").alias("revived"))
+    return jobs.select("user_id", "event_type", F.when(F.col("revived"), "pending").otherwise("completed").alias("status"), "revived")
+
+
+@query("y8_content_short_cut", f"WITH {BASE} SELECT s.doc_id, CASE WHEN o.print = s.print THEN 'skip' ELSE 'process' END AS action FROM snap s LEFT JOIN ledger o USING (doc_id)")
+def y8(t: Tables) -> DataFrame:
+    old = ledger(t).select("doc_id", F.col("print").alias("old"))
+    return snapshot(t).join(old, "doc_id", "left").select("doc_id", F.when(F.col("old") == F.col("print"), "skip").otherwise("process").alias("action"))
+
+
+@query("y9_need_ingest", f"WITH {BASE} SELECT s.doc_id, CASE WHEN o.print IS NULL THEN 'new' WHEN s.source = 'src1' THEN 'forced' WHEN o.print <> s.print THEN 'changed' ELSE 'unchanged' END AS reason FROM snap s LEFT JOIN ledger o USING (doc_id)")
+def y9(t: Tables) -> DataFrame:
+    old = ledger(t).select("doc_id", F.col("print").alias("old"))
+    reason = F.when(F.col("old").isNull(), "new").when(F.col("source") == "src1", "forced").when(F.col("old") != F.col("print"), "changed").otherwise("unchanged")
+    return snapshot(t).join(old, "doc_id", "left").select("doc_id", reason.alias("reason"))
+
+
+@query("y10_manifest", "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (true) IS NOT NULL AS present FROM events GROUP BY user_id")
+def y10(t: Tables) -> DataFrame:
+    last = Y.last_write(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"])
+    return last.select("user_id", "event_type", F.lit(True).alias("present"))
+
+
+@query("y11_restore", f"WITH {BASE} SELECT doc_id, 'active' AS status, 0 AS missing_count FROM df WHERE outcome = 'restored'")
+def y11(t: Tables) -> DataFrame:
+    return outcomes(t).where("outcome = 'restored'").select("doc_id", F.lit("active").alias("status"), F.lit(0).alias("missing_count"))
+
+
+@query("y12_delete_by_event", f"WITH {BASE} SELECT doc_id, CASE WHEN doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'soft_deleted' ELSE status END AS status FROM ledger")
+def y12(t: Tables) -> DataFrame:
+    """Delete events (errors, by the id of their user) mark rows of the ledger, once or often alike."""
+    gone = t.events.where("event_type = 'error'").select(F.col("user_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+    return ledger(t).join(gone, "doc_id", "left").select("doc_id", F.when(F.col("hit"), "soft_deleted").otherwise(F.col("status")).alias("status"))
+
+
+PURGE = """x AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), m AS (SELECT max(ts) AS now FROM events),
+busy AS (SELECT DISTINCT user_id FROM events, m WHERE event_type = 'error' AND ts > now - INTERVAL 1 DAY)"""
+
+
+@query("y13_purge", f"WITH {PURGE} SELECT user_id, CASE WHEN last < now - INTERVAL 1 HOUR AND user_id NOT IN (SELECT user_id FROM busy) THEN 'purged' ELSE 'kept' END AS status FROM x, m")
+def y13(t: Tables) -> DataFrame:
+    """Rows older than their grace time are purged unless a delete job of theirs is still open."""
+    now = t.events.agg(F.max("ts").alias("now"))  # one row
+    dated = t.events.crossJoin(F.broadcast(now))
+    busy = dated.where("event_type = 'error' and ts > now - interval 1 day").select("user_id").distinct().withColumn("busy", F.lit(True))
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now)).join(busy, "user_id", "left")
+    old = F.expr("last < now - interval 1 hour and busy is null")
+    return last.select("user_id", F.when(old, "purged").otherwise("kept").alias("status"))
+
+
+@query("y14_replace_items", f"WITH {BASE} SELECT doc_id, print FROM snap UNION ALL SELECT doc_id, print FROM ledger WHERE doc_id NOT IN (SELECT doc_id FROM snap)")
+def y14(t: Tables) -> DataFrame:
+    return Y.replace_items(ledger(t).select("doc_id", "print"), snapshot(t).select("doc_id", "print"), "doc_id")
+
+
+@query("y15_remove_items", f"WITH {BASE} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM low) THEN 'archived' ELSE 'kept' END AS place FROM ledger")
+def y15(t: Tables) -> DataFrame:
+    """Removed rows go to the archive, the others to the next version."""
+    low = t.labels.where("quality = 0").select("doc_id").distinct()
+    archived = ledger(t).join(low, "doc_id", "left_semi").select("doc_id", F.lit("archived").alias("place"))
+    return archived.unionByName(ledger(t).join(low, "doc_id", "left_anti").select("doc_id", F.lit("kept").alias("place")))
+
+
+@query("y16_drift", "SELECT source, count(*)::BIGINT AS expected, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels))::BIGINT AS actual FROM documents GROUP BY source HAVING expected <> actual")
+def y16(t: Tables) -> DataFrame:
+    return Y.drift(t.documents, t.documents.join(t.labels, "doc_id", "left_semi"), "source")
+
+
+@query("y17_revision", "WITH r AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY event_type) SELECT coalesce(sum(n), 0)::BIGINT + 1 AS revision FROM r")
+def y17(t: Tables) -> DataFrame:
+    """Every change adds one to the revision of the corpus."""
+    return t.events.where("event_type in ('purchase', 'signup')").agg((F.count("*") + 1).alias("revision"))
+
+
+@query(
+    "y18_load_gates",
+    """SELECT name, b AS broken, b = 0 AS ok FROM (SELECT 'rows' AS name, count(*)::BIGINT AS b FROM documents WHERE text IS NULL
+UNION ALL SELECT 'orphan_labels', count(*)::BIGINT FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'unlabelled', count(*)::BIGINT FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'length', count(*)::BIGINT FROM documents WHERE length(text) <> n_chars)""",
+)
+def y18(t: Tables) -> DataFrame:
+    """Expectations of a load: rows present, references whole both ways, counts as stated."""
+    checks = [
+        Y.expectation("rows", t.documents, F.col("text").isNull()),
+        Y.expectation("orphan_labels", t.labels.join(t.documents, "doc_id", "left_anti")),
+        Y.expectation("unlabelled", t.documents.join(t.labels, "doc_id", "left_anti")),
+        Y.expectation("length", t.documents, F.length("text") != F.col("n_chars")),
+    ]
+    out = checks[0]
+    for check in checks[1:]:
+        out = out.unionByName(check)
+    return out
+
+
+@query("y19_status_rollup", f"WITH {BASE} SELECT status, source, count(*)::BIGINT AS n FROM ledger GROUP BY ROLLUP (status, source)")
+def y19(t: Tables) -> DataFrame:
+    return ledger(t).rollup("status", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    "y20_tree_walk",
+    """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'root', 'r' || r_regionkey FROM region UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+w AS (SELECT 'root' AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN e ON e.parent = w.node) SELECT node, depth FROM w""",
+)
+def y20(t: Tables) -> DataFrame:
+    """Regions, nations and suppliers as a tree, walked level by level; nodes seen before are not walked again."""
+    edge = lambda df, a, b: df.select(a.alias("parent"), b.alias("child"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = edge(t.region, F.lit("root"), name("r", "r_regionkey")).unionByName(edge(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey")))
+    edges = edges.unionByName(edge(t.supplier, name("n", "s_nationkey"), name("s", "s_suppkey")))
+    level = seen = edges.where("parent = 'root'").select(F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(0))
+    for depth in range(1, 4):  # the tree has three levels below its root
+        level = edges.join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
+        level = level.join(seen.select("node"), "node", "left_anti")
+        seen = seen.unionByName(level)
+    return seen
