@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, table
 
 #: Chunks kept by a task before its table is emptied: a bound on memory only.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 400_000
 #: Pairs of tokens whose validity a task remembers before it forgets them.
 MAX_PAIRS = 1_000_000
 
@@ -60,17 +60,20 @@ def newer_characters(vocab: str) -> dict[str, tuple[str, bool]]:
 
 
 class TrieBPE:
-    """Encodes words by one depth-first walk over the trie of the words given together."""
+    """Encodes words by one depth-first walk over the trie of the words given together.
+
+    Inside, a byte is one character, and a byte at a word's end is that character plus SHIFT; tokens are strings of these.
+    """
+
+    SHIFT = 0x1000
 
     def __init__(self, config: dict, newer: dict[str, tuple[str, bool]] | None = None):
-        self.newer = newer or {}
         model = config["model"]
+        self.newer = newer or {}
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.strings = {i: s for s, i in model["vocab"].items()}
+        self.byte = {symbol: chr(b) for b, symbol in enumerate(byte_symbols())}
         self.special = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
-        self.strings |= {i: s for s, i in self.special.items()}
-        self.symbols = byte_symbols()
-        #: One character for each base symbol: a byte inside a word as it is, a byte at a word's end shifted by SHIFT.
+        self.strings = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.ranks: dict[tuple[str, str], int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
@@ -79,20 +82,20 @@ class TrieBPE:
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.valid: dict[tuple[str, str], bool] = {}
+        #: by token: the tokens that may stand before it ("" for none), as far as they have been asked for
+        self.before: dict[str, dict[str, bool]] = {token: {} for token in self.ids}
+        self.pairs = 0
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
-
-    SHIFT = 0x1000
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def _inner(self, token: str) -> str:
-        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
-            token = token[: -len(self.suffix)]
-            return token[:-1] + chr(ord(token[-1]) + self.SHIFT)
-        return token
+        end = self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix)
+        inner = "".join([self.byte[c] for c in (token[: -len(self.suffix)] if end else token)])
+        return inner[:-1] + chr(ord(inner[-1]) + self.SHIFT) if end else inner
 
     def _word(self, piece: str) -> str:
         """The base symbols of a pre-token, its last one marked as a word's end."""
-        s = "".join([self.symbols[b] for b in piece.encode()])
+        s = piece.encode().decode("latin-1")
         return s[:-1] + chr(ord(s[-1]) + self.SHIFT) if self.suffix else s
 
     def merged(self, symbols: str) -> list[str]:
@@ -107,54 +110,61 @@ class TrieBPE:
 
     def _fits(self, left: str, right: str) -> bool:
         """True if BPE of left + right is just these two tokens (left empty: if right is a token that BPE makes)."""
-        known = self.valid.get((left, right))
-        if known is None:
-            if len(self.valid) > MAX_PAIRS:
-                self.valid.clear()
-            known = self.valid[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def encode_words(self, words: set[str]) -> dict[str, list[str]]:
-        """Words are strings of base symbols; the result has the tokens of each, as such strings too."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for symbol in word:
-                node = node.setdefault(symbol, {})
-            node[""] = word
-        out: dict[str, list[str]] = {}
-        ids, fits, longest = self.ids, self._fits, self.longest
-        path: list[str] = []
-        last: list[str] = [""]  # last[d]: the last token of the prefix of d symbols
-        walk = [(trie, iter(trie.items()))]
-        while walk:
-            for symbol, child in walk[-1][1]:
-                if symbol == "":
-                    tokens, at = [], len(path)
-                    while at:
-                        tokens.append(last[at])
-                        at -= len(last[at])
-                    out[child] = tokens[::-1]
-                    continue
-                path.append(symbol)
-                depth = len(path)
-                tail = "".join(path[-longest:])
-                for n in range(len(tail), 0, -1):
-                    token = tail[-n:]
-                    if token in ids and fits(last[depth - n], token):
-                        break
+        if self.pairs > MAX_PAIRS:
+            for known in self.before.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        found = self.before[right][left] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
+
+    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of each word (a string of base symbols).
+
+        The sorted words are the trie laid out depth first: the prefix that a word shares with the one before it is the path
+        that the walk still stands on, so only the symbols below it are visited. last[d] is the last token of the path's
+        first d symbols. Just one token that ends the path fits after the prefix before it, in whatever order they are tried.
+        """
+        out: dict[str, list[int]] = {}
+        before, fits, ids, longest = self.before, self._fits, self.ids, self.longest
+        path, last = "", [""]
+        for word in sorted(words):
+            depth, most = 0, min(len(path), len(word))
+            while depth < most and path[depth] == word[depth]:
+                depth += 1
+            del last[depth + 1 :]
+            for d in range(depth + 1, len(word) + 1):
+                grown = len(last[d - 1]) + 1
+                token = word[d - grown : d] if d > 1 else word[:1]
+                known = before.get(token)
+                if known is not None:
+                    left = last[d - grown] if d > 1 else ""
+                    good = known.get(left)
+                    if good or (good is None and fits(left, token)):
+                        last.append(token)
+                        continue
+                for n in range(1, min(longest, d) + 1):
+                    token = word[d - n : d]
+                    known = before.get(token)
+                    if known is not None:
+                        left = last[d - n]
+                        good = known.get(left)
+                        if good or (good is None and fits(left, token)):
+                            break
                 last.append(token)
-                walk.append((child, iter(child.items())))
-                break
-            else:
-                walk.pop()
-                if path:
-                    path.pop()
-                    last.pop()
+            path = word
+            tokens, at = [], len(word)
+            while at:
+                token = last[at]
+                tokens.append(ids[token])
+                at -= len(token)
+            out[word] = tokens[::-1]
         return out
 
     def _pieces(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a white-space chunk, special tokens as their ids."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         parts = self.split_special.split(chunk) if self.split_special and "<|" in chunk else [chunk]
         out: list[str | int] = []
         for part in parts:
@@ -170,7 +180,10 @@ class TrieBPE:
                         part = "".join([c for c, _ in as_is])
                         shape = "".join([c if letter else "\u2603" * len(c) for c, letter in as_is])
                 part, shape = part.lower(), shape.lower()
-                out += [part[m.start() : m.end()] for m in self.pattern.finditer(shape)]
+                if shape.isalpha():
+                    out.append(part)
+                else:
+                    out += [part[m.start() : m.end()] for m in self.pattern.finditer(shape)]
         return out
 
     def learn(self, chunks: set[str]) -> None:
@@ -178,36 +191,46 @@ class TrieBPE:
         pieces = {chunk: self._pieces(chunk) for chunk in chunks}
         forms = {p: self._word(p) for ps in pieces.values() for p in ps if isinstance(p, str)}
         tokens = self.encode_words(set(forms.values()))
+        strings = self.strings
         for chunk, ps in pieces.items():
-            ids = array("I")
-            for p in ps:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    ids.extend([self.ids[t] for t in tokens[forms[p]]])
-            self.chunks[chunk] = ids.tobytes(), " ".join([self.strings[i] for i in ids]).encode()
+            ids = [i for p in ps for i in ([p] if isinstance(p, int) else tokens[forms[p]])]
+            self.chunks[chunk] = array("I", ids).tobytes(), " ".join([strings[i] for i in ids]).encode()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Per text: the ids as little-endian 32-bit integers, and their decoding in UTF-8."""
         split = [_SPACE.split(t) if _SPLIT_TOO.search(t) else t.split() for t in texts]
         new = set().union(*split) - self.chunks.keys()
-        if len(new) + len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
+        if len(new) + len(self.chunks) > MAX_CHUNKS:  # the table of before is kept until the next time
+            self.chunks, self.older = {}, self.chunks
             new = set().union(*split)
+        if self.older:
+            known = new & self.older.keys()
+            self.chunks.update((c, self.older[c]) for c in known)
+            new -= known
         self.learn(new)
         for chunks in split:
             found = [self.chunks[c] for c in chunks]
             yield b"".join([ids for ids, _ in found]), b" ".join([text for ids, text in found if ids])
 
 
+#: One coder for each vocabulary in a worker process: later tasks of the worker start with what earlier ones have learnt.
+_CODERS: dict[int, TrieBPE] = {}
+
+
+def _coder(config: str, newer: dict[str, tuple[str, bool]]) -> TrieBPE:
+    key = hash(config)
+    if key not in _CODERS:
+        _CODERS[key] = TrieBPE(json.loads(config), newer)
+    return _CODERS[key]
+
+
 def encode(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_tokens, ids (packed little-endian unsigned 32-bit integers) and decoded (text of the ids)."""
     with open(vocab, encoding="utf-8") as f:  # a file of the tokenizer library on this machine, not an input
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), newer_characters(vocab)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        config, newer = shared.value
-        bpe = TrieBPE(json.loads(config), newer)
+        bpe = _coder(*shared.value)
         for batch in slices(batches, "body", 4 << 20):
             texts = [t or "" for t in batch.column("body").cast(pa.string()).to_pylist()]
             coded = list(bpe.encode(texts))
