@@ -1 +1,195 @@
+"""Log queries: `events` are requests (a thread is a user's day), `conversations` are threads of turns."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.operators import logs as A
+from quarry.plans.base import Tables, query
+
+LOG = """log AS (SELECT event_id, ts, user_id, event_type AS intent, event_type <> 'error' AS success, value * 10 AS latency_ms, floor(value * 100)::BIGINT AS tokens,
+  (user_id % 30)::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS thread, props FROM events)"""
+
+
+def log(t: Tables) -> DataFrame:
+    return t.events.select(
+        "event_id", "ts", "user_id", F.col("event_type").alias("intent"), (F.col("event_type") != "error").alias("success"), (F.col("value") * 10).alias("latency_ms"),
+        F.floor(F.col("value") * 100).alias("tokens"), F.concat((F.col("user_id") % 30).cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("thread"), "props",
+    )
+
+
+@query("a1_last_turns", "WITH b AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM b")
+def a1(t: Tables) -> DataFrame:
+    return A.last_turns(t.conversations, "conv_id", "turn", 5).select("conv_id", "turn", "role", F.col("place").cast("long").alias("place"))
+
+
+@query("a2_recent_logs", f"WITH {LOG} SELECT event_id, coalesce(json_extract_string(props, '$.page'), props) AS trace FROM log ORDER BY ts DESC, event_id DESC LIMIT 100")
+def a2(t: Tables) -> DataFrame:
+    """The newest 100 requests: the page size is the feature."""
+    newest = log(t).orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+    return newest.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), "props").alias("trace"))
+
+
+OWN = LOG + ", o AS (SELECT thread, min_by(user_id, (ts, event_id)) AS owner, max(ts) AS last_active FROM log GROUP BY thread)"
+
+
+@query("a3_thread_owners", f"WITH {OWN} SELECT thread, owner, epoch_us(last_active) AS last_us, count(*) FILTER (user_id <> owner AND user_id <> 0)::BIGINT AS violations FROM log JOIN o USING (thread) GROUP BY ALL")
+def a3(t: Tables) -> DataFrame:
+    joined = log(t).join(A.owners(log(t), "thread", "user_id", "ts", "event_id"), "thread")
+    others = (F.col("user_id") != F.col("owner")) & (F.col("user_id") != 0)
+    return joined.groupBy("thread", "owner", F.expr("unix_micros(cast(last_active as timestamp))").alias("last_us")).agg(F.count_if(others).alias("violations"))
+
+
+@query("a4_user_stats", f"WITH {OWN} SELECT user_id, count(DISTINCT thread)::BIGINT AS sessions, count(*)::BIGINT AS questions FROM log GROUP BY user_id")
+def a4(t: Tables) -> DataFrame:
+    return log(t).groupBy("user_id").agg(F.countDistinct("thread").alias("sessions"), F.count("*").alias("questions"))
+
+
+@query("a5_token_use", f"WITH {LOG}, m AS (SELECT max(ts)::DATE AS today FROM log) SELECT user_id, coalesce(sum(tokens), 0)::BIGINT AS total, coalesce(sum(tokens) FILTER (ts::DATE = today), 0)::BIGINT AS today, count(*)::BIGINT AS requests FROM log, m GROUP BY user_id")
+def a5(t: Tables) -> DataFrame:
+    day = log(t).agg(F.to_date(F.max("ts")).alias("day"))  # one row
+    dated = log(t).crossJoin(F.broadcast(day))
+    today = F.sum(F.when(F.to_date("ts") == F.col("day"), F.col("tokens")))
+    return dated.groupBy("user_id").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.coalesce(today, F.lit(0)).alias("today"), F.count("*").alias("requests"))
+
+
+@query("a6_favourites", "SELECT user_id, page FROM (SELECT user_id, json_extract_string(props, '$.page') AS page, max_by(event_type, (ts, event_id)) AS last FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL) WHERE last = 'purchase'")
+def a6(t: Tables) -> DataFrame:
+    """Adding twice is adding once; the last event of a user and item decides."""
+    e = t.events.where("event_type in ('purchase', 'error')").withColumn("page", F.get_json_object("props", "$.page"))
+    last = e.groupBy("user_id", "page").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return last.where("last = 'purchase'").select("user_id", "page")
+
+
+@query("a7_retention", f"WITH {LOG}, m AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM log) SELECT CASE WHEN ts < cut THEN strftime(ts, '%Y-%m') ELSE 'kept' END AS part, count(*)::BIGINT AS n FROM log, m GROUP BY ALL")
+def a7(t: Tables) -> DataFrame:
+    cut = log(t).agg((F.max("ts") - F.expr("interval 7 days")).alias("cut"))  # one row
+    part = F.when(F.col("ts") < F.col("cut"), F.date_format("ts", "yyyy-MM")).otherwise("kept")
+    return log(t).crossJoin(F.broadcast(cut)).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("a8_stale_threads", f"WITH {LOG}, m AS (SELECT max(ts) - INTERVAL 3 DAY AS cut FROM log), s AS (SELECT thread FROM log, m GROUP BY thread, cut HAVING max(ts) < cut) SELECT thread, count(*)::BIGINT AS rows FROM log WHERE thread IN (SELECT thread FROM s) GROUP BY thread")
+def a8(t: Tables) -> DataFrame:
+    cut = log(t).agg((F.max("ts") - F.expr("interval 3 days")).alias("cut"))  # one row
+    last = log(t).groupBy("thread").agg(F.max("ts").alias("last"), F.count("*").alias("rows")).crossJoin(F.broadcast(cut))
+    return last.where("last < cut").select("thread", "rows")
+
+
+@query(
+    "a9_cost_by_intent",
+    f"WITH {LOG}, c AS (SELECT intent, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS calls FROM log GROUP BY intent) SELECT intent, tokens, calls, round(tokens / sum(tokens) OVER (), 6) AS share, rank() OVER (ORDER BY tokens DESC) AS place FROM c",
+)
+def a9(t: Tables) -> DataFrame:
+    cost = log(t).groupBy("intent").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
+    total = cost.agg(F.sum("tokens").alias("all"))  # the windows below run over one row for each intent
+    out = cost.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("tokens") / F.col("all"), 6))
+    return out.select("intent", "tokens", "calls", "share", F.rank().over(Window.orderBy(F.desc("tokens"))).cast("long").alias("place"))
+
+
+@query("a10_tokens_by_request", f"WITH {LOG} SELECT thread, intent, sum(tokens)::BIGINT AS tokens, sum(tokens // 3)::BIGINT AS output_tokens, count(*)::BIGINT AS calls FROM log GROUP BY ALL")
+def a10(t: Tables) -> DataFrame:
+    return log(t).groupBy("thread", "intent").agg(F.sum("tokens").alias("tokens"), F.sum(F.floor(F.col("tokens") / 3)).alias("output_tokens"), F.count("*").alias("calls"))
+
+
+@query("a11_over_budget", f"WITH {LOG} SELECT thread, sum(tokens)::BIGINT AS tokens, sum(tokens) > 50000 AS over FROM log GROUP BY thread")
+def a11(t: Tables) -> DataFrame:
+    return log(t).groupBy("thread").agg(F.sum("tokens").alias("tokens")).withColumn("over", F.col("tokens") > 50_000)
+
+
+@query("a12_anchored_windows")
+def a12(t: Tables) -> DataFrame:
+    return A.anchored_windows(t.events, "user_id", "ts", "event_id", seconds=3600, limit=3)
+
+
+@query("a12_tumbling_windows", "SELECT user_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*)::BIGINT AS n, count(*) > 3 AS over FROM events GROUP BY ALL")
+def a12_tumbling(t: Tables) -> DataFrame:
+    hour = F.window(F.col("ts").cast("timestamp"), "1 hour").start
+    counts = t.events.groupBy("user_id", F.unix_micros(hour).alias("window_us")).agg(F.count("*").alias("n"))
+    return counts.withColumn("over", F.col("n") > 3)
+
+
+COST = "length(text) * 0.25::DOUBLE + 4"
+
+
+@query("a13_token_estimate", f"SELECT conv_id, floor(round(sum({COST}), 6))::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def a13(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.floor(F.round(F.sum(X.token_estimate(F.col("text"))), 6)).alias("tokens"))
+
+
+TURNS = f"""g AS (SELECT conv_id, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS group_no FROM conversations),
+c AS (SELECT conv_id, group_no::BIGINT AS group_no, sum({COST}) AS cost FROM g GROUP BY ALL)"""
+
+
+@query(
+    "a14_budget_window",
+    f"WITH {TURNS} SELECT conv_id, group_no, round(sum(cost) OVER w, 6) AS total, sum(cost) OVER w <= 400 OR row_number() OVER w = 1 AS kept FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY group_no DESC)",
+)
+def a14(t: Tables) -> DataFrame:
+    """Turns by user message; the newest ones that fit the budget stay whole, older ones are to be summarised."""
+    groups = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    costs = t.conversations.withColumn("group_no", groups).groupBy("conv_id", "group_no").agg(F.sum(X.token_estimate(F.col("text"))).alias("cost"))
+    return A.budget(costs, "conv_id", "group_no", "cost", 400).select("conv_id", "group_no", "total", "kept")
+
+
+@query(
+    "a15_turn_taking",
+    """WITH h AS (SELECT conv_id, turn, text, regexp_matches(text, '[0-9]{3}') AS has_id, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, CASE WHEN before IS NULL THEN 'first' WHEN has_id THEN 'explicit' WHEN before = 'assistant' THEN 'rewrite' ELSE 'follow_up' END AS class FROM h""",
+)
+def a15(t: Tables) -> DataFrame:
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    kind = F.when(F.col("before").isNull(), "first").when(F.col("text").rlike("[0-9]{3}"), "explicit").when(F.col("before") == "assistant", "rewrite").otherwise("follow_up")
+    return t.conversations.withColumn("before", before).select("conv_id", "turn", kind.alias("class"))
+
+
+@query(
+    "a16_accept_output",
+    """WITH h AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) > 5 * length(asked) + 50 THEN 'too_long' ELSE 'accepted' END AS verdict FROM h WHERE role = 'assistant' AND asked IS NOT NULL""",
+)
+def a16(t: Tables) -> DataFrame:
+    """A rewrite (here: an answer) is taken only if its length is in proportion to what was asked."""
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = t.conversations.withColumn("asked", asked).where("role = 'assistant' and asked is not null")
+    verdict = F.when(F.trim("text") == "", "empty").when(F.length("text") > 5 * F.length("asked") + 50, "too_long").otherwise("accepted")
+    return said.select("conv_id", "turn", verdict.alias("verdict"))
+
+
+MESSAGE = "CASE WHEN event_type <> 'error' THEN 'ok' WHEN value < 20 THEN 'Error code: 429' WHEN value < 40 THEN 'Request timed out' WHEN value < 60 THEN 'Connection refused' ELSE 'boom' END"
+
+
+@query(
+    "a17_error_classes",
+    "SELECT CASE WHEN value < 20 THEN 'model_rate_limit' WHEN value < 40 THEN 'timeout_error' WHEN value < 60 THEN 'retrieval_error' ELSE 'internal_error' END AS error_type, count(*)::BIGINT AS n FROM events WHERE event_type = 'error' GROUP BY ALL",
+)
+def a17(t: Tables) -> DataFrame:
+    errors = t.events.where("event_type = 'error'").select(F.expr(MESSAGE).alias("message"))
+    return errors.groupBy(A.error_class(F.col("message")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query("a18_route_mix", "SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'planner_agent' ELSE 'tool_agent' END AS route, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def a18(t: Tables) -> DataFrame:
+    routes = t.spark.createDataFrame([("purchase", "planner_agent"), ("signup", "planner_agent")], "event_type string, route string")  # a fixed table
+    routed = t.events.join(F.broadcast(routes), "event_type", "left")
+    return routed.groupBy(F.coalesce("route", F.lit("tool_agent")).alias("route")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "a19_overview",
+    "SELECT 'documents' AS metric, count(*)::BIGINT AS value FROM documents UNION ALL SELECT 'labels', count(*)::BIGINT FROM labels UNION ALL SELECT 'pages', count(*)::BIGINT FROM pages UNION ALL SELECT 'sources', count(DISTINCT source)::BIGINT FROM documents",
+)
+def a19(t: Tables) -> DataFrame:
+    one = lambda name, df, what: df.agg(what.alias("value")).select(F.lit(name).alias("metric"), "value")
+    out = one("documents", t.documents, F.count("*"))
+    for name, df, what in (("labels", t.labels, F.count("*")), ("pages", t.pages, F.count("*")), ("sources", t.documents, F.countDistinct("source"))):
+        out = out.unionByName(one(name, df, what))
+    return out
+
+
+@query("a20_clear_threads", "SELECT conv_id, count(*)::BIGINT AS kept_turns FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")
+def a20(t: Tables) -> DataFrame:
+    """Threads to be cleared (those with a system turn) leave the table whole."""
+    gone = t.conversations.where("role = 'system'").select("conv_id").distinct()
+    return t.conversations.join(gone, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("kept_turns"))
