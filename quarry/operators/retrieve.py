@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,24 +150,36 @@ def citation_numbers(uses: DataFrame) -> DataFrame:
 
 def hyperplanes(bits: int, width: int, seed: int) -> list[list[float]]:
     """Random directions, the same for a seed."""
-    import numpy as np
-
     return np.random.default_rng(seed).standard_normal((bits, width)).round(6).tolist()
 
 
+def band_signs(width: int, bands: int, bits: int, seed: int):
+    """A column function: for each band, its number and the signs of the vector along the band's directions, as one integer.
+
+    One matrix product for each Arrow batch; as column expressions the directions would make plans of thousands of terms.
+    """
+    planes = np.array(hyperplanes(bands * bits, width, seed)).T
+    weights = 1 << np.arange(bits)
+
+    @F.pandas_udf("array<long>")
+    def signs(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        side = np.stack(vectors.to_numpy()).astype(float) @ planes >= 0
+        codes = (side.reshape(len(side), bands, bits) * weights).sum(axis=2) + (np.arange(bands) << bits)
+        return pd.Series(list(codes))
+
+    return signs
+
+
 def dense_lsh(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, width: int, k: int, bands: int = 32, bits: int = 5, seed: int = 3) -> DataFrame:
     """Approximate cosine top k: vectors that share one band of signs with the query are scored exactly."""
-    planes = hyperplanes(bands * bits, width, seed)
-
-    def signs(v: Column, band: int) -> Column:
-        rows = planes[band * bits : (band + 1) * bits]
-        marks = [F.when(dot(v, F.array(*[F.lit(x) for x in row])) >= 0, "1").otherwise("0") for row in rows]
-        return F.concat(F.lit(f"{band}:"), *marks)
+    signs = band_signs(width, bands, bits, seed)
 
-    def banded(df: DataFrame, name: str, v: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.explode(F.array(*[signs(F.col(vector), b) for b in range(bands)])).alias("band"))
+    def banded(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(name), F.explode(signs(F.col(vector))).alias("band"))
 
-    pairs = banded(queries, "query_id", "qv").join(banded(vectors, "key", "v"), "band").select("query_id", "key").distinct()
+    pairs = banded(queries, "query_id").join(banded(vectors, "key"), "band").select("query_id", "key").distinct()
     scored = pairs.join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")), "query_id")
     scored = scored.join(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")), "key")
     scored = scored.select("query_id", "key", cosine(F.col("qv"), F.col("v")).alias("score"))

@@ -79,10 +79,10 @@ class VersionedTable:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> int | None:
-        fs, p = self._fs(f"{self.path}/_current")
+        fs, p = self._fs(f"{self.path}/current.json")
         if not fs.exists(p):
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/_current").first()[0])["version"]
+        return json.loads(self.spark.read.text(f"{self.path}/current.json").first()[0])["version"]
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version() if version is None else version}")
@@ -93,8 +93,8 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.path}/v={number}")
         if checks is not None and (broken := checks.where("not ok").limit(5).collect()):
             raise ValueError(f"version {number} is not taken over: {[r['name'] for r in broken]}")
-        fs, target = self._fs(f"{self.path}/_current")
-        _, draft = self._fs(f"{self.path}/_next-{uuid.uuid4().hex}")
+        fs, target = self._fs(f"{self.path}/current.json")
+        _, draft = self._fs(f"{self.path}/next-{uuid.uuid4().hex}")
         out = fs.create(draft)
         out.writeBytes(json.dumps({"version": number}))
         out.close()

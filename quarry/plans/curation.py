@@ -1 +1,209 @@
+"""Curation queries: turns of `conversations` are questions, `labels` and `documents` are examples, `embeddings` titles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.operators import curate as D
+from quarry.plans.base import Tables, query
+from quarry.plans.corpus import SECT, sectioned
+from quarry.plans.evaluation import NORM
+
+QH = "sha1(regexp_replace(lower(trim(text)), '[\\s!-/:-@\\[-`{-~]+', '', 'g'))"
+Q = f"""q AS (SELECT conv_id, turn, text, {QH.replace('sha1(', 'md5(')} AS h, CASE role WHEN 'user' THEN 0 ELSE 1 END AS pool FROM conversations)"""
+
+
+def questions(t: Tables) -> DataFrame:
+    h = F.md5(F.regexp_replace(F.lower(F.trim("text")), "[\\s!-/:-@\\[-`{-~]+", ""))
+    return t.conversations.select("conv_id", "turn", "text", h.alias("h"), F.when(F.col("role") == "user", 0).otherwise(1).alias("pool"))
+
+
+@query("d1_question_dedup", f"WITH {Q} SELECT h, pool, conv_id, turn FROM q QUALIFY row_number() OVER (PARTITION BY h ORDER BY pool, conv_id, turn) = 1")
+def d1(t: Tables) -> DataFrame:
+    return D.first_by_hash(questions(t).drop("text"), "h", ["pool", "conv_id", "turn"]).select("h", "pool", "conv_id", "turn")
+
+
+@query(
+    "d2_label_sources",
+    "SELECT doc_id, CASE lang WHEN 'en' THEN 'simple_qa' WHEN 'de' THEN 'summary' ELSE 'other' END AS label, (lang = 'en') <> (quality = 1) AS review FROM documents JOIN labels USING (doc_id)",
+)
+def d2(t: Tables) -> DataFrame:
+    names = t.spark.createDataFrame([("en", "simple_qa"), ("de", "summary")], "lang string, label string")  # a fixed table
+    rows = t.documents.join(t.labels, "doc_id").join(F.broadcast(names), "lang", "left")
+    return rows.select("doc_id", F.coalesce("label", F.lit("other")).alias("label"), ((F.col("lang") == "en") != (F.col("quality") == 1)).alias("review"))
+
+
+@query("d3_stratified")
+def d3(t: Tables) -> DataFrame:
+    """100 examples in proportion to their languages: the number is the feature."""
+    return D.stratified(t.documents.select("doc_id", "lang"), "lang", "doc_id", 100, "s1")
+
+
+SPLIT = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('s2' || doc_id::VARCHAR), doc_id) AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents), p AS (SELECT doc_id, lang, CASE WHEN n <= ceil(c * 0.1) THEN 'test' WHEN n <= 2 * ceil(c * 0.1) THEN 'val' ELSE 'train' END AS split FROM s)"
+
+
+def _sha(sql: str) -> str:
+    return sql.replace("sha1(", "sha256(")
+
+
+def splits(t: Tables) -> DataFrame:
+    order = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("s2"), F.col("doc_id").cast("string")), 256), "doc_id")
+    sizes = t.documents.groupBy("lang").agg(F.ceil(F.count("*") * 0.1).alias("tenth"))
+    rows = t.documents.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).join(F.broadcast(sizes), "lang")
+    split = F.when(F.col("n") <= F.col("tenth"), "test").when(F.col("n") <= 2 * F.col("tenth"), "val").otherwise("train")
+    return rows.select("doc_id", "lang", split.alias("split"))
+
+
+@query("d4_splits", f"WITH {_sha(SPLIT)} SELECT doc_id, lang, split FROM p")
+def d4(t: Tables) -> DataFrame:
+    return splits(t)
+
+
+@query("d5_spot_check", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('s3' || doc_id::VARCHAR), doc_id) <= 40")
+def d5(t: Tables) -> DataFrame:
+    """40 rows of each class to look at: the number is the feature."""
+    order = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("s3"), F.col("doc_id").cast("string")), 256), "doc_id")
+    return t.documents.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where("n <= 40").drop("n")
+
+
+@query("d6_distribution", f"WITH {_sha(SPLIT)} SELECT coalesce(lang, 'all') AS lang, count(*) FILTER (split = 'test')::BIGINT AS test, count(*) FILTER (split = 'train')::BIGINT AS train, count(*) FILTER (split = 'val')::BIGINT AS val, count(*)::BIGINT AS total FROM p GROUP BY ROLLUP (lang)")
+def d6(t: Tables) -> DataFrame:
+    counts = [F.count_if(F.col("split") == s).alias(s) for s in ("test", "train", "val")]
+    return splits(t).rollup("lang").agg(*counts, F.count("*").alias("total")).withColumn("lang", F.coalesce("lang", F.lit("all")))
+
+
+HOLD = """n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY sha1('s4' || conv_id::VARCHAR), conv_id, turn) AS n, ceil(count(*) OVER (PARTITION BY role) * 2 / 10) AS most FROM conversations),
+h AS (SELECT conv_id, turn, role FROM n WHERE n <= most)"""
+
+
+@query("d7_group_hold_out")
+def d7(t: Tables) -> DataFrame:
+    """A fifth of each class is held out by conversation; training keeps nothing of a held conversation."""
+    held, train = D.hold_out(t.conversations.select("conv_id", "turn", "role"), "role", "conv_id", 2, "s4")
+    return train.withColumn("split", F.lit("train")).unionByName(held.withColumn("split", F.lit("held")))
+
+
+@query(
+    "d8_variant_filter",
+    f"""WITH {Q}, s AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id, turn) AS n FROM q WHERE pool = 1), seeds AS (SELECT DISTINCT h FROM q WHERE pool = 0)
+SELECT conv_id, turn, CASE WHEN length(text) NOT BETWEEN 4 AND 120 THEN 'length' WHEN h IN (SELECT h FROM seeds) THEN 'seed' WHEN n > 1 THEN 'repeat' ELSE 'kept' END AS reason FROM s""",
+)
+def d8(t: Tables) -> DataFrame:
+    """Why a variant (an answer here) is dropped: length, equal to a seed, seen before."""
+    seeds = questions(t).where("pool = 0").select("h").distinct().withColumn("seed", F.lit(True))
+    variants = questions(t).where("pool = 1")
+    first = variants.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    rows = variants.join(first, "h").join(seeds, "h", "left")
+    repeat = F.struct("conv_id", "turn") != F.col("first")
+    reason = F.when(~F.length("text").between(4, 120), "length").when(F.col("seed"), "seed").when(repeat, "repeat").otherwise("kept")
+    return rows.select("conv_id", "turn", reason.alias("reason"))
+
+
+@query(
+    "d9_keywords",
+    "WITH w AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 5 AND x NOT IN ('there', 'which')))) AS k FROM benchmark) SELECT item_id, array_to_string(k, ',') AS keywords, len(k) >= 3 AS enough FROM w",
+)
+def d9(t: Tables) -> DataFrame:
+    """Words worth checking an answer for: five letters or more, no stop words, three at least."""
+    words = F.filter(X.tokens(F.col("text")), lambda w: (F.length(w) >= 5) & ~w.isin("there", "which"))
+    rows = t.benchmark.select("item_id", F.array_sort(F.array_distinct(words)).alias("k"))
+    return rows.select("item_id", F.array_join("k", ",").alias("keywords"), (F.size("k") >= 3).alias("enough"))
+
+
+GRAMS = "w AS (SELECT conv_id, role, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM conversations), g AS (SELECT DISTINCT conv_id, role, array_to_string(k[i:i + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(k) - 1, 1))) AS r(i) WHERE len(k) >= 3)"
+
+
+@query(
+    "d10_overlap",
+    f"WITH {GRAMS}, u AS (SELECT * FROM g WHERE role = 'user'), a AS (SELECT * FROM g WHERE role = 'assistant') SELECT u.conv_id, count(*)::BIGINT AS grams, count(a.g)::BIGINT AS shared, count(a.g) / count(*) <= 0.65 AS kept FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.g = u.g GROUP BY u.conv_id",
+)
+def d10(t: Tables) -> DataFrame:
+    """How much of a question stands in its source (questions and answers of a conversation here): word trigrams."""
+    w = t.conversations.select("conv_id", "role", X.tokens(F.col("text")).alias("k")).where("size(k) >= 3")
+    grams = w.select("conv_id", "role", F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 2), lambda i: F.array_join(F.slice("k", i, 3), " "))).alias("g")).distinct()
+    asked = grams.where("role = 'user'").select("conv_id", "g")
+    said = grams.where("role = 'assistant'").select("conv_id", "g", F.lit(1).alias("hit"))
+    rows = asked.join(said, ["conv_id", "g"], "left").groupBy("conv_id").agg(F.count("*").alias("grams"), F.count("hit").alias("shared"))
+    return rows.withColumn("kept", F.col("shared") / F.col("grams") <= 0.65)
+
+
+@query(
+    "d11_capped_sample",
+    f"""WITH {SECT}, c AS (SELECT doc_id, ord, sha256(doc_id::VARCHAR || '-' || ord::VARCHAR) AS h FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, ord) <= 3)
+SELECT doc_id, ord FROM c ORDER BY h, doc_id, ord LIMIT 200""",
+)
+def d11(t: Tables) -> DataFrame:
+    """200 chunks, three a document at most: both numbers are the caller's."""
+    h = F.sha2(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("ord").cast("string")), 256)
+    rows = sectioned(t).select("doc_id", "ord", h.alias("h"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "ord"))).where("n <= 3")
+    return rows.orderBy("h", "doc_id", "ord").limit(200).select("doc_id", "ord")
+
+
+@query("d12_quota_sample")
+def d12(t: Tables) -> DataFrame:
+    """60 chunks shared out over block types, rare types merged, two a document at most: the numbers are the caller's."""
+    rows = sectioned(t).select("doc_id", "ord", "block_type")
+    counts = rows.groupBy("block_type").agg(F.count("*").alias("c"))
+    kind = F.when(F.col("c") < 20, "other").otherwise(F.col("block_type"))
+    merged = rows.join(F.broadcast(counts), "block_type").select("doc_id", "ord", kind.alias("kind"))
+    capped = merged.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where("n <= 2").drop("n")
+    return D.stratified(capped.withColumn("key", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("ord").cast("string"))), "kind", "key", 60, "s5").drop("key")
+
+
+def _checkpoint(spark):
+    """Writes each round to the session's shared folder (a temporary one only where none is set)."""
+    import tempfile
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return lambda df: df.checkpoint()
+
+
+PAIR_LEAST = 0.3
+
+
+@query("d13_greedy_pairs")
+def d13(t: Tables) -> DataFrame:
+    return D.greedy_pairs(D.near_pairs(t.embeddings, "vec_id", "embedding", 64, PAIR_LEAST), _checkpoint(t.spark))
+
+
+@query("d14_seed_clusters")
+def d14(t: Tables) -> DataFrame:
+    """Every vector joins its best earlier neighbour, if that one is near enough and is itself nobody's follower."""
+    edges = D.near_pairs(t.embeddings, "vec_id", "embedding", 64, PAIR_LEAST)
+    follows = edges.groupBy(F.col("b").alias("vec_id")).agg(F.max(F.struct("score", (-F.col("a")).alias("m"))).alias("e"))
+    follows = follows.select("vec_id", (-F.col("e.m")).alias("seed"), "e.score")
+    seeds = t.embeddings.select(F.col("vec_id").alias("seed")).join(follows.select(F.col("vec_id").alias("seed")), "seed", "left_anti")
+    members = follows.join(seeds, "seed", "left_semi")
+    ranked = members.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where("n <= 2").select("seed", "vec_id", "score")
+
+
+@query(
+    "d15_templated_cases",
+    """SELECT 'brand' AS template, p_brand AS subject, 'Which parts are of ' || p_brand || '?' AS question, count(*)::BIGINT AS answers FROM part GROUP BY p_brand HAVING count(*) >= 2
+UNION ALL SELECT 'nation', n_name, 'Who supplies from ' || n_name || '?', count(s_suppkey)::BIGINT FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
+)
+def d15(t: Tables) -> DataFrame:
+    brands = t.part.groupBy("p_brand").agg(F.count("*").alias("answers")).where("answers >= 2")
+    brands = brands.select(F.lit("brand").alias("template"), F.col("p_brand").alias("subject"), F.format_string("Which parts are of %s?", "p_brand").alias("question"), "answers")
+    nations = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("answers"))
+    return brands.unionByName(nations.select(F.lit("nation").alias("template"), F.col("n_name").alias("subject"), F.format_string("Who supplies from %s?", "n_name").alias("question"), "answers"))
+
+
+@query(
+    "d16_three_turns",
+    f"""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, max(text) FILTER (n = 1) AS one, max(text) FILTER (n = 3) AS three FROM u GROUP BY conv_id)
+SELECT conv_id, contains({NORM.format('one')}, 'the') AND coalesce(regexp_matches(lower(three), '\\b(it|this|that|le|der)\\b'), false) AS good FROM p""",
+)
+def d16(t: Tables) -> DataFrame:
+    """The first question names its subject, the third one refers to it by a pronoun."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = t.conversations.where("role = 'user'").select("conv_id", "text", n.alias("n"))
+    p = asked.groupBy("conv_id").agg(F.max(F.when(F.col("n") == 1, F.col("text"))).alias("one"), F.max(F.when(F.col("n") == 3, F.col("text"))).alias("three"))
+    pronoun = F.coalesce(F.lower("three").rlike("\\b(it|this|that|le|der)\\b"), F.lit(False))
+    return p.select("conv_id", (F.contains(X.normalized(F.col("one")), F.lit("the")) & pronoun).alias("good"))

@@ -1 +1,330 @@
+"""Evaluation queries.
 
+Cases are the passages of `benchmark`: a document that holds the passage is the expected hit, its source the expected item.
+Runs, intents and verdicts come from `events`; gold labels from `labels`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.operators import evaluate as E
+from quarry.plans.base import Tables, query
+from quarry.plans.retrieval import BM25_CTE, bm25, expected_hits
+
+NORM = r"regexp_replace(lower(coalesce({0}, '')), '[\s　，。；：、（）【】「」『』《》〈〉“”‘’！？·—－–…,.;:()\[\]{{}}<>\"''`!?/\\|~@#$%^&*+=_-]+', '', 'g')"
+
+
+@query("e1_contains", f"SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE {NORM.format('b.text')} <> '' AND contains({NORM.format('d.text')}, {NORM.format('b.text')})")
+def e1(t: Tables) -> DataFrame:
+    """The passages ask all documents: normalised once on each side, then one nested loop of the stated passages."""
+    asked = t.benchmark.select("item_id", X.normalized(F.col("text")).alias("needle")).where("needle <> ''")
+    docs = t.documents.select("doc_id", X.normalized(F.col("text")).alias("hay"))
+    return docs.join(asked, F.contains(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
+
+
+WORDS = ["the", "license", "work", "nicht", "para", "avec", "idiot"]
+
+
+@query(
+    "e2_keyword_coverage",
+    f"SELECT doc_id, hit::BIGINT AS hit, {len(WORDS)}::BIGINT AS total, round(hit / {len(WORDS)}.0, 6) AS rate, array_to_string(miss, ',') AS missing FROM (SELECT doc_id, len(list_filter({WORDS}, lambda k: contains({NORM.format('text')}, k))) AS hit, list_filter({WORDS}, lambda k: NOT contains({NORM.format('text')}, k)) AS miss FROM documents)",
+)
+def e2(t: Tables) -> DataFrame:
+    words = F.array(*map(F.lit, WORDS))
+    rows = t.documents.select("doc_id", X.normalized(F.col("text")).alias("n"))
+    hits = F.filter(words, lambda k: F.contains(F.col("n"), k))
+    return rows.select("doc_id", F.size(hits).cast("long").alias("hit"), F.lit(len(WORDS)).cast("long").alias("total"), F.round(F.size(hits) / len(WORDS), 6).alias("rate"), F.array_join(F.array_except(words, hits), ",").alias("missing"))
+
+
+SCORE = f"""{BM25_CTE},
+ex AS (SELECT b.item_id AS case_id, d.doc_id AS key, d.source AS item, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
+rs AS (SELECT query_id AS case_id, bm.key, source AS item, rank FROM bm JOIN documents ON doc_id = bm.key WHERE rank <= 10),
+ca AS (SELECT item_id AS case_id FROM benchmark),
+ch AS (SELECT case_id, min(rank) AS hit_rank FROM rs JOIN ex USING (case_id, key) GROUP BY case_id),
+it AS (SELECT DISTINCT case_id FROM rs JOIN ex USING (case_id, item)),
+sco AS (SELECT ca.case_id, hit_rank IS NOT NULL AS chunk_hit, it.case_id IS NOT NULL AS item_hit, hit_rank FROM ca LEFT JOIN ch USING (case_id) LEFT JOIN it ON it.case_id = ca.case_id),
+la AS (SELECT case_id, min(lang) AS category FROM ex GROUP BY case_id),
+res AS (SELECT sco.*, coalesce(category, 'none') AS category FROM sco LEFT JOIN la USING (case_id))"""
+
+
+def scored(t: Tables) -> DataFrame:
+    """Every case with its retrieval score and, as its category, the language of the expected document (or none)."""
+    sources = t.documents.select(F.col("doc_id").alias("key"), F.col("source").alias("item"))
+    expected = expected_hits(t).withColumnRenamed("query_id", "case_id").join(sources, "key")
+    results = bm25(t, 10).select(F.col("query_id").alias("case_id"), "key", F.col("rank").cast("long").alias("rank")).join(sources, "key")
+    cases = t.benchmark.select(F.col("item_id").alias("case_id"))
+    category = expected.groupBy("case_id").agg(F.min("lang").alias("category"))
+    score = E.retrieval_score(cases, expected.select("case_id", "key", "item"), results)
+    return score.join(category, "case_id", "left").withColumn("category", F.coalesce("category", F.lit("none")))
+
+
+@query("e3_retrieval_score", f"WITH {SCORE} SELECT case_id, chunk_hit, item_hit, hit_rank FROM res")
+def e3(t: Tables) -> DataFrame:
+    return scored(t).select("case_id", "chunk_hit", "item_hit", "hit_rank")
+
+
+@query("e4_refusals", f"SELECT conv_id, turn, regexp_matches(text, '{'|'.join(X.REFUSALS)}|nothing|nicht|aucun') AS refuses FROM conversations")
+def e4(t: Tables) -> DataFrame:
+    """The fixed markers, and a table of markers for other languages."""
+    return t.conversations.select("conv_id", "turn", (X.refuses(F.col("text")) | F.col("text").rlike("nothing|nicht|aucun")).alias("refuses"))
+
+
+@query("e5_cross_lingual", "SELECT doc_id, round((length(text) - length(regexp_replace(text, '[à-ÿ]', '', 'g'))) / length(text), 6) > 0.03 AND contains(text, 'the') AS crossed FROM documents WHERE length(text) > 0")
+def e5(t: Tables) -> DataFrame:
+    share = F.round(X.count_of(F.col("text"), "[à-ÿ]") / F.length("text"), 6)
+    return t.documents.where("length(text) > 0").select("doc_id", ((share > 0.03) & F.contains(F.col("text"), F.lit("the"))).alias("crossed"))
+
+
+@query(
+    "e6_title_citation",
+    f"""WITH ti AS (SELECT doc_id, left({NORM.format("string_split(text, chr(10))[1]")}, 8) AS p FROM documents),
+tt AS (SELECT p, min(doc_id) AS cited FROM ti WHERE length(p) = 8 GROUP BY p),
+an AS (SELECT conv_id, turn, {NORM.format('text')} AS n FROM conversations WHERE role = 'assistant'),
+gr AS (SELECT conv_id, turn, i, substr(n, i, 8) AS p FROM an, unnest(range(1, greatest(length(n) - 6, 1))) AS r(i) WHERE length(n) >= 8)
+SELECT conv_id, turn, min_by(cited, (i, cited)) AS cited FROM gr JOIN tt USING (p) GROUP BY ALL""",
+)
+def e6(t: Tables) -> DataFrame:
+    """The first title whose 8-letter prefix an answer holds: the answers' 8-grams join the prefixes."""
+    prefix = F.left(X.normalized(X.first_line(F.col("text"))), F.lit(8))
+    titles = t.documents.select("doc_id", prefix.alias("p")).where("length(p) = 8").groupBy("p").agg(F.min("doc_id").alias("cited"))
+    said = t.conversations.where("role = 'assistant'").select("conv_id", "turn", X.normalized(F.col("text")).alias("n")).where("length(n) >= 8")
+    grams = said.select("conv_id", "turn", "n", F.explode(F.sequence(F.lit(1), F.length("n") - 7)).alias("i")).select("conv_id", "turn", "i", F.expr("substring(n, i, 8)").alias("p"))
+    return grams.join(titles, "p").groupBy("conv_id", "turn").agg(F.min_by("cited", F.struct("i", "cited")).alias("cited"))
+
+
+VERDICT = "CASE category WHEN 'none' THEN NOT item_hit WHEN 'en' THEN chunk_hit ELSE chunk_hit OR item_hit END"
+
+
+@query("e7_case_verdict", f"WITH {SCORE} SELECT case_id, category, {VERDICT} AS passed, category = 'fr' AND hit_rank IS NULL AS unjudged FROM res")
+def e7(t: Tables) -> DataFrame:
+    """Categories have rules of their own: nothing to find, the exact chunk, or chunk or item."""
+    passed = F.when(F.col("category") == "none", ~F.col("item_hit")).when(F.col("category") == "en", F.col("chunk_hit")).otherwise(F.col("chunk_hit") | F.col("item_hit"))
+    return scored(t).select("case_id", "category", passed.alias("passed"), ((F.col("category") == "fr") & F.col("hit_rank").isNull()).alias("unjudged"))
+
+
+RUN = """run AS (SELECT event_id, ts, event_type AS category, user_id, strftime(ts, '%Y-%m-%d') AS run, value > 40 AS passed, value < 2 AS unjudged, value * 10 AS latency_ms,
+  CASE WHEN event_type = 'error' THEN NULL ELSE (user_id % 3 > 0) END AS intent_ok, CASE WHEN value < 90 THEN floor(value / 10) + 1 END AS hit_rank FROM events)"""
+
+
+def runs(t: Tables) -> DataFrame:
+    """Results of evaluation runs, one run a day."""
+    v = F.col("value")
+    return t.events.select(
+        "event_id", "ts", F.col("event_type").alias("category"), "user_id", F.date_format("ts", "yyyy-MM-dd").alias("run"), (v > 40).alias("passed"), (v < 2).alias("unjudged"), (v * 10).alias("latency_ms"),
+        F.when(F.col("event_type") != "error", F.col("user_id") % 3 > 0).alias("intent_ok"), F.when(v < 90, F.floor(v / 10) + 1).alias("hit_rank"),
+    )
+
+
+def share(condition):
+    return F.round(F.avg(F.when(condition, 1.0).otherwise(0.0)), 6)
+
+
+@query(
+    "e8_run_summary",
+    f"""WITH {RUN} SELECT run, count(*)::BIGINT AS total, round(avg(CASE WHEN unjudged THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate_judged,
+  round(avg(CASE WHEN intent_ok THEN 1.0 WHEN NOT intent_ok THEN 0.0 END), 6) AS intent_accuracy, round(avg(CASE WHEN hit_rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(median(latency_ms), 6) AS median_ms FROM run GROUP BY run""",
+)
+def e8(t: Tables) -> DataFrame:
+    judged = F.when(~F.col("unjudged"), F.when(F.col("passed"), 1.0).otherwise(0.0))
+    return runs(t).groupBy("run").agg(
+        F.count("*").alias("total"), F.round(F.avg(judged), 6).alias("pass_rate_judged"), F.round(F.avg(F.when(F.col("intent_ok"), 1.0).when(~F.col("intent_ok"), 0.0)), 6).alias("intent_accuracy"),
+        share(F.col("hit_rank").isNotNull()).alias("hit_rate"), F.round(F.median("latency_ms"), 6).alias("median_ms"),
+    )
+
+
+@query(
+    "e9_category_report",
+    f"WITH {SCORE} SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS n, round(avg(CASE WHEN item_hit THEN 1.0 ELSE 0.0 END), 6) AS recall, round(sum(coalesce(1.0::DOUBLE / hit_rank, 0)) / count(*), 6) AS mrr FROM res GROUP BY ROLLUP (category)",
+)
+def e9(t: Tables) -> DataFrame:
+    mrr = F.round(F.sum(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))) / F.count("*"), 6)
+    return scored(t).rollup("category").agg(F.count("*").alias("n"), share(F.col("item_hit")).alias("recall"), mrr.alias("mrr")).withColumn("category", F.coalesce("category", F.lit("all")))
+
+
+@query(
+    "e10_category_end_to_end",
+    f"""WITH {RUN} SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS n, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate_all,
+  round(avg(CASE WHEN unjudged THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate_judged FROM run GROUP BY ROLLUP (category)""",
+)
+def e10(t: Tables) -> DataFrame:
+    """Two pass rates: over all rows, and over the judged ones."""
+    judged = F.when(~F.col("unjudged"), F.when(F.col("passed"), 1.0).otherwise(0.0))
+    out = runs(t).rollup("category").agg(F.count("*").alias("n"), share(F.col("passed")).alias("pass_rate_all"), F.round(F.avg(judged), 6).alias("pass_rate_judged"))
+    return out.withColumn("category", F.coalesce("category", F.lit("all")))
+
+
+@query(
+    "e11_failure_reasons",
+    f"WITH {RUN} SELECT event_id, concat_ws('；', CASE WHEN category = 'error' THEN 'error' END, CASE WHEN hit_rank IS NULL THEN 'not found' END, CASE WHEN NOT intent_ok THEN 'intent' END) AS reasons FROM run WHERE NOT passed",
+)
+def e11(t: Tables) -> DataFrame:
+    reasons = F.concat_ws("；", F.when(F.col("category") == "error", "error"), F.when(F.col("hit_rank").isNull(), "not found"), F.when(~F.col("intent_ok"), "intent"))
+    return runs(t).where("not passed").select("event_id", reasons.alias("reasons"))
+
+
+@query("e12_rescore", "SELECT c.conv_id, c.turn, l.quality = 1 AND length(c.text) >= 100 AS passed, l.doc_id IS NULL AS unmatched FROM conversations c LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = c.conv_id WHERE role = 'assistant'")
+def e12(t: Tables) -> DataFrame:
+    """Stored answers under new rules; answers without a case are counted, not judged."""
+    cases = t.labels.select(F.col("doc_id").alias("conv_id"), "quality").distinct().withColumn("case", F.lit(1))
+    joined = t.conversations.where("role = 'assistant'").join(cases, "conv_id", "left")
+    return joined.select("conv_id", "turn", ((F.col("quality") == 1) & (F.length("text") >= 100)).alias("passed"), F.col("case").isNull().alias("unmatched"))
+
+
+@query(
+    "e13_trend",
+    f"""WITH {RUN}, r AS (SELECT run, round(avg(CASE WHEN unjudged THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM run GROUP BY run)
+SELECT run, pass_rate, round(pass_rate - lag(pass_rate) OVER (ORDER BY run), 6) AS delta FROM r""",
+)
+def e13(t: Tables) -> DataFrame:
+    judged = F.when(~F.col("unjudged"), F.when(F.col("passed"), 1.0).otherwise(0.0))
+    rates = runs(t).groupBy("run").agg(F.round(F.avg(judged), 6).alias("pass_rate"))  # one row a run
+    return rates.withColumn("delta", F.round(F.col("pass_rate") - F.lag("pass_rate").over(Window.orderBy("run")), 6))
+
+
+GATE = "g AS (SELECT doc_id, ((doc_id * 7919) % 1000) / 1000.0 AS score, quality = 1 AS answerable FROM labels)"
+
+
+def gates(t: Tables) -> DataFrame:
+    return t.labels.select("doc_id", "quality", ((F.col("doc_id") * 7919) % 1000 / 1000).alias("score"), (F.col("quality") == 1).alias("answerable"))
+
+
+@query(
+    "e14_threshold_sweep",
+    f"""WITH {GATE}, c AS (SELECT i / 100.0::DOUBLE AS cut FROM range(0, 101) AS r(i)),
+s AS (SELECT cut, round(avg(CASE WHEN score >= cut THEN 1.0 ELSE 0.0 END) FILTER (answerable), 4) AS pass_rate, round(avg(CASE WHEN score < cut THEN 1.0 ELSE 0.0 END) FILTER (NOT answerable), 4) AS reject_rate FROM g, c GROUP BY cut)
+SELECT *, round(pass_rate + reject_rate - 1, 4) AS youden FROM s""",
+)
+def e14(t: Tables) -> DataFrame:
+    return E.sweep(gates(t), "score", "answerable")
+
+
+@query(
+    "e15_gate_calibration",
+    f"WITH {GATE}, l AS (SELECT answerable, list_sort(list(score::DOUBLE)) AS v, count(*) AS n FROM g GROUP BY answerable) SELECT answerable, n::BIGINT AS n, v[1] AS least, v[(least(n - 1, floor(n * 0.1)) + 1)::BIGINT] AS p10, v[(least(n - 1, floor(n * 0.5)) + 1)::BIGINT] AS p50, v[n] AS most FROM l",
+)
+def e15(t: Tables) -> DataFrame:
+    return E.index_quantiles(gates(t), ["answerable"], "score", {"p10": 0.1, "p50": 0.5}, least="least", most="most")
+
+
+PRED = "p AS (SELECT event_type AS gold, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pred FROM events)"
+
+
+def predictions(t: Tables) -> DataFrame:
+    """The type of an event, predicted to be that of the user's event before."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t.events.select(F.col("event_type").alias("gold"), before.alias("pred"))
+
+
+@query(
+    "e16_class_report",
+    f"""WITH {PRED}, a AS (SELECT gold AS class, count(*) AS support, count(*) FILTER (gold = pred) AS correct FROM p GROUP BY gold), b AS (SELECT pred AS class, count(*) AS predicted FROM p WHERE pred IS NOT NULL GROUP BY pred)
+SELECT class, support::BIGINT AS support, coalesce(predicted, 0)::BIGINT AS predicted, correct::BIGINT AS correct, round(correct / predicted, 6) AS precision, round(correct / support, 6) AS recall, round(2 * correct / (support + predicted), 6) AS f1 FROM a LEFT JOIN b USING (class)""",
+)
+def e16(t: Tables) -> DataFrame:
+    return E.class_report(predictions(t), "gold", "pred")
+
+
+@query(
+    "e17_parse_label",
+    "SELECT event_id, CASE WHEN value < 50 THEN event_type WHEN event_type IN ('view', 'click') THEN event_type ELSE 'unparsed' END AS label FROM events",
+)
+def e17(t: Tables) -> DataFrame:
+    """Model output: a thought to be dropped, then JSON or a sentence; labels outside the list do not parse."""
+    thought = F.lit("<think>purchase?\n</think>")
+    said = F.when(F.col("value") < 50, F.concat(thought, F.lit('{"intent": "'), F.col("event_type"), F.lit('"}'))).otherwise(F.concat(thought, F.lit("It is a "), F.col("event_type")))
+    clean = F.regexp_replace("said", "(?s)<think>.*?</think>", "")
+    by_key = F.nullif(F.get_json_object("clean", "$.intent"), F.lit(""))
+    by_word = F.nullif(F.regexp_extract("clean", "\\b(view|click)\\b", 1), F.lit(""))
+    rows = t.events.select("event_id", said.alias("said")).withColumn("clean", clean)
+    return rows.select("event_id", F.coalesce(F.when(F.startswith(F.col("clean"), F.lit("{")), by_key), by_word, F.lit("unparsed")).alias("label"))
+
+
+@query("e18_judge_rollup", "SELECT coalesce(lang, 'all') AS category, count(*)::BIGINT AS n, sum(quality)::BIGINT AS ok, sum(toxic)::BIGINT AS fabricated, round(avg(quality), 6) AS ok_rate FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
+def e18(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
+    out = rows.rollup("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("ok"), F.sum("toxic").alias("fabricated"), F.round(F.avg("quality"), 6).alias("ok_rate"))
+    return out.select(F.coalesce("lang", F.lit("all")).alias("category"), "n", "ok", "fabricated", "ok_rate")
+
+
+TOOLS = "t AS (SELECT user_id, list_sort(list(event_type)) AS called, list_sort(list(DISTINCT event_type)) AS kinds FROM events WHERE value > 60 GROUP BY user_id)"
+
+
+def tools(t: Tables) -> DataFrame:
+    """Per user: the number of calls and the set of types called (of which there are a handful)."""
+    return t.events.where("value > 60").groupBy("user_id").agg(F.count("*").alias("calls"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+
+
+@query(
+    "e19_tool_path",
+    f"WITH {TOOLS} SELECT user_id, called = ['click', 'view'] AS exact, list_has_any(kinds, ['view', 'click']) AND list_has_any(kinds, ['purchase', 'signup']) AS groups_met, list_has_all(['click', 'view', 'purchase'], kinds) AS subset FROM t",
+)
+def e19(t: Tables) -> DataFrame:
+    lit = lambda *x: F.array(*map(F.lit, x))
+    k = F.col("kinds")
+    groups = F.arrays_overlap(k, lit("view", "click")) & F.arrays_overlap(k, lit("purchase", "signup"))
+    return tools(t).select("user_id", ((F.col("calls") == 2) & (k == lit("click", "view"))).alias("exact"), groups.alias("groups_met"), (F.size(F.array_except(k, lit("click", "view", "purchase"))) == 0).alias("subset"))
+
+
+@query("e20_set_recall", f"WITH {TOOLS} SELECT user_id, round(len(list_intersect(kinds, ['click', 'view', 'error'])) / 3.0, 6) AS recall FROM t")
+def e20(t: Tables) -> DataFrame:
+    wanted = F.array(*map(F.lit, ("click", "view", "error")))
+    return tools(t).select("user_id", F.round(F.size(F.array_intersect("kinds", wanted)) / F.lit(3.0), 6).alias("recall"))
+
+
+@query("e21_figure_questions", "SELECT page_id, contains(string_split(url, '/')[-1], '1') AS image_hit, (contains(html, 'the')::INT + contains(html, 'nicht')::INT) / 2.0 >= 0.5 AS keywords_ok FROM pages")
+def e21(t: Tables) -> DataFrame:
+    """The base name of the image and at least half of the keywords."""
+    rate = (F.contains(F.col("html"), F.lit("the")).cast("int") + F.contains(F.col("html"), F.lit("nicht")).cast("int")) / 2
+    return t.pages.select("page_id", F.contains(F.substring_index("url", "/", -1), F.lit("1")).alias("image_hit"), (rate >= 0.5).alias("keywords_ok"))
+
+
+@query(
+    "e22_lint",
+    """SELECT doc_id, 'short' AS rule FROM documents WHERE n_chars < 50 UNION ALL SELECT doc_id, 'no_sentence' FROM documents WHERE NOT contains(text, '.')
+UNION ALL SELECT doc_id, 'length' FROM documents WHERE length(text) <> n_chars UNION ALL SELECT min(doc_id), 'repeated' FROM documents GROUP BY text HAVING count(*) > 1""",
+)
+def e22(t: Tables) -> DataFrame:
+    """One row for each broken rule: rules of a row as an array of messages, rules of the whole set as aggregations."""
+    rules = {"short": F.col("n_chars") < 50, "no_sentence": ~F.contains(F.col("text"), F.lit(".")), "length": F.length("text") != F.col("n_chars")}
+    rows = t.documents.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))).alias("rule"))
+    repeated = t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1")
+    return rows.unionByName(repeated.select("doc_id", F.lit("repeated").alias("rule")))
+
+
+@query(
+    "e23_load_report",
+    """WITH l AS (SELECT event_type AS level, count(*) AS n, count(*) FILTER (value < 5) AS errors, list_sort(list(value)) AS v, round(avg(value), 6) AS mean, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY event_type)
+SELECT level, n::BIGINT AS n, errors::BIGINT AS errors, v[(least(n - 1, floor(n * 0.5)) + 1)::BIGINT] AS p50, v[(least(n - 1, floor(n * 0.9)) + 1)::BIGINT] AS p90, mean, round(n / (us / 1000000.0), 6) AS per_second FROM l""",
+)
+def e23(t: Tables) -> DataFrame:
+    e = t.events.withColumnRenamed("event_type", "level")
+    q = E.index_quantiles(e, ["level"], "value", {"p50": 0.5, "p90": 0.9}).drop("n")
+    us = F.expr("max(unix_micros(cast(ts as timestamp))) - min(unix_micros(cast(ts as timestamp)))")
+    base = e.groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 5).alias("errors"), F.round(F.avg("value"), 6).alias("mean"), us.alias("us"))
+    return base.join(q, "level").select("level", "n", "errors", "p50", "p90", "mean", F.round(F.col("n") / (F.col("us") / F.lit(1000000.0)), 6).alias("per_second"))
+
+
+@query("e24_case_selection", "WITH c AS (SELECT conv_id, min(role) FILTER (turn = 0) AS opening, count(*) FILTER (role = 'user') > 1 AS skipped FROM conversations GROUP BY conv_id) SELECT conv_id, skipped FROM c WHERE opening = 'user' ORDER BY conv_id LIMIT 50")
+def e24(t: Tables) -> DataFrame:
+    """The first 50 cases of the wanted kind: the number is the caller's. Cases of several turns are marked as skipped."""
+    cases = t.conversations.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("role"))).alias("opening"), (F.count_if(F.col("role") == "user") > 1).alias("skipped"))
+    return cases.where("opening = 'user'").orderBy("conv_id").limit(50).select("conv_id", "skipped")
+
+
+@query(
+    "e25_intent_correctness",
+    "SELECT event_id, CASE WHEN value >= 5 AND event_type <> 'error' THEN (CASE WHEN event_type IN ('view', 'click') THEN 'browse' ELSE 'act' END) = (CASE WHEN user_id % 4 > 0 THEN 'browse' ELSE 'act' END) END AS intent_ok FROM events",
+)
+def e25(t: Tables) -> DataFrame:
+    expected = t.spark.createDataFrame([("view", "browse"), ("click", "browse"), ("purchase", "act"), ("signup", "act")], "event_type string, expected string")  # a fixed table
+    got = F.when(F.col("value") >= 5, F.when(F.col("user_id") % 4 > 0, "browse").otherwise("act"))
+    rows = t.events.join(F.broadcast(expected), "event_type", "left").withColumn("got", got)
+    return rows.select("event_id", F.when(F.col("expected").isNotNull() & F.col("got").isNotNull(), F.col("expected") == F.col("got")).alias("intent_ok"))
+
+
+@query("e26_case_question", "SELECT conv_id, max_by(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY conv_id")
+def e26(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("question"))

@@ -1 +1,151 @@
+"""Queries of sources and sinks. Files that they read are first written from the tables, to the session's shared folder."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.plans.base import Tables, query
+from quarry.sources import files as S
+
+
+def scratch(t: Tables, name: str) -> str:
+    """A new path under spark.checkpoint.dir, or under a temporary folder where that is not set (as in tests)."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("s1_read_jsonl", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def s1(t: Tables) -> DataFrame:
+    path = scratch(t, "s1")
+    t.documents.write.json(path)
+    return S.read_jsonl(t.spark, path, DOC).select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("s2_read_jsonl_tolerant", "SELECT event_id FROM events WHERE event_type <> 'error'")
+def s2(t: Tables) -> DataFrame:
+    """Lines that are cut off (those of errors here) do not count."""
+    path = scratch(t, "s2")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    t.events.select(F.when(F.col("event_type") == "error", F.left(line, F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
+    return S.read_jsonl(t.spark, path, "event_id long, event_type string", tolerant=True).select("event_id")
+
+
+@query("s3_read_csv", "SELECT p_partkey, p_name, p_brand FROM part")
+def s3(t: Tables) -> DataFrame:
+    path = scratch(t, "s3")
+    S.write_csv(t.part.select("p_partkey", "p_name", "p_brand"), path)
+    return S.read_csv(t.spark, path, "p_partkey long, p_name string, p_brand string")
+
+
+@query("s4_first_existing", "SELECT count(*)::BIGINT AS n FROM documents")
+def s4(t: Tables) -> DataFrame:
+    found = S.first_existing(t.spark, [f"{t.sf_dir}/documents_v9.parquet", f"{t.sf_dir}/documents.parquet"])
+    return t.spark.read.parquet(found).agg(F.count("*").alias("n"))
+
+
+@query("s5_read_json_array", "SELECT conv_id, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id")
+def s5(t: Tables) -> DataFrame:
+    """A file for each conversation bucket that holds one JSON array."""
+    path = scratch(t, "s5")
+    rows = t.conversations.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn"))).alias("value"))
+    rows.select("value").write.text(path)
+    flat = t.spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<conv_id:long,turn:long>>")).alias("x"))
+    return flat.groupBy("x.conv_id").agg(F.count("*").alias("turns"))
+
+
+@query("s6_newest_files", "SELECT event_type AS variant, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def s6(t: Tables) -> DataFrame:
+    """Result files of several runs; of each variant the newest file counts."""
+    path = scratch(t, "s6")
+    kinds = t.events.select("event_id", F.col("event_type").alias("kind")).repartition("kind")
+    kinds.write.partitionBy("kind").parquet(path)
+    read = S.with_file(t.spark.read.parquet(path))
+    latest = read.groupBy("kind").agg(F.count("*").alias("n"), F.max("modified").alias("m"))
+    return latest.select(F.col("kind").alias("variant"), "n")
+
+
+@query("s7_export_vectors", "SELECT vec_id, label, len(embedding)::BIGINT AS width FROM embeddings")
+def s7(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", "label", F.size("embedding").cast("long").alias("width"))
+
+
+@query("s8_split_by_type", "SELECT CASE WHEN lang = 'en' THEN 'child' ELSE 'parent' END AS chunk_type, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+def s8(t: Tables) -> DataFrame:
+    docs = t.documents
+    child, parent = docs.where("lang = 'en'"), docs.where("not (lang <=> 'en')")
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("chunk_type"), "n")
+    return one(child, "child").unionByName(one(parent, "parent"))
+
+
+@query("s9_versioned_table", "SELECT 2 AS version, count(*)::BIGINT AS n FROM documents")
+def s9(t: Tables) -> DataFrame:
+    """Two commits of a versioned table; readers see the second one."""
+    from quarry.operators.sync import VersionedTable
+
+    table = VersionedTable(t.spark, scratch(t, "s9"))
+    table.commit(t.documents.where("lang = 'en'").select("doc_id"))
+    table.commit(t.documents.select("doc_id"))
+    return table.read().agg(F.count("*").alias("n")).select(F.lit(table.version()).alias("version"), "n")
+
+
+@query("s10_append_resumable", "SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids FROM documents")
+def s10(t: Tables) -> DataFrame:
+    """A first run that got through part of the rows, and a second one that adds the rest."""
+    path = scratch(t, "s10")
+    rows = t.documents.select("doc_id", "lang")
+    S.append_new(rows.where("lang = 'en'"), path, "doc_id", "doc_id long, lang string")
+    S.append_new(rows, path, "doc_id", "doc_id long, lang string")
+    return S.read_jsonl(t.spark, path, "doc_id long, lang string").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
+
+
+@query("s11_archive_by_month", "SELECT strftime(ts, '%Y-%m') AS month, count(*)::BIGINT AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def s11(t: Tables) -> DataFrame:
+    path = scratch(t, "s11")
+    S.archive(t.events.select("event_id", "ts"), "ts", F.lit("2024-01-20").cast("timestamp_ntz"), path)
+    return t.spark.read.schema("event_id long, month string").json(path).groupBy("month").agg(F.count("*").alias("n"))
+
+
+@query("s12_write_csv", "SELECT doc_id, lang FROM documents")
+def s12(t: Tables) -> DataFrame:
+    path = scratch(t, "s12")
+    S.write_csv(t.documents.select("doc_id", "lang"), path)
+    return S.read_csv(t.spark, path, "doc_id long, lang string")
+
+
+@query(
+    "s13_chat_export",
+    """WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER w AS question, lag(role) OVER w AS before, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, md5(answer) AS answer_md5, md5(question) AS question_md5 FROM p WHERE role = 'assistant' AND before = 'user'""",
+)
+def s13(t: Tables) -> DataFrame:
+    """Question and answer pairs as chat examples, written as text and read back."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = t.conversations.withColumn("question", F.lag("text").over(w)).withColumn("before", F.lag("role").over(w)).where("role = 'assistant' and before = 'user'")
+    path = scratch(t, "s13")
+    line = S.chat_line("Answer from the library.", F.col("question"), F.col("text"))
+    pairs.select(F.to_json(F.struct("conv_id", "turn", line.alias("line"))).alias("value")).write.text(path)
+    back = S.read_jsonl(t.spark, path, "conv_id long, turn long, line string")
+    m = F.from_json("line", "messages array<struct<role:string,content:string>>")["messages"]
+    return back.select("conv_id", "turn", F.md5(m[2]["content"]).alias("answer_md5"), F.md5(m[1]["content"]).alias("question_md5"))
+
+
+@query("s15_file_hashes", "SELECT count(DISTINCT md5(html))::BIGINT AS files FROM pages")
+def s15(t: Tables) -> DataFrame:
+    """Every table file is hashed whole; the pages are hashed by content."""
+    hashed = t.pages.select(F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return hashed.agg(F.countDistinct("sha256").alias("files"))
+
+
+@query("s16_cases_by_id", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'documents' ELSE 'labels' END AS origin FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def s16(t: Tables) -> DataFrame:
+    first = t.documents.select("doc_id", F.lit("documents").alias("origin"))
+    return S.cases_by_id([first, t.labels.select("doc_id", F.lit("labels").alias("origin"))], "doc_id")

@@ -1 +1,117 @@
+"""Stream queries over `events`: each one runs until all files are read and equals its batch twin.
 
+The table's file is read as a stream of its folder; windows that the watermark has not closed are flushed by a late marker.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.plans.base import Tables, query
+from quarry.plans.scans import scratch
+from quarry.streaming import events as T
+
+#: Later than all events, so that the watermark passes every window; dropped from results.
+MARKER = "2100-01-01 00:00:00"
+
+
+def stream(t: Tables, *, twice: bool = False) -> DataFrame:
+    """The events as a stream of files, in event order, and a marker row at the end."""
+    path = scratch(t, "events")
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    if twice:
+        rows = rows.unionByName(rows)
+    rows.write.parquet(f"{path}/a")
+    marker = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(MARKER).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("marker").alias("event_type"), F.lit(0.0).alias("value"))
+    marker.write.parquet(f"{path}/b")
+    source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("latestFirst", False)
+    return source.parquet(path)
+
+
+def done(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    return T.run_to_table(df, scratch(t, name), scratch(t, name + "-state"))
+
+
+@query("t1_envelope", "SELECT event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS token FROM events WHERE event_type <> 'signup'")
+def t1(t: Tables) -> DataFrame:
+    """Events as JSON lines, the token in one of three places; signups have none and drop out."""
+    path = scratch(t, "raw")
+    user = F.col("user_id").cast("string")
+    file = F.when(F.col("event_type") == "view", F.struct(user.alias("token")))
+    inner = F.when(F.col("event_type") == "click", F.struct(user.alias("file_token")))
+    plain = F.when(F.col("event_type").isin("purchase", "error"), user)
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("ts").cast("string").alias("ts"), plain.alias("token"), file.alias("file"), inner.alias("object")))
+    t.events.select(line.alias("value")).write.text(path)
+    raw = t.spark.readStream.schema("value string").text(path)
+    return done(t, T.envelope(raw), "t1").select("event_id", "event_type", "token")
+
+
+@query("t2_dedup_events", "SELECT event_id, event_type FROM events")
+def t2(t: Tables) -> DataFrame:
+    """Every event arrives twice and is kept once."""
+    return done(t, T.once(stream(t, twice=True)).select("event_id", "event_type"), "t2").where("event_id >= 0")
+
+
+@query("t3_route", "SELECT CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type IN ('purchase', 'signup') THEN 'change' ELSE 'other' END AS route, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def t3(t: Tables) -> DataFrame:
+    routed = done(t, stream(t).where("event_id >= 0").select(T.route().alias("route")), "t3")
+    return routed.groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("t4_debounce", "SELECT user_id, epoch_us(time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND) AS due_us, count(*)::BIGINT AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY ALL")
+def t4(t: Tables) -> DataFrame:
+    changes = stream(t).withWatermark("ts", T.LATE).where("event_type in ('purchase', 'signup', 'marker')")
+    jobs = T.debounced(changes, "user_id", "ts", 60).select("user_id", F.unix_micros("due").alias("due_us"), "n")
+    return done(t, jobs, "t4").where("user_id >= 0")
+
+
+@query("t5_apply_to_ledger", "SELECT user_id, CASE WHEN max_by(event_type, (ts, event_id)) = 'error' THEN 'soft_deleted' ELSE 'active' END AS status FROM events GROUP BY user_id")
+def t5(t: Tables) -> DataFrame:
+    """Micro-batches change a versioned ledger; the batch id stands in the rows, so a batch that comes again changes nothing."""
+    from quarry.operators.sync import VersionedTable
+
+    ledger = VersionedTable(t.spark, scratch(t, "ledger"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        old = ledger.read() if ledger.version() else batch.sparkSession.createDataFrame([], "user_id long, ts timestamp, event_id long, event_type string, batch long")
+        if old.where(F.col("batch") == batch_id).limit(1).count():
+            return
+        rows = old.unionByName(batch.where("event_id >= 0").select("user_id", "ts", "event_id", "event_type", F.lit(batch_id).cast("long").alias("batch")))
+        last = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "batch")).alias("m")).select("user_id", "m.*")
+        ledger.commit(last.select("user_id", "ts", "event_id", "event_type", "batch"))
+
+    T.apply_batches(stream(t), apply, scratch(t, "ledger-state"))
+    return ledger.read().select("user_id", F.when(F.col("event_type") == "error", "soft_deleted").otherwise("active").alias("status"))
+
+
+@query("t6_reconcile", "SELECT user_id, max(event_id) AS last_event, count(*)::BIGINT AS n FROM events GROUP BY user_id")
+def t6(t: Tables) -> DataFrame:
+    """A scheduled pass over what has arrived since the last one, merged into the totals."""
+    part = done(t, stream(t).where("event_id >= 0").select("user_id", "event_id"), "t6")
+    return part.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
+
+
+@query("t7_anchored_windows")
+def t7(t: Tables) -> DataFrame:
+    rows = stream(t).where("event_id >= 0").select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    return done(t, T.anchored(rows, "user_id", 3600, 3), "t7")
+
+
+@query(
+    "t8_rolling_metrics",
+    "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*)::BIGINT AS requests, count(*) FILTER (event_type = 'error')::BIGINT AS errors, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+)
+def t8(t: Tables) -> DataFrame:
+    out = done(t, T.metrics(stream(t), "ts", "event_type", "value", "1 hour"), "t8").where("event_type <> 'marker'")
+    return out.select("start_us", "event_type", "requests", "errors", F.round(F.col("total") / F.col("requests"), 6).alias("mean"))
+
+
+@query(
+    "t9_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*)::BIGINT AS n FROM s GROUP BY user_id, no""",
+)
+def t9(t: Tables) -> DataFrame:
+    return done(t, T.sessions(stream(t), "ts", "user_id", "30 minutes"), "t9").where("user_id >= 0")
