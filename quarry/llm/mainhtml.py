@@ -7,7 +7,7 @@ Every DOM node gets a link-adjusted number of characters per tag,
 with C its characters, T its tags, LC and LT those in links (0 counts as 1). A node's density sum adds up its children's
 densities; the node with the largest sum is the centre of the article. The smallest density on its path to the body is the
 threshold: beside the centre's article (or the centre itself), other subtrees that reach it are kept as well where the page
-marks no article. Elements that are never article text by their tag, role, class or id are left out beforehand.
+marks no article, and so are headings and short prose in the elements around the centre. Elements that are never article text by their tag, role, class or id are left out beforehand.
 
 Defined results: null, empty and wordless pages give the empty string; unclosed tags, comments and quotes run to the end of the
 page; repeated rows are extracted row by row; other columns of the input are ignored.
@@ -50,6 +50,8 @@ MARKS = frozenset(
 )
 #: Words that make a header part of the article.
 OWN = frozenset("article entry post story content page title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 NEVER_MARKED = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
@@ -236,7 +238,12 @@ def main_text(page: str | None) -> str:
     if article is not None:
         return "\n".join(_blocks(article, None))
     threshold = min(n.density for n in path)
-    beside = {id(n) for n in nodes if n.tag in BLOCKS and n not in path and n.density >= threshold} | {id(centre)}
+    on_path = set(map(id, path))
+    beside = {id(n) for n in nodes if n.tag in BLOCKS and id(n) not in on_path and n.density >= threshold} | {id(centre)}
+    for node in path[1:]:  # short blocks around the centre: prose in its wrappers, headings up to the body
+        for child in node.parts:
+            if isinstance(child, Node) and child.link_chars * 2 <= child.chars and (child.tag in HEADINGS or (child.tag in PROSE and node is not path[-1])):
+                beside.add(id(child))
     return "\n".join(_blocks(path[-1], beside))
 
 
