@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, langid, mainhtml, minhash, quality, substring, suffixdedup, topk
+from quarry.llm import bpe, chat, decontaminate, langid, mainhtml, minhash, quality, substring, suffixdedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_preferences": chat.op2_preferences,
     "op3_minhash": minhash.op3_minhash,
     "op4_html": mainhtml.op4_html,
     "op5_topk": topk.op5_topk,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_preferences": chat.OP2_SQL,
     "op3_minhash": minhash.OP3_SQL,
     "op5_topk": topk.OP5_SQL,
     "op7_substring": substring.OP7_SQL,
