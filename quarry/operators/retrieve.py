@@ -184,3 +184,18 @@ def dense_lsh(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str,
     scored = scored.join(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")), "key")
     scored = scored.select("query_id", "key", cosine(F.col("qv"), F.col("v")).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), "key"], k)
+
+
+#: How a listed source begins, and the labels of its fields.
+SOURCE_START = "(?m)(?=^(?:\\d+\\.\\s*文献编号：|资料\\d+\\b))"
+SOURCE_FIELDS = {"item_id": "文献编号", "title": "标题", "source_file": "来源文件", "location": "位置"}
+
+
+def source_blocks(df: DataFrame, text: str) -> DataFrame:
+    """df with a row for each source listed in column text: block_no, n (its number, if it has one) and its labelled fields."""
+    blocks = F.filter(F.transform(F.split(F.col(text), SOURCE_START), lambda b: F.trim(b)), lambda b: b != "")
+    rows = df.select(*[c for c in df.columns if c != text], F.posexplode(blocks).alias("block_no", "block"))
+    fields = {name: F.trim(F.regexp_extract("block", f"(?m)^\\s*(?:\\d+\\.\\s*)?{label}：(.*)$", 1)) for name, label in SOURCE_FIELDS.items()}
+    rows = rows.withColumn("n", F.expr("try_cast(nullif(regexp_extract(block, '^资料(\\\\d+)', 1), '') as long)"))
+    rows = rows.select("*", *[c.alias(name) for name, c in fields.items()]).drop("block")
+    return rows.where("title <> '' or item_id <> '' or source_file <> ''")

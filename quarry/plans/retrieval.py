@@ -336,6 +336,23 @@ def r20(t: Tables) -> DataFrame:
     return R.citation_numbers(uses.where("length(source) >= 6")).withColumn("number", F.col("number").cast("long"))
 
 
+@query(
+    "r21_source_blocks",
+    f"""WITH {DENSE_CTE} SELECT query_id, CASE WHEN de.rank % 2 = 1 THEN de.rank END AS n, CASE WHEN de.rank % 2 = 0 THEN de.key::VARCHAR ELSE '' END AS item_id,
+  'title of ' || source AS title, CASE WHEN de.rank % 2 = 1 THEN source ELSE '' END AS source_file, 'p. ' || de.rank::VARCHAR AS location FROM de JOIN documents ON doc_id = de.key""",
+)
+def r21(t: Tables) -> DataFrame:
+    """The 20 hits of a query as one tool text in the two forms of the corpus, taken apart again."""
+    hits = dense(t).join(t.documents.select(F.col("doc_id").alias("key"), "source"), "key")
+    number, key = F.col("rank").cast("string"), F.col("key").cast("string")
+    listed = F.concat(number, F.lit(". 文献编号："), key)
+    chunk = F.concat(F.lit("资料"), number, F.lit("\n来源文件："), F.col("source"))
+    block = F.concat(F.when(F.col("rank") % 2 == 0, listed).otherwise(chunk), F.lit("\n标题：title of "), F.col("source"), F.lit("\n位置：p. "), number)
+    rows = hits.select("query_id", F.col("rank"), block.alias("block"))
+    texts = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
+    return R.source_blocks(texts, "text").select("query_id", "n", "item_id", "title", "source_file", "location")
+
+
 @query(
     "r22_cap_sources",
     f"""WITH {DENSE_CTE}, x AS (SELECT query_id, key, rank, (key % 3 = 0) AS cited FROM de),

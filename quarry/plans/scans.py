@@ -138,6 +138,17 @@ def s13(t: Tables) -> DataFrame:
     return back.select("conv_id", "turn", F.md5(m[2]["content"]).alias("answer_md5"), F.md5(m[1]["content"]).alias("question_md5"))
 
 
+@query("s14_stream_source", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def s14(t: Tables) -> DataFrame:
+    """A folder of JSON lines read as a stream until it is used up."""
+    from quarry.streaming.events import run_to_table
+
+    path = scratch(t, "s14")
+    t.events.select("event_id", "event_type").write.json(path)
+    source = t.spark.readStream.schema("event_id long, event_type string").json(path)
+    return run_to_table(source, scratch(t, "s14-out"), scratch(t, "s14-state")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("s15_file_hashes", "SELECT count(DISTINCT md5(html))::BIGINT AS files FROM pages")
 def s15(t: Tables) -> DataFrame:
     """Every table file is hashed whole; the pages are hashed by content."""
