@@ -15,20 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is two aggregations of minima, which combine before the shuffle, and two joins, in which Spark splits a node
     with very many neighbours. Rounds are written out, and end when nothing changes.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = stored(pairs, "edges")
+    pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = pairs.join(least, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        pairs = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "pairs")
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
-                pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-            )
+            roots = pairs.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
+            return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
         before = state

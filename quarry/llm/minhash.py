@@ -249,7 +249,10 @@ def _verify(work: DataFrame, width: int) -> DataFrame:
             for side, members in sides.items():
                 ids = sorted(members)
                 made[side] = Side(ids, [members[i][0] for i in ids], [members[i][1] for i in ids])
-            links += confirm(made[0], made.get(1, made[0])) if 0 in made else []
+            if 0 in made:
+                found = confirm(made[0], made.get(1, made[0]))
+                # within one block a class hangs under its root; between two blocks roots are joined
+                links += found if 1 in made else [(int(r), int(i)) for i, r in zip(made[0].ids, made[0].roots) if i != r]
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -263,13 +266,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stored(_sketches(rows, width), "sketches")
     sets = sketches.where("id is not null and key is not null")
     reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    classes = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "labels").dropDuplicates(["id"])
+    # joins of whole texts or labels with lists of ids are shuffles at every size
+    wanted = reps.select(F.col("rep").alias("id")).hint("shuffle_hash")
+    classes = sets.join(wanted, "id", "left_semi").select("id", "labels").dropDuplicates(["id"])
 
     clusters = components(_forest(classes))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "root").select("id", F.col("root").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")))
-    texts = rows.where("id is not null").join(members, "id").dropDuplicates(["id"])
+    texts = rows.where("id is not null").join(members.hint("shuffle_hash"), "id").dropDuplicates(["id"])
     texts = stored(texts.select("id", "cluster", "blocks", "block", "body"), "members")
 
     # small clusters share items; a block of a large cluster is an item of its own
@@ -277,36 +282,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.xxhash64("cluster", "block")
     item = F.when(F.col("blocks") == 1, small).otherwise(own)
     inside = texts.select(item.alias("item"), F.xxhash64("cluster", "block").alias("pair"), F.lit(0).alias("side"), "id", F.col("id").alias("root"), "body")
-    links = stored(_verify(inside, width), "links")
+    stars = stored(_verify(inside, width), "stars")
+    roots = stars.select(F.col("b").alias("id"), F.col("a").alias("root"))
     large = texts.where("blocks > 1")
-    if large.limit(1).count():
-        links = _finish(large, links, width)
-    roots = components(links)
+    if large.limit(1).count():  # else every cluster is one block, and its stars are its components
+        links = _finish(large, roots, width)
+        moved = components(links).select(F.col("id").alias("old"), F.col("root").alias("new"))
+        ids = links.select(F.explode(F.array("a", "b")).alias("id")).unionByName(roots.select("id")).distinct()
+        roots = ids.join(roots, "id", "left")
+        roots = roots.withColumn("old", F.coalesce("root", "id")).join(moved, "old", "left").select("id", F.coalesce("new", "old").alias("root"))
     return _labels(sketches, reps, roots).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
 
-def _finish(large: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """The links of clusters of several blocks: each block against the first, then what is left outside against all blocks."""
-
-    def with_roots(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _finish(large: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """Links a, b between roots of clusters of several blocks: each block against the first, then what is left against all."""
 
     def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-        """left and right: cluster, pair columns chosen so that a pair is one block of each side."""
+        """left and right: cluster and pair, chosen so that a pair is one block of each side."""
         both = left.unionByName(right)
         both = both.withColumn("item", F.xxhash64("cluster", "pair")).withColumn("pair", F.col("item"))
         return _verify(both.select("item", "pair", "side", "id", "root", "body"), width)
 
-    now = stored(with_roots(links), "rooted")
+    now = stored(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     others = now.where("block > 0").select("cluster", F.col("block").alias("pair"), F.lit(0).alias("side"), "id", "root", "body")
     first = now.where("block = 0").withColumn("pair", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
     first = first.select("cluster", "pair", F.lit(1).alias("side"), "id", "root", "body")
-    links = stored(links.unionByName(compare(others, first)), "links")
+    links = stored(compare(others, first), "links")
 
-    now = stored(with_roots(links), "rooted")
+    # a step towards components is enough here: it only saves comparisons
+    ends = links.select(F.col("b").alias("root"), F.col("a").alias("to"))
+    nearer = ends.groupBy("root").agg(F.min("to").alias("to"))
+    now = now.join(nearer, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+    now = stored(now, "rooted")
     sizes = now.groupBy("cluster", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
     outside = stored(now.join(main, "cluster").where("root <> main").drop("main"), "outside")
@@ -318,7 +327,7 @@ def _finish(large: DataFrame, links: DataFrame, width: int) -> DataFrame:
     left = left.select("cluster", pair("part", "other").alias("pair"), F.lit(0).alias("side"), "id", "root", "body")
     right = now.join(groups, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     right = right.select("cluster", pair("part", "block").alias("pair"), F.lit(1).alias("side"), "id", "root", "body")
-    return stored(links.unionByName(compare(left, right)), "links")
+    return links.unionByName(stored(compare(left, right), "links"))
 
 
 def _labels(sketches: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
