@@ -58,43 +58,53 @@ def _double(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+CHUNK = 1 << 15
+
+
+def window_keys(data: np.ndarray) -> np.ndarray:
+    """The smallest hash of the PIECE-byte pieces of every window. Worked out chunk by chunk, to stay in the processor's cache."""
+    total = max(0, len(data) - WINDOW + 1)
+    out = np.empty(total, dtype=np.uint64)
+    for at in range(0, total, CHUNK):
+        two = _double(_BYTES[data[at : at + CHUNK + WINDOW - 1]], 1)
+        four = _double(two, 2)
+        sixteen = _double(_double(four, 4), 8)
+        pieces = sixteen[: len(four) - 16] * np.uint64(_STEP[16])
+        pieces += four[16:]
+        keys = sliding_least(mix(pieces, 3), SPAN)
+        out[at : at + len(keys)] = keys
+    return out
+
+
 class Windows:
-    """The 50-byte windows of a batch: starts, the key of each, and the number of its document."""
+    """The 50-byte windows of a batch as runs of neighbours of one document with the same key: start, count, key, doc."""
 
     def __init__(self, batch: Batch):
         self.batch = batch
         self.data = np.frombuffer(batch.body, dtype=np.uint8)
-        self.levels: dict[int, np.ndarray] = {}
-        n = len(self.data)
-        if n < WINDOW:
-            self.starts, self.keys, self.doc = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-            return
-        one = _BYTES[self.data]
-        two = _double(one, 1)
-        four = _double(two, 2)
-        sixteen = _double(_double(four, 4), 8)
-        self.levels = {2: two, 16: sixteen}
-        pieces = mix(sixteen[: n - PIECE + 1] * np.uint64(_STEP[16]) + four[16 : n - PIECE + 17], 3)
-        del one, four
-        keys = sliding_least(pieces, SPAN)
-        sizes = batch.sizes
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        inside = np.zeros(n, dtype=bool)
-        ends = np.cumsum(sizes)
-        for a, b in zip((ends - sizes)[sizes >= WINDOW].tolist(), ends[sizes >= WINDOW].tolist()):
-            inside[a : b - WINDOW + 1] = True
-        self.starts = np.flatnonzero(inside[: len(keys)])
-        self.keys, self.doc = keys[self.starts], doc[self.starts]
+        keys = window_keys(self.data)
+        ends = np.cumsum(batch.sizes)
+        change = np.ones(len(keys) + 1, dtype=bool)
+        change[1:-1] = keys[1:] != keys[:-1]
+        for border in (ends - batch.sizes, ends - WINDOW + 1):  # where a document's windows begin, and end
+            change[border[(border >= 0) & (border < len(keys))]] = True
+        first = np.flatnonzero(change)
+        start, count = first[:-1], np.diff(first)
+        doc = np.searchsorted(ends, start, side="right")
+        inside = start + WINDOW <= ends[doc] if len(start) else np.zeros(0, bool)
+        self.start, self.count, self.doc = start[inside], count[inside], doc[inside]
+        self.keys = keys[self.start] & ~np.uint64(1)
 
     def names(self, at: np.ndarray) -> np.ndarray:
         """96-bit names of the windows that start at these bytes."""
         out = np.zeros(len(at), dtype=_NAME)
         if len(at):
-            x, y = self.levels[16], self.levels[2]
-            parts = [x[at], x[at + 16], x[at + 32], y[at + 48]]
-            a = b = parts[0]
-            for k, part in enumerate(parts[1:]):
-                a, b = named(a, part, 40 + k), named(mix(b, 60 + k), part, 80 + k)
+            rows = np.zeros((len(at), -(-WINDOW // 8) * 8), dtype=np.uint8)
+            rows[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(self.data, WINDOW)[at]
+            parts = rows.view("<u8")
+            a, b = mix(parts[:, 0], 40), mix(parts[:, 0], 60)
+            for k in range(1, parts.shape[1]):
+                a, b = named(a, parts[:, k], 40 + 2 * k), named(mix(b, 60 + k), parts[:, k], 80 + 2 * k)
             out["a"], out["b"] = a, (b >> np.uint64(32)).astype(np.uint32)
         return out
 
@@ -103,26 +113,23 @@ class Candidates:
     """What a batch sends in the second exchange: segments of windows, and windows of frequent hashes."""
 
     def __init__(self, windows: Windows, n: int, shared: dict[int, bytes]):
-        keys = windows.keys & ~np.uint64(1)
+        keys, ids = windows.keys, windows.batch.ids
         unique, _ = several(keys, windows.doc)
         where = np.searchsorted(unique, keys)
         some = read_bits(unique, n, shared)[where] if len(keys) else np.zeros(0, bool)
         many = read_bits(unique, n, shared, second=True)[where] & some if len(keys) else np.zeros(0, bool)
-        ids = windows.batch.ids
-        self.heavy = windows.starts[many]
-        self.heavy_names, self.heavy_ids = windows.names(self.heavy), ids[windows.doc[many]]
+        self.heavy = _ranges(windows.start[many], windows.count[many])
+        self.heavy_names = windows.names(self.heavy)
+        self.heavy_ids = np.repeat(ids[windows.doc[many]], windows.count[many])
 
         few = some & ~many
-        starts, key, doc = windows.starts[few], keys[few], windows.doc[few]
-        new = np.ones(len(starts), dtype=bool)
-        new[1:] = (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(starts)))
+        start, count, key, doc = windows.start[few], windows.count[few], keys[few], windows.doc[few]
         if (count > SPAN).any():  # a longer run, of periodic text, is cut
             pieces = -(-count // SPAN)
-            step = np.concatenate([np.arange(p) for p in pieces]) * SPAN
-            first, count = np.repeat(first, pieces) + step, np.minimum(np.repeat(count, pieces) - step, SPAN)
-        self.start, self.count, self.key, self.id = starts[first], count, key[first], ids[doc[first]]
+            step = _ranges(np.zeros(len(pieces), np.int64), pieces) * SPAN
+            start, count = np.repeat(start, pieces) + step, np.minimum(np.repeat(count, pieces) - step, SPAN)
+            key, doc = np.repeat(key, pieces), np.repeat(doc, pieces)
+        self.start, self.count, self.key, self.id = start, count, key, ids[doc]
         # a segment is known by its first and last window and its length
         last = windows.names(self.start + self.count - 1)
         name = windows.names(self.start)
@@ -191,6 +198,25 @@ def earlier_suffixes(text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> n
     return out
 
 
+def first_segments(text: np.ndarray, offset: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segment with the smallest id of each group of equal ones, and the group of each segment."""
+    if not len(offset):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = -(-(SPAN + WINDOW - 1) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(most, np.uint8)]), most)[offset]
+    rows[np.arange(most)[None, :] >= size[:, None]] = 0
+    words = rows.view("<u8")
+    a, b = mix(size.astype(np.uint64), 11), mix(size.astype(np.uint64), 12)
+    for k in range(words.shape[1]):
+        a, b = named(a, words[:, k], 20 + 2 * k), named(mix(b, 50 + k), words[:, k], 100 + 2 * k)
+    order = np.lexsort((ids, b, a))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    where = np.empty(len(order), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return order[new], where
+
+
 def compare(lists: list[bytes]) -> list[bytes]:
     """Answers the lists of one bucket: bits of the suffixes, then bits of the named windows."""
     texts, counts, ids, sizes, names = [], [], [], [], []
@@ -203,10 +229,16 @@ def compare(lists: list[bytes]) -> list[bytes]:
         texts.append(data[8 + 9 * k : 4 + length])
         sizes.append(int(count.sum()))
         names.append(data[4 + length :])
-    count, text = np.concatenate(counts), np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ends = np.cumsum(count + WINDOW - 1)
-    starts = _ranges(ends - count - WINDOW + 1, count)
-    bits = earlier_suffixes(text, starts, np.repeat(np.concatenate(ids), count))
+    count, text, every = np.concatenate(counts), np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(ids)
+    size = count + WINDOW - 1
+    offset = np.cumsum(size) - size
+    # of equal segments only the one with the smallest id is sorted; the others are its copies
+    sample, where = first_segments(text, offset, size, every)
+    starts = _ranges(offset[sample], count[sample])
+    found = earlier_suffixes(text, starts, np.repeat(every[sample], count[sample]))
+    begin = np.cumsum(count[sample]) - count[sample]
+    bits = found[_ranges(begin[where], count)] if len(count) else found
+    bits |= np.repeat(every > every[sample][where], count) if len(count) else False
     out = []
     for x, y in zip(np.split(bits, np.cumsum(sizes)[:-1]), compare_names(names)):
         packed = np.packbits(x).tobytes()
