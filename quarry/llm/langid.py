@@ -31,6 +31,7 @@ MIN_SHARE = 1e-5
 #: An n-gram this much rarer in one language than in another is taken to have come from mixed or mislabelled texts.
 FOREIGN = 0.05
 SLOTS_PER_GRAM = 16
+SLICE = 2 << 20  # bytes of text whose n-grams are held at once: some 50 bytes of arrays for each
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes other than letters become spaces.
@@ -99,7 +100,7 @@ class LanguageFilter:
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", SLICE):
             langs, bodies = batch.column("lang").to_pylist(), [_plain(b) for b in batch.column("body").to_pylist()]
             for lang in sorted(set(langs)):
                 own = [b for b, x in zip(bodies, langs) if x == lang]
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "__body"):
+        for batch in slices(batches, "__body", SLICE):
             bodies = [_plain(b) for b in batch.column("__body").to_pylist()]
             total, number = model.corrected(bodies)
             langs, scores = ["und"] * len(bodies), np.zeros(len(bodies))
