@@ -18,6 +18,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, table
 
 #: Chunks kept by a task before its table is emptied: a bound on memory only.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 250_000
 #: Pairs of tokens whose validity a task remembers before it forgets them.
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 300_000
 
 #: White space of the tokenizer's pattern engine (the Unicode property).
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -85,8 +86,12 @@ class TrieBPE:
         #: by token: the tokens that may stand before it ("" for none), as far as they have been asked for
         self.before: dict[str, dict[str, bool]] = {token: {} for token in self.ids}
         self.pairs = 0
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        #: by token: its id packed, and its string
+        self.parts = {t: (array("I", [i]).tobytes(), self.strings[i].encode()) for t, i in self.ids.items()}
+        #: by white-space chunk: its ids packed, and their decoding; then the tables of before
+        self.packed: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _inner(self, token: str) -> str:
         end = self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix)
@@ -118,15 +123,15 @@ class TrieBPE:
         found = self.before[right][left] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of each word (a string of base symbols).
+    def encode_words(self, words: set[str]) -> dict[str, list[str]]:
+        """The tokens of each word (a string of base symbols).
 
         The sorted words are the trie laid out depth first: the prefix that a word shares with the one before it is the path
         that the walk still stands on, so only the symbols below it are visited. last[d] is the last token of the path's
         first d symbols. Just one token that ends the path fits after the prefix before it, in whatever order they are tried.
         """
         out: dict[str, list[int]] = {}
-        before, fits, ids, longest = self.before, self._fits, self.ids, self.longest
+        before, fits, longest = self.before, self._fits, self.longest
         path, last = "", [""]
         for word in sorted(words):
             depth, most = 0, min(len(path), len(word))
@@ -156,7 +161,7 @@ class TrieBPE:
             tokens, at = [], len(word)
             while at:
                 token = last[at]
-                tokens.append(ids[token])
+                tokens.append(token)
                 at -= len(token)
             out[word] = tokens[::-1]
         return out
@@ -183,34 +188,40 @@ class TrieBPE:
                 if shape.isalpha():
                     out.append(part)
                 else:
-                    out += [part[m.start() : m.end()] for m in self.pattern.finditer(shape)]
+                    out += self.pattern.findall(part) if shape == part else [part[m.start() : m.end()] for m in self.pattern.finditer(shape)]
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Adds the encodings of new chunks to the table: (ids as little-endian 32-bit integers, decoded text)."""
+        """Adds the encodings of new chunks to the tables."""
         pieces = {chunk: self._pieces(chunk) for chunk in chunks}
         forms = {p: self._word(p) for ps in pieces.values() for p in ps if isinstance(p, str)}
         tokens = self.encode_words(set(forms.values()))
-        strings = self.strings
+        parts = self.parts
         for chunk, ps in pieces.items():
-            ids = [i for p in ps for i in ([p] if isinstance(p, int) else tokens[forms[p]])]
-            self.chunks[chunk] = array("I", ids).tobytes(), " ".join([strings[i] for i in ids]).encode()
+            found = []
+            for p in ps:
+                if isinstance(p, int):
+                    found.append((array("I", [p]).tobytes(), self.strings[p].encode()))
+                else:
+                    found += [parts[t] for t in tokens[forms[p]]]
+            self.packed[chunk] = b"".join([x for x, _ in found])
+            self.decoded[chunk] = b" ".join([x for _, x in found])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Per text: the ids as little-endian 32-bit integers, and their decoding in UTF-8."""
         split = [_SPACE.split(t) if _SPLIT_TOO.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        if len(new) + len(self.chunks) > MAX_CHUNKS:  # the table of before is kept until the next time
-            self.chunks, self.older = {}, self.chunks
-            new = set().union(*split)
-        if self.older:
-            known = new & self.older.keys()
-            self.chunks.update((c, self.older[c]) for c in known)
-            new -= known
+        every = set(chain.from_iterable(split))
+        new = every.difference(self.packed)
+        if len(new) + len(self.packed) > MAX_CHUNKS:  # the tables of before are kept until the next time
+            self.older, self.packed, self.decoded, new = (self.packed, self.decoded), {}, {}, every
+        if self.older[0]:
+            for chunk in new.intersection(self.older[0]):
+                self.packed[chunk], self.decoded[chunk] = self.older[0][chunk], self.older[1][chunk]
+                new.discard(chunk)
         self.learn(new)
+        packed, decoded = self.packed.__getitem__, self.decoded.__getitem__
         for chunks in split:
-            found = [self.chunks[c] for c in chunks]
-            yield b"".join([ids for ids, _ in found]), b" ".join([text for ids, text in found if ids])
+            yield b"".join(map(packed, chunks)), b" ".join(filter(None, map(decoded, chunks)))
 
 
 #: One coder for each vocabulary in a worker process: later tasks of the worker start with what earlier ones have learnt.
@@ -231,7 +242,7 @@ def encode(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(*shared.value)
-        for batch in slices(batches, "body", 4 << 20):
+        for batch in slices(batches, "body", 2 << 20):
             texts = [t or "" for t in batch.column("body").cast(pa.string()).to_pylist()]
             coded = list(bpe.encode(texts))
             yield pa.RecordBatch.from_arrays(
@@ -243,6 +254,7 @@ def encode(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str
                 ],
                 names=[id_col, "n_tokens", "ids", "decoded"],
             )
+        bpe.older = {}, {}  # what stays in the worker for its next task is one table
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     return rows.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids binary, decoded string")
