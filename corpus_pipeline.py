@@ -13,6 +13,8 @@ from quarry.llm.common import WRITTEN, discard, shared_dir, table
 
 #: A text of whose n-grams fewer than this share are known in any learned language is in none of them.
 LEAST_KNOWN = 0.05
+#: Near duplicates share 0.8 of their shingles of five words. op3_minhash has another contract (three words, 0.85).
+NEAR_WIDTH, NEAR_SIMILAR = 5, (80, 100)
 
 _of_stage: list[str] = []
 
@@ -45,7 +47,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    copies = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__copy")).distinct()
+    copies = minhash.near_duplicates(docs, width=NEAR_WIDTH, similar=NEAR_SIMILAR).where("not kept").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(copies, docs["doc_id"] == F.col("__copy"), "left_anti")
 
 

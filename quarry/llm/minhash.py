@@ -1,15 +1,16 @@
 """Near-duplicate detection with a MinHash LSH forest; links are confirmed on full shingle sets.
 
-1. Every document becomes its set of distinct word shingles, hashed to 64 bits, a 128-bit key of the whole set and TREES labels
-   of DEPTH minima each. Documents with equal sets are one class, known by its smallest doc_id.
+1. Every document becomes its set of distinct word shingles, hashed to 64 bits, a 128-bit key of the whole set and a label
+   of DEPTH minima for each tree. Documents with equal sets are one class, known by its smallest doc_id.
 2. The forest: for each tree the classes are sorted by label over the whole cluster (a range partitioning by tree, label and
    id, so that no label, however frequent, has to fit a task). Classes whose labels share their first BASE minima form a
    region; a region of more than REGION classes is split by the next minimum, down to DEPTH. A region's members are joined to
    its first one, and regions cut by a partition border are joined across it.
    Two sets of similarity 0.85 share all DEPTH minima of a tree with probability 0.27, and of at least one of 32 trees with
-   0.99996; nothing else decides which pairs are looked at.
+   0.99996; at similarity 0.8 it is 0.17, and 0.99999 with 64 trees. `trees_for` gives the number of trees for a limit; nothing
+   else decides which pairs are looked at.
 3. Connected components of these joints are clusters of candidates. A cluster is dealt into blocks of at most BLOCK classes.
-   Inside a block all pairs of different components are compared: pairs whose 256 minima agree in so few places that a link is
+   Inside a block all pairs of different components are compared: pairs whose minima agree in so few places that a link is
    five standard deviations away drop out, all others are confirmed on the full sets.
 4. A cluster of several blocks is finished without comparing all blocks with each other: each block is compared with the first
    one, which joins nearly everything that belongs together; then the classes still outside the cluster's largest component
@@ -35,19 +36,27 @@ from quarry.llm.common import slices, stored, table
 from quarry.llm.graph import components
 from quarry.llm.repeats import buckets, mix, named
 
-TREES = 32
 DEPTH = 8
 BASE = 6
 REGION = 32
 BLOCK = 512
 #: The contract's similarity: 100 * intersection >= 85 * union.
 SIMILAR = (85, 100)
+#: A pair at the limit is overlooked by the whole forest with this probability at most.
+OVERLOOKED = 5e-5
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_FACTORS = (mix(np.arange(TREES * DEPTH, dtype=np.uint64), 9) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _CHUNK = 1 << 16
 
 
+def trees_for(similar: tuple[int, int]) -> int:
+    """Trees, in steps of 32, that overlook a pair at the limit with probability OVERLOOKED at most."""
+    missed, trees = 1 - (similar[0] / similar[1]) ** DEPTH, 32
+    while missed**trees > OVERLOOKED:
+        trees += 32
+    return trees
+
+
 class _Names(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -68,9 +77,10 @@ def shingles(body: bytes | None, names: _Names, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The TREES * DEPTH minima of each set, 16 bits of each. Sets are not empty."""
-    out = np.zeros((len(sets), TREES * DEPTH), dtype=np.uint16)
+def minima(sets: list[np.ndarray], trees: int) -> np.ndarray:
+    """The trees * DEPTH minima of each set, 16 bits of each. Sets are not empty."""
+    factors = (mix(np.arange(trees * DEPTH, dtype=np.uint64), 9) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    out = np.zeros((len(sets), trees * DEPTH), dtype=np.uint16)
     at = 0
     while at < len(sets):
         end, total = at, 0
@@ -79,14 +89,14 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         x = (np.concatenate(sets[at:end]) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[at : end - 1])])
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(factors):
             least = np.minimum.reduceat(x * factor, starts)
             out[at:end, k] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
         at = end
     return out
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
     """docs: id, body. id, n (size of the set), key (of the set) and labels (its minima)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +105,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(b, names, width) for b in batch.column("body").to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s)]
             labels: list = [None] * len(sets)
-            for i, row in zip(some, minima([sets[i] for i in some])):
+            for i, row in zip(some, minima([sets[i] for i in some], trees)):
                 labels[i] = row.astype(">u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -110,7 +120,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, key binary, labels binary")
 
 
-def _forest(classes: DataFrame) -> DataFrame:
+def _forest(classes: DataFrame, count: int) -> DataFrame:
     """classes: id, labels. Joints a, b between classes that share a region of some tree."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +130,9 @@ def _forest(classes: DataFrame) -> DataFrame:
             size = 2 * DEPTH
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
+                    pa.array(np.tile(np.arange(count, dtype=np.int32), n)),
                     pa.array([labels[i : i + size] for i in range(0, len(labels), size)], pa.binary()),
-                    pa.array(np.repeat(batch.column("id").to_numpy(), TREES)),
+                    pa.array(np.repeat(batch.column("id").to_numpy(), count)),
                 ],
                 names=["tree", "label", "id"],
             )
@@ -198,21 +208,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Side:
     """Some classes with their sets, their minima and the component each is in so far."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], roots: list[int] | None = None):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], trees: int, roots: list[int] | None = None):
         self.ids, self.sets = np.array(ids, dtype=np.int64), sets
         self.sizes = np.array([len(s) for s in sets])
-        self.minima = minima(sets)
+        self.minima = minima(sets, trees)
         self.roots = np.array(roots if roots is not None else ids, dtype=np.int64)
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+    return similar[1] * both >= similar[0] * (len(a) + len(b) - both)
 
 
-def confirm(left: Side, right: Side) -> list[tuple[int, int]]:
+def confirm(left: Side, right: Side, similar: tuple[int, int]) -> list[tuple[int, int]]:
     """Joins components of the two sides (which may be one) by confirmed links, and returns the joined roots."""
-    limit = SIMILAR[0] / SIMILAR[1]
+    limit = similar[0] / similar[1]
     places = left.minima.shape[1]
     enough = places * (limit - 5 * (limit * (1 - limit) / places) ** 0.5)
     found = []
@@ -227,7 +237,7 @@ def confirm(left: Side, right: Side) -> list[tuple[int, int]]:
         order = np.argsort(-agree, kind="stable")
         for j in at[order][agree[order] >= enough]:
             a, b = left.roots[i], right.roots[j]
-            if a != b and _linked(left.sets[i], right.sets[j]):
+            if a != b and _linked(left.sets[i], right.sets[j], similar):
                 low, high = min(a, b), max(a, b)
                 for side in {id(left): left, id(right): right}.values():
                     side.roots[side.roots == high] = low
@@ -235,11 +245,11 @@ def confirm(left: Side, right: Side) -> list[tuple[int, int]]:
     return found
 
 
-def _verify(work: DataFrame, width: int) -> DataFrame:
+def _verify(work: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     """work: item, side, id, root, body. Per item the two sides are compared (side 0 with itself if there is no other)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        names, links = _Names(), []
+        names, links, trees = _Names(), [], trees_for(similar)
         data = rows.select(["pair", "side", "id", "root", "body"]).to_pylist()
         pairs: dict[int, dict[int, dict[int, tuple]]] = {}
         for r in data:
@@ -248,9 +258,9 @@ def _verify(work: DataFrame, width: int) -> DataFrame:
             made = {}
             for side, members in sides.items():
                 ids = sorted(members)
-                made[side] = Side(ids, [members[i][0] for i in ids], [members[i][1] for i in ids])
+                made[side] = Side(ids, [members[i][0] for i in ids], trees, [members[i][1] for i in ids])
             if 0 in made:
-                found = confirm(made[0], made.get(1, made[0]))
+                found = confirm(made[0], made.get(1, made[0]), similar)
                 # within one block a class hangs under its root; between two blocks roots are joined
                 links += found if 1 in made else [(int(r), int(i)) for i, r in zip(made[0].ids, made[0].roots) if i != r]
         a, b = zip(*links) if links else ((), ())
@@ -259,18 +269,23 @@ def _verify(work: DataFrame, width: int) -> DataFrame:
     return work.groupBy("item").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Per row of docs: id_col, n_shingles, component_id (smallest id reachable over links) and kept (id_col = component_id)."""
-    n = buckets(docs)
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similar: tuple[int, int] = SIMILAR
+) -> DataFrame:
+    """Per row of docs: id_col, n_shingles, component_id (smallest id reachable over links) and kept (id_col = component_id).
+
+    Texts are linked if their shingles of `width` words have similar[1] * intersection >= similar[0] * union.
+    """
+    n, trees = buckets(docs), trees_for(similar)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    sketches = stored(_sketches(rows, width), "sketches")
+    sketches = stored(_sketches(rows, width, trees), "sketches")
     sets = sketches.where("id is not null and key is not null")
     reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep")), "classes")
     # joins of whole texts or labels with lists of ids are shuffles at every size
     wanted = reps.select(F.col("rep").alias("id")).hint("shuffle_hash")
     classes = sets.join(wanted, "id", "left_semi").select("id", "labels").dropDuplicates(["id"])
 
-    clusters = components(_forest(classes))
+    clusters = components(_forest(classes, trees))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "root").select("id", F.col("root").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")))
@@ -282,11 +297,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.xxhash64("cluster", "block")
     item = F.when(F.col("blocks") == 1, small).otherwise(own)
     inside = texts.select(item.alias("item"), F.xxhash64("cluster", "block").alias("pair"), F.lit(0).alias("side"), "id", F.col("id").alias("root"), "body")
-    stars = stored(_verify(inside, width), "stars")
+    stars = stored(_verify(inside, width, similar), "stars")
     roots = stars.select(F.col("b").alias("id"), F.col("a").alias("root"))
     large = texts.where("blocks > 1")
     if large.limit(1).count():  # else every cluster is one block, and its stars are its components
-        links = _finish(large, roots, width)
+        links = _finish(large, roots, width, similar)
         moved = components(links).select(F.col("id").alias("old"), F.col("root").alias("new"))
         ids = links.select(F.explode(F.array("a", "b")).alias("id")).unionByName(roots.select("id")).distinct()
         roots = ids.join(roots, "id", "left")
@@ -296,14 +311,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _finish(large: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+def _finish(large: DataFrame, roots: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     """Links a, b between roots of clusters of several blocks: each block against the first, then what is left against all."""
 
     def compare(left: DataFrame, right: DataFrame) -> DataFrame:
         """left and right: cluster and pair, chosen so that a pair is one block of each side."""
         both = left.unionByName(right)
         both = both.withColumn("item", F.xxhash64("cluster", "pair")).withColumn("pair", F.col("item"))
-        return _verify(both.select("item", "pair", "side", "id", "root", "body"), width)
+        return _verify(both.select("item", "pair", "side", "id", "root", "body"), width, similar)
 
     now = stored(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     others = now.where("block > 0").select("cluster", F.col("block").alias("pair"), F.lit(0).alias("side"), "id", "root", "body")
