@@ -7,12 +7,16 @@ that occurs in some item. Wherever that length reaches the window, the window's
 The benchmark is cut into blocks of at most `block_words` words, so an automaton never outgrows a worker: one block is one
 narrow pass over the documents, and the spans of several blocks are merged per document.
 
+`decontaminate` drops documents at or above the coverage limit. In all others it cuts out the hit spans of at least `least_span`
+words (one window, so that a short item like a single common word is not cut out of prose). A cut text is not searched again.
+
 Defined results: null or wordless texts have no words and no hits; items without words match nothing; an item with a null
 id still hits but is not counted or listed; repeated documents are judged row by row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -147,33 +151,37 @@ def spans_of(marks: bytearray) -> list[tuple[int, int]]:
 _HITS = "__n_words long, __spans array<struct<first:int,last:int>>, __items array<string>"
 
 
-def _hits_of_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    """docs: __body and other columns. The other columns with the hit spans of one block of items."""
+def _hits_of_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int, least_span: int | None = None) -> DataFrame:
+    """docs: __body and other columns. The other columns with the hit spans of one block of items, and with least_span the text
+    without the spans that long (__cut; null where there is none), cut here so that no second Python process is needed."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = [c for c in docs.columns if c != "__body"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton([(name, words_of(body)) for name, body in shared.value], window)
         for batch in slices(batches, "__body"):
-            rows: dict[str, list] = {"n_words": [], "spans": [], "items": []}
+            rows: dict[str, list] = {"n_words": [], "spans": [], "items": [], "cut": []}
             for body in batch.column("__body"):
                 words = words_of(body.as_py())
                 marks, found = automaton.scan(words)
                 rows["n_words"].append(len(words))
                 rows["spans"].append([{"first": a, "last": b} for a, b in spans_of(marks)])
                 rows["items"].append(sorted(n for n in found if n is not None))
+                long = [s for s in spans_of(marks) if least_span and s[1] - s[0] >= least_span]
+                rows["cut"].append(without_spans(body.as_py(), long) if long else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(name) for name in names],
                     pa.array(rows["n_words"], pa.int64()),
                     pa.array(rows["spans"], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                     pa.array(rows["items"], pa.list_(pa.string())),
+                    *([pa.array(rows["cut"], pa.binary())] if least_span else []),
                 ],
-                names=[*names, "__n_words", "__spans", "__items"],
+                names=[*names, "__n_words", "__spans", "__items", *(["__cut"] if least_span else [])],
             )
 
     schema = docs.drop("__body").schema
-    for field in StructType.fromDDL(_HITS):
+    for field in StructType.fromDDL(_HITS + ", __cut binary" * bool(least_span)):
         schema = StructType([*schema, field])
     return docs.mapInArrow(scan, schema)
 
@@ -204,18 +212,24 @@ def benchmark_hits(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     keep: tuple[str, ...] = (),
+    least_span: int | None = None,
 ) -> DataFrame:
     """Per row of docs: id_col, the columns in keep, n_words, n_hit, spans (word runs that are hit) and items (ids of items with
-    a window there). With keep, the last four have names that begin with two underscores."""
+    a window there). With keep, the last four have names that begin with two underscores, and with least_span there is also
+    __cut: the text (which has to be in keep) without the spans that long, null where there is none."""
     columns = [F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep]]
     base = docs.select(*columns, F.col(text_col).cast("binary").alias("__body"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        hits = _hits_of_block(base, first, window)
+        hits = _hits_of_block(base, first, window, least_span)
     else:
         base = base.withColumn("__at", F.monotonically_increasing_id())
         hits = _merged([_hits_of_block(base, block, window) for block in (first, second, *blocks)], [id_col, *keep])
+        if least_span:
+            long = F.filter("__spans", lambda s: s["last"] - s["first"] >= least_span)
+            body = F.when(F.size(long) > 0, F.col(text_col).cast("binary"))  # only these texts go through Python
+            hits = hits.withColumn("__cut", F.udf(lambda body, spans: without_spans(body, spans), "binary")(body, long))
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     hits = hits.withColumn("__n_hit", n_hit)
     if keep:
@@ -249,11 +263,27 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose hit words exceed the coverage limit; rows below it keep their text as it is."""
+def without_spans(body: bytes | None, spans: list | None) -> bytes | None:
+    """The text without the words first..last of each span, and without what stands between a span and the next word."""
+    if body is None or not spans:
+        return body
+    starts = [m.start() for m in re.finditer(rb"[^ ]+", body.translate(_FOLD))] + [len(body)]
+    out, at = [], 0
+    for first, last in spans:
+        out.append(body[at : starts[first]])
+        at = starts[last]
+    return b"".join([*out, body[at:]])
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_span: int = WINDOW, **how
+) -> DataFrame:
+    """docs without the rows whose hit words exceed the coverage limit; rows below it lose their hit spans of least_span words
+    and more, and keep the rest of their text as it is."""
     row = docs.withColumn("__row", F.monotonically_increasing_id())
-    hits = benchmark_hits(row, benchmark, id_col="__row", text_col=text_col, keep=tuple(docs.columns), **how)
-    return hits.where(~contaminated(F.col("__n_hit"), F.col("__n_words"))).select(docs.columns)
+    hits = benchmark_hits(row, benchmark, id_col="__row", text_col=text_col, keep=tuple(docs.columns), least_span=least_span, **how)
+    hits = hits.where(~contaminated(F.col("__n_hit"), F.col("__n_words")))
+    return hits.withColumn(text_col, F.coalesce(F.col("__cut").cast("string"), text_col)).select(docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
