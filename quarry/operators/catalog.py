@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +35,135 @@ def item_id(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]{1,2}$"), F.lpad(c, 3, "0")).otherwise(c)
 
 
-def grams(c: Column, n: int = 5) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+def _anchors(c: Column, n: int) -> Column:
+    """The distinct pieces of 1 to n letters of a text."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(at, lambda i: F.substring(c, i, k)))))
+
+
+def _containing(i: DataFrame, f: DataFrame, n: int = 8) -> DataFrame:
+    """Pairs of distinct names n, fn of which one contains the other: the longer one has the first n letters of the shorter one."""
+
+    def within(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        heads = short.select(s, F.substring(s, 1, n).alias("g"))
+        return long.select(t, F.explode(_anchors(F.col(t), n)).alias("g")).join(heads, "g").where(F.contains(F.col(t), F.col(s))).select("n", "fn")
+
+    return within(f, "fn", i, "n").unionByName(within(i, "n", f, "fn")).distinct()
+
+
+#: Names of a block, and names that one step compares a name with.
+FUZZY_BLOCK, FUZZY_STEP = 2048, 64
+
+
+def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of each name (-1 beyond its end), lengths, and how often letters of each of 32 classes occur."""
+    size = np.array([len(x) for x in names])
+    letters = np.full((len(names), int(size.max())), -1, dtype=np.int32)
+    counts = np.zeros((len(names), 32), dtype=np.int32)
+    for k, x in enumerate(names):
+        letters[k, : len(x)] = [ord(c) for c in x]
+        counts[k] = np.bincount(letters[k, : len(x)] % 32, minlength=32)
+    return letters, size, counts
+
+
+def distances(a: np.ndarray, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The Levenshtein distance of one name (letters) to each of several."""
+    at = np.arange(letters.shape[1] + 1, dtype=np.int32)
+    row = np.tile(at, (len(letters), 1))
+    for k, letter in enumerate(a.tolist(), 1):
+        to = np.empty_like(row)
+        to[:, 0] = k
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (letters != letter), out=to[:, 1:])
+        row = np.minimum.accumulate(to - at, axis=1) + at
+    return row[np.arange(len(letters)), size]
+
+
+def most_similar(names: list[str], files: list[str], least: float) -> Iterator[tuple[str, str, float]]:
+    """Per name each file of the best similarity, if that is `least` or more; names and files are not empty.
+
+    Two names whose letter counts differ by x are (x + difference of lengths) / 2 edits apart at least; files are compared
+    from the best such bound down until no bound reaches the best similarity found.
+    """
+    own_letters, own_size, own_counts = _codes(names)
+    letters, size, counts = _codes(files)
+    for k, name in enumerate(names):
+        longer = np.maximum(size, own_size[k])
+        bound = 1 - ((np.abs(counts - own_counts[k]).sum(axis=1) + np.abs(size - own_size[k])) // 2) / longer
+        order = np.argsort(-bound, kind="stable")
+        best, found = least, []
+        for start in range(0, len(order), FUZZY_STEP):
+            some = order[start : start + FUZZY_STEP]
+            some = some[bound[some] >= best - 1e-9]
+            if not len(some):
+                break
+            score = 1 - distances(own_letters[k, : own_size[k]], letters[some], size[some]) / longer[some]
+            found += zip(some.tolist(), score.tolist())
+            best = max(best, float(score.max()))
+        yield from ((name, files[j], s) for j, s in found if s >= best - 1e-9)
+
+
+def _fuzzy(i: DataFrame, f: DataFrame, least: float) -> DataFrame:
+    """n, fn, score: of each name n the most similar names fn, if `least` or more. i: n; f: fn; distinct and not empty.
+
+    At 0.45 two names need not share even a pair of letters, so no key of a join keeps every match: all blocks of names
+    are compared with all blocks of file names.
+    """
+    item_blocks, file_blocks = [max(1, -(-d.count() // FUZZY_BLOCK)) for d in (i, f)]
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = i.select(F.col("n").alias("x"), F.lit(False).alias("is_file"), block("n", item_blocks).alias("a"), every(file_blocks).alias("b"))
+    right = f.select(F.col("fn").alias("x"), F.lit(True).alias("is_file"), every(item_blocks).alias("a"), block("fn", file_blocks).alias("b"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sides: tuple[list[str], list[str]] = ([], [])
+        for x, is_file in zip(rows.column("x").to_pylist(), rows.column("is_file").to_pylist()):
+            sides[is_file].append(x)
+        found = list(most_similar(*sides, least)) if all(sides) else []
+        n, fn, score = zip(*found) if found else ((), (), ())
+        return pa.table({"n": pa.array(n, pa.string()), "fn": pa.array(fn, pa.string()), "score": pa.array(score, pa.float64())})
+
+    pairs = left.unionByName(right).groupBy("a", "b").applyInArrow(compare, "n string, fn string, score double")
+    pairs = pairs.withColumn("score", F.round("score", 6))
+    return pairs.join(pairs.groupBy("n").agg(F.max("score").alias("score")), ["n", "score"])
 
 
 def match(items: DataFrame, files: DataFrame, least: float = 0.45) -> DataFrame:
     """item, file, rung, score: the best file of each item by the lowest rung that matches.
 
-    items: item, name; files: file, file_name. Rungs: 1 equal names, 2 equal normalised names, 3 one contains the other,
-    4 similar (1 - Levenshtein distance / longer length). Rungs 3 and 4 look only at pairs that share a piece of five letters.
+    items: item, name; files: file, file_name. Rungs: 1 equal names, 2 equal normalised names, 3 one contains the other, the file
+    name being specific (eight letters, not generic), 4 the file name begins with the item's id, 5 one contains the other,
+    6 similar: `least` or more. The score is 1 - Levenshtein distance / longer length, and binds rung 6 only.
+    Rungs work on distinct names; of files with one name the smallest counts.
     """
     i = items.select("item", "name", X.normalized(F.col("name")).alias("n"))
     f = files.select("file", "file_name", X.normalized(F.col("file_name")).alias("fn"))
-    exact = i.join(f, F.col("name") == F.col("file_name")).select("item", "file", F.lit(1).alias("rung"), F.lit(1.0).alias("score"))
-    equal = i.join(f, F.col("n") == F.col("fn")).select("item", "file", F.lit(2).alias("rung"), F.lit(1.0).alias("score"))
-    pairs = i.select("item", "n", F.explode(grams(F.col("n"))).alias("g")).join(f.select("file", "fn", F.explode(grams(F.col("fn"))).alias("g")), "g")
-    pairs = pairs.select("item", "n", "file", "fn").distinct()
+    named = f.where("fn <> ''").groupBy("fn").agg(F.min("file").alias("file"))
     similar = F.round(1 - F.levenshtein("n", "fn") / F.greatest(F.length("n"), F.length("fn")), 6)
-    held = (F.length("fn") >= 8) & ~F.col("fn").isin(*GENERIC) & (F.contains(F.col("n"), F.col("fn")) | F.contains(F.col("fn"), F.col("n")))
-    near = pairs.select("item", "file", F.when(held, 3).otherwise(4).alias("rung"), similar.alias("score")).where(F.col("score") >= least)
-    every = exact.unionByName(equal).unionByName(near)
-    w = Window.partitionBy("item").orderBy("rung", F.desc("score"), "file")
-    return every.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    exact = i.join(f.groupBy("file_name").agg(F.min("file").alias("file")), F.col("name") == F.col("file_name"))
+    exact = exact.select("item", "file", F.lit(1).alias("rung"), F.lit(1.0).alias("score"))
+    equal = i.join(named, F.col("n") == F.col("fn")).select("item", "file", F.lit(2).alias("rung"), F.lit(1.0).alias("score"))
+    specific = (F.length("fn") >= 8) & ~F.col("fn").isin(*GENERIC)
+    names = i.where("n <> ''").select("n").distinct()
+    held = _containing(names, named.select("fn")).join(named, "fn")
+    held = held.select("n", "file", F.when(specific, 3).otherwise(5).alias("rung"), similar.alias("score"))
+    held = _best_file(held, "n").join(i, "n").select("item", "file", "rung", "score")
+    ids = i.select("item", "n", item_id(F.col("item").cast("string")).alias("id")).where("id <> ''")
+    longest = ids.agg(F.max(F.length("id")).alias("longest"))
+    starts = f.where("file_name <> ''").join(F.broadcast(longest))
+    starts = starts.select("file", "fn", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("file_name"), F.col("longest"))), lambda k: F.substring("file_name", F.lit(1), k))).alias("id"))
+    prefix = ids.join(starts, "id").select("item", "file", F.lit(4).alias("rung"), F.coalesce(similar, F.lit(0.0)).alias("score"))
+    sure = _best_file(exact.unionByName(equal).unionByName(held).unionByName(prefix), "item")
+
+    open_ = i.where("n <> ''").join(sure.select("item"), "item", "left_anti").select("item", "n")
+    near = _fuzzy(open_.select("n").distinct(), named.select("fn"), least).join(named, "fn")
+    near = _best_file(near.select("n", "file", F.lit(6).alias("rung"), "score"), "n")
+    return sure.unionByName(open_.join(near, "n").select("item", "file", "rung", "score"))
+
+
+def _best_file(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the row of the lowest rung, then the highest score, then the smallest file."""
+    best = rows.groupBy(key).agg(F.min(F.struct("rung", (-F.col("score")).alias("m"), "file")).alias("e"))
+    return best.select(key, "e.file", "e.rung", (-F.col("e.m")).alias("score"))
 
 
 def fill_by_order(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str) -> DataFrame:
