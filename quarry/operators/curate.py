@@ -84,3 +84,30 @@ def greedy_pairs(edges: DataFrame, checkpoint) -> DataFrame:
         used = both.select(F.explode(F.array("a", "b")).alias("n"))
         left = checkpoint(left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti"))
     return taken if taken is not None else edges.limit(0)
+
+
+def seed_clusters(vertices: DataFrame, edges: DataFrame, size: int, checkpoint) -> DataFrame:
+    """seed, member, score: clusters of at most `size`, made by the seeds in id order from what earlier seeds have left.
+
+    vertices: v; edges: a < b, score. A seed takes its size - 1 best neighbours (score descending, then larger ids first); one
+    that finds none is left alone. Rounds: an id is settled as a seed as soon as it is the smallest unresolved one among its
+    neighbours and among the neighbours of each of those that it would take: no earlier seed can still take it or them. All such
+    ids are settled at once and leave with their members, which equals the one-by-one result. checkpoint cuts the lineage.
+    """
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w"), "score").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"), "score"))
+    left = checkpoint(both.join(vertices.select("v"), "v", "left_semi").join(vertices.select(F.col("v").alias("w")), "w", "left_semi"))
+    taken = None
+    while left.limit(1).count():
+        nodes = left.groupBy("v").agg(F.min("w").alias("least"))
+        smallest = nodes.where("v < least").select("v")
+        own = left.join(smallest, "v", "left_semi")
+        order = Window.partitionBy("v").orderBy(F.desc("score"), F.desc("w"))
+        wanted = own.withColumn("k", F.row_number().over(order)).where(F.col("k") < size)
+        rivals = nodes.select(F.col("v").alias("w"), "least")
+        wanted = checkpoint(wanted.join(rivals, "w"))
+        seeds = wanted.groupBy("v").agg(F.min("least").alias("least")).where("v = least").select("v")
+        now = checkpoint(wanted.join(seeds, "v", "left_semi").select(F.col("v").alias("seed"), F.col("w").alias("member"), "score"))
+        taken = now if taken is None else taken.unionByName(now)
+        gone = now.select(F.explode(F.array("seed", "member")).alias("v")).distinct()
+        left = checkpoint(left.join(gone, "v", "left_anti").join(gone.select(F.col("v").alias("w")), "w", "left_anti"))
+    return taken if taken is not None else edges.select(F.col("a").alias("seed"), F.col("b").alias("member"), "score").limit(0)

@@ -172,14 +172,10 @@ def d13(t: Tables) -> DataFrame:
 
 @query("d14_seed_clusters")
 def d14(t: Tables) -> DataFrame:
-    """Every vector joins its best earlier neighbour, if that one is near enough and is itself nobody's follower."""
+    """Clusters of three at most, made by the seeds in id order."""
     edges = D.near_pairs(t.embeddings, "vec_id", "embedding", 64, PAIR_LEAST)
-    follows = edges.groupBy(F.col("b").alias("vec_id")).agg(F.max(F.struct("score", (-F.col("a")).alias("m"))).alias("e"))
-    follows = follows.select("vec_id", (-F.col("e.m")).alias("seed"), "e.score")
-    seeds = t.embeddings.select(F.col("vec_id").alias("seed")).join(follows.select(F.col("vec_id").alias("seed")), "seed", "left_anti")
-    members = follows.join(seeds, "seed", "left_semi")
-    ranked = members.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where("n <= 2").select("seed", "vec_id", "score")
+    clusters = D.seed_clusters(t.embeddings.select(F.col("vec_id").alias("v")), edges, 3, _checkpoint(t.spark))
+    return clusters.select("seed", F.col("member").alias("vec_id"), "score")
 
 
 @query(
