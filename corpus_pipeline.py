@@ -36,7 +36,7 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts in none of the learned languages; a missing lang is filled in."""
-    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    model = langid.learn(docs)  # all labelled rows: the fold is of op8_langid alone
     found = langid.predict(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), names=("__lang", "__score"))
     if model.languages:
         found = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_KNOWN))

@@ -22,6 +22,7 @@ rows with a null doc_id come after all others and do not remove from each other.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,8 +256,8 @@ def repeated_names(names: np.ndarray, ids: np.ndarray, n: int, answers: dict[int
     return elsewhere[where] | (least[where] < ids)
 
 
-def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col, n_words, n_removed and kept (the words that stay, joined by one space)."""
+def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """Per row of docs: id_col, n_words, n_removed and kept (the words that stay, joined by one space); if keyed, also text_md5."""
     n = 2 * buckets(docs)
     corpus = pack(docs, id_col, text_col)
 
@@ -293,20 +294,26 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     pa.array(counts, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(texts, pa.binary()).cast(pa.string()),
+                    *([pa.array([hashlib.md5(t).hexdigest() for t in batch.texts()], pa.string())] if keyed else []),
                 ],
-                names=[id_col, "n_words", "n_removed", "kept"],
+                names=[id_col, "n_words", "n_removed", "kept", *(["text_md5"] if keyed else [])],
             )
 
     corpus = ask(corpus, (), keys, compare_keys, "shared")
     corpus = ask(corpus, ("shared",), names, compare_names, "earlier")
-    return corpus.mapInArrow(kept, f"`{id_col}` long, n_words long, n_removed long, kept string")
+    return corpus.mapInArrow(kept, f"`{id_col}` long, n_words long, n_removed long, kept string" + ", text_md5 string" * keyed)
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated words taken out of text_col; texts without any stay as they are, white space included."""
-    cut = removed_words(docs, id_col=id_col, text_col=text_col).where("n_removed > 0")
-    cut = cut.select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(cut.dropDuplicates(["__id"]), docs[id_col] == F.col("__id"), "left")
+    """docs with the repeated words taken out of text_col; texts without any stay as they are, white space included.
+
+    What is taken out of a row follows from its id and its text, so shortened texts come back by both: null ids and ids of
+    several texts included.
+    """
+    cut = removed_words(docs, id_col=id_col, text_col=text_col, keyed=True).where("n_removed > 0")
+    cut = cut.select(F.col(id_col).alias("__id"), F.col("text_md5").alias("__md5"), F.col("kept").alias("__kept"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.md5(docs[text_col].cast("binary")) == F.col("__md5"))
+    joined = docs.join(cut.dropDuplicates(["__id", "__md5"]), same, "left")
     return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(docs.columns)
 
 
