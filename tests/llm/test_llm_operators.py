@@ -211,6 +211,7 @@ def test_extract(spark):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 30)
+    monkeypatch.setattr(topk, "HOME", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
     monkeypatch.setattr(topk, "BLOCK", 4)
     rng = np.random.default_rng(1)
@@ -226,6 +227,38 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_top(rows, k):
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    ints = sorted({(i, tuple(clamp(int(np.floor(64.0 * x))) for x in v)) for i, v in rows})
+    out = []
+    for q, a in (r for r in ints if r[0] % 20 == 0):
+        scores = sorted((-clamp(sum(x * y for x, y in zip(a, v))), i) for i, v in ints if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("largest", [1e6, 1e7, 1e16, 1e30])
+def test_top_k_of_large_components(spark, monkeypatch, largest):
+    """Sums beyond doubles, beyond 64 bits, and components beyond 64 bits."""
+    monkeypatch.setattr(topk, "HOME", 30)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.uniform(-largest, largest, size=64)]) for i in range(60)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in found) == brute_top(rows, 20)
+    assert len(found) == 60
+
+
+@pytest.mark.parametrize("chain", [1, 64])
+def test_top_k_of_equal_vectors(spark, monkeypatch, chain):
+    for name, value in (("HOME", 50), ("CANDIDATES", 16), ("BLOCK", 4), ("QUERIES", 3), ("CHAIN", chain)):
+        monkeypatch.setattr(topk, name, value)
+    same = [(i, [0.5, -0.25, 1.0]) for i in range(300)] + [(i, [0.0, 0.0, 0.0]) for i in range(300, 340)] + [(i, [-1.0, 0.5, 3.0 * i]) for i in range(340, 362)]
+    docs = spark.createDataFrame([(i, v, "x", "y") for i, v in same], "vec_id long, embedding array<double>, vector string, part string")
+    found = topk.top_k(docs, F.col("vec_id") % 20 == 0, k=7).collect()
+    assert sorted(tuple(r) for r in found) == brute_top(same, 7)
+
+
 # language, quality
 
 
