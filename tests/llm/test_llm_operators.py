@@ -297,6 +297,43 @@ def test_quality_odd_texts(spark, odd):
     rows = quality.score(docs, quality.learn(docs, labels)).collect()
     assert len(rows) == len(odd) and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.score(docs, quality.learn(docs, labels.limit(0))).collect()} == {0.5}
+    assert quality.score(docs.limit(0), quality.learn(docs, labels)).count() == 0
+    assert {r.score for r in quality.score(docs, quality.learn(docs.limit(0), labels)).collect()} == {0.5}
+    clashing = docs.withColumn("key", F.lit("own")).withColumn("id", F.lit("own")).withColumn("score", F.lit("own"))
+    assert quality.score(clashing, quality.learn(clashing, labels)).count() == len(odd)
+
+
+def test_quality_samples_hold_an_id_once(spark):
+    docs = spark.createDataFrame([(7, f"copy {i}") for i in range(1000)] + [(i, f"text {i}") for i in range(8, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] * 1000 + [(8, 1), (9, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.samples(docs, labels).groupBy("key", "id").count().collect()
+    assert {r["count"] for r in rows} == {1}
+    assert sorted(r.id for r in rows if r.key == 1) == [7, 8] and len(rows) == 2 + 53
+    assert quality.samples(docs, labels, positives=1, unlabelled=10).count() == 11
+
+
+def test_quality_risk_and_prior():
+    """The risk against sums written out, its slope against differences, the decision against all cuts, and the prior of known mixtures."""
+    rng = np.random.default_rng(4)
+    p, u, prior = rng.normal(1, 1, 40), rng.normal(0, 1, 60), 0.4
+    loss = lambda z: np.log(1 + np.exp(-z))
+    first, second = quality.non_negative_risk(p, u, prior)
+    assert np.isclose(first, prior * sum(map(loss, p)) / 40)
+    assert np.isclose(second, sum(loss(-z) for z in u) / 60 - prior * sum(loss(-z) for z in p) / 40)
+    zero_one = lambda c: prior * np.mean(p < c) + max(0, np.mean(u >= c) - prior * np.mean(p >= c))
+    assert np.isclose(zero_one(quality.decision(p, u, prior)), min(map(zero_one, p)))
+
+    texts = lambda n, words: [" ".join(rng.choice(words, size=30)).encode() for _ in range(n)]
+    good, bad = [f"good{i}" for i in range(200)], [f"bad{i}" for i in range(200)]
+    hashes = quality._Hashes()
+    positive = quality.Rows.of(texts(600, good), hashes)
+    for share in (0.3, 0.8):
+        mixed = quality.Rows.of(texts(int(1500 * share), good) + texts(1500 - int(1500 * share), bad), hashes)
+        edges = np.quantile(mixed.style, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0).T
+        assert abs(quality.estimate_prior(quality.design(edges, positive), quality.design(edges, mixed)) - share) < 0.06
+        model = quality.fit(positive, mixed)
+        found = model.score(quality.Rows.of(texts(100, good) + texts(100, bad), hashes)) >= quality.THRESHOLD
+        assert found[:100].mean() > 0.95 and found[100:].mean() < 0.05
 
 
 # BPE
