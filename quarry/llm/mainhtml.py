@@ -2,15 +2,22 @@
 
 Every DOM node gets a link-adjusted number of characters per tag,
 
-    C / T * log_b(C * T / (LC * LT)),   b = ln(C * LC / (C - LC) + C * LC_body / C_body + e),
+    C / T * log_b(C * T / (LC * LT)),   b = ln(C * LC / (C - LC) + C * LC_body / C_body + e), 2 at least,
 
-with C its characters, T its tags, LC and LT those in links (0 counts as 1). A node's density sum adds up its children's
-densities; the node with the largest sum is the centre of the article. The smallest density on its path to the body is the
-threshold: beside the centre's article (or the centre itself), other subtrees that reach it are kept as well where the page
-marks no article, and so are headings and short prose in the elements around the centre. Elements that are never article text by their tag, role, class or id are left out beforehand.
+with C its characters, T its tags, LC and LT those in links (0 counts as 1). Text that stands directly in a node counts as a child
+of its own. A node's density sum adds up the densities of its children; the subtree with the largest sum is the article's
+centre, and is taken whole, whatever its classes and links. The smallest density on its path to the body is the threshold. Beside
+the path, a subtree is taken if its density reaches NEAR of the threshold; below that, the markup settles close cases: headings,
+prose in a wrapper of the centre, and what stands in the same <article> are taken unless most of their characters are links.
+
+Left out before anything is counted: elements that are no article text by their tag or role, hidden ones, and those with a class
+or id whose head word (the last one that says more than a place or a shape: the second of `post-comments-list`) names menus,
+headers, footers, sidebars, notices, adverts, forms or reader comments. Roles, classes and forms are not believed of an element
+that holds the page's <h1> or <main>. Time and memory grow with the length of the page, at any depth of nesting.
 
 Defined results: null, empty and wordless pages give the empty string; unclosed tags, comments and quotes run to the end of the
-page; repeated rows are extracted row by row; other columns of the input are ignored.
+page; end tags without a start are ignored; very long pages are read whole, one at a time; repeated rows are extracted row by row;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,21 +46,25 @@ OUTSIDE = frozenset(
     " embed svg canvas audio video noembed noframes dialog menu".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: Head words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 MARKS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner"
     " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar"
-    " sidebar aside rail widget widgets related recommended share sharing social"
+    " sidebar aside rail widget widgets related recommended share sharing social buttons"
     " header masthead footer colophon copyright"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall login signup"
     " form search searchform"
     " comment comments commentlist disqus respond reply replies discussion".split()
 )
+#: Words of a place or a shape, which are never the head word.
+SHAPES = frozenset("list box section container wrapper wrap block area inner outer left right top bottom item items unit slot panel row col".split())
 #: Words that make a header part of the article.
 OWN = frozenset("article entry post story content page title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 NEVER_MARKED = frozenset("html body main article".split())
+#: The share of the threshold from which a subtree beside the centre's path is article text, whatever its markup.
+NEAR = 0.25
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)"
@@ -79,51 +91,72 @@ _P_SCOPE = frozenset("table td th button object caption html body li article sec
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "link", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "mark", "out", "link", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, mark: str):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.parts: list = []  # child nodes and strings
         self.link = tag == "a" or (parent is not None and parent.link)
+        self.out = self.holds = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _outside(tag: str, attrs: str, parent: Node) -> bool:
-    """True if an element, by its own tag and attributes, holds no article text."""
+def head_word(name: str) -> tuple[str, set[str]]:
+    """The head word of a class or id, and all of its words."""
+    words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+    says = [w for w in words if w not in SHAPES]
+    return (says[-1] if says else ""), set(words)
+
+
+def _mark(tag: str, attrs: str, parent: Node) -> str:
+    """Why an element, by its own tag and attributes, holds no article text: "sure", "claimed", or "" if nothing says so."""
+    if tag == "form":
+        return "claimed"
     if tag in OUTSIDE:
-        return True
-    within = parent
+        return "sure"
     if tag == "header":
-        while within is not None and within.tag != "article":
+        within = parent
+        while within is not None and within.tag not in ("article", "main"):
             within = within.parent
         if within is None:
-            return True
+            return "sure"
     if not attrs or tag in NEVER_MARKED:
-        return False
+        return ""
     found = {m[0].lower(): next((v for v in m[1:] if v), "") for m in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return "sure"
     if found.get("role", "").lower() in ROLES:
-        return True
+        return "claimed"
     for name in (found.get("id", ""), *found.get("class", "").split()):
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if words & MARKS and not (words & MARKS <= {"header"} and words & OWN):
-            return True
-    return False
+        head, words = head_word(name)
+        if head in MARKS and not (head == "header" and words & OWN):
+            return "claimed"
+    return ""
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes, parents before children."""
-    root = at = Node("#root", None, False)
+    root = at = Node("#root", None, "")
     nodes, pos, end = [root], 0, len(page)
+    open_tags: Counter = Counter()
 
-    def close(names: set | frozenset, scope: set | frozenset) -> None:
+    def leave(node: Node) -> None:
+        """Closes all open elements up to and with node."""
         nonlocal at
+        while at is not node:
+            open_tags[at.tag] -= 1
+            at = at.parent
+        open_tags[at.tag] -= 1
+        at = at.parent
+
+    def close(names: set | frozenset, scope: set | frozenset) -> None:
+        if not any(open_tags[name] > 0 for name in names):
+            return
         node = at
         while node.parent is not None and node.tag not in scope:
             if node.tag in names:
-                at = node.parent
+                leave(node)
                 return
             node = node.parent
 
@@ -137,18 +170,18 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         pos = m.end()
         if name := m["end"]:
             name = name.lower()
-            node = at
-            while node is not root and node.tag != name:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if open_tags[name] > 0:
+                node = at
+                while node.tag != name:
+                    node = node.parent
+                leave(node)
         elif name := m["start"] or m["odd"]:
             name, attrs = name.lower(), m["attrs"] or m["rest"] or ""
             if name in BLOCKS and name not in ("html", "body"):
                 close({"p"}, _P_SCOPE)
             if name in _CLOSES:
                 close(*_CLOSES[name])
-            node = Node(name, at, at.out or _outside(name, attrs, at))
+            node = Node(name, at, _mark(name, attrs, at))
             at.parts.append(node)
             nodes.append(node)
             if name in RAW:
@@ -158,42 +191,55 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 pos = stop.end() if stop else end
             elif name not in VOID and not attrs.endswith("/"):
                 at = node
+                open_tags[name] += 1
     return root, nodes
 
 
-def _weigh(nodes: list[Node]) -> None:
-    """Counts of every node, then its density and the sum of its children's."""
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Link-adjusted characters per tag. ratio: the share of link characters of the whole body."""
+    if not chars:
+        return 0.0
+    t = max(1, tags)
+    adjusted = math.log(max(1.0, chars * t / (max(1, link_chars) * max(1, link_tags))))
+    base = math.log(chars * link_chars / max(1, chars - link_chars) + ratio * chars + math.e)
+    return chars / t * adjusted / math.log(max(2.0, base))
+
+
+def weigh(nodes: list[Node]) -> None:
+    """What is left out, then counts, density and density sum of every other node."""
     for node in reversed(nodes):
-        own = sum(len("".join(s.split())) for s in node.parts if isinstance(s, str))
-        node.chars += own
-        if node.link:
-            node.link_chars += own
         if node.parent is not None:
-            up = node.parent
+            node.parent.holds |= node.holds or node.tag in ("h1", "main")
+    for node in nodes:
+        node.out = (node.parent is not None and node.parent.out) or node.mark == "sure" or (node.mark == "claimed" and not node.holds)
+    own: list[int] = [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        node = nodes[k]
+        if node.out:
+            continue
+        own[k] = sum(len("".join(s.split())) for s in node.parts if isinstance(s, str))
+        node.chars += own[k]
+        if node.link:
+            node.link_chars += own[k]
+        if (up := node.parent) is not None:
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
-        node.total = float(own)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     ratio = body.link_chars / max(1, body.chars)
-    for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            base = math.log(c * node.link_chars / max(1, c - node.link_chars) + ratio * c + math.e)
-            adjusted = math.log(max(1.0, c * t / (lc * lt)))
-            node.density = c / t * (adjusted / math.log(base) if base > 1.0000001 else adjusted)
-        if node.parent is not None and not node.out:
+    for k in range(len(nodes) - 1, -1, -1):
+        node = nodes[k]
+        if node.out:
+            continue
+        node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+        node.total += composite_density(own[k], 1, own[k] * node.link, int(node.link), ratio)
+        if node.parent is not None:
             node.parent.total += node.density
 
 
-def _menu(node: Node) -> bool:
-    """Three links or more that hold nearly all of the characters."""
-    return node.link_tags >= 3 and node.link_chars > 0.8 * node.chars
-
-
-def _blocks(node: Node, keep: set[int] | None) -> list[str]:
-    """The blocks of text below node in page order; keep: ids of the subtrees to take, or all of them."""
+def _blocks(top: Node, taken: set[int], texts: set[int]) -> list[str]:
+    """The blocks of text below top in page order. taken: the subtrees to take; texts: nodes whose own strings are taken."""
     out: list[str] = []
     run: list[str] = []
 
@@ -202,49 +248,58 @@ def _blocks(node: Node, keep: set[int] | None) -> list[str]:
             out.append(text)
         run.clear()
 
-    work: list = [(node, keep is None)]
+    work: list = [(top, False)]
     while work:
-        item, taken = work.pop()
+        item, inside = work.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
-            if taken:
+            if inside:
                 run.append(item)
-        elif not item.out and not _menu(item):
-            taken = taken or id(item) in keep
+        elif not item.out:
+            inside = inside or id(item) in taken
             if item.tag in BLOCKS:
                 flush()
-                work.append((None, taken))
+                work.append((None, inside))
             elif item.tag in ("br", "td", "th"):
                 run.append(" ")
-            work += [(part, taken) for part in reversed(item.parts)]
+            strings = inside or id(item) in texts
+            work += [(part, strings if isinstance(part, str) else inside) for part in reversed(item.parts)]
     flush()
     return out
 
 
+def centre_of(nodes: list[Node]) -> Node | None:
+    """The node with the largest density sum; of equal ones the first in page order."""
+    return max((n for n in nodes if not n.out and n.chars), key=lambda n: n.total, default=None)
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, one a line."""
     if not page:
         return ""
     _, nodes = parse(page)
-    _weigh(nodes)
-    centre = max((n for n in nodes if not n.out and n.chars), key=lambda n: n.total, default=None)
+    weigh(nodes)
+    centre = centre_of(nodes)
     if centre is None:
         return ""
     path = [centre]
     while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
-    article = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if article is not None:
-        return "\n".join(_blocks(article, None))
-    threshold = min(n.density for n in path)
-    on_path = set(map(id, path))
-    beside = {id(n) for n in nodes if n.tag in BLOCKS and id(n) not in on_path and n.density >= threshold} | {id(centre)}
-    for node in path[1:]:  # short blocks around the centre: prose in its wrappers, headings up to the body
+    near = NEAR * min(n.density for n in path)
+    own = next((i for i, n in enumerate(path) if n.tag == "article"), 0)  # the centre's article, if it is in one
+    taken, texts, on_path = {id(centre)}, set(), set(map(id, path))
+    for i, node in enumerate(path[1:], 1):
         for child in node.parts:
-            if isinstance(child, Node) and child.link_chars * 2 <= child.chars and (child.tag in HEADINGS or (child.tag in PROSE and node is not path[-1])):
-                beside.add(id(child))
-    return "\n".join(_blocks(path[-1], beside))
+            if isinstance(child, str):
+                n = len("".join(child.split()))
+                if i <= own or composite_density(n, 1, n * node.link, int(node.link), 0.0) >= near:
+                    texts.add(id(node))
+            elif id(child) not in on_path and not child.out:
+                close_case = child.tag in HEADINGS or i <= own or (child.tag in PROSE and node is not path[-1])
+                if child.density >= near or (close_case and 2 * child.link_chars <= child.chars):
+                    taken.add(id(child))
+    return "\n".join(_blocks(path[-1], taken, texts))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -199,11 +199,93 @@ def test_main_text():
     assert mainhtml.main_text(f"<body><div class=menu>x y z</div><div><h2>Head line of it</h2><div>{body}</div></div></body>").count("\n") == 5
 
 
+def plain_sums(page):
+    """Density sums by a second, recursive way: a list of (tag, density, sum) of the nodes that are not left out."""
+    import math
+
+    root, nodes = mainhtml.parse(page)
+    mainhtml.weigh(nodes)  # for what is left out
+    bare = lambda s: len("".join(s.split()))
+    kids = lambda n: [c for c in n.parts if not isinstance(c, str) and not c.out]
+    below = lambda n: [d for c in kids(n) for d in (c, *below(c))]
+    text = lambda n: sum(bare(c) for c in n.parts if isinstance(c, str))
+    linked = lambda n: any(up.tag == "a" for up in chain(n))
+    chain = lambda n: [n, *chain(n.parent)] if n.parent is not None else [n]
+    chars = lambda n: sum(map(text, (n, *below(n))))
+    in_links = lambda n: sum(text(d) for d in (n, *below(n)) if linked(d))
+    body = next((n for n in nodes if n.tag == "body"), root)
+    ratio = in_links(body) / max(1, chars(body))
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0
+        base = max(2, math.log(c * lc / max(1, c - lc) + ratio * c + math.e))
+        return c / max(1, t) * math.log(max(1, c * max(1, t) / (max(1, lc) * max(1, lt))), base)
+
+    of = lambda n: density(chars(n), len(below(n)), in_links(n), sum(d.tag == "a" for d in below(n)))
+    out = []
+    for n in nodes:
+        if not n.out:
+            own = density(text(n), 1, text(n) * linked(n), int(linked(n)))
+            out.append((n, of(n), own + sum(map(of, kids(n)))))
+    return out
+
+
+PROSE = " ".join(f"Sentence number {i} of this text says something at some length." for i in range(12))
+
+
+def test_density_sums(spark):
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").where("html is not null").orderBy("page_id").limit(12).collect()]
+    pages += [PAGE, f"<body><div>{PROSE}<a href=x>link one</a></div><ul><li><a>a</a><li><a>bb</a></ul></body>", "only text", "<p>a<p>b</p></div></x>"]
+    for page in pages:
+        sums = plain_sums(page[:20000])
+        for node, density, total in sums:
+            assert np.isclose(node.density, density) and np.isclose(node.total, total)
+        best = max(total for _, _, total in sums)
+        _, nodes = mainhtml.parse(page[:20000])
+        mainhtml.weigh(nodes)
+        assert np.isclose(mainhtml.centre_of(nodes).total, best)
+
+
+def test_nothing_of_the_centre_is_lost():
+    links = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(3))
+    table = '<div class="share-price-table"><table><tr><td>12.5</td><td>13.5</td></tr></table></div>'
+    found = '<div class="search-results-text">Four results were found.</div>'
+    body = f"<h1>Head</h1><p>{PROSE}</p>{table}<p>{PROSE}</p>{found}<ul>{links}</ul>"
+    expected = ["Head", PROSE, "12.5 13.5", PROSE, "Four results were found.", "Reference 0", "Reference 1", "Reference 2"]
+    menu = "<nav><ul>" + links + "</ul></nav>"
+    for page in (
+        f"<body>{menu}<article>{body}</article><footer>Us</footer></body>",
+        f'<body>{menu}<div id="content">{body}</div><div class="site-footer">Us</div></body>',
+        f'<body><div class="page-with-sidebar"><form>{menu}<main>{body}</main></form></div></body>',
+        f'<body>{menu}{body}<div class="post-comments-list"><p>I disagree with all of it.</p></div></body>',
+    ):
+        assert mainhtml.main_text(page).split("\n") == expected
+
+
+def test_pages_without_article_markup():
+    """Density finds the text; a list of links and a short unmarked notice beside it stay out, a second section comes in."""
+    links = "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(20))
+    sections = f"<div><h2>One</h2><p>{PROSE}</p><p>{PROSE}</p></div><div><h2>Two</h2><p>{PROSE}</p></div>"
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><div>{sections}</div></div><div><span>Top</span></div></body>"
+    assert mainhtml.main_text(page).split("\n") == ["Title", "One", PROSE, PROSE, "Two", PROSE]
+    assert mainhtml.main_text(f"<div>{PROSE}<br><br>{PROSE}</div><div><a href=x>back</a></div>") == f"{PROSE} {PROSE}"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     rows = mainhtml.extract(pages).collect()
     assert sorted(r.n_chars for r in rows) == sorted([0, 0, *[len(mainhtml.main_text(PAGE))] * 2])
     assert mainhtml.extract(pages.limit(0)).count() == 0
+    clashing = pages.selectExpr("*", "'own' as id", "'own' as text", "'own' as n_chars")
+    assert mainhtml.extract(clashing).columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(r.text for r in mainhtml.extract(clashing).collect()) == sorted(r.text for r in rows)
+
+
+def test_deep_and_long_pages():
+    assert mainhtml.main_text("<div>" * 30000 + "deep" + "</b></p></x>" * 30000) == "deep"
+    assert mainhtml.main_text("<b>" * 20000 + "".join(f"<p>{i} x" for i in range(3000))).count("\n") == 2999
+    assert len(mainhtml.main_text(f"<p>{PROSE * 2000}</p>")) == len(PROSE * 2000)
 
 
 # top k
