@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session has none, as in tests."""
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder.
+
+    On a cluster one of them has to be set. In a local session, whose tasks see the driver's folders, a temporary one will do.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return context.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -32,13 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Folders that this process has written to the shared folder, in order.
+#: Folders that this process has written to the shared folder, in order, and the catalog's tables over them.
 WRITTEN: list[str] = []
+TABLES: dict[str, str] = {}
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes folders written by stored() or pack() that no later job reads."""
+    """Deletes folders written by stored() or pack() that no later job reads, and the tables over them."""
     for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS `{TABLES.pop(path)}`") if path in TABLES else None
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         if path in WRITTEN:

@@ -7,9 +7,11 @@ and answers each list with a packed list of the same order. Positions never trav
 from its text and reads the answers beside them.
 
 A fingerprint that stands in very many documents is one entry per batch, so no bucket holds more than the number of batches
-of it. Buckets are a hash of the fingerprint; their number follows spark.sql.shuffle.partitions, their size the input.
+of it. Buckets are a hash of the fingerprint. Their number follows the packed bytes (one for BUCKET_BYTES of text, and enough to
+keep all tasks busy), so a bucket's size does not grow with the input.
 
-The packed batches are written once, bucketed by batch, so that joining answers to texts moves the answers only.
+The packed batches are written once, bucketed by batch, so that joining answers to texts moves the answers only. They are a table of
+the session's catalog, as Spark writes buckets for tables only; `discard` drops it with its files.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WRITTEN, shared_dir, slices, stored
+from quarry.llm.common import TABLES, WRITTEN, shared_dir, slices, stored
 
 BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 #: Rows without an id are later than every other row.
 NO_ID = np.iinfo(np.int64).max
 
-_PACKED = "batch long, ids binary, sizes binary, body binary"
+_PACKED = "batch long, n_bytes long, ids binary, sizes binary, body binary"
 
 
 @dataclass
@@ -57,6 +60,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "batch": pa.array([(TaskContext.get().partitionId() << 32) | seq], pa.int64()),
+                    "n_bytes": pa.array([sum(map(len, bodies))], pa.int64()),
                     "ids": pa.array([ids.tobytes()], pa.binary()),
                     "sizes": pa.array([np.array([len(b) for b in bodies], dtype="<i8").tobytes()], pa.binary()),
                     "body": pa.array([b"".join(bodies)], pa.binary()),
@@ -68,11 +72,18 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = f"quarry_batches_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     WRITTEN.append(path)
+    TABLES[path] = name
     packed = rows.mapInArrow(run, _PACKED).write.option("path", path)
     packed.option("compression", "zstd").bucketBy(buckets(docs), "batch").saveAsTable(name)
     return spark.table(name)
 
 
+def bucket_count(corpus: DataFrame) -> int:
+    """The number of buckets for a packed corpus."""
+    total = corpus.agg(F.sum("n_bytes")).first()[0] or 0
+    return max(2 * buckets(corpus), -(-total // BUCKET_BYTES))
+
+
 def buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,12 +102,12 @@ def ask(
     corpus: DataFrame,
     answers: tuple[str, ...],
     entries: Callable[..., Iterator[tuple[int, bytes]]],
-    compare: Callable[[list[bytes]], list[bytes]],
+    compare: Callable[[list[bytes], int], list[bytes]],
     name: str,
 ) -> DataFrame:
     """corpus with one more column of answers.
 
-    entries(batch, *answers) gives (bucket, packed list) pairs; compare gets the lists of one bucket and answers each.
+    entries(batch, *answers) gives (bucket, packed list) pairs; compare gets the lists of one bucket, and its number, and answers each.
     """
 
     def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,7 @@ def ask(
             )
 
     def answer(lists: pa.Table) -> pa.Table:
-        replies = compare(lists.column("data").to_pylist())
+        replies = compare(lists.column("data").to_pylist(), lists.column("bucket")[0].as_py())
         return pa.table({"batch": lists.column("batch"), "bucket": lists.column("bucket"), "answer": pa.array(replies, pa.binary())})
 
     sent = corpus.mapInArrow(send, "batch long, bucket int, data binary")

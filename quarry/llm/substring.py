@@ -299,8 +299,8 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 names=[id_col, "n_words", "n_removed", "kept", *(["text_md5"] if keyed else [])],
             )
 
-    corpus = ask(corpus, (), keys, compare_keys, "shared")
-    corpus = ask(corpus, ("shared",), names, compare_names, "earlier")
+    corpus = ask(corpus, (), keys, lambda lists, _: compare_keys(lists), "shared")
+    corpus = ask(corpus, ("shared",), names, lambda lists, _: compare_names(lists), "earlier")
     return corpus.mapInArrow(kept, f"`{id_col}` long, n_words long, n_removed long, kept string" + ", text_md5 string" * keyed)
 
 

@@ -1,21 +1,23 @@
-"""Exact substring dedup over bytes with suffix order and longest previous factors; the first copy stays.
+"""Exact substring dedup over bytes with longest previous factors in suffix order; the first copy stays.
 
 A byte is removed if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 
 * Candidates. Each window of 50 bytes is known by the smallest hash among its 20-byte pieces; equal windows have the same one.
-  A first exchange between batches finds the hashes that stand in more than one document; all other windows are unique.
+  A first exchange between batches finds the hashes that stand in more than one document; all other windows are unique. Hashes
+  only choose candidates, all that follows compares bytes.
 * Suffix order. Neighbouring windows with the same hash form a segment. Segments go to the bucket of their hash, where all
-  suffixes that begin in them are sorted, cut at 50 bytes, with the smaller doc_id first among equals. In this order the longest
-  previous factor of a suffix is the longer of its common prefixes with the previous and the next suffix of a smaller doc_id.
-  It reaches 50 just if the run of equal suffixes around it begins with a smaller doc_id: then that previous smaller position
-  is in the run, and no nearer one can be missed. The bucket answers one bit for each suffix.
-* Frequent hashes, found in HEAVY batches or more, may stand beside different text each time. Their windows go out by a 96-bit
-  name of all 50 bytes instead, so they spread over all buckets and no bucket holds more than one entry a batch of any.
+  suffixes that begin in them are sorted, by 50 bytes and then by doc_id. The common prefixes of neighbours give, for each suffix, those with
+  the previous and the next suffix of a smaller doc_id: the longer one is its longest previous factor. (Lengths count up to 50,
+  the contract asks for no more, and are not followed below it.) A window is removed if its factor reaches 50.
+* Frequent hashes, with HEAVY windows or more in all batches together, may stand beside different text each time. Their windows
+  go out one by one, each to the bucket of a hash of its own 50 bytes, so no bucket holds more than HEAVY windows for a hash.
 
-A batch holds equal segments and equal windows once, with their smallest doc_id, so copies cost the exchange nothing.
+A batch sends equal segments once, with their smallest doc_id, so copies cost the exchange nothing; a bucket sorts equal segments
+of several batches once. The number of buckets follows the input (`repeats.py`).
 
 Defined results: null and empty texts have no bytes; rows with the same doc_id do not remove from each other; rows with a null
-doc_id come after all others and do not remove from each other. kept may end inside a character.
+doc_id come after all others and do not remove from each other; a text longer than a batch is a batch of its own, read whole; an
+empty table gives no rows; other columns, whatever their names, are not read. kept may end inside a character.
 """
 
 from __future__ import annotations
@@ -28,24 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
-from quarry.llm.repeats import NO_ID, Batch, ask, batches_of, buckets, covered, mix, named, pack, sliding_least
-from quarry.llm.substring import (
-    _NAME,
-    _split,
-    compare_keys,
-    compare_names,
-    first_docs,
-    read_bits,
-    repeated_names,
-    send_keys,
-    send_names,
-    several,
-)
+from quarry.llm.repeats import NO_ID, Batch, ask, batches_of, bucket_count, bucket_of, covered, mix, named, pack, sliding_least
 
 WINDOW = 50
 PIECE = 20
 SPAN = WINDOW - PIECE + 1
-HEAVY = 64
+HEAVY = 1 << 16
+#: The lowest bits of a hash make room for a flag and the size of its windows in a batch, a power of two.
+_SIZE_BITS = 5
+_LOW = np.uint64((1 << (1 + _SIZE_BITS)) - 1)
 
 _BYTES = mix(np.arange(256, dtype=np.uint64), 1)
 _STEP = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 4: 0x165667B19E3779F9, 8: 0x27D4EB2F165667C5, 16: 0x85EBCA77C2B2AE63}
@@ -59,6 +52,8 @@ def _double(x: np.ndarray, width: int) -> np.ndarray:
 
 
 CHUNK = 1 << 15
+#: The smallest 64-bit numbers of one byte, of two, ...
+_BYTE_STEPS = np.left_shift(np.uint64(1), np.arange(0, 64, 8, dtype=np.uint64))
 
 
 def window_keys(data: np.ndarray) -> np.ndarray:
@@ -93,83 +88,137 @@ class Windows:
         doc = np.searchsorted(ends, start, side="right")
         inside = start + WINDOW <= ends[doc] if len(start) else np.zeros(0, bool)
         self.start, self.count, self.doc = start[inside], count[inside], doc[inside]
-        self.keys = keys[self.start] & ~np.uint64(1)
-
-    def names(self, at: np.ndarray) -> np.ndarray:
-        """96-bit names of the windows that start at these bytes."""
-        out = np.zeros(len(at), dtype=_NAME)
-        if len(at):
-            rows = np.zeros((len(at), -(-WINDOW // 8) * 8), dtype=np.uint8)
-            rows[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(self.data, WINDOW)[at]
-            parts = rows.view("<u8")
-            a, b = mix(parts[:, 0], 40), mix(parts[:, 0], 60)
-            for k in range(1, parts.shape[1]):
-                a, b = named(a, parts[:, k], 40 + 2 * k), named(mix(b, 60 + k), parts[:, k], 80 + 2 * k)
-            out["a"], out["b"] = a, (b >> np.uint64(32)).astype(np.uint32)
-        return out
+        self.keys = keys[self.start] & ~_LOW
+
+    def sent_keys(self, n: int) -> Iterator[tuple[int, bytes]]:
+        """The batch's keys by bucket, each once; the low bits say if several documents have it, and how many windows (equal runs
+        counted once)."""
+        unique, many, size = self.distinct_keys()
+        entry = unique | many.astype(np.uint64) | (size << np.uint64(1))
+        for bucket, part in by_bucket(bucket_of(unique, n)):
+            yield bucket, entry[part].astype("<u8").tobytes()
+
+    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return self.keys, np.zeros(0, bool), np.zeros(0, np.uint64)
+        eight = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.batch.body, strides=(1,))
+        looks = mix(eight[self.start], 5) + self.count.astype(np.uint64)  # tells runs apart well enough to count them
+        order = np.lexsort((looks, self.keys))
+        keys, looks, doc, count = self.keys[order], looks[order], self.doc[order], self.count[order]
+        new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+        new = new_key | np.concatenate([[True], looks[1:] != looks[:-1]])
+        first = np.flatnonzero(new_key)
+        windows = np.add.reduceat(np.where(new, count, 0), first)
+        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        return keys[first], many, np.ceil(np.log2(windows)).astype(np.uint64)
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions by bucket, in the order they have."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
+def compare_keys(lists: list[bytes], _bucket: int) -> list[bytes]:
+    """For each list a bit per key: does it stand in more than one document? Then a bit: has it HEAVY windows?"""
+    cuts = np.cumsum([len(x) // 8 for x in lists])[:-1]
+    entries = np.frombuffer(b"".join(lists), "<u8")
+    keys, many = entries & ~_LOW, (entries & np.uint64(1)).astype(bool)
+    size = np.left_shift(np.int64(1), ((entries & _LOW) >> np.uint64(1)).astype(np.int64))
+    unique, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = n > 1
+    np.logical_or.at(shared, at, many)
+    heavy = np.bincount(at, size, minlength=len(unique)) >= HEAVY
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared[at], cuts), np.split(heavy[at], cuts))]
+
+
+def equal_rows(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 64-bit words: the row with the smallest `least` of each group of equal rows, and the group of each row.
+
+    Rows are put in order by a hash, but only rows with the same words are one group.
+    """
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name = mix(rows[:, 0], 11)
+    for k in range(1, rows.shape[1]):
+        name = named(name, rows[:, k], 20 + 2 * k)
+    order = np.lexsort((least, name))
+    new = np.ones(len(order), dtype=bool)
+    ordered = name[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1]) + 1
+    new[same] = (rows[order[same]] != rows[order[same - 1]]).any(axis=1)
+    where = np.empty(len(order), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return order[new], where
+
+
+def text_rows(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """The `size` bytes from each start as rows of 64-bit words, with the size as their last word."""
+    width = -(-most // 8) * 8
+    rows = np.zeros((len(start), width + 8), dtype=np.uint8)
+    if len(start):
+        padded = np.concatenate([data, np.zeros(width, np.uint8)])
+        rows[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+        rows[:, :width][np.arange(width)[None, :] >= size[:, None]] = 0
+    out = rows.view("<u8")
+    out[:, -1] = size
+    return out
 
 
 class Candidates:
-    """What a batch sends in the second exchange: segments of windows, and windows of frequent hashes."""
+    """What a batch sends in the second exchange: distinct segments of windows with shared hashes."""
 
     def __init__(self, windows: Windows, n: int, shared: dict[int, bytes]):
         keys, ids = windows.keys, windows.batch.ids
-        unique, _ = several(keys, windows.doc)
+        unique, _, _ = windows.distinct_keys()
+        some, many = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
+        for bucket, part in by_bucket(bucket_of(unique, n)):
+            if (answer := shared.get(bucket)) is not None:
+                bits = np.frombuffer(answer, np.uint8)
+                some[part] = np.unpackbits(bits, count=len(part)).astype(bool)
+                many[part] = np.unpackbits(bits[(len(part) + 7) // 8 :], count=len(part)).astype(bool)
         where = np.searchsorted(unique, keys)
-        some = read_bits(unique, n, shared)[where] if len(keys) else np.zeros(0, bool)
-        many = read_bits(unique, n, shared, second=True)[where] & some if len(keys) else np.zeros(0, bool)
-        self.heavy = _ranges(windows.start[many], windows.count[many])
-        self.heavy_names = windows.names(self.heavy)
-        self.heavy_ids = np.repeat(ids[windows.doc[many]], windows.count[many])
-
-        few = some & ~many
-        start, count, key, doc = windows.start[few], windows.count[few], keys[few], windows.doc[few]
-        if (count > SPAN).any():  # a longer run, of periodic text, is cut
-            pieces = -(-count // SPAN)
-            step = _ranges(np.zeros(len(pieces), np.int64), pieces) * SPAN
-            start, count = np.repeat(start, pieces) + step, np.minimum(np.repeat(count, pieces) - step, SPAN)
-            key, doc = np.repeat(key, pieces), np.repeat(doc, pieces)
-        self.start, self.count, self.key, self.id = start, count, key, ids[doc]
-        # a segment is known by its first and last window and its length
-        last = windows.names(self.start + self.count - 1)
-        name = windows.names(self.start)
-        name["a"] = named(name["a"], last["a"] + self.count.astype(np.uint64), 7)
-        name["b"] ^= last["b"]
-        self.unique, self.least, self.where = first_docs(name, self.id)
-        self.sample = np.zeros(len(self.unique), dtype=np.int64)
-        self.sample[self.where] = np.arange(len(self.start))
-
-    def segments(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Distinct segments by bucket, in an order that is the same each time."""
-        at = self.sample
-        yield from _split(self.key[at], n, lambda part: part) if len(at) else ()
+        used = some[where] if len(keys) else np.zeros(0, bool)
+        start, count, key, doc = windows.start[used], windows.count[used], keys[used], windows.doc[used]
+        # pieces of SPAN windows at most (runs of periodic text are longer), and of one window for frequent hashes
+        longest = np.where(many[where][used], 1, SPAN) if len(keys) else count
+        pieces = -(-count // longest) if len(count) else count
+        step = _ranges(np.zeros(len(pieces), np.int64), pieces) * np.repeat(longest, pieces)
+        self.start, self.count = np.repeat(start, pieces) + step, np.minimum(np.repeat(count, pieces) - step, np.repeat(longest, pieces))
+        self.id = ids[np.repeat(doc, pieces)]
+        rows = text_rows(windows.data, self.start, self.count + WINDOW - 1, SPAN + WINDOW - 1)
+        self.sample, self.where = equal_rows(rows, self.id)
+        # the bucket: of the hash, or of the window's own bytes
+        route = np.repeat(key, pieces)[self.sample]
+        alone = np.repeat(longest == 1, pieces)[self.sample]
+        if alone.any():
+            own = rows[self.sample[alone]]
+            name = own[:, 0]
+            for k in range(1, own.shape[1]):
+                name = named(name, own[:, k], 60 + 2 * k)
+            route[alone] = name
+        self.bucket = bucket_of(route, n)
+        self.least = self.id[self.sample]
 
     def sent(self, body: bytes, n: int) -> Iterator[tuple[int, bytes]]:
-        out: dict[int, list[bytes]] = {}
-        for bucket, part in self.segments(n):
+        for bucket, part in by_bucket(self.bucket):
             at = self.sample[part]
             texts = [body[a : a + c + WINDOW - 1] for a, c in zip(self.start[at].tolist(), self.count[at].tolist())]
             head = self.count[at].astype(np.uint8).tobytes() + self.least[part].astype("<i8").tobytes()
-            out[bucket] = [len(part).to_bytes(4, "little") + head + b"".join(texts), b""]
-        for bucket, data in send_names(self.heavy_names, self.heavy_ids, n):
-            out.setdefault(bucket, [(0).to_bytes(4, "little"), b""])[1] = data
-        for bucket, (segments, names) in out.items():
-            yield bucket, len(segments).to_bytes(4, "little") + segments + names
+            yield bucket, len(part).to_bytes(4, "little") + head + b"".join(texts)
 
     def removed(self, n: int, answers: dict[int, bytes]) -> np.ndarray:
         """The starts of all windows that a document with a smaller id has too."""
-        offset = np.concatenate([[0], np.cumsum(self.count[self.sample])]).astype(np.int64)
+        count = self.count[self.sample]
+        offset = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         bits = np.zeros(offset[-1], dtype=bool)
-        for bucket, part in self.segments(n):
-            answer = answers[bucket]
-            size = int(self.count[self.sample[part]].sum())
-            found = np.unpackbits(np.frombuffer(answer, np.uint8, (size + 7) // 8, 4), count=size).astype(bool)
-            bits[_ranges(offset[part], self.count[self.sample[part]])] = found
-        mine = _ranges(self.start, self.count)
+        for bucket, part in by_bucket(self.bucket):
+            size = int(count[part].sum())
+            bits[_ranges(offset[part], count[part])] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=size).astype(bool)
         gone = bits[_ranges(offset[self.where], self.count)] | np.repeat(self.id > self.least[self.where], self.count)
-        names = {k: a[4 + int.from_bytes(a[:4], "little") :] for k, a in answers.items()}
-        heavy = repeated_names(self.heavy_names, self.heavy_ids, n, names)
-        return np.concatenate([mine[gone], self.heavy[heavy]])
+        return _ranges(self.start, self.count)[gone]
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -180,10 +229,8 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(first, count)
 
 
-def earlier_suffixes(text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """True for each suffix whose longest previous factor, among suffixes of smaller ids, has WINDOW bytes or more."""
-    if not len(starts):
-        return np.zeros(0, dtype=bool)
+def suffix_order(text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes by their first WINDOW bytes and then by id, and how many bytes each shares with the one before it."""
     words = -(-WINDOW // 8)
     padded = np.concatenate([text, np.zeros(8 * words, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, 8 * words)[starts]
@@ -191,69 +238,70 @@ def earlier_suffixes(text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> n
     prefix = rows.view(">u8").astype(np.uint64)
     order = np.lexsort((ids, *prefix.T[::-1]))
     ordered = prefix[order]
-    begins = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])  # common prefix with the one before < WINDOW
-    smallest = ids[order][np.flatnonzero(begins)][np.cumsum(begins) - 1]
-    out = np.zeros(len(starts), dtype=bool)
-    out[order] = smallest < ids[order]
+    common = np.zeros(len(order), dtype=np.int64)
+    going = np.ones(max(0, len(order) - 1), dtype=bool)
+    for k in range(words):
+        odd = ordered[1:, k] ^ ordered[:-1, k]
+        common[1:] += np.where(going, 8 - np.searchsorted(_BYTE_STEPS, odd, side="right"), 0)
+        going &= odd == 0
+    return order, np.minimum(common, WINDOW)
+
+
+def longest_previous(order: np.ndarray, common: np.ndarray, ids: np.ndarray, least: int = WINDOW) -> np.ndarray:
+    """For each suffix the longest prefix that it shares with a suffix of a smaller id: its longest previous factor.
+
+    In suffix order it is shared with the previous or the next suffix of a smaller id. Both are found for all suffixes at once: each
+    points to its neighbour, and as long as that has no smaller id, on to where the neighbour points; the common prefix with the
+    suffix pointed to is the least on the way. Pointers with less than `least` in common are not followed further.
+    """
+    out = np.zeros(len(order), dtype=np.int64)
+    for turned in (False, True):
+        rank, shared = ids[order], common
+        if turned:  # the next smaller one is the previous one from behind
+            rank, shared = rank[::-1], np.concatenate([[0], common[:0:-1]])[: len(order)]
+        to, best = np.arange(-1, len(order) - 1), shared.copy()
+        while True:
+            at = np.flatnonzero((to >= 0) & (best >= least))
+            at = at[rank[to[at]] >= rank[at]]
+            if not len(at):
+                break
+            best[at], to[at] = np.minimum(best[at], best[to[at]]), to[to[at]]
+        best[to < 0] = 0
+        found = best[::-1] if turned else best
+        out[order] = np.maximum(out[order], found)
     return out
 
 
-def first_segments(text: np.ndarray, offset: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The segment with the smallest id of each group of equal ones, and the group of each segment."""
-    if not len(offset):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    most = -(-(SPAN + WINDOW - 1) // 8) * 8
-    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(most, np.uint8)]), most)[offset]
-    rows[np.arange(most)[None, :] >= size[:, None]] = 0
-    words = rows.view("<u8")
-    a, b = mix(size.astype(np.uint64), 11), mix(size.astype(np.uint64), 12)
-    for k in range(words.shape[1]):
-        a, b = named(a, words[:, k], 20 + 2 * k), named(mix(b, 50 + k), words[:, k], 100 + 2 * k)
-    order = np.lexsort((ids, b, a))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-    where = np.empty(len(order), dtype=np.int64)
-    where[order] = np.cumsum(new) - 1
-    return order[new], where
-
-
-def compare(lists: list[bytes]) -> list[bytes]:
-    """Answers the lists of one bucket: bits of the suffixes, then bits of the named windows."""
-    texts, counts, ids, sizes, names = [], [], [], [], []
+def compare(lists: list[bytes], _bucket: int) -> list[bytes]:
+    """Answers the lists of one bucket with a bit for each suffix: does its longest previous factor reach WINDOW?"""
+    texts, counts, ids = [], [], []
     for data in lists:
-        length = int.from_bytes(data[:4], "little")
-        k = int.from_bytes(data[4:8], "little")
-        count = np.frombuffer(data, np.uint8, k, 8).astype(np.int64)
-        counts.append(count)
-        ids.append(np.frombuffer(data, "<i8", k, 8 + k))
-        texts.append(data[8 + 9 * k : 4 + length])
-        sizes.append(int(count.sum()))
-        names.append(data[4 + length :])
+        k = int.from_bytes(data[:4], "little")
+        counts.append(np.frombuffer(data, np.uint8, k, 4).astype(np.int64))
+        ids.append(np.frombuffer(data, "<i8", k, 4 + k))
+        texts.append(data[4 + 9 * k :])
+    sizes = [int(x.sum()) for x in counts]
     count, text, every = np.concatenate(counts), np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(ids)
     size = count + WINDOW - 1
     offset = np.cumsum(size) - size
     # of equal segments only the one with the smallest id is sorted; the others are its copies
-    sample, where = first_segments(text, offset, size, every)
+    sample, where = equal_rows(text_rows(text, offset, size, SPAN + WINDOW - 1), every)
     starts = _ranges(offset[sample], count[sample])
-    found = earlier_suffixes(text, starts, np.repeat(every[sample], count[sample]))
+    owner = np.repeat(every[sample], count[sample])
+    order, common = suffix_order(text, starts, owner)
+    found = longest_previous(order, common, owner) >= WINDOW
     begin = np.cumsum(count[sample]) - count[sample]
-    bits = found[_ranges(begin[where], count)] if len(count) else found
-    bits |= np.repeat(every > every[sample][where], count) if len(count) else False
-    out = []
-    for x, y in zip(np.split(bits, np.cumsum(sizes)[:-1]), compare_names(names)):
-        packed = np.packbits(x).tobytes()
-        out.append(len(packed).to_bytes(4, "little") + packed + y)
-    return out
+    bits = found[_ranges(begin[where], count)] | np.repeat(every > every[sample][where], count)
+    return [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
 
 
 def removed_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    n = 2 * buckets(docs)
     corpus = pack(docs, id_col, text_col)
+    n = bucket_count(corpus)
 
     def keys(batch: Batch) -> Iterator[tuple[int, bytes]]:
-        windows = Windows(batch)
-        yield from send_keys(windows.keys, windows.doc, n)
+        yield from Windows(batch).sent_keys(n)
 
     def segments(batch: Batch, shared: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         yield from Candidates(Windows(batch), n, shared).sent(batch.body, n)
@@ -278,7 +326,7 @@ def removed_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    corpus = ask(corpus, (), keys, lambda lists: compare_keys(lists, HEAVY), "shared")
+    corpus = ask(corpus, (), keys, compare_keys, "shared")
     corpus = ask(corpus, ("shared",), segments, compare, "earlier")
     return corpus.mapInArrow(kept, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -167,7 +167,26 @@ def test_dedup_substrings_keeps_columns(spark, odd):
     assert {r.kept for r in out.collect()} == {"own"}
 
 
-@pytest.mark.parametrize("heavy", [64, 2])
+@pytest.mark.parametrize("least", [1, 4, 50])
+def test_longest_previous_factors(least):
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        text = rng.integers(97, 99, size=90).astype(np.uint8)
+        if rng.random() < 0.3:
+            text[:] = 97
+        starts = np.sort(rng.choice(41, size=20, replace=False))
+        ids = rng.integers(0, 6, size=20)
+        order, common = suffixdedup.suffix_order(text, starts, ids)
+        suffix = [bytes(text[a : a + 50]) for a in starts]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        shared = lambda a, b: next((k for k in range(50) if a[k] != b[k]), 50)
+        assert [0, *[shared(suffix[i], suffix[j]) for i, j in zip(order, order[1:])]] == common.tolist()
+        expected = [max((shared(a, b) for b, other in zip(suffix, ids) if other < own), default=0) for a, own in zip(suffix, ids)]
+        found = suffixdedup.longest_previous(order, common, ids, least).tolist()
+        assert all(f == e or (f < least and e < least) for f, e in zip(found, expected))
+
+
+@pytest.mark.parametrize("heavy", [1 << 16, 8])
 def test_suffix(spark, odd, small_batches, monkeypatch, heavy):
     monkeypatch.setattr(suffixdedup, "HEAVY", heavy)
     rows = suffixdedup.removed_bytes(documents(spark, odd)).collect()
