@@ -9,16 +9,22 @@
    Two sets of similarity 0.85 share all DEPTH minima of a tree with probability 0.27, and of at least one of 32 trees with
    0.99996; at similarity 0.8 it is 0.17, and 0.99999 with 64 trees. `trees_for` gives the number of trees for a limit; nothing
    else decides which pairs are looked at.
-3. Connected components of these joints are clusters of candidates. A cluster is dealt into blocks of at most BLOCK classes.
-   Inside a block all pairs of different components are compared: pairs whose minima agree in so few places that a link is
-   five standard deviations away drop out, all others are confirmed on the full sets.
+3. Connected components of these joints are clusters of candidates. A cluster is dealt into blocks of at most BLOCK classes, and
+   of about BLOCK_SHINGLES shingles. Inside a block all pairs of different components are compared: pairs of sizes that exclude a
+   link, and pairs whose minima agree in so few places that a link is five standard deviations away (which overlooks one link at
+   the limit in 10^5 at most, less than the forest does), drop out; all others are confirmed on the full sets.
 4. A cluster of several blocks is finished without comparing all blocks with each other: each block is compared with the first
    one, which joins nearly everything that belongs together; then the classes still outside the cluster's largest component
-   are compared with all blocks. Pairs inside one component need no comparison, so no link that matters is left out.
+   are compared with all blocks. Pairs inside one component need no comparison, so no link that matters is left out. (Where the
+   forest joins very many documents that are not linked after all, this is all pairs of the cluster's blocks.)
+
+Tasks are dealt by text bytes: small clusters share work items of about ITEM_BYTES. Joins of rows with their cluster or class
+broadcast the few frequent ones (`graph.py`), so a group that holds a third of all rows does not land in one task.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; texts with fewer words than a
-shingle are one shingle; a null doc_id takes no part and gives a null component_id, kept; a doc_id names one document: rows
-that repeat it must repeat its text, and all of them are returned.
+shingle are one shingle; very long texts count whole; a null doc_id takes no part and gives a null component_id, kept; a doc_id
+names one document: rows that repeat it must repeat its text (with different texts, one of them, any, stands for all in the
+confirmation), and all of them are returned; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, stored, table
-from quarry.llm.graph import components
+from quarry.llm.graph import components, spread_join
 from quarry.llm.repeats import buckets, mix, named
 
 DEPTH = 8
 BASE = 6
 REGION = 32
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 21
+ITEM_BYTES = 8 << 20
 #: The contract's similarity: 100 * intersection >= 85 * union.
 SIMILAR = (85, 100)
 #: A pair at the limit is overlooked by the whole forest with this probability at most.
@@ -280,20 +288,24 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     sketches = stored(_sketches(rows, width, trees), "sketches")
     sets = sketches.where("id is not null and key is not null")
-    reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep")), "classes")
+    reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
     # joins of whole texts or labels with lists of ids are shuffles at every size
     wanted = reps.select(F.col("rep").alias("id")).hint("shuffle_hash")
     classes = sets.join(wanted, "id", "left_semi").select("id", "labels").dropDuplicates(["id"])
 
     clusters = components(_forest(classes, trees))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "root").select("id", F.col("root").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    clusters = clusters.join(reps.select(F.col("rep").alias("id"), "n").hint("shuffle_hash"), "id")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    members = spread_join(clusters, sizes.select("root", blocks.alias("blocks"), "size"), "root", "size", sketches.count())
+    members = members.select("id", F.col("root").alias("cluster"), "blocks")
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")))
     texts = rows.where("id is not null").join(members.hint("shuffle_hash"), "id").dropDuplicates(["id"])
-    texts = stored(texts.select("id", "cluster", "blocks", "block", "body"), "members")
+    texts = stored(texts.select("id", "cluster", "blocks", "block", "body", F.octet_length("body").cast("long").alias("bytes")), "members")
 
     # small clusters share items; a block of a large cluster is an item of its own
-    small = F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(4 * n))
+    items = max(4 * n, -(-(texts.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // ITEM_BYTES))
+    small = F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(items))
     own = F.xxhash64("cluster", "block")
     item = F.when(F.col("blocks") == 1, small).otherwise(own)
     inside = texts.select(item.alias("item"), F.xxhash64("cluster", "block").alias("pair"), F.lit(0).alias("side"), "id", F.col("id").alias("root"), "body")
@@ -347,10 +359,12 @@ def _finish(large: DataFrame, roots: DataFrame, width: int, similar: tuple[int,
 
 def _labels(sketches: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """sketches with component_id."""
-    known = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    known = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("root", "rep").alias("component_id"), "rows")
     known = stored(known, "known")
-    part = sketches.select("id", "n", "key").join(known, "key", "left")
-    return part.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    part = sketches.select("id", "n", "key")
+    inside = F.col("id").isNotNull() & F.col("key").isNotNull()
+    with_class = spread_join(part.where(inside), known, "key", "rows", sketches.count()).select("id", "n", "component_id")
+    return with_class.unionByName(part.where(~inside).select("id", "n", F.col("id").alias("component_id")))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
