@@ -2,13 +2,13 @@
 
 Vectors are integers, floor(64 * x). Candidates are dealt out by ranges of vec_id and packed into document-range blocks, each
 with the maximum and the minimum of every term. For a query the bound of a block is the sum of its terms' largest possible
-contributions; each query visits blocks in its own order, from the highest bound down, and scores them through their forward
-index (the block's matrix) until the bound falls below its kth best score.
+contributions; each query visits blocks in its own order, from the highest bound down (one, then two, four, ... at a time), and
+scores them through their forward index (the block's matrix) until the bound falls below its kth best score.
 
 The lowest ids, HOME of them or a few more, are searched first. They give every query a kth best (score, id), which all later
 candidates have to beat: an equal score does not, as their ids are higher. So equal vectors cost nothing after the first pass.
 The other ranges are searched in chains: a block of queries goes along the ranges of a chain with the k best it has so far, and
-k rows at most leave a chain. Query blocks meet chains by an equi-join on the chain, so no task holds more than one block of
+k rows at most leave a chain. Query blocks meet chains by an equi-join on the chain, so no task holds more than HELD blocks of
 queries and the packed ranges of one chain, and nothing but counts reaches the driver. Every query has to be judged against
 every block by its bound: work grows as queries x vectors where bounds do not prune.
 
@@ -36,6 +36,7 @@ CANDIDATES = 8192  # rows in one packed range
 HOME = 8192  # rows that are searched first
 QUERIES = 256  # rows in one packed block of queries
 BLOCK = 128  # rows in one block with its own bounds
+HELD = 256  # blocks of queries that a task has under way
 CHAIN = 64  # packed ranges that a block of queries visits in one go, at most
 
 _PACKED = "part int, at int, rows int, ids binary, width int, kind string, matrix binary"
@@ -160,30 +161,31 @@ class BlockTopK:
         exact = lambda s: (np.clip(s, _LOW, _HIGH) if kind is object else s).astype(np.int64)
         bound = exact(np.maximum(q, 0) @ top.T.astype(kind) + np.minimum(q, 0) @ low.T.astype(kind))
         order = np.argsort(~bound, axis=1, kind="stable")
-        going = np.arange(len(self.own))
-        for turn in range(len(starts)):
-            b = order[going, turn]
-            reach, least = bound[going, b], self.least[going]
-            fit = (reach > least) | ((reach == least) & (smallest_id[b] < self.least_id[going])) | self.open[going]
-            # all later bounds of a query are lower: below its kth score it is done; at an equal one only this block is passed by
-            later = reach >= least
-            for block in np.unique(b[fit]):
-                at = going[fit & (b == block)]
-                part = slice(starts[block], starts[block] + BLOCK)
-                self.visit(at, exact(q[at] @ x[part].T), ids[part])
-            going = going[later | self.open[going]]
-            if not len(going):
-                break
+        going, turn, step = np.arange(len(self.own)), 0, 1
+        while turn < len(starts) and len(going):
+            ahead = order[going, turn : turn + step]  # the next blocks of every query: one, then two, four, ...
+            for block in np.unique(ahead):
+                at = going[(ahead == block).any(axis=1)]
+                reach, least = bound[at, block], self.least[at]
+                at = at[(reach > least) | ((reach == least) & (smallest_id[block] < self.least_id[at])) | self.open[at]]
+                if len(at):
+                    part = slice(starts[block], starts[block] + BLOCK)
+                    self.visit(at, exact(q[at] @ x[part].T), ids[part])
+            turn, step = turn + step, 2 * step
+            if turn < len(starts):  # all later bounds of a query are lower: once below its kth score, it is done
+                going = going[(bound[going, order[going, turn]] >= self.least[going]) | self.open[going]]
 
 
 def _search(k: int):
-    """Rows with a packed range of candidates and a packed block of queries, the rows of a block one after another: q_block and
-    the k best of each of its queries (count of each, scores and ids, packed). A block that comes again is answered again."""
+    """Rows with a packed range of candidates and a packed block of queries: q_block and the k best of each of its queries (count of
+    each, scores and ids, packed) over the rows of a task. HELD blocks are kept at a time; a block that comes again later is
+    answered again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, found = None, None
+        held: dict[int, BlockTopK] = {}
 
-        def answer() -> pa.RecordBatch:
+        def answer(block: int) -> pa.RecordBatch:
+            found = held.pop(block)
             packed = [[x.astype("<i8").tobytes()] for x in (found.own, found.count, found.score, found.id)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], names=["q_block", "own", "count", "score", "id"]
@@ -192,18 +194,18 @@ def _search(k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["q_block"] != block:
-                    if found is not None:
-                        yield answer()
-                    block = row["q_block"]
+                block = row["q_block"]
+                if block not in held:
+                    if len(held) == HELD:
+                        yield answer(next(iter(held)))
                     own = np.frombuffer(row["q_ids"], dtype="<i8")
                     best = None
                     if row["q_least"] is not None:
                         best = np.frombuffer(row["q_least"], dtype="<i8"), np.frombuffer(row["q_least_id"], dtype="<i8")
-                    found = BlockTopK(_matrix(row, "q_"), own, k, best)
-                found.search(_matrix(row, ""), np.frombuffer(row["ids"], dtype="<i8"))
-        if found is not None:
-            yield answer()
+                    held[block] = BlockTopK(_matrix(row, "q_"), own, k, best)
+                held[block].search(_matrix(row, ""), np.frombuffer(row["ids"], dtype="<i8"))
+        for block in list(held):
+            yield answer(block)
 
     return run
 
