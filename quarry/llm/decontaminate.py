@@ -4,23 +4,26 @@ The normalised benchmark items are built into one generalised suffix automaton p
 documents stream through it word by word; at each word the automaton holds the longest suffix of the document read so far
 that occurs in some item. Wherever that length reaches the window, the window's words are hit.
 
-The benchmark is cut into blocks of at most `block_words` words, so an automaton never outgrows a worker: one block is one
-narrow pass over the documents, and the spans of several blocks are merged per document.
+The benchmark is cut into blocks of at most `block_words` words, so an automaton never outgrows a worker, which builds that of a
+block once. One block is one narrow pass over the documents, and the spans of several blocks are merged per document (by the
+place of its row, so with several blocks docs has to be a table that reads the same each time).
 
 `decontaminate` drops documents at or above the coverage limit. In all others it cuts out the hit spans of at least `least_span`
 words (one window, so that a short item like a single common word is not cut out of prose). A cut text is not searched again.
 
 Defined results: null or wordless texts have no words and no hits; items without words match nothing; an item with a null
-id still hits but is not counted or listed; repeated documents are judged row by row; other columns are ignored.
+id still hits but is not counted or listed; repeated documents are judged row by row; very long texts are read whole, one at a
+time; empty tables give no rows and no hits; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -148,17 +151,22 @@ def spans_of(marks: bytearray) -> list[tuple[int, int]]:
     return out
 
 
+#: The automaton that a worker has built last, by the number of its block.
+_BUILT: dict[str, SuffixAutomaton] = {}
 _HITS = "__n_words long, __spans array<struct<first:int,last:int>>, __items array<string>"
 
 
 def _hits_of_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int, least_span: int | None = None) -> DataFrame:
     """docs: __body and other columns. The other columns with the hit spans of one block of items, and with least_span the text
     without the spans that long (__cut; null where there is none), cut here so that no second Python process is needed."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, number = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     names = [c for c in docs.columns if c != "__body"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton([(name, words_of(body)) for name, body in shared.value], window)
+        if number not in _BUILT:
+            _BUILT.clear()
+            _BUILT[number] = SuffixAutomaton([(name, words_of(body)) for name, body in shared.value], window)
+        automaton = _BUILT[number]
         for batch in slices(batches, "__body"):
             rows: dict[str, list] = {"n_words": [], "spans": [], "items": [], "cut": []}
             for body in batch.column("__body"):
@@ -206,7 +214,7 @@ def benchmark_hits(
     benchmark: DataFrame,
     *,
     id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str | Column = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
@@ -218,7 +226,8 @@ def benchmark_hits(
     a window there). With keep, the last four have names that begin with two underscores, and with least_span there is also
     __cut: the text (which has to be in keep) without the spans that long, null where there is none."""
     columns = [F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep]]
-    base = docs.select(*columns, F.col(text_col).cast("binary").alias("__body"))
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    base = docs.select(*columns, text.cast("binary").alias("__body"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
@@ -228,7 +237,7 @@ def benchmark_hits(
         hits = _merged([_hits_of_block(base, block, window) for block in (first, second, *blocks)], [id_col, *keep])
         if least_span:
             long = F.filter("__spans", lambda s: s["last"] - s["first"] >= least_span)
-            body = F.when(F.size(long) > 0, F.col(text_col).cast("binary"))  # only these texts go through Python
+            body = F.when(F.size(long) > 0, text.cast("binary"))  # only these texts go through Python
             hits = hits.withColumn("__cut", F.udf(lambda body, spans: without_spans(body, spans), "binary")(body, long))
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     hits = hits.withColumn("__n_hit", n_hit)
@@ -280,10 +289,11 @@ def decontaminate(
 ) -> DataFrame:
     """docs without the rows whose hit words exceed the coverage limit; rows below it lose their hit spans of least_span words
     and more, and keep the rest of their text as it is."""
-    row = docs.withColumn("__row", F.monotonically_increasing_id())
-    hits = benchmark_hits(row, benchmark, id_col="__row", text_col=text_col, keep=tuple(docs.columns), least_span=least_span, **how)
+    row = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc"))
+    hits = benchmark_hits(row, benchmark, id_col="__row", text_col=F.col("__doc")[text_col], keep=("__doc",), least_span=least_span, **how)
     hits = hits.where(~contaminated(F.col("__n_hit"), F.col("__n_words")))
-    return hits.withColumn(text_col, F.coalesce(F.col("__cut").cast("string"), text_col)).select(docs.columns)
+    cut = F.coalesce(F.col("__cut").cast("string"), F.col("__doc")[text_col])
+    return hits.select(*[(cut if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ n-grams with that language's bit; it is corrected for the filter's false positiv
 of set bits to the power of HASHES, and the language with the largest corrected count is taken.
 
 Learning counts n-grams over all labelled texts as a Spark aggregation. A language keeps the n-grams that make up at least
-MIN_SHARE of its n-grams, so at most 1 / MIN_SHARE per language and size reach the driver, however large the input.
+MIN_SHARE of its n-grams, so at most 1 / MIN_SHARE per language and size reach the driver, however large the input (the labels
+are languages, so they are few), and drops those that another language has 1 / FOREIGN times as often.
 
 Defined results: `und` with score 0 if the text is null or has no letter; ties go to the language that sorts first; rows
-with a null lang are not learned from; with no labelled text at all every row is `und`; repeated rows are judged row by row.
+with a null lang are not learned from; with no labelled text at all every row is `und`; repeated rows are judged row by row; very
+long texts are read whole, one at a time; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import slices, spare, table
 
 SIZES = (3, 4)  # bytes in an n-gram of lower-cased UTF-8 text
 HASHES = 2
@@ -136,16 +138,19 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return LanguageFilter(languages, SIZES, planes, false)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(
+    docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str | Column = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
     """Per row of docs: id_col (and the columns in keep), the language and its score, the share of the text's n-grams found."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(F.col(id_col), *keep).schema
-    kept, out = list(schema.names), list(names)
+    first = [F.col(id_col)] if id_col not in keep else []
+    schema = docs.select(*first, *keep).schema
+    kept, body = list(schema.names), spare(docs, "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "__body", SLICE):
-            bodies = [_plain(b) for b in batch.column("__body").to_pylist()]
+        for batch in slices(batches, body, SLICE):
+            bodies = [_plain(b) for b in batch.column(body).to_pylist()]
             total, number = model.corrected(bodies)
             langs, scores = ["und"] * len(bodies), np.zeros(len(bodies))
             if model.languages:
@@ -154,11 +159,10 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
                 langs = [model.languages[k] if b else "und" for k, b in zip(best, bodies)]
             scores = np.where([x == "und" for x in langs], 0.0, scores)
             columns = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *out]
-            )
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("binary").alias("__body"))
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    rows = docs.select(*first, *keep, text.cast("binary").alias(body))
     return rows.mapInArrow(run, schema.add(names[0], "string").add(names[1], "double"))
 
 

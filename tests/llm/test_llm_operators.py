@@ -64,17 +64,22 @@ def test_equals_sql(spark, duck, name):
 # decontamination
 
 
-def brute_hits(text, items, window=13):
+def brute_marks(text, items, window=13):
     words = decontaminate.words_of(text.encode() if text is not None else None)
-    marks, found = [0] * len(words), set()
+    marks, found = bytearray(len(words)), set()
     for name, item in items:
         w = decontaminate.words_of((item or "").encode())
         for piece in [w[i : i + window] for i in range(len(w) - window + 1)] if len(w) >= window else [w] if w else []:
             for at in range(len(words) - len(piece) + 1):
                 if words[at : at + len(piece)] == piece:
-                    marks[at : at + len(piece)] = [1] * len(piece)
+                    marks[at : at + len(piece)] = b"\x01" * len(piece)
                     found.add(name)
-    return len(words), sum(marks), sorted(str(n) for n in found if n is not None)
+    return marks, found
+
+
+def brute_hits(text, items, window=13):
+    marks, found = brute_marks(text, items, window)
+    return len(marks), sum(marks), sorted(str(n) for n in found if n is not None)
 
 
 @pytest.mark.parametrize("block_words", [400_000, 60])
@@ -96,15 +101,15 @@ def test_decontaminate(spark, odd, block_words):
 # near duplicates
 
 
-def brute_near(texts):
+def brute_near(texts, width=3, similar=85):
     sets = {}
     for i, t in texts:
         w = (t or "").encode().translate(minhash._LOWER).split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     root = {i: i for i in sets}
     ids = [i for i in sets if i is not None and sets[i]]
     changed = True
-    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
@@ -475,11 +480,16 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     lettered = [(i, t) for i, t in texts if t is not None and any(c.isalpha() for c in t)]
-    near = brute_near(lettered)
+    near = brute_near(lettered, width=5, similar=80)  # the rule of near-duplicate stages
     first = [(i, t) for i, t in lettered if near[i][1] == i]
     cut = [(i, " ".join(w.decode() for w, y in zip(x, g) if not y) if any(g) else t) for (i, t), (_, x, g) in zip(first, brute_windows(first, lambda t: t.encode().split(), 50))]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    clean = [(i, t) for i, t in cut if not (lambda n, h, _: h > 0 and 20 * h >= n)(*brute_hits(t, items))]
+    clean = []
+    for i, t in cut:
+        marks, _ = brute_marks(t, items)
+        if not (sum(marks) > 0 and 20 * sum(marks) >= len(marks)):
+            spans = [s for s in decontaminate.spans_of(marks) if s[1] - s[0] >= 13]
+            clean.append((i, decontaminate.without_spans(t.encode(), spans).decode()))
     rows = pipeline.run(spark, DATA).collect()
     assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in clean)
     coder = bpe.TrieBPE(json.load(open(bpe.default_vocab(), encoding="utf-8")), bpe.newer_characters(bpe.default_vocab()))
