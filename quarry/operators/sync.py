@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +47,32 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return merged.select(key, *[F.coalesce(F.when(F.col("n_" + c).cast("string") != "", F.col("n_" + c)), F.col(c)).alias(c) for c in old.columns if c != key])
 
 
+def enqueue(jobs: DataFrame, asked: DataFrame, key: list[str], *, revive: bool = False) -> DataFrame:
+    """The work list after more jobs were asked for. A job is known by its key columns: one that is there is not added again; with
+    revive, those that are completed or failed wait again, with no attempts. jobs: key, status, attempts; asked: key.
+    """
+    known = asked.select(*key).distinct().withColumn("asked", F.lit(True))
+    again = F.coalesce(F.col("asked"), F.lit(False)) & F.col("status").isin("completed", "failed") & F.lit(revive)
+    both = jobs.join(known, key, "full")
+    status = F.when(F.col("status").isNull() | again, "pending").otherwise(F.col("status"))
+    attempts = F.when(F.col("attempts").isNull() | again, 0).otherwise(F.col("attempts"))
+    return both.select(*key, status.alias("status"), attempts.cast("int").alias("attempts"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, store) -> DataFrame:
+    """node and depth of every node that can be reached from the roots, level by level until a level is empty; a node that was
+    reached before is not walked again, so loops end. edges: parent, child; roots: node. store(df) writes df and reads it again.
+    """
+    level = store(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = level, 0
+    while level.limit(1).count():
+        depth += 1
+        found = edges.join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        level = store(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(level)
+    return seen
+
+
 def drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Items whose number of rows differs between two tables."""
     e = expected.groupBy(key).agg(F.count("*").alias("expected"))
@@ -69,7 +92,11 @@ def expectation(name: str, df: DataFrame, bad: Column | None = None) -> DataFram
 
 
 class VersionedTable:
-    """A table kept as path/v=<n>/ folders and a pointer to the current one. One writer at a time; readers resolve the pointer."""
+    """A table kept as path/v=<n>/ folders, each with a marker once it may be read. One writer at a time; readers take the last marker.
+
+    A version is taken over by the creation of its marker file, which a file system does in one step, so a reader sees the old
+    version or the new one at any time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -79,26 +106,18 @@ class VersionedTable:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> int | None:
-        fs, p = self._fs(f"{self.path}/current.json")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/current.json").first()[0])["version"]
+        fs, p = self._fs(f"{self.path}/taken-*")
+        return max((int(x.getPath().getName().split("-")[1]) for x in fs.globStatus(p) or ()), default=None)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version() if version is None else version}")
 
     def commit(self, df: DataFrame, checks: DataFrame | None = None) -> int:
-        """Writes the next version; the pointer moves only if every check is ok, by one rename."""
+        """Writes the next version; readers see it only if every check is ok."""
         number = (self.version() or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={number}")
         if checks is not None and (broken := checks.where("not ok").limit(5).collect()):
             raise ValueError(f"version {number} is not taken over: {[r['name'] for r in broken]}")
-        fs, target = self._fs(f"{self.path}/current.json")
-        _, draft = self._fs(f"{self.path}/next-{uuid.uuid4().hex}")
-        out = fs.create(draft)
-        out.writeBytes(json.dumps({"version": number}))
-        out.close()
-        if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(draft, target)
+        fs, marker = self._fs(f"{self.path}/taken-{number}")
+        fs.create(marker, False).close()
         return number

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,8 +12,12 @@ from quarry.sources import files as S
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is not set (as in tests)."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path under spark.checkpoint.dir. Where that is unset, a local session writes to its own warehouse folder."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = t.spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,25 +53,26 @@ def s4(t: Tables) -> DataFrame:
     return t.spark.read.parquet(found).agg(F.count("*").alias("n"))
 
 
-@query("s5_read_json_array", "SELECT conv_id, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id")
+@query("s5_read_json_array", "SELECT conv_id, count(*)::BIGINT AS turns, max(length(text))::BIGINT AS longest FROM conversations GROUP BY conv_id")
 def s5(t: Tables) -> DataFrame:
-    """A file for each conversation bucket that holds one JSON array."""
+    """Files that each hold one JSON array, of the turns of some hundred conversations."""
     path = scratch(t, "s5")
-    rows = t.conversations.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn"))).alias("value"))
-    rows.select("value").write.text(path)
-    flat = t.spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<conv_id:long,turn:long>>")).alias("x"))
-    return flat.groupBy("x.conv_id").agg(F.count("*").alias("turns"))
+    files = 1 + t.conversations.select("conv_id").distinct().count() // 200
+    rows = t.conversations.groupBy((F.col("conv_id") % files).alias("file")).agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("value"))
+    rows.write.partitionBy("file").text(path)
+    flat = S.read_json_array(t.spark, path, "conv_id long, turn long, text string")
+    return flat.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("s6_newest_files", "SELECT event_type AS variant, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+@query("s6_newest_files", "SELECT event_type AS variant, count(*) FILTER (event_type <> 'signup' OR value < 50)::BIGINT AS n FROM events GROUP BY event_type")
 def s6(t: Tables) -> DataFrame:
-    """Result files of several runs; of each variant the newest file counts."""
+    """Result files of two runs; of each variant the newest run counts. The second run has no signups."""
     path = scratch(t, "s6")
-    kinds = t.events.select("event_id", F.col("event_type").alias("kind")).repartition("kind")
-    kinds.write.partitionBy("kind").parquet(path)
-    read = S.with_file(t.spark.read.parquet(path))
-    latest = read.groupBy("kind").agg(F.count("*").alias("n"), F.max("modified").alias("m"))
-    return latest.select(F.col("kind").alias("variant"), "n")
+    kinds = t.events.select("event_id", "value", F.col("event_type").alias("kind"))
+    kinds.where("value < 50").withColumn("part", F.col("kind")).write.partitionBy("part").parquet(f"{path}/run-1")
+    kinds.where("kind <> 'signup'").withColumn("part", F.col("kind")).write.partitionBy("part").parquet(f"{path}/run-2")
+    read = S.with_file(t.spark.read.option("recursiveFileLookup", True).parquet(path))
+    return S.newest(read, F.col("kind")).groupBy("variant").agg(F.count("*").alias("n"))
 
 
 @query("s7_export_vectors", "SELECT vec_id, label, len(embedding)::BIGINT AS width FROM embeddings")
@@ -149,11 +153,19 @@ def s14(t: Tables) -> DataFrame:
     return run_to_table(source, scratch(t, "s14-out"), scratch(t, "s14-state")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("s15_file_hashes", "SELECT count(DISTINCT md5(html))::BIGINT AS files FROM pages")
+@query(
+    "s15_file_hashes",
+    """WITH f AS (SELECT page_id % (SELECT 1 + count(*) // 200 FROM pages) AS file, string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY ALL)
+SELECT file, strlen(content)::BIGINT AS length, sha256(content) AS sha256 FROM f""",
+)
 def s15(t: Tables) -> DataFrame:
-    """Every table file is hashed whole; the pages are hashed by content."""
-    hashed = t.pages.select(F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
-    return hashed.agg(F.countDistinct("sha256").alias("files"))
+    """Raw files, each of some hundred pages, are hashed whole."""
+    path = scratch(t, "s15")
+    files = 1 + t.pages.count() // 200
+    rows = t.pages.select((F.col("page_id") % files).alias("file"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").text(path)
+    hashed = S.file_hashes(t.spark, f"{path}/*/*.txt")
+    return hashed.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "length", "sha256")
 
 
 @query("s16_cases_by_id", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'documents' ELSE 'labels' END AS origin FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

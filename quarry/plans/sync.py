@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 from quarry.operators import sync as Y
 from quarry.plans.base import Tables, query
+from quarry.plans.scans import scratch
+
+
+def written(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that lineage does not grow."""
+    path = scratch(t, name)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
 
 BASE = """
 ledger AS (SELECT DISTINCT d.doc_id, source, md5(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS print,
@@ -84,13 +93,18 @@ def y6(t: Tables) -> DataFrame:
 
 @query(
     "y7_work_list",
-    """WITH j AS (SELECT user_id, event_type, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY ALL)
-SELECT user_id, event_type, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, status = 'failed' AS revived FROM j""",
+    f"""WITH {BASE}, jobs AS (SELECT doc_id, print, CASE WHEN status = 'active' THEN 'completed' ELSE 'running' END AS status FROM ledger)
+SELECT coalesce(j.doc_id, s.doc_id) AS doc_id, coalesce(j.print, s.print) AS print,
+  CASE WHEN j.doc_id IS NULL OR (j.status = 'completed' AND s.source = 'src1') THEN 'pending' ELSE j.status END AS status,
+  CASE WHEN j.doc_id IS NULL OR (j.status = 'completed' AND s.source = 'src1') THEN 0 ELSE 1 END AS attempts
+FROM jobs j FULL JOIN snap s ON j.doc_id = s.doc_id AND j.print = s.print""",
 )
 def y7(t: Tables) -> DataFrame:
-    """One job for each token and type, however often it is asked for; failed ones are revived."""
-    jobs = t.events.groupBy("user_id", "event_type").agg(F.bool_or(F.col("event_type") == "error").alias("revived"))
-    return jobs.select("user_id", "event_type", F.when(F.col("revived"), "pending").otherwise("completed").alias("status"), "revived")
+    """One job for each document and content. All rows of a snapshot ask for theirs; those of one source are to be done again."""
+    jobs = ledger(t).select("doc_id", "print", F.when(F.col("status") == "active", "completed").otherwise("running").alias("status"), F.lit(1).alias("attempts"))
+    now, key = snapshot(t), ["doc_id", "print"]
+    jobs = Y.enqueue(jobs, now, key)
+    return Y.enqueue(jobs, now.where("source = 'src1'"), key, revive=True)
 
 
 @query("y8_content_short_cut", f"WITH {BASE} SELECT s.doc_id, CASE WHEN o.print = s.print THEN 'skip' ELSE 'process' END AS action FROM snap s LEFT JOIN ledger o USING (doc_id)")
@@ -139,9 +153,22 @@ def y13(t: Tables) -> DataFrame:
     return last.select("user_id", F.when(old, "purged").otherwise("kept").alias("status"))
 
 
-@query("y14_replace_items", f"WITH {BASE} SELECT doc_id, print FROM snap UNION ALL SELECT doc_id, print FROM ledger WHERE doc_id NOT IN (SELECT doc_id FROM snap)")
+@query(
+    "y14_replace_items",
+    f"""WITH {BASE}, u AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.print, o.print) AS print, coalesce(CASE WHEN n.source <> 'src1' THEN n.source END, o.source) AS source,
+  CASE WHEN o.doc_id IS NULL THEN 'append' WHEN n.doc_id IS NULL THEN 'keep' ELSE 'update' END AS action FROM ledger o FULL JOIN snap n ON o.doc_id = n.doc_id)
+SELECT 'rows' AS part, doc_id, print, NULL AS source, NULL AS action FROM snap UNION ALL SELECT 'rows', doc_id, print, NULL, NULL FROM ledger WHERE doc_id NOT IN (SELECT doc_id FROM snap)
+UNION ALL SELECT 'catalog', doc_id, print, source, action FROM u""",
+)
 def y14(t: Tables) -> DataFrame:
-    return Y.replace_items(ledger(t).select("doc_id", "print"), snapshot(t).select("doc_id", "print"), "doc_id")
+    """Rows of items are replaced; the catalog takes new values over, but keeps an old one where the new one is blank."""
+    rows = Y.replace_items(ledger(t).select("doc_id", "print"), snapshot(t).select("doc_id", "print"), "doc_id")
+    old = ledger(t).select("doc_id", "print", "source")
+    new = snapshot(t).select("doc_id", "print", F.when(F.col("source") == "src1", "").otherwise(F.col("source")).alias("source"))
+    sides = old.select("doc_id", F.lit(True).alias("was")).join(new.select("doc_id", F.lit(True).alias("comes")), "doc_id", "full")
+    action = F.when(F.col("was").isNull(), "append").when(F.col("comes").isNull(), "keep").otherwise("update")
+    catalog = Y.upsert(old, new, "doc_id").join(sides.select("doc_id", action.alias("action")), "doc_id")
+    return rows.withColumn("part", F.lit("rows")).unionByName(catalog.withColumn("part", F.lit("catalog")), allowMissingColumns=True)
 
 
 @query("y15_remove_items", f"WITH {BASE} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM low) THEN 'archived' ELSE 'kept' END AS place FROM ledger")
@@ -157,10 +184,24 @@ def y16(t: Tables) -> DataFrame:
     return Y.drift(t.documents, t.documents.join(t.labels, "doc_id", "left_semi"), "source")
 
 
-@query("y17_revision", "WITH r AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY event_type) SELECT coalesce(sum(n), 0)::BIGINT + 1 AS revision FROM r")
+@query(
+    "y17_revision",
+    "SELECT source, (1 + max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + max(CASE WHEN lang IS NULL OR lang <> 'en' THEN 1 ELSE 0 END))::INTEGER AS revision, count(*)::BIGINT AS rows FROM documents GROUP BY source",
+)
 def y17(t: Tables) -> DataFrame:
-    """Every change adds one to the revision of the corpus."""
-    return t.events.where("event_type in ('purchase', 'signup')").agg((F.count("*") + 1).alias("revision"))
+    """The revision of each source goes up by one with every commit that changes a row of it, and with no other."""
+    from quarry.operators.sync import VersionedTable
+
+    table, state = VersionedTable(t.spark, scratch(t, "y17")), VersionedTable(t.spark, scratch(t, "y17-revisions"))
+    key, rows = ["source", "doc_id"], t.documents.select("source", "doc_id", "lang")
+    state.commit(rows.select("source").distinct().withColumn("revision", F.lit(1)))
+    table.commit(rows.limit(0))
+    for new in (rows.where("lang = 'en'"), rows, rows):  # the third commit changes nothing
+        old = table.read().withColumn("was", F.lit(True))
+        changed = new.withColumn("comes", F.lit(True)).join(old.drop("lang"), key, "full").where("was is null or comes is null").select("source").distinct()
+        state.commit(state.read().join(changed.withColumn("more", F.lit(1)), "source", "left").select("source", (F.col("revision") + F.coalesce("more", F.lit(0))).alias("revision")))
+        table.commit(new)
+    return table.read().groupBy("source").agg(F.count("*").alias("rows")).join(state.read(), "source")
 
 
 @query(
@@ -192,18 +233,16 @@ def y19(t: Tables) -> DataFrame:
 @query(
     "y20_tree_walk",
     """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'root', 'r' || r_regionkey FROM region UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
-w AS (SELECT 'root' AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN e ON e.parent = w.node) SELECT node, depth FROM w""",
+  UNION ALL SELECT 'root', 'r' || r_regionkey FROM region UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+  UNION ALL SELECT 's' || s_suppkey, 'c' || (s_suppkey // 2) FROM supplier UNION ALL SELECT 'c' || s_suppkey, 'c' || (s_suppkey // 2) FROM supplier),
+w AS (SELECT 'root' AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN e ON e.parent = w.node WHERE depth < 60) SELECT node, min(depth) AS depth FROM w GROUP BY node""",
 )
 def y20(t: Tables) -> DataFrame:
-    """Regions, nations and suppliers as a tree, walked level by level; nodes seen before are not walked again."""
+    """Regions, nations and suppliers, and from each supplier a chain of halved numbers, walked until a level is empty."""
     edge = lambda df, a, b: df.select(a.alias("parent"), b.alias("child"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = edge(t.region, F.lit("root"), name("r", "r_regionkey")).unionByName(edge(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey")))
     edges = edges.unionByName(edge(t.supplier, name("n", "s_nationkey"), name("s", "s_suppkey")))
-    level = seen = edges.where("parent = 'root'").select(F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(0))
-    for depth in range(1, 4):  # the tree has three levels below its root
-        level = edges.join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
-        level = level.join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(level)
-    return seen
+    half = F.concat(F.lit("c"), F.expr("cast(s_suppkey div 2 as string)"))  # chains of halves that end in a loop at c0
+    edges = edges.unionByName(edge(t.supplier, name("s", "s_suppkey"), half)).unionByName(edge(t.supplier, name("c", "s_suppkey"), half))
+    return Y.reachable(edges, edges.where("parent = 'root'").select(F.col("parent").alias("node")), lambda df: written(t, df, "y20"))

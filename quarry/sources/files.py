@@ -42,15 +42,18 @@ def read_json_array(spark: SparkSession, path: str, schema: str | StructType) ->
 
 
 def with_file(df: DataFrame) -> DataFrame:
-    """df with the name and the time of the file that each row comes from."""
-    return df.withColumn("file", F.col("_metadata.file_name")).withColumn("modified", F.col("_metadata.file_modification_time"))
-
-
-def newest(df: DataFrame, group: Column) -> DataFrame:
-    """The rows of the newest file of each group."""
-    named = df.withColumn("variant", group)
-    last = named.groupBy("variant").agg(F.max(F.struct("modified", "file")).alias("m")).select("variant", "m.file")
-    return named.join(F.broadcast(last), ["variant", "file"])  # one row for each variant
+    """df with the name, the folder and the time of the file that each row comes from."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    return df.withColumn("file", F.col("_metadata.file_name")).withColumn("folder", folder).withColumn("modified", F.col("_metadata.file_modification_time"))
+
+
+def newest(df: DataFrame, group: Column, name: str = "variant") -> DataFrame:
+    """The rows of the newest run of each group. A run is a folder, as Spark writes one result as several files; its time is that of
+    its newest file, and of folders as new as each other the last by name counts. df: as from with_file."""
+    named = df.withColumn(name, group)
+    last = named.groupBy(name).agg(F.max(F.struct("modified", "folder")).alias("m")).select(name, F.col("m.folder").alias("folder"))
+    return named.join(last, [name, "folder"])
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
