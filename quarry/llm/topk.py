@@ -210,6 +210,23 @@ def _search(k: int):
     return run
 
 
+def _merged(k: int):
+    """The answers to one block of queries from all tasks as one answer: Spark may split the rows of a join over several tasks."""
+
+    def run(answers: pa.Table) -> pa.Table:
+        rows = answers.to_pylist()
+        count = np.stack([np.frombuffer(r["count"], "<i8") for r in rows], axis=1)
+        score, ids = (np.concatenate([np.frombuffer(r[c], "<i8").reshape(-1, k) for r in rows], axis=1) for c in ("score", "id"))
+        empty = np.concatenate([np.arange(k)[None, :] >= count[:, i, None] for i in range(len(rows))], axis=1)
+        order = np.lexsort((ids, ~score, empty), axis=1)[:, :k]
+        total = np.minimum(count.sum(axis=1), k)
+        best = [np.take_along_axis(x, order, axis=1) for x in (score, ids)]
+        packed = [rows[0]["own"], *[x.astype("<i8").tobytes() for x in (total, *best)]]
+        return pa.table({"q_block": pa.array([rows[0]["q_block"]], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("own", "count", "score", "id"), packed)}})
+
+    return run
+
+
 def _kth(k: int):
     """Packed answers of the first pass: the kth best score and id of each query (the lowest and highest where there are fewer)."""
 
@@ -281,7 +298,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "ve
 
     none = F.lit(None).cast("binary")
     home = candidates.where(F.col("part") <= first).withColumn("chain", F.lit(0))
-    near = stored(meet(asked.withColumn("q_least", none).withColumn("q_least_id", none), home, 1), "near")
+    near = meet(asked.withColumn("q_least", none).withColumn("q_least_id", none), home, 1)
+    near = stored(near.groupBy("q_block").applyInArrow(_merged(k), _ANSWER), "near")
     found = near
     if chains:
         floors = near.mapInArrow(_kth(k), "q_block long, q_least binary, q_least_id binary")

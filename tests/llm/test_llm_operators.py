@@ -365,6 +365,22 @@ def test_top_k_of_equal_vectors(spark, monkeypatch, chain):
     assert sorted(tuple(r) for r in found) == brute_top(same, 7)
 
 
+def test_top_k_of_split_joins(spark):
+    """Adaptive execution may split a chain over many tasks: their answers are merged before they become floors."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=40)]) for i in range(600)]
+    skew = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        for name, value in zip(skew, ("1k", "1.01", "1k", "-1")):
+            spark.conf.set(name, value)
+        docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+        found = topk.top_k(docs, F.col("vec_id") % 20 == 0, k=5).collect()
+    finally:
+        for name in skew:
+            spark.conf.unset(name)
+    assert sorted(tuple(r) for r in found) == brute_top(rows, 5)
+
+
 # language, quality
 
 
