@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import WRITTEN, discard, stored
 
 #: Keys with more rows than others, at most: their side of a join is broadcast, so their rows stay where they are.
 HOT_KEYS = 10_000
@@ -19,10 +19,12 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, size: str, total:
     where no task gets more than that of one key.
     """
     limit = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot, other = per_key.where(F.col(size) > limit).drop(size), per_key.where(F.col(size) <= limit).drop(size)
-    frequent = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other.hint("shuffle_hash"), key)
-    return frequent.unionByName(rest)
+    frequent = per_key.where(F.col(size) > limit).drop(size).collect()  # HOT_KEYS rows at most
+    if not frequent:
+        return rows.join(per_key.drop(size).hint("shuffle_hash"), key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(frequent, per_key.drop(size).schema))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.drop(size).hint("shuffle_hash"), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,11 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large and small stars: each node hangs its larger (then its smaller) neighbours under the smallest one it sees.
     Every round is two aggregations of minima, which combine before the shuffle, and two joins, in which a node with very many
-    neighbours is broadcast. Rounds are written out, and end when nothing changes. Null ends make no edge, loops and repeated
-    edges add nothing, and an empty table has no components.
+    neighbours is broadcast. Rounds are written out, and end when nothing changes; the files of a round go when the next one is
+    written. Null ends make no edge, loops and repeated edges add nothing, and an empty table has no components.
     """
+    spark, before, written = edges.sparkSession, None, len(WRITTEN)
     pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    total, before = pairs.count(), None
+    total = pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -43,6 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "pairs")
+        discard(spark, WRITTEN[written:-1])
         *state, total = pairs.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count("*")).first()
         if (state, total) == before:
             roots = pairs.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
