@@ -14,6 +14,107 @@ from quarry.functions import text as X
 GENERIC = ("article", "manuscript", "paper")
 
 
+# The forms of numbered and plain headings, titles that head no item, forms of readers and links, names of a status.
+NUMBERED = "^\\s*(?:[-*+]\\s*)?(?:#{1,6}\\s*)?(?:\\*\\*)?\\s*(\\d{1,3})\\s*(?:\\\\?\\.|．|、|\\)|）)\\s*(.+?)\\s*(?:\\*\\*)?\\s*$"
+HEADING = "^\\s*(?:#{1,6}\\s+|\\*\\*)(.+?)(?:\\*\\*)?\\s*$"
+NO_TITLES = ("信息分化-文献阅读分享笔记", "信息分化文献阅读分享笔记", "目录", "阅读笔记")
+SAMPLE_TITLE = "样例"
+READERS = ("阅读整理者[：:][ \\t]*(.+)", "阅读者[：:][ \\t]*(.+)", "分享人[：:][ \\t]*(.+)")
+DOI_LINK, DOI_BARE, DOI_HOST = "(https?://doi\\.org/[^\\s)）]+)", "\\b(10\\.\\d{4,9}/[^\\s)）]+)", "https://doi.org/"
+STATUS_NAMES = {
+    "资料齐全": "ready", "齐全": "ready", "缺pdf": "missing_pdf", "缺 pdf": "missing_pdf", "缺ppt": "missing_ppt", "缺 ppt": "missing_ppt", "只有笔记": "note_only",
+}
+
+
+def split_items(notes: DataFrame, key: str, text: str) -> DataFrame:
+    """Notes as items: key, item_id, title, body.
+
+    Lines that are numbered headings begin items; notes without any are split at plain headings, but for those that head no item.
+    Items take their heading's number, or their place where the number is 0, or where numbers of a note repeat, or without
+    numbers. Lines before the first heading belong to no item.
+    """
+    lines = notes.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    lines = lines.select(key, "at", "line", F.regexp_extract("line", NUMBERED, 1).alias("number"))
+    whole = Window.partitionBy(key)
+    numbered = F.max(F.when(F.col("number") != "", True)).over(whole).isNotNull()
+    tidy = lambda c: F.trim(F.regexp_replace(c, "[*#\\\\]+", ""))
+    plain = tidy(F.regexp_extract("line", HEADING, 1))
+    title = F.when(numbered, tidy(F.regexp_extract("line", NUMBERED, 2))).when((F.length(plain) > 1) & ~plain.isin(*NO_TITLES), plain).otherwise("")
+    begins = F.when(F.col("numbered"), F.col("number") != "").otherwise(F.col("title") != "")
+    lines = lines.withColumn("numbered", numbered).withColumn("title", title).withColumn("begins", begins)
+    lines = lines.withColumn("section", F.sum(F.col("begins").cast("int")).over(whole.orderBy("at"))).where("section > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("begins"), F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    items = lines.groupBy(key, "section").agg(F.max(F.when(F.col("begins"), F.struct("title", "number"))).alias("h"), body.alias("body"))
+    items = items.select(key, "section", "h.title", "h.number", F.trim(F.regexp_replace("body", "^\\s+|\\s+$", "")).alias("body"))
+    items = items.where((F.col("title") != "") & (F.col("title") != SAMPLE_TITLE))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("section"))
+    number = F.coalesce(F.nullif(F.expr("try_cast(number as int)"), F.lit(0)), F.col("place"))
+    items = items.withColumn("place", place).withColumn("own", number)
+    repeats = F.size(F.collect_set("own").over(whole)) < F.count("*").over(whole)
+    item = F.when(repeats, F.col("place")).otherwise(F.col("own"))
+    return items.select(key, item_id(item.cast("string")).alias("item_id"), "title", "body")
+
+
+def reader(body: Column) -> Column:
+    """Who read an item, by the first form that its body has, or null."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(body, form, 1)), F.lit("")) for form in READERS])
+
+
+def doi(body: Column) -> Column:
+    """The link of an item: as it stands, or made from a bare DOI; or null."""
+    bare = F.nullif(F.regexp_extract(body, DOI_BARE, 1), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(body, DOI_LINK, 1), F.lit("")), F.concat(F.lit(DOI_HOST), bare))
+
+
+def keywords(title: Column, body: Column, words: list[str]) -> Column:
+    """The words that the title or the first 500 letters of the body have, in the order of the list."""
+    text = F.concat(title, F.lit("\n"), F.left(body, F.lit(500)))
+    return F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), ";")
+
+
+def attachments(body: Column, suffixes: tuple[str, ...]) -> Column:
+    """Names of attached files, those of links first, then those in plain text; each once, in order, without escapes."""
+    kinds = "|".join(sorted((x.lstrip(".") for x in suffixes), key=len, reverse=True))
+    linked = F.regexp_extract_all(body, F.lit(f"(?i)\\[([^\\]\\n\\r]+?\\\\?\\.(?:{kinds}))\\]\\([^)]*\\)"), 1)
+    plain = F.regexp_extract_all(body, F.lit(f"(?i)([^\\n\\r\\[\\]]{{1,160}}?\\\\?\\.(?:{kinds}))"), 1)
+
+    def clean(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(F.trim(x), "^[-*+\\s\\[(（]+", ""), "[\\])）\\s]+$", "")
+        return F.trim(F.replace(F.replace(x, F.lit("%20"), F.lit(" ")), F.lit("\\"), F.lit("")))
+
+    return F.filter(F.array_distinct(F.transform(F.concat(linked, plain), clean)), lambda x: x != "")
+
+
+def status_of(name: str) -> str:
+    """The status that a user's word for it means."""
+    name = name.strip().lower()
+    return STATUS_NAMES.get(name, name)
+
+
+def lookup(rows: DataFrame, *, reader: str | None = None, status: str | None = None, item: str | None = None, missing: bool = False) -> DataFrame:
+    """Rows of the catalog (item_id, reader, status) by part of the reader's name, by status, by id, or those with missing files."""
+    if reader is not None:
+        rows = rows.where(F.contains(F.col("reader"), F.lit(reader.strip())))
+    if status is not None:
+        rows = rows.where(F.col("status") == status_of(status))
+    if item is not None:
+        rows = rows.where(item_id(F.col("item_id")) == item_id(F.lit(item)))
+    return (rows.where("status <> 'ready'") if missing else rows).orderBy("item_id")
+
+
+def resolve_ids(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The id of each new item: the one asked for, or that of its file in the catalog, or the next free number.
+
+    asked: key, explicit, file; catalog: item_id, file. Items are resolved one by one, as each is added before the next is asked for.
+    """
+    by_file = catalog.where("file <> ''").groupBy("file").agg(F.min("item_id").alias("known"))
+    free = catalog.agg((F.coalesce(F.max(F.expr("try_cast(item_id as bigint)")), F.lit(0)) + 1).alias("free"))  # one row
+    joined = asked.join(by_file, "file", "left").crossJoin(F.broadcast(free))
+    explicit = item_id(F.nullif(F.trim("explicit"), F.lit("")))
+    free = F.col("free").cast("string")
+    return joined.select("key", F.coalesce(explicit, "known", F.lpad(free, F.greatest(F.lit(3), F.length(free)), "0")).alias("item_id"))
+
+
 def status(has_pdf: Column, has_ppt: Column) -> Column:
     return F.when(has_pdf & has_ppt, "ready").when(has_pdf, "missing_ppt").when(has_ppt, "missing_pdf").otherwise("note_only")
 

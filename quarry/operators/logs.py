@@ -33,6 +33,37 @@ def error_class(message: Column) -> Column:
     return out.otherwise(OTHER_ERROR)
 
 
+FEEDBACK_CHARS = 500
+
+
+def favourites(events: DataFrame, by: list[str], adds: Column, order: Column) -> DataFrame:
+    """Adding twice is adding once; the last event of each user and item decides."""
+    last = events.groupBy(*by).agg(F.max_by(adds, order).alias("added"))
+    return last.where("added").select(*by)
+
+
+def feedback(events: DataFrame, score: str, question: str) -> DataFrame:
+    """Marks of +1 and -1 only, with the question's first FEEDBACK_CHARS letters."""
+    return events.where(F.col(score).isin(1, -1)).withColumn(question, F.left(F.col(question), F.lit(FEEDBACK_CHARS)))
+
+
+def turn_taking(turns: DataFrame, thread: str, order: str, text: str, intent: str, tasks: tuple[str, ...], *, other: str, has_id: str) -> DataFrame:
+    """turns with final_intent and needs_rewrite.
+
+    A turn classed `other` that names an id inherits the intent of the turn before it if that is a task. A turn needs to be rewritten
+    if there is one before it, and it names no id or follows a task.
+    """
+    w = Window.partitionBy(thread).orderBy(order)
+    named = F.coalesce(F.col(text).rlike(has_id), F.lit(False))
+    follows = (F.col(intent) == other) & named
+    # a chain of turns that may inherit has the intent of the turn that it hangs on
+    own = F.last_value(F.when(~follows, F.col(intent)), ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    final = F.when(follows & own.isin(*tasks), own).otherwise(F.col(intent))
+    out = turns.withColumn("final_intent", final)
+    before = F.lag("final_intent").over(w)
+    return out.withColumn("needs_rewrite", F.coalesce(before.isNotNull() & (~named | before.isin(*tasks)), F.lit(False)))
+
+
 def last_turns(turns: DataFrame, thread: str, order: str, n: int) -> DataFrame:
     """The last n turns of each thread, numbered from the oldest of them."""
     back = Window.partitionBy(thread).orderBy(F.desc(order))

@@ -55,12 +55,19 @@ def a5(t: Tables) -> DataFrame:
     return dated.groupBy("user_id").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.coalesce(today, F.lit(0)).alias("today"), F.count("*").alias("requests"))
 
 
-@query("a6_favourites", "SELECT user_id, page FROM (SELECT user_id, json_extract_string(props, '$.page') AS page, max_by(event_type, (ts, event_id)) AS last FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL) WHERE last = 'purchase'")
+@query(
+    "a6_favourites",
+    """SELECT 'favourite' AS part, user_id, page, NULL::INTEGER AS score, NULL::BIGINT AS n_chars FROM (SELECT user_id, json_extract_string(props, '$.page') AS page, max_by(event_type, (ts, event_id)) AS last FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL) WHERE last = 'purchase'
+UNION ALL SELECT 'feedback', user_id, json_extract_string(props, '$.page'), (event_id % 4 - 1)::INTEGER, least(500, 100 * length(event_type))::BIGINT FROM events WHERE event_id % 4 IN (0, 2)""",
+)
 def a6(t: Tables) -> DataFrame:
-    """Adding twice is adding once; the last event of a user and item decides."""
-    e = t.events.where("event_type in ('purchase', 'error')").withColumn("page", F.get_json_object("props", "$.page"))
-    last = e.groupBy("user_id", "page").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    return last.where("last = 'purchase'").select("user_id", "page")
+    """Favourites by their last event, and marks of questions: other scores than 1 and -1 do not count, long questions are cut."""
+    page = F.get_json_object("props", "$.page")
+    e = t.events.where("event_type in ('purchase', 'error')").withColumn("page", page)
+    liked = A.favourites(e, ["user_id", "page"], F.col("event_type") == "purchase", F.struct("ts", "event_id"))
+    asked = t.events.select("user_id", page.alias("page"), F.repeat("event_type", F.lit(100)).alias("question"), (F.col("event_id") % 4 - 1).cast("int").alias("score"))
+    marks = A.feedback(asked, "score", "question").select(F.lit("feedback").alias("part"), "user_id", "page", "score", F.length("question").cast("long").alias("n_chars"))
+    return marks.unionByName(liked.withColumn("part", F.lit("favourite")), allowMissingColumns=True)
 
 
 @query("a7_retention", f"WITH {LOG}, m AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM log) SELECT CASE WHEN ts < cut THEN strftime(ts, '%Y-%m') ELSE 'kept' END AS part, count(*)::BIGINT AS n FROM log, m GROUP BY ALL")
@@ -135,13 +142,18 @@ def a14(t: Tables) -> DataFrame:
 
 @query(
     "a15_turn_taking",
-    """WITH h AS (SELECT conv_id, turn, text, regexp_matches(text, '[0-9]{3}') AS has_id, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-SELECT conv_id, turn, CASE WHEN before IS NULL THEN 'first' WHEN has_id THEN 'explicit' WHEN before = 'assistant' THEN 'rewrite' ELSE 'follow_up' END AS class FROM h""",
+    """WITH RECURSIVE h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, regexp_matches(coalesce(text, ''), '[0-9]{3}|th') AS named,
+  CASE length(coalesce(text, '')) % 4 WHEN 0 THEN 'summary' WHEN 1 THEN 'compare' ELSE 'simple_qa' END AS intent FROM conversations),
+f AS (SELECT conv_id, i, turn, named, intent AS final_intent, false AS needs_rewrite FROM h WHERE i = 1 UNION ALL
+  SELECT h.conv_id, h.i, h.turn, h.named, CASE WHEN h.intent = 'simple_qa' AND h.named AND f.final_intent <> 'simple_qa' THEN f.final_intent ELSE h.intent END, NOT h.named OR f.final_intent <> 'simple_qa'
+  FROM f JOIN h ON h.conv_id = f.conv_id AND h.i = f.i + 1) SELECT conv_id, turn, final_intent, needs_rewrite FROM f""",
 )
 def a15(t: Tables) -> DataFrame:
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    kind = F.when(F.col("before").isNull(), "first").when(F.col("text").rlike("[0-9]{3}"), "explicit").when(F.col("before") == "assistant", "rewrite").otherwise("follow_up")
-    return t.conversations.withColumn("before", before).select("conv_id", "turn", kind.alias("class"))
+    """Turns that refer to the task before them inherit it; others that need their context are to be rewritten."""
+    n = F.length(F.coalesce("text", F.lit(""))) % 4
+    turns = t.conversations.withColumn("intent", F.when(n == 0, "summary").when(n == 1, "compare").otherwise("simple_qa"))
+    out = A.turn_taking(turns, "conv_id", "turn", "text", "intent", ("summary", "compare"), other="simple_qa", has_id="[0-9]{3}|th")
+    return out.select("conv_id", "turn", "final_intent", "needs_rewrite")
 
 
 @query(
