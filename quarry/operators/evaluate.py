@@ -8,6 +8,65 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 
 
+MAX_KEYWORDS = 99
+
+
+def keyword_coverage(answer: Column, keywords: Column) -> Column:
+    """hit, total and missing: of the keywords that are not blank, how many of the first MAX_KEYWORDS the answer says, how many there
+    are, and those that it does not say."""
+    wanted = F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: X.normalized(k) != "")
+    missing = F.filter(wanted, lambda k: ~X.says(answer, k))
+    hit = F.size(keyword_hits(answer, F.slice(wanted, 1, MAX_KEYWORDS)))
+    return F.struct(hit.alias("hit"), F.size(wanted).alias("total"), missing.alias("missing"))
+
+
+def cross_lingual(question: Column, keywords: Column) -> Column:
+    """A question in one script whose keywords are mostly words of another: more than half of the keywords that are not blank have
+    letters, but are not in the question's script. Numbers count below the line only."""
+    wanted = F.filter(keywords, lambda k: F.trim(k) != "")
+    foreign = F.filter(wanted, lambda k: k.rlike("[A-Za-z\u4e00-\u9fff]") & ~(X.cjk_share(k) > 0.3))
+    return (F.size(wanted) > 0) & (X.cjk_share(question) > 0.3) & (2 * F.size(foreign) > F.size(wanted))
+
+
+def tool_path(called: Column, wanted: Column, groups: Column, intent: Column, has_history: Column, *, compare: str, metadata: str, metadata_tools: list[str]) -> Column:
+    """Whether the calls of a case are right. called: array of (kind, n); wanted: array of kinds; groups: array of arrays, or null.
+
+    Comparisons need just the wanted calls, each as often. Else no calls at all are right where the conversation may hold the answer,
+    one of each group is, one of the metadata tools for such a question, or all that are wanted.
+    """
+    kinds = F.transform(called, lambda c: c["kind"])
+    each = F.array_sort(F.transform(F.array_distinct(wanted), lambda k: F.struct(k.alias("kind"), F.size(F.filter(wanted, lambda x: x == k)).cast("long").alias("n"))))
+    return (
+        F.when(intent == compare, F.array_sort(called) == each)
+        .when((F.size(called) == 0) & has_history, True)
+        .when(F.size(groups) > 0, F.forall(groups, lambda g: F.arrays_overlap(kinds, g)))
+        .when(intent == metadata, F.arrays_overlap(kinds, F.array(*map(F.lit, metadata_tools))))
+        .otherwise(F.size(F.array_except(wanted, kinds)) == 0)
+    )
+
+
+def figure_score(answer: Column, keywords: Column, image: Column, images: Column, trap: Column) -> Column:
+    """passed and figure_hit: a trap has to be refused; other questions need half of their keywords as they stand. The figure is found
+    if an image of the sources has its base name (null where there is none to find, and for traps)."""
+    wanted = F.filter(keywords, lambda k: k != "")
+    hits = F.size(F.filter(wanted, lambda k: F.contains(answer, k)))
+    passed = F.when(trap, X.refuses(answer)).otherwise((F.size(keywords) > 0) & (2 * hits >= F.size(keywords)))
+    found = F.exists(images, lambda i: F.contains(i, F.substring_index(image, "/", -1)))
+    return F.struct(passed.alias("passed"), F.when(~trap & (image != ""), found).alias("figure_hit"))
+
+
+def lint(cases: DataFrame, key: str, rules: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """One row (key, rule) for each rule that a case breaks, and one with a null key for each that the set breaks.
+
+    rules: conditions of a row; whole: conditions over aggregates of all rows. A null condition counts as kept.
+    """
+    broken = F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))
+    rows = cases.select(F.col(key).cast("string").alias("case_id"), F.explode(broken).alias("rule"))
+    total = cases.agg(*[c.alias(name) for name, c in whole.items()])
+    marks = F.array_compact(F.array(*[F.when(F.col(name), name) for name in whole]))
+    return rows.unionByName(total.select(F.lit(None).cast("string").alias("case_id"), F.explode(marks).alias("rule")))
+
+
 def keyword_hits(answer: Column, keywords: Column) -> Column:
     """The keywords that the answer says."""
     return F.filter(keywords, lambda k: X.says(answer, k))

@@ -25,18 +25,18 @@ def e1(t: Tables) -> DataFrame:
     return docs.join(asked, F.contains(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
 
 
-WORDS = ["the", "license", "work", "nicht", "para", "avec", "idiot"]
-
-
 @query(
     "e2_keyword_coverage",
-    f"SELECT doc_id, hit::BIGINT AS hit, {len(WORDS)}::BIGINT AS total, round(hit / {len(WORDS)}.0, 6) AS rate, array_to_string(miss, ',') AS missing FROM (SELECT doc_id, len(list_filter({WORDS}, lambda k: contains({NORM.format('text')}, k))) AS hit, list_filter({WORDS}, lambda k: NOT contains({NORM.format('text')}, k)) AS miss FROM documents)",
+    f"""WITH h AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+k AS (SELECT conv_id, turn, {NORM.format('text')} AS n, list_filter(string_split(coalesce(asked, ''), ' '), lambda k: {NORM.format('k')} <> '') AS w FROM h WHERE role = 'assistant')
+SELECT conv_id, turn, len(list_filter(w[1:99], lambda k: contains(n, {NORM.format('k')})))::BIGINT AS hit, len(w)::BIGINT AS total, array_to_string(list_filter(w, lambda k: NOT contains(n, {NORM.format('k')})), ',') AS missing FROM k""",
 )
 def e2(t: Tables) -> DataFrame:
-    words = F.array(*map(F.lit, WORDS))
-    rows = t.documents.select("doc_id", X.normalized(F.col("text")).alias("n"))
-    hits = F.filter(words, lambda k: F.contains(F.col("n"), k))
-    return rows.select("doc_id", F.size(hits).cast("long").alias("hit"), F.lit(len(WORDS)).cast("long").alias("total"), F.round(F.size(hits) / len(WORDS), 6).alias("rate"), F.array_join(F.array_except(words, hits), ",").alias("missing"))
+    """How many words of its question an answer says."""
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.withColumn("words", F.split(F.coalesce(asked, F.lit("")), " ")).where("role = 'assistant'")
+    c = rows.select("conv_id", "turn", E.keyword_coverage(F.col("text"), F.col("words")).alias("c"))
+    return c.select("conv_id", "turn", F.col("c.hit").cast("long").alias("hit"), F.col("c.total").cast("long").alias("total"), F.array_join("c.missing", ",").alias("missing"))
 
 
 SCORE = f"""{BM25_CTE},
@@ -72,10 +72,23 @@ def e4(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", (X.refuses(F.col("text")) | F.col("text").rlike("nothing|nicht|aucun")).alias("refuses"))
 
 
-@query("e5_cross_lingual", "SELECT doc_id, round((length(text) - length(regexp_replace(text, '[à-ÿ]', '', 'g'))) / length(text), 6) > 0.03 AND contains(text, 'the') AS crossed FROM documents WHERE length(text) > 0")
+HAN = "translate({0}, 'aeiours', '中文字人口大小')"
+SHARE = "(CASE WHEN length({0}) > 0 THEN (length({0}) - length(regexp_replace({0}, '[一-鿿]', '', 'g'))) / length({0}) ELSE 0 END > 0.3)"
+
+
+@query(
+    "e5_cross_lingual",
+    f"""WITH c AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text ELSE {HAN.format('text')} END AS q, list_filter(string_split(text, ' ')[1:6], lambda k: trim(k) <> '') AS k0 FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, q, CASE WHEN doc_id % 3 = 0 THEN list_transform(k0, lambda k: {HAN.format('k')}) ELSE k0 END AS k FROM c)
+SELECT doc_id, len(k) > 0 AND {SHARE.format('q')} AND 2 * len(list_filter(k, lambda x: regexp_matches(x, '[A-Za-z一-鿿]') AND NOT {SHARE.format('x')})) > len(k) AS crossed FROM k""",
+)
 def e5(t: Tables) -> DataFrame:
-    share = F.round(X.count_of(F.col("text"), "[à-ÿ]") / F.length("text"), 6)
-    return t.documents.where("length(text) > 0").select("doc_id", ((share > 0.03) & F.contains(F.col("text"), F.lit("the"))).alias("crossed"))
+    """Texts as questions, most of them with letters turned into another script, and their first words as keywords."""
+    han = lambda c: F.translate(c, "aeiours", "中文字人口大小")
+    question = F.when(F.col("lang") == "fr", F.col("text")).otherwise(han(F.col("text")))
+    words = F.slice(F.split("text", " "), 1, 6)
+    keywords = F.when(F.col("doc_id") % 3 == 0, F.transform(words, han)).otherwise(words)
+    return t.documents.where("text is not null").select("doc_id", E.cross_lingual(question, keywords).alias("crossed"))
 
 
 @query(
@@ -259,13 +272,25 @@ def tools(t: Tables) -> DataFrame:
 
 @query(
     "e19_tool_path",
-    f"WITH {TOOLS} SELECT user_id, called = ['click', 'view'] AS exact, list_has_any(kinds, ['view', 'click']) AND list_has_any(kinds, ['purchase', 'signup']) AS groups_met, list_has_all(['click', 'view', 'purchase'], kinds) AS subset FROM t",
+    """WITH c AS (SELECT user_id, CASE WHEN user_id % 7 = 0 THEN [] ELSE list_sort(list(event_type)) END AS called FROM events WHERE value > 90 GROUP BY user_id),
+x AS (SELECT user_id, called, CASE user_id % 4 WHEN 0 THEN 'compare' WHEN 1 THEN 'metadata' ELSE 'qa' END AS intent, user_id % 2 = 0 AS history,
+  CASE WHEN user_id % 3 = 0 THEN ['view', 'view', 'click'] WHEN user_id % 5 = 0 THEN [] ELSE ['click', 'view'] END AS wanted, CASE WHEN user_id % 8 = 2 THEN [['view', 'click'], ['purchase', 'signup']] END AS groups FROM c)
+SELECT user_id, CASE WHEN intent = 'compare' THEN called = list_sort(wanted) WHEN len(called) = 0 AND history THEN true
+  WHEN groups IS NOT NULL THEN list_has_any(called, groups[1]) AND list_has_any(called, groups[2]) WHEN intent = 'metadata' THEN list_has_any(called, ['signup', 'error'])
+  ELSE list_has_all(called, wanted) END AS tools_ok FROM x""",
 )
 def e19(t: Tables) -> DataFrame:
-    lit = lambda *x: F.array(*map(F.lit, x))
-    k = F.col("kinds")
-    groups = F.arrays_overlap(k, lit("view", "click")) & F.arrays_overlap(k, lit("purchase", "signup"))
-    return tools(t).select("user_id", ((F.col("calls") == 2) & (k == lit("click", "view"))).alias("exact"), groups.alias("groups_met"), (F.size(F.array_except(k, lit("click", "view", "purchase"))) == 0).alias("subset"))
+    """Calls of each user, counted by kind, against what its case wants."""
+    lit = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    u = F.col("user_id")
+    per_kind = t.events.where("value > 90").groupBy("user_id", F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    called = per_kind.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("called"))
+    called = called.withColumn("called", F.when(u % 7 == 0, F.slice("called", 1, 0)).otherwise(F.col("called")))
+    wanted = F.when(u % 3 == 0, lit("view", "view", "click")).when(u % 5 == 0, lit()).otherwise(lit("click", "view"))
+    groups = F.when(u % 8 == 2, F.array(lit("view", "click"), lit("purchase", "signup")))
+    intent = F.when(u % 4 == 0, "compare").when(u % 4 == 1, "metadata").otherwise("qa")
+    ok = E.tool_path(F.col("called"), wanted, groups, intent, u % 2 == 0, compare="compare", metadata="metadata", metadata_tools=["signup", "error"])
+    return called.select("user_id", ok.alias("tools_ok"))
 
 
 @query("e20_set_recall", f"WITH {TOOLS} SELECT user_id, round(len(list_intersect(kinds, ['click', 'view', 'error'])) / 3.0, 6) AS recall FROM t")
@@ -274,24 +299,115 @@ def e20(t: Tables) -> DataFrame:
     return tools(t).select("user_id", F.round(F.size(F.array_intersect("kinds", wanted)) / F.lit(3.0), 6).alias("recall"))
 
 
-@query("e21_figure_questions", "SELECT page_id, contains(string_split(url, '/')[-1], '1') AS image_hit, (contains(html, 'the')::INT + contains(html, 'nicht')::INT) / 2.0 >= 0.5 AS keywords_ok FROM pages")
+@query(
+    "e21_figure_questions",
+    f"""WITH c AS (SELECT page_id, CASE WHEN page_id % 10 = 0 AND page_id % 20 = 0 THEN '没有找到相关的文献' WHEN page_id % 10 = 0 THEN 'It is 42.' ELSE html END AS a, page_id % 10 = 0 AS trap, ['the', 'nicht', '', 'que'] AS k,
+  CASE WHEN page_id % 3 > 0 THEN 'figures/p' || page_id % 7 || '.png' ELSE '' END AS image, ['x/p1.png', 'http://h/p' || page_id % 5 || '.png?s=1'] AS images FROM pages WHERE html IS NOT NULL)
+SELECT page_id, CASE WHEN trap THEN regexp_matches(a, '{"|".join(X.REFUSALS)}') ELSE 2 * len(list_filter(k, lambda x: x <> '' AND contains(a, x))) >= len(k) END AS passed,
+  CASE WHEN NOT trap AND image <> '' THEN contains(images[1], string_split(image, '/')[-1]) OR contains(images[2], string_split(image, '/')[-1]) END AS figure_hit FROM c""",
+)
 def e21(t: Tables) -> DataFrame:
-    """The base name of the image and at least half of the keywords."""
-    rate = (F.contains(F.col("html"), F.lit("the")).cast("int") + F.contains(F.col("html"), F.lit("nicht")).cast("int")) / 2
-    return t.pages.select("page_id", F.contains(F.substring_index("url", "/", -1), F.lit("1")).alias("image_hit"), (rate >= 0.5).alias("keywords_ok"))
+    """Questions on figures: keywords as they stand, the image among the sources, traps that have to be refused."""
+    p = F.col("page_id")
+    answer = F.when(p % 20 == 0, "没有找到相关的文献").when(p % 10 == 0, "It is 42.").otherwise(F.col("html"))
+    image = F.when(p % 3 > 0, F.concat(F.lit("figures/p"), (p % 7).cast("string"), F.lit(".png"))).otherwise("")
+    images = F.array(F.lit("x/p1.png"), F.concat(F.lit("http://h/p"), (p % 5).cast("string"), F.lit(".png?s=1")))
+    words = F.array(*map(F.lit, ("the", "nicht", "", "que")))
+    rows = t.pages.where("html is not null").select("page_id", E.figure_score(answer, words, image, images, p % 10 == 0).alias("s"))
+    return rows.select("page_id", "s.passed", "s.figure_hit")
+
+
+INTENTS, TOOLS_OF, TRAPS = ["qa", "metadata", "compare", "report"], ["cards", "papers", "slides", "by_item"], ["clean", "paraphrase", "exact", "scope"]
+#: A generated data set of cases, most of them with something wrong, as columns that both engines can work out.
+CASES = {
+    "intent": "CASE WHEN n % 31 = 0 THEN 'odd' ELSE {pick_intent} END",
+    "intent_not": "CASE WHEN n % 29 = 0 THEN 'odd' WHEN n % 23 = 0 THEN {pick_intent} WHEN {pick_intent} = 'qa' THEN 'report' ELSE 'qa' END",
+    "task_type": "CASE WHEN n % 37 = 0 THEN 'odd' WHEN {pick_intent} = 'report' THEN 'group_report' ELSE 'simple' END",
+    "tools": "CASE WHEN n % 19 = 0 THEN {array}('magic') WHEN n % 13 = 0 THEN {none} WHEN {pick_intent} = 'report' THEN {array}('cards', 'papers', 'slides') WHEN {pick_intent} = 'compare' THEN {array}('by_item', 'by_item') WHEN {pick_intent} = 'metadata' THEN {array}('cards') ELSE {none} END",
+    "groups": "CASE WHEN n % 41 = 0 THEN {array}('magic') WHEN n % 17 = 0 THEN {array}('cards') ELSE {none} END",
+    "item_ids": "CASE WHEN n % 11 = 0 THEN {array}('7') WHEN {pick_intent} = 'compare' AND n % 5 > 0 THEN {array}('001', '002') ELSE {none} END",
+    "question": "CASE WHEN n % 3 = 0 THEN 'What does 017 say?' WHEN n % 7 = 0 THEN 'What does #4 say?' ELSE 'What is said on it?' END",
+    "nodes": "CASE WHEN n % 43 = 0 THEN {array}('nowhere') WHEN n % 2 = 0 THEN {array}('retrieval') ELSE {array}('intent', 'e2e') END",
+    "refusal": "n % 9 = 0",
+    "relevant": "CASE WHEN n % 4 = 0 THEN {array}('001') ELSE {none} END",
+    "keywords": "CASE WHEN n % 5 = 0 THEN {none} ELSE {array}('word') END",
+    "history": "CASE WHEN n % 6 = 0 THEN {array}('User: before') WHEN n % 47 = 0 THEN {array}('before') ELSE {none} END",
+    "has_rewrite": "n % 6 = 0 AND n % 12 > 0",
+    "trap": "CASE WHEN n % 53 = 0 THEN 'odd' WHEN n % 4 = 0 THEN 'clean' WHEN n % 4 = 1 THEN 'paraphrase' ELSE 'scope' END",
+    "checkpoints": "n % 6",
+    "difficulty": "CASE WHEN n % 10 < 5 THEN 'easy' WHEN n % 10 < 8 THEN 'medium' ELSE 'hard' END",
+}
+IN = lambda column, names: f"({column} IN ({', '.join(map(repr, names))}))"
+RULES = {
+    "intent": f"NOT {IN('intent', INTENTS)}",
+    "intent_not": f"NOT {IN('intent_not', INTENTS)}",
+    "same_intent": "intent_not = intent",
+    "task_type": f"NOT {IN('task_type', ['simple', 'group_report'])}",
+    "tools": "NOT {within}(tools, {TOOLS})",
+    "tool_groups": "NOT {within}(groups, {TOOLS})",
+    "no_tools": "{len}(tools) = 0 AND {len}(groups) = 0 AND intent <> 'qa'",
+    "metadata_tools": "intent = 'metadata' AND NOT {any}(tools, {array}('cards', 'papers'))",
+    "compare_tools": "intent = 'compare' AND NOT {within}(tools, {array}('by_item'))",
+    "compare_items": "intent = 'compare' AND ({len}(item_ids) < 2 OR {len}(item_ids) <> {len}(tools))",
+    "report_tools": "task_type = 'group_report' AND NOT {within}({array}('cards', 'papers', 'slides'), tools)",
+    "item_form": "{exists_odd}",
+    "named_item": "{names_item} AND {len}(item_ids) = 0",
+    "nodes": "NOT {within}(nodes, {array}('intent', 'retrieval', 'e2e'))",
+    "retrieval_empty": "{any}(nodes, {array}('retrieval')) AND NOT refusal AND ({len}(relevant) = 0 OR {len}(keywords) = 0)",
+    "refusal_relevant": "refusal AND {len}(relevant) > 0",
+    "history_rewrite": "({len}(history) > 0) <> has_rewrite",
+    "history_form": "{exists_bare}",
+    "trap": f"NOT {IN('trap', TRAPS)}",
+    "checkpoints": "NOT checkpoints BETWEEN 2 AND 4",
+}
+COUNT = "sum(CASE WHEN {0} THEN 1 ELSE 0 END)"
+WHOLE = {
+    "repeated_ids": "count(case_id) <> count(DISTINCT case_id)",
+    **{f"missing_trap_{x}": f"{COUNT.format(f'trap = {x!r}')} < 1" for x in TRAPS},
+    **{f"few_{x}": f"{COUNT.format(f'intent = {x!r}')} < 2" for x in INTENTS},
+    "too_many_qa": f"{COUNT.format('intent = ' + repr('qa'))} > 0.4 * count(*)",
+    "few_paraphrases": f"{COUNT.format(IN('trap', ['paraphrase', 'exact']))} < 4",
+    "clean_share": f"NOT {COUNT.format('trap = ' + repr('clean'))} BETWEEN 0.1 * count(*) AND 0.2 * count(*)",
+    "trap_share": f"{COUNT.format('trap <> ' + repr('clean'))} < 0.6 * count(*)",
+    "history_share": f"NOT {COUNT.format('has_rewrite')} BETWEEN 0.15 * count(*) AND 0.25 * count(*)",
+    **{f"share_{x}": f"abs({COUNT.format(f'difficulty = {x!r}')} - {n} * count(*) / 100.0) > 0.03 * count(*)" for x, n in (("easy", 30), ("medium", 45), ("hard", 25))},
+}
+_PICK = "CASE n % 4 WHEN 0 THEN 'qa' WHEN 1 THEN 'metadata' WHEN 2 THEN 'compare' ELSE 'report' END"
+_DUCK = {
+    "pick_intent": _PICK, "array": "list_value", "none": "CAST([] AS VARCHAR[])", "len": "len", "any": "list_has_any", "within": "within", "TOOLS": f"list_value({', '.join(map(repr, TOOLS_OF))})",
+    "exists_odd": "len(list_filter(item_ids, lambda x: NOT regexp_full_match(x, '[0-9]{3}'))) > 0", "exists_bare": "len(list_filter(history, lambda x: NOT starts_with(x, 'User: '))) > 0",
+    "names_item": "regexp_matches(question, '#[0-9]+|\\b[0-9]{3}\\b')",
+}
+_SPARK = {
+    **_DUCK, "array": "array", "none": "cast(array() as array<string>)", "len": "size", "any": "arrays_overlap", "TOOLS": f"array({', '.join(map(repr, TOOLS_OF))})",
+    "exists_odd": "exists(item_ids, x -> not x rlike '^[0-9]{3}$')", "exists_bare": "exists(history, x -> not startswith(x, 'User: '))", "names_item": "question rlike '#[0-9]+|\\\\b[0-9]{3}\\\\b'",
+}
+
+
+def _said(text: str, words: dict[str, str]) -> str:
+    """A rule in the words of an engine: within(a, b), all of a are in b, is spelt out."""
+    import re
+
+    for name, value in words.items():
+        text = text.replace("{" + name + "}", value)
+    within = "list_has_all({1}, {0})" if words is _DUCK else "(size(array_except({0}, {1})) = 0)"
+    return re.sub(r"within\((\w+(?:\([^()]*\))?), (\w+(?:\([^()]*\))?)\)", lambda m: within.format(m[1], m[2]), text)
 
 
 @query(
     "e22_lint",
-    """SELECT doc_id, 'short' AS rule FROM documents WHERE n_chars < 50 UNION ALL SELECT doc_id, 'no_sentence' FROM documents WHERE NOT contains(text, '.')
-UNION ALL SELECT doc_id, 'length' FROM documents WHERE length(text) <> n_chars UNION ALL SELECT min(doc_id), 'repeated' FROM documents GROUP BY text HAVING count(*) > 1""",
+    "WITH d AS (SELECT doc_id AS n FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 97 = 0), c AS (SELECT n::VARCHAR AS case_id, "
+    + ", ".join(f"{_said(v, _DUCK)} AS {k}" for k, v in CASES.items())
+    + " FROM d) "
+    + " UNION ALL ".join(f"SELECT case_id, '{name}' AS rule FROM c WHERE {_said(rule, _DUCK)}" for name, rule in RULES.items())
+    + "".join(f" UNION ALL SELECT NULL, '{name}' FROM c HAVING {rule}" for name, rule in WHOLE.items()),
 )
 def e22(t: Tables) -> DataFrame:
-    """One row for each broken rule: rules of a row as an array of messages, rules of the whole set as aggregations."""
-    rules = {"short": F.col("n_chars") < 50, "no_sentence": ~F.contains(F.col("text"), F.lit(".")), "length": F.length("text") != F.col("n_chars")}
-    rows = t.documents.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))).alias("rule"))
-    repeated = t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1")
-    return rows.unionByName(repeated.select("doc_id", F.lit("repeated").alias("rule")))
+    """A set of cases against twenty rules of a row and the rules of its distribution: one row for each broken one."""
+    ids = t.documents.select(F.col("doc_id").alias("n"))
+    cases = ids.unionByName(ids.where("n % 97 = 0"))
+    cases = cases.select(F.col("n").cast("string").alias("case_id"), *[F.expr(_said(v, _SPARK)).alias(k) for k, v in CASES.items()])
+    return E.lint(cases, "case_id", {name: F.expr(_said(rule, _SPARK)) for name, rule in RULES.items()}, {name: F.expr(rule) for name, rule in WHOLE.items()})
 
 
 @query(
