@@ -22,6 +22,59 @@ NOISE = (
 CAPTION = "(?i)^\\s*(figure|fig\\.?|table)\\s*(\\d{1,3})"
 
 
+# Kinds of office blocks and what stands for blocks without text.
+HEADING_KINDS = tuple(f"heading{i}" for i in range(1, 10))
+TEXT_KINDS = ("text", "bullet", "ordered", "code", "quote", "todo", "callout")
+ATTACHMENT_KINDS = ("image", "file", "media")
+BULLET, NO_TABLE, ATTACHMENT, NO_DOCUMENT = "• ", "[表格]", "[图片或附件]", "[空文档]"
+_RUNS = "struct<elements: array<struct<text_run: struct<content: string>, equation: struct<content: string>>>>"
+CLAIMS, CLAIM_CHARS, CONFIDENCE = 4, 200, ("high", "medium", "low")
+
+
+def office_blocks(rows: DataFrame, key: str, order: str, block: str) -> DataFrame:
+    """Office blocks as JSON become key, order, block_type and text.
+
+    A block has one key for its kind: headings, kinds of text (bullets get a mark), tables, attachments. Blocks of text without any
+    are dropped; a document of which nothing is left has one block that says so.
+    """
+    kinds = [*HEADING_KINDS, *TEXT_KINDS, "table"]
+    b = F.from_json(block, ", ".join(f"{k} {_RUNS}" for k in kinds) + ", " + ", ".join(f"{k} string" for k in ATTACHMENT_KINDS))
+    runs = lambda c: F.trim(F.array_join(F.transform(c["elements"], lambda e: F.coalesce(e["text_run"]["content"], e["equation"]["content"], F.lit(""))), ""))
+    blank = lambda c: F.nullif(F.coalesce(runs(c), F.lit("")), F.lit(""))
+    made = lambda kind, text: F.struct(F.lit(kind).alias("block_type"), text.alias("text"))
+    found = None
+    for kind in kinds:
+        c = F.col("b")[kind]
+        if kind in HEADING_KINDS:
+            out = made("heading", blank(c))
+        elif kind == "table":
+            out = made("table", F.coalesce(blank(c), F.lit(NO_TABLE)))
+        else:
+            out = made("text", F.concat(F.lit(BULLET), blank(c)) if kind == "bullet" else blank(c))
+        found = F.when(c.isNotNull(), out) if found is None else found.when(c.isNotNull(), out)
+    attached = F.lit(False)
+    for kind in ATTACHMENT_KINDS:
+        attached = attached | F.col("b")[kind].isNotNull()
+    found = found.when(attached, made("text", F.lit(ATTACHMENT)))
+    parsed = rows.select(key, order, b.alias("b")).select(key, order, found.alias("x")).select(key, order, "x.block_type", "x.text")
+    kept = parsed.where("text is not null")
+    empty = rows.select(key).distinct().join(kept.select(key).distinct(), key, "left_anti")
+    none = empty.select(key, F.lit(None).cast(dict(rows.dtypes)[order]).alias(order), F.lit("text").alias("block_type"), F.lit(NO_DOCUMENT).alias("text"))
+    return kept.unionByName(none)
+
+
+def caption_facts(said: Column) -> Column:
+    """summary, claims and confidence from a model's answer, or null: the outermost braces, in a fence or not, hold JSON with a summary
+    and a list of claims, of which the first CLAIMS count, cut to CLAIM_CHARS letters. An unknown confidence is medium."""
+    body = F.regexp_extract(said, "(?s)(\\{.*\\})", 1)
+    x = F.from_json(body, "summary string, key_claims string, confidence string")
+    claims = F.from_json(x["key_claims"], "array<string>")
+    confidence = F.when(x["confidence"].isin(*CONFIDENCE), x["confidence"]).otherwise("medium")
+    short = F.slice(F.transform(claims, lambda c: F.left(c, F.lit(CLAIM_CHARS))), 1, CLAIMS)
+    usable = (F.coalesce(x["summary"], F.lit("")) != "") & F.startswith(x["key_claims"], F.lit("[")) & claims.isNotNull()
+    return F.when(usable, F.struct(x["summary"].alias("summary"), short.alias("claims"), confidence.alias("confidence")))
+
+
 def normalize_blocks(blocks: DataFrame) -> DataFrame:
     """Drops page furniture and empty blocks; paragraph_title becomes section_title, image becomes figure."""
     kind = F.when(F.col("block_type") == "paragraph_title", "section_title").when(F.col("block_type") == "image", "figure").otherwise(F.col("block_type"))

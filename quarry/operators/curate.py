@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from quarry.operators.retrieve import band_signs, cosine
 
 
+def variant_filter(variants: DataFrame, seeds: DataFrame, same: str, order: list[str], text: str, label_ok: Column, *, least: int = 4, most: int = 120) -> DataFrame:
+    """variants with the reason why each is dropped, or `kept`: length, label, seed, repeat (a kept one before it, by order, is the same).
+
+    same: the column by which texts are the same; label_ok: the label that a model gives the variant is that of its seed.
+    """
+    known = seeds.select(same).distinct().withColumn("is_seed", F.lit(True))
+    rows = variants.join(known, same, "left")
+    reason = F.when(~F.length(text).between(least, most), "length").when(~label_ok, "label").when(F.col("is_seed"), "seed")
+    rows = rows.withColumn("reason", reason)
+    first = rows.where("reason is null").groupBy(same).agg(F.min(F.struct(*order)).alias("first"))
+    rows = rows.join(first, same, "left")
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.struct(*order) != F.col("first"), "repeat").otherwise("kept"))).drop("is_seed", "first")
+
+
+def templated(kinds: list[tuple[str, DataFrame, str, str, list[str], Column]]) -> DataFrame:
+    """Cases from templates: template, subject, question, answer. kinds: name, rows, subject column, pattern, its columns, answer."""
+    out = None
+    for name, rows, subject, pattern, columns, answer in kinds:
+        part = rows.select(F.lit(name).alias("template"), F.col(subject).alias("subject"), F.format_string(pattern, *columns).alias("question"), answer.alias("answer"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def question_hash(c: Column) -> Column:
     return F.sha1(F.regexp_replace(F.lower(F.trim(c)), "[\\s\\p{Punct}]+", ""))
 

@@ -18,6 +18,18 @@ def top(df: DataFrame, by: list, order: list, k: int, rank: str = "rank") -> Dat
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def branch_queries(queries: DataFrame, translations: DataFrame, key: str, text: str) -> DataFrame:
+    """key, dense_text, sparse_text and branches. The dense branch asks the text as it is. The sparse one asks it in the corpus's
+    language: its translation, or the text itself if that is in it already (own); without either only the dense branch runs.
+
+    queries: key, text, own; translations: key, translation.
+    """
+    told = translations.select(key, F.nullif(F.trim("translation"), F.lit("")).alias("told"))
+    sparse = F.coalesce("told", F.when(F.col("own"), F.nullif(F.trim(text), F.lit(""))))
+    rows = queries.join(told, key, "left").select(key, F.col(text).alias("dense_text"), sparse.alias("sparse_text"))
+    return rows.withColumn("branches", F.when(F.col("sparse_text").isNotNull(), "hybrid").otherwise("dense"))
+
+
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, term, tf of every document."""
     terms = docs.select(F.col(key).alias("key"), F.explode(X.tokens(text)).alias("term"))

@@ -104,17 +104,22 @@ def c7(t: Tables) -> DataFrame:
 
 @query(
     "c8_office_blocks",
-    "SELECT conv_id, turn, CASE role WHEN 'system' THEN 'section_title' ELSE 'text' END AS block_type, CASE WHEN length(trim(text)) = 0 THEN '[空文档]' WHEN role = 'assistant' THEN '• ' || text ELSE text END AS text FROM conversations",
+    """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 6 ELSE (conv_id + turn) % 8 END AS k, trim(regexp_replace(text, '\s', ' ', 'g')) AS t FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN k = 0 THEN 'heading' WHEN k = 4 THEN 'table' ELSE 'text' END AS block_type,
+  CASE k WHEN 1 THEN '• ' || t || '=x' WHEN 4 THEN CASE WHEN turn % 2 = 0 THEN '[表格]' ELSE t || '=x' END WHEN 5 THEN '[图片或附件]' WHEN 6 THEN NULL ELSE t || '=x' END AS text FROM b)
+SELECT * FROM x WHERE text IS NOT NULL UNION ALL SELECT conv_id, NULL, 'text', '[空文档]' FROM x GROUP BY conv_id HAVING count(text) = 0""",
 )
 def c8(t: Tables) -> DataFrame:
-    """Office blocks come as JSON with one of several keys: heading1, text or bullet."""
-    key = F.when(F.col("role") == "system", "heading1").when(F.col("role") == "assistant", "bullet").otherwise("text")
-    raw = t.conversations.select("conv_id", "turn", F.to_json(F.map_from_arrays(F.array(key), F.array("text"))).alias("block"))
-    b = raw.withColumn("b", F.from_json("block", "heading1 string, text string, bullet string"))
-    kind = F.when(F.col("b.heading1").isNotNull(), "section_title").otherwise("text")
-    text = F.coalesce("b.heading1", "b.text", F.concat(F.lit("• "), F.col("b.bullet")))
-    plain = F.coalesce("b.heading1", "b.text", "b.bullet")
-    return b.select("conv_id", "turn", kind.alias("block_type"), F.when(F.trim(plain) == "", "[空文档]").otherwise(text).alias("text"))
+    """Blocks of several kinds made of turns: headings, text, bullets, tables, attachments, blank ones and unknown ones."""
+    k = F.when(F.col("conv_id") % 5 == 0, 6).otherwise((F.col("conv_id") + F.col("turn")) % 8)
+    kind = F.when(k == 0, F.concat(F.lit("heading"), (F.col("turn") % 9 + 1).cast("string"))).when(k == 1, "bullet").when(k == 2, "ordered").when(k == 3, "code").when(k == 4, "table").when(k == 5, "image").when(k == 6, "callout").otherwise("todo")
+    text = F.trim(F.regexp_replace("text", "\\s", " "))
+    empty = (k == 6) | ((k == 4) & (F.col("turn") % 2 == 0))
+    run = F.struct(F.struct(F.concat(F.lit(" "), text).alias("content")).alias("text_run"))
+    formula = F.struct(F.struct(F.lit("=x ").alias("content")).alias("equation"))
+    elements = F.when(empty, F.lit("[]")).otherwise(F.concat(F.lit("["), F.to_json(run), F.lit(","), F.to_json(formula), F.lit("]")))
+    block = F.concat(F.lit('{"block_id":"b","'), kind, F.lit('":{"elements":'), elements, F.lit("}}"))
+    return B.office_blocks(t.conversations.select("conv_id", "turn", block.alias("block")), "conv_id", "turn", "block")
 
 
 @query("c9_content_hash", f"WITH {KEPT} SELECT doc_id, sha256(string_agg(block_type || chr(31) || text, chr(30) ORDER BY ord)) AS content_hash FROM k GROUP BY doc_id")
@@ -237,14 +242,21 @@ def c21(t: Tables) -> DataFrame:
 
 @query(
     "c22_caption_json",
-    "SELECT event_id, json_extract_string(props, '$.page') AS summary, CASE WHEN value >= 50 THEN 'high' ELSE 'medium' END AS confidence FROM events",
+    """WITH c AS (SELECT doc_id, lang, length(text) AS n, regexp_replace(left(text, 260), '[^a-z ]', '', 'g') AS claim FROM documents)
+SELECT doc_id, CASE WHEN ok THEN lang END AS summary, CASE WHEN ok THEN array_to_string(list_transform(range(0, least(4, n % 7)), lambda i: i || left(claim, 199)), '|') END AS claims,
+  CASE WHEN ok THEN CASE n % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END END AS confidence
+FROM (SELECT *, coalesce(lang, '') <> '' AND doc_id % 11 > 0 AND doc_id % 13 > 0 AND n IS NOT NULL AS ok FROM c)""",
 )
 def c22(t: Tables) -> DataFrame:
-    """Model output in a fence: the outermost braces are parsed; an unknown confidence counts as medium."""
-    said = F.concat(F.lit("```json\n{\"facts\": "), F.col("props"), F.lit(", \"confidence\": \""), F.when(F.col("value") >= 50, "high").otherwise("?"), F.lit("\"}\n```"))
-    body = F.from_json(F.regexp_extract(said, "(?s)(\\{.*\\})", 1), "facts struct<page string>, confidence string")
-    known = F.col("b.confidence").isin("high", "medium", "low")
-    return t.events.select("event_id", body.alias("b")).select("event_id", F.col("b.facts.page").alias("summary"), F.when(known, F.col("b.confidence")).otherwise("medium").alias("confidence"))
+    """Answers of a model: fenced or not, some cut off or without a list of claims, with too many and too long claims."""
+    n, claim = F.length("text"), F.regexp_replace(F.left("text", F.lit(260)), "[^a-z ]", "")
+    number = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < n % 7)
+    claims = F.to_json(F.transform(number, lambda i: F.concat(i.cast("string"), claim)))
+    sure = F.when(n % 4 == 0, "high").when(n % 4 == 1, "low").otherwise("certain")
+    json = F.concat(F.lit('{"summary": "'), F.coalesce("lang", F.lit("")), F.lit('", "key_claims": '), F.when(F.col("doc_id") % 11 == 0, F.lit('"none"')).otherwise(claims), F.lit(', "confidence": "'), sure, F.lit('"'))
+    said = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("```json\n")).otherwise("Here it is: "), json, F.when(F.col("doc_id") % 13 == 0, F.lit(" and so on")).otherwise("}\n```"))
+    rows = t.documents.select("doc_id", B.caption_facts(said).alias("f"))
+    return rows.select("doc_id", F.col("f.summary").alias("summary"), F.array_join("f.claims", "|").alias("claims"), F.col("f.confidence").alias("confidence"))
 
 
 @query(
@@ -257,14 +269,18 @@ def c23(t: Tables) -> DataFrame:
     return chunks.where(B.usable(F.col("section"), F.col("block_type"), F.col("text"), F.col("is_reference"))).select("doc_id", "ord")
 
 
-ACCENT = "round((length(text) - length(regexp_replace(text, '[à-ÿ]', '', 'g'))) / length(text), 6)"
-
-
-@query("c24_script_share", f"SELECT doc_id, {ACCENT} AS accented, CASE WHEN {ACCENT} > 0.03 THEN 'accented' ELSE 'plain' END AS class FROM documents WHERE length(text) > 0")
+@query(
+    "c24_script_share",
+    """WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeiours', '中文字人口大小') WHEN doc_id % 3 = 1 THEN translate(text, 'ei', '中文') ELSE text END AS q FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(q) > 0 THEN (length(q) - length(regexp_replace(q, '[一-鿿]', '', 'g'))) / length(q) ELSE 0 END AS s FROM q)
+SELECT doc_id, round(s, 6) AS share, s > 0.3 AS question_class, s >= 0.15 AS text_class FROM s""",
+)
 def c24(t: Tables) -> DataFrame:
-    """The share of a script's characters and the class it gives (accented Latin here; the tables hold no CJK)."""
-    share = F.round(X.count_of(F.col("text"), "[à-ÿ]") / F.length("text"), 6)
-    return t.documents.where("length(text) > 0").select("doc_id", share.alias("accented"), F.when(share > 0.03, "accented").otherwise("plain").alias("class"))
+    """The share of CJK characters and its two classes, whose limits differ on purpose. Two thirds of the texts have letters turned into CJK ones."""
+    d = F.col("doc_id") % 3
+    text = F.when(d == 0, F.translate("text", "aeiours", "中文字人口大小")).when(d == 1, F.translate("text", "ei", "中文")).otherwise(F.col("text"))
+    share = X.cjk_share(text)
+    return t.documents.select("doc_id", F.round(share, 6).alias("share"), (share > 0.3).alias("question_class"), (share >= 0.15).alias("text_class"))
 
 
 @query("c25_longest_caption", f"WITH {CAPTIONS} SELECT regexp_extract(url, '://([^/]+)', 1) AS host, c.page_id, length(caption)::BIGINT AS n FROM c JOIN pages USING (page_id) QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(caption) DESC, c.page_id) = 1")

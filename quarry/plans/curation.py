@@ -87,18 +87,14 @@ def d7(t: Tables) -> DataFrame:
 
 @query(
     "d8_variant_filter",
-    f"""WITH {Q}, s AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id, turn) AS n FROM q WHERE pool = 1), seeds AS (SELECT DISTINCT h FROM q WHERE pool = 0)
-SELECT conv_id, turn, CASE WHEN length(text) NOT BETWEEN 4 AND 120 THEN 'length' WHEN h IN (SELECT h FROM seeds) THEN 'seed' WHEN n > 1 THEN 'repeat' ELSE 'kept' END AS reason FROM s""",
+    f"""WITH {Q}, s AS (SELECT *, length(text) BETWEEN 4 AND 120 AS fits, length(text) % 7 = 0 AS other_label FROM q WHERE pool = 1), seeds AS (SELECT DISTINCT h FROM q WHERE pool = 0),
+k AS (SELECT *, fits AND NOT other_label AND h NOT IN (SELECT h FROM seeds) AS candidate FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY h, candidate ORDER BY conv_id, turn) AS n FROM k)
+SELECT conv_id, turn, CASE WHEN NOT fits THEN 'length' WHEN other_label THEN 'label' WHEN NOT candidate THEN 'seed' WHEN n > 1 THEN 'repeat' ELSE 'kept' END AS reason FROM n""",
 )
 def d8(t: Tables) -> DataFrame:
-    """Why a variant (an answer here) is dropped: length, equal to a seed, seen before."""
-    seeds = questions(t).where("pool = 0").select("h").distinct().withColumn("seed", F.lit(True))
-    variants = questions(t).where("pool = 1")
-    first = variants.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    rows = variants.join(first, "h").join(seeds, "h", "left")
-    repeat = F.struct("conv_id", "turn") != F.col("first")
-    reason = F.when(~F.length("text").between(4, 120), "length").when(F.col("seed"), "seed").when(repeat, "repeat").otherwise("kept")
-    return rows.select("conv_id", "turn", reason.alias("reason"))
+    """Why a variant (an answer here) is dropped: length, its own label differs, equal to a seed, seen before among those that are left."""
+    variants = questions(t).where("pool = 1").withColumn("own", F.when(F.length("text") % 7 == 0, "other").otherwise("same"))
+    return D.variant_filter(variants, questions(t).where("pool = 0"), "h", ["conv_id", "turn"], "text", F.col("own") == "same").select("conv_id", "turn", "reason")
 
 
 @query(
@@ -180,14 +176,31 @@ def d14(t: Tables) -> DataFrame:
 
 @query(
     "d15_templated_cases",
-    """SELECT 'brand' AS template, p_brand AS subject, 'Which parts are of ' || p_brand || '?' AS question, count(*)::BIGINT AS answers FROM part GROUP BY p_brand HAVING count(*) >= 2
-UNION ALL SELECT 'nation', n_name, 'Who supplies from ' || n_name || '?', count(s_suppkey)::BIGINT FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
+    """WITH r AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part),
+b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) >= 2 ORDER BY n DESC, p_brand LIMIT 8)
+SELECT 'reader' AS template, p_partkey::VARCHAR AS subject, 'Who presented "' || p_name || '"?' AS question, p_brand AS answer FROM r WHERE p_brand <> ''
+UNION ALL SELECT 'link', p_partkey::VARCHAR, 'What is the type of "' || p_name || '"?', p_type FROM r WHERE p_type <> ''
+UNION ALL SELECT 'by_reader', p_brand, 'What did ' || p_brand || ' present?', n::VARCHAR FROM b
+UNION ALL SELECT 'summary', p_partkey::VARCHAR, 'Summarise "' || p_name || '".', p_partkey::VARCHAR FROM r WHERE p_size > 40
+UNION ALL SELECT 'pair', p_partkey::VARCHAR, 'Compare "' || p_name || '" with "' || next || '".', p_name || ';' || next FROM r WHERE next IS NOT NULL
+UNION ALL SELECT 'group', n_name, 'Report on the suppliers from ' || n_name || '.', count(s_suppkey)::VARCHAR FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
 )
 def d15(t: Tables) -> DataFrame:
-    brands = t.part.groupBy("p_brand").agg(F.count("*").alias("answers")).where("answers >= 2")
-    brands = brands.select(F.lit("brand").alias("template"), F.col("p_brand").alias("subject"), F.format_string("Which parts are of %s?", "p_brand").alias("question"), "answers")
-    nations = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("answers"))
-    return brands.unionByName(nations.select(F.lit("nation").alias("template"), F.col("n_name").alias("subject"), F.format_string("Who supplies from %s?", "n_name").alias("question"), "answers"))
+    """Six kinds of cases from the catalog: readers, links, what a reader presented (the eight with most), summaries, pairs, groups."""
+    follower = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    parts = t.part.select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_name", "p_brand", "p_type", "p_size", follower.alias("next"))
+    most = t.part.groupBy("p_brand").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "p_brand").limit(8)
+    groups = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_name").agg(F.count("s_suppkey").cast("string").alias("n"))
+    return D.templated(
+        [
+            ("reader", parts.where("p_brand <> ''"), "key", 'Who presented "%s"?', ["p_name"], F.col("p_brand")),
+            ("link", parts.where("p_type <> ''"), "key", 'What is the type of "%s"?', ["p_name"], F.col("p_type")),
+            ("by_reader", most, "p_brand", "What did %s present?", ["p_brand"], F.col("n").cast("string")),
+            ("summary", parts.where("p_size > 40"), "key", 'Summarise "%s".', ["p_name"], F.col("key")),
+            ("pair", parts.where("next is not null"), "key", 'Compare "%s" with "%s".', ["p_name", "next"], F.concat_ws(";", "p_name", "next")),
+            ("group", groups, "n_name", "Report on the suppliers from %s.", ["n_name"], F.col("n")),
+        ]
+    )
 
 
 @query(

@@ -155,13 +155,15 @@ def r8_last(t: Tables) -> DataFrame:
 
 @query(
     "r9_branch_queries",
-    "SELECT item_id, text AS dense_text, CASE WHEN length(text) > 0 AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) = length(text) THEN text END AS sparse_text, "
-    "CASE WHEN length(text) > 0 AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) = length(text) THEN 'hybrid' ELSE 'dense' END AS branches FROM benchmark",
+    """WITH t AS (SELECT doc_id AS item_id, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE left(text, 60) END AS told FROM documents WHERE doc_id % 2 = 0)
+SELECT item_id, text AS dense_text, s AS sparse_text, CASE WHEN s IS NULL THEN 'dense' ELSE 'hybrid' END AS branches
+FROM (SELECT b.item_id, b.text, coalesce(nullif(trim(told), ''), CASE WHEN length(b.text) % 3 = 0 THEN nullif(trim(b.text), '') END) AS s FROM benchmark b LEFT JOIN t ON t.item_id = b.item_id)""",
 )
 def r9(t: Tables) -> DataFrame:
-    """The sparse branch needs a query in the corpus language; without one only the dense branch runs."""
-    plain = (F.length("text") > 0) & (F.regexp_replace("text", "[^\\x00-\\x7F]", "") == F.col("text"))
-    return t.benchmark.select("item_id", F.col("text").alias("dense_text"), F.when(plain, F.col("text")).alias("sparse_text"), F.when(plain, "hybrid").otherwise("dense").alias("branches"))
+    """Passages as queries; the table of translations (documents of even ids here) has some, and some that are blank."""
+    told = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.left("text", F.lit(60))).alias("translation"))
+    queries = t.benchmark.select("item_id", "text", (F.length("text") % 3 == 0).alias("own"))
+    return R.branch_queries(queries, told, "item_id", "text")
 
 
 @query(
