@@ -14,7 +14,7 @@ from quarry.plans.base import Tables, query
     "k1_split_notes",
     """WITH n AS (SELECT conv_id, turn, role, text, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND NOT (conv_id % 2 = 0 AND n > 1) THEN lpad((turn + 1)::VARCHAR, greatest(3, length((turn + 1)::VARCHAR))::INTEGER, '0') ELSE lpad(place::VARCHAR, greatest(3, length(place::VARCHAR))::INTEGER, '0') END AS item_id,
-  role AS title, trim('> ' || regexp_replace(text, '\s', ' ', 'g')) AS body FROM n""",
+  role AS title, trim('> ' || regexp_replace(text, '\\s', ' ', 'g')) AS body FROM n""",
 )
 def k1(t: Tables) -> DataFrame:
     """Notes with numbered headings, with numbers that repeat, and without numbers become one row for each item."""

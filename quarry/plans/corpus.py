@@ -104,7 +104,7 @@ def c7(t: Tables) -> DataFrame:
 
 @query(
     "c8_office_blocks",
-    """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 6 ELSE (conv_id + turn) % 8 END AS k, trim(regexp_replace(text, '\s', ' ', 'g')) AS t FROM conversations),
+    """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 6 ELSE (conv_id + turn) % 8 END AS k, trim(regexp_replace(text, '\\s', ' ', 'g')) AS t FROM conversations),
 x AS (SELECT conv_id, turn, CASE WHEN k = 0 THEN 'heading' WHEN k = 4 THEN 'table' ELSE 'text' END AS block_type,
   CASE k WHEN 1 THEN '• ' || t || '=x' WHEN 4 THEN CASE WHEN turn % 2 = 0 THEN '[表格]' ELSE t || '=x' END WHEN 5 THEN '[图片或附件]' WHEN 6 THEN NULL ELSE t || '=x' END AS text FROM b)
 SELECT * FROM x WHERE text IS NOT NULL UNION ALL SELECT conv_id, NULL, 'text', '[空文档]' FROM x GROUP BY conv_id HAVING count(text) = 0""",

@@ -5,13 +5,18 @@ from __future__ import annotations
 import datetime
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
 from quarry.operators import build as B
 from quarry.operators import catalog as K
+from quarry.operators import curate as D
 from quarry.operators import evaluate as E
 from quarry.operators import logs as A
 from quarry.operators import sync as Y
+from quarry.plans.registry import QUERIES
 from quarry.sources import files as S
 
 
@@ -104,3 +109,23 @@ def test_cross_lingual(spark):
     crossed = lambda q, *k: one(spark, E.cross_lingual(F.lit(q), F.array(*map(F.lit, k)).cast("array<string>")))
     assert crossed("这是什么", "model", "loss", "3.41") and not crossed("这是什么", "model", "3.41")
     assert not crossed("what is it", "model") and not crossed("这是什么") and not crossed("这是什么", "模型")
+
+
+def test_recall_of_near_pairs(spark):
+    """Pairs that share a band of signs, against all pairs."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 32))
+    v[100:200] = v[:100] + 0.6 * rng.normal(size=(100, 32))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for least in (0.3, 0.6):
+        wanted = {(a, b) for a, b in np.argwhere(unit @ unit.T >= least).tolist() if a < b}
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+        found = {(r.a, r.b) for r in D.near_pairs(rows, "k", "v", 32, least).collect()}
+        assert found <= wanted | {p for p in found if abs(unit[p[0]] @ unit[p[1]] - least) < 1e-5}
+        assert len(found & wanted) >= 0.95 * len(wanted)
+
+
+def test_recall_of_dense_lsh(spark):
+    exact = {(r.query_id, r.key) for r in QUERIES["r5_dense_topk"](spark, DATA).collect() if r["rank"] <= 10}
+    found = {(r.query_id, r.key) for r in QUERIES["r5_dense_lsh"](spark, DATA).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
