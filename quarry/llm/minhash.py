@@ -45,7 +45,7 @@ from quarry.llm.repeats import buckets, mix, named
 DEPTH = 8
 BASE = 6
 REGION = 32
-BLOCK = 512
+BLOCK = 64
 BLOCK_SHINGLES = 1 << 21
 ITEM_BYTES = 8 << 20
 #: The contract's similarity: 100 * intersection >= 85 * union.
