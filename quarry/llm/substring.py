@@ -145,7 +145,8 @@ _PAIR = np.dtype([("left", "<u8"), ("right", "<u8")])
 def pairs_of(x: Symbols, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What the new symbols stand for, each pair once in order; if several documents of the batch have it; its bucket; and the
     place of every new symbol's pair."""
-    order = np.lexsort((x.right, x.left))
+    name = x.name[x.made]  # a hash of the pair: equal pairs stand together
+    order = np.argsort(name, kind="stable")
     left, right, doc = x.left[order], x.right[order], words.doc[x.start[x.made[order]]]
     new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]) if len(order) else np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -154,7 +155,7 @@ def pairs_of(x: Symbols, words: Words, n: int) -> tuple[np.ndarray, np.ndarray,
     pairs = np.zeros(len(first), dtype=_PAIR)
     pairs["left"], pairs["right"] = left[first], right[first]
     many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-    return pairs, many, bucket_of(named(pairs["left"], pairs["right"], 50), n), where
+    return pairs, many, bucket_of(name[order][first], n), where
 
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
