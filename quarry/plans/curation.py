@@ -10,6 +10,7 @@ from quarry.operators import curate as D
 from quarry.plans.base import Tables, query
 from quarry.plans.corpus import SECT, sectioned
 from quarry.plans.evaluation import NORM
+from quarry.plans.scans import shared_folder
 
 QH = "sha1(regexp_replace(lower(trim(text)), '[\\s!-/:-@\\[-`{-~]+', '', 'g'))"
 Q = f"""q AS (SELECT conv_id, turn, text, {QH.replace('sha1(', 'md5(')} AS h, CASE role WHEN 'user' THEN 0 ELSE 1 END AS pool FROM conversations)"""
@@ -150,11 +151,9 @@ def d12(t: Tables) -> DataFrame:
 
 
 def _checkpoint(spark):
-    """Writes each round to the session's shared folder (a temporary one only where none is set)."""
-    import tempfile
-
+    """Writes each round to the session's shared folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 
