@@ -10,7 +10,7 @@ from quarry.operators import curate as D
 from quarry.plans.base import Tables, query
 from quarry.plans.corpus import SECT, sectioned
 from quarry.plans.evaluation import NORM
-from quarry.plans.scans import shared_folder
+from quarry.sources.shared import shared_folder
 
 QH = "sha1(regexp_replace(lower(trim(text)), '[\\s!-/:-@\\[-`{-~]+', '', 'g'))"
 Q = f"""q AS (SELECT conv_id, turn, text, {QH.replace('sha1(', 'md5(')} AS h, CASE role WHEN 'user' THEN 0 ELSE 1 END AS pool FROM conversations)"""

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.base import Tables, query
 from quarry.sources import files as S
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where that is unset, a cluster's session raises, and a local one takes a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from quarry.sources.shared import new_path
 
 
 def scratch(t: Tables, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(t.spark, name)
 
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
