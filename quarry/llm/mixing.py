@@ -115,7 +115,7 @@ def mix(
 ) -> Mix:
     """The schedule of the mix and the sizes and targets behind it. Runs of one seed are equal."""
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), source.alias("s"), words(F.col(text_col)).alias("size"))
+    docs = stored(docs.select(F.col(id_col).alias("id"), source.alias("s"), words(F.col(text_col)).alias("size")), "sizes")  # texts are read once
     shuffled = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     rows = running(docs, ["s"], [shuffled.asc(), F.col("id").asc_nulls_first(), F.col("size").asc()], rank="nth", sums={"upto": "size"}, unique="row")
     per = stored(rows.groupBy("s").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), "sources")
