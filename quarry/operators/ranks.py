@@ -37,14 +37,16 @@ def running(
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(k).asc_nulls_first() for k in keys] + order
     dealt = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn(at, F.monotonically_increasing_id())
+    shown = list(df.columns)
     if keep is not None:
-        dealt = dealt.select(*keep, *[F.col(c) for c in dict.fromkeys([*keys, *sums.values()]) if c not in keep], at)
+        shown = dealt.select(*keep).columns
+        dealt = dealt.select(*keep, *[c for c in dict.fromkeys([*keys, *sums.values()]) if c not in shown], at)
     dealt = stored(dealt, "ranks").withColumn(part, F.shiftrightunsigned(at, 33))
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
     few = dealt.select(group.alias("k"), F.col(part).alias("p"), F.col(at).alias("at"), F.lit(1).cast("long").alias("v0"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(sums.values(), 1)])
     values = [f"v{i}" for i in range(len(sums) + 1)]
-    ends = few.groupBy("p").agg(F.min_by("k", "at").alias("first"), F.max_by("k", "at").alias("last"))
-    reaching = ends.select(F.explode(F.array("first", "last")).alias("k")).distinct()
+    ends = few.groupBy("p").agg(F.min("at").alias("first"), F.max("at").alias("last")).select(F.explode(F.array("first", "last")).alias("at"))
+    reaching = few.join(F.broadcast(ends), "at", "left_semi").select("k").distinct()
     counted = few.join(F.broadcast(reaching), "k", "left_semi").groupBy("k", "p").agg(*[F.sum(v).alias(v) for v in values])
     earlier = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.select("k", "p", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in values]).where("v0 > 0")
@@ -56,8 +58,6 @@ def running(
     out = out.join(F.broadcast(counted), (F.col(part) == F.col(p)) & group.eqNullSafe(F.col(k)), "left")
     add = lambda name, v: F.col(name) + F.coalesce(F.col(before)[v], F.lit(0))
     out = out.withColumns({rank: add(rank, "v0")} | {name: add(name, f"v{i}") for i, name in enumerate(sums, 1)})
-    shown = [c for c in dealt.columns if c not in (at, part) and (keep is None or c in keep or c in keys)]
     if unique:
         out = out.withColumnRenamed(at, unique)
-        shown.append(unique)
-    return out.select(*shown, *([] if rank in shown else [rank]), *sums)
+    return out.select(*[c for c in shown if c not in (rank, unique)], *([unique] if unique else []), rank, *sums)
