@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontaminate, langid, mainhtml, minhash, mixing, quality, substring, suffixdedup, topk
+from quarry.llm import bpe, chat, decontaminate, langid, mainhtml, minhash, mixing, quality, substring, suffixdedup, topk, turntrie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": langid.op8_langid,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_turntrie": turntrie.op11_turntrie,
     "op12_mixing": mixing.op12_mixing,
 }
 
@@ -28,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash": minhash.OP3_SQL,
     "op5_topk": topk.OP5_SQL,
     "op7_substring": substring.OP7_SQL,
+    "op11_turntrie": turntrie.OP11_SQL,
     "op12_mixing": mixing.OP12_SQL,
 }
