@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontaminate, langid, mainhtml, minhash, mixing, quality, substring, suffixdedup, topk, turntrie
+from quarry.llm import bpe, chat, decontaminate, langid, mainhtml, minhash, mixing, quality, spelling, substring, suffixdedup, topk, turntrie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
     "op11_turntrie": turntrie.op11_turntrie,
     "op12_mixing": mixing.op12_mixing,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring": substring.OP7_SQL,
     "op11_turntrie": turntrie.OP11_SQL,
     "op12_mixing": mixing.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
