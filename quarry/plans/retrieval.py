@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import retrieve as R
 from quarry.plans.base import Tables, query
+from quarry.plans.scans import scratch
+from quarry.streaming import state as S
 
 K = 10
 
@@ -326,17 +328,34 @@ def r19(t: Tables) -> DataFrame:
     return hits.groupBy("query_id", F.col("source").alias("item")).agg(F.max("score").alias("best"), F.count("*").alias("hits"), types.alias("types"))
 
 
-@query(
-    "r20_citation_numbers",
-    f"""WITH u AS (SELECT conv_id AS thread, turn, list_distinct({TOK.format('text')}) AS w FROM conversations),
+CITED_SQL = f"""WITH u AS (SELECT conv_id AS thread, turn, list_distinct({TOK.format('text')}) AS w FROM conversations),
 x AS (SELECT thread, turn, s AS source FROM u, unnest(w) AS r(s) WHERE length(s) >= 6),
 f AS (SELECT thread, source, min(turn) AS first FROM x GROUP BY ALL)
-SELECT thread, source, first, row_number() OVER (PARTITION BY thread ORDER BY first, source) AS number FROM f""",
-)
+SELECT thread, source, first, row_number() OVER (PARTITION BY thread ORDER BY first, source) AS number FROM f"""
+
+
+def source_uses(turns: DataFrame) -> DataFrame:
+    """Long words of a turn stand for its sources."""
+    uses = turns.select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("source"))
+    return uses.where("length(source) >= 6")
+
+
+@query("r20_citation_numbers", CITED_SQL)
 def r20(t: Tables) -> DataFrame:
-    """Long words of a turn stand for its sources; numbers go on from turn to turn."""
-    uses = t.conversations.select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("source"))
-    return R.citation_numbers(uses.where("length(source) >= 6")).withColumn("number", F.col("number").cast("long"))
+    """Numbers go on from turn to turn."""
+    return R.citation_numbers(source_uses(t.conversations)).withColumn("number", F.col("number").cast("long"))
+
+
+@query("r20_citation_stream", CITED_SQL)
+def r20_stream(t: Tables) -> DataFrame:
+    """The same numbers from a stream that is stopped after the first turns of all threads and goes on with the others."""
+    inbox, out, state = scratch(t, "r20-turns"), scratch(t, "r20-numbers"), scratch(t, "r20-state")
+    turns = t.conversations.select("conv_id", "turn", "text")
+    for part in ("turn < 3", "turn >= 3"):
+        turns.where(part).write.mode("append").parquet(inbox)
+        uses = source_uses(t.spark.readStream.schema(turns.schema).parquet(inbox))
+        numbers = S.run_with_state(S.citation_numbers(uses), out, state)
+    return numbers
 
 
 @query(

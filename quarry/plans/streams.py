@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.plans.base import Tables, query
 from quarry.plans.scans import scratch
 from quarry.streaming import events as T
+from quarry.streaming import state as S
 
 #: Later than all events, so that the watermark passes every window; dropped from results.
 MARKER = "2100-01-01 00:00:00"
@@ -108,10 +109,21 @@ def t6(t: Tables) -> DataFrame:
     return totals.read()
 
 
+def in_order(t: Tables, name: str) -> DataFrame:
+    """The events as a stream of three files, one after the other in time, each a micro-batch of its own."""
+    path = scratch(t, name)
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    for i, days in enumerate(("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20")):
+        rows.where(days).coalesce(1).write.parquet(f"{path}/{i}")
+    source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    return source.parquet(path)
+
+
 @query("t7_anchored_windows")
 def t7(t: Tables) -> DataFrame:
-    rows = stream(t).where("event_id >= 0").select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    return done(t, T.anchored(rows, "user_id", 3600, 3), "t7")
+    """The batch twin's windows; what the watermark has passed is no longer in the state."""
+    rows = S.anchored(in_order(t, "t7-events"), "user_id", "ts", 3600, 3)
+    return S.run_with_state(rows, scratch(t, "t7"), scratch(t, "t7-state"))
 
 
 @query(
@@ -131,3 +143,15 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MI
 )
 def t9(t: Tables) -> DataFrame:
     return done(t, T.sessions(stream(t), "ts", "user_id", "30 minutes"), "t9").where("user_id >= 0")
+
+
+@query(
+    "t9_stale_threads",
+    """WITH h AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS thread, max(ts) AS last, count(*)::BIGINT AS rows FROM events GROUP BY ALL)
+SELECT thread, epoch_us(last) AS last_us, rows FROM h WHERE epoch_us(last) + 3 * 86400000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""",
+)
+def t9_stale(t: Tables) -> DataFrame:
+    """Threads (a user's day) of which nothing has come for three days, by the clock of the events, which lags ten minutes."""
+    thread = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    rows = S.stale_threads(in_order(t, "t9-events").select("ts", thread.alias("thread")), "thread", "ts", 3 * 86_400_000)
+    return S.run_with_state(rows, scratch(t, "t9-stale"), scratch(t, "t9-stale-state"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 
@@ -50,30 +46,6 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
     return out.select(key, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
 
 
-def anchored(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
-    """events: key, event_id, us. Windows anchored at a key's first request after the last one; the state is start and count.
-
-    Within a micro-batch a key's rows are put in order; the twin of the batch fold over whole keys.
-    """
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (-(10**18), 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        starts, numbers = [], []
-        for at in rows["us"]:
-            if at - start >= seconds * 1_000_000:
-                start, n = int(at), 0
-            n += 1
-            starts.append(start)
-            numbers.append(n)
-        state.update((start, n))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "window_start": starts, "nth": numbers, "over": [i > limit for i in numbers]})
-
-    return events.groupBy(key).applyInPandasWithState(
-        fold, f"{key} long, event_id long, window_start long, nth long, over boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, into Parquet, and reads the result."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
