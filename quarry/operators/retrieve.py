@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 
-K1, B, RRF = 1.5, 0.75, 60
+RRF = 60
 
 
 def top(df: DataFrame, by: list, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -30,46 +30,6 @@ def branch_queries(queries: DataFrame, translations: DataFrame, key: str, text:
     return rows.withColumn("branches", F.when(F.col("sparse_text").isNotNull(), "hybrid").otherwise("dense"))
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf of every document."""
-    terms = docs.select(F.col(key).alias("key"), F.explode(X.tokens(text)).alias("term"))
-    return terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(post: DataFrame, docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Document frequency by term; length by document; number of documents and mean length (documents without terms count)."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    dl = post.groupBy("key").agg(F.sum("tf").alias("dl"))
-    n = docs.agg(F.count(key).alias("n"))
-    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    whole = n.crossJoin(total).select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
-    return df, dl, whole  # whole is one row
-
-
-def bm25(queries: DataFrame, docs: DataFrame, *, query_key: str, query_text: str, key: str, text: Column, k: int, keep: Column | None = None) -> DataFrame:
-    """query_id, key, score and rank of the k best documents of each query; every occurrence of a query word adds.
-
-    keep filters documents after the corpus statistics, which stay those of the whole corpus. A document's length stays with its
-    words, and only words that some query has are counted and shuffled; number and mean length come from one narrow pass.
-    The query side is the small one and Spark broadcasts it if it is.
-    """
-    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    words = docs.select(F.col(key).alias("key"), X.tokens(text).alias("words"), kept.alias("kept"))
-    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    length = F.coalesce(F.size("words"), F.lit(0))
-    said = words.select("key", "kept", length.alias("dl"), F.explode("words").alias("term"))
-    post = said.join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "kept", "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    whole = words.agg(F.count("key").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"))
-    whole = whole.select("n", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = post.where("kept").join(asked.join(df, "term"), "term").crossJoin(F.broadcast(whole))
-    scores = hits.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top(scores, ["query_id"], [F.desc("score"), "key"], k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -82,16 +42,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / (norm(a) * norm(b)), 6)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, *, query_key: str, query_vector: str, key: str, vector: str, k: int) -> DataFrame:
-    """query_id, key, score and rank by exact cosine: the stated queries against all vectors, in one nested loop. Norms are worked out
-    once for each vector."""
-    side = lambda df, k_, v, names: df.select(F.col(k_).alias(names[0]), F.col(v).alias(names[1])).withColumn(names[2], norm(F.col(names[1])))
-    q = side(queries, query_key, query_vector, ("query_id", "qv", "qn"))
-    v = side(vectors, key, vector, ("key", "v", "vn"))
-    score = F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn")), 6)
-    return top(v.join(q, F.lit(True)).select("query_id", "key", score.alias("score")), ["query_id"], [F.desc("score"), "key"], k)
-
-
 def fuse(branches: list[DataFrame], k: int) -> DataFrame:
     """Reciprocal-rank fusion: query_id, key, score, rank. A branch has query_id, key and rank."""
     both = branches[0].select("query_id", "key", "rank")

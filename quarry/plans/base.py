@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What queries of one session share (indexes of a table), by session, table and the table's state.
+SHARED: dict[tuple, object] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -20,6 +22,20 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def shared(t: Tables, name: str, tables: list[str], build: Callable[[], object]):
+    """What build() makes of tables, made once a session as long as the tables' files are the same ones."""
+    stamps = []
+    for table in tables:
+        path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{table}.parquet")
+        fs = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+        files = fs.listStatus(path)
+        stamps += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    key = (t.spark.sparkContext.applicationId, name, *stamps)
+    if key not in SHARED:
+        SHARED[key] = build()
+    return SHARED[key]
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables under `name`."""
 

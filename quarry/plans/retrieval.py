@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import contain as C
+from quarry.operators import index as I
 from quarry.operators import retrieve as R
-from quarry.plans.base import Tables, query
+from quarry.plans.base import Tables, query, shared
 from quarry.plans.scans import scratch
 from quarry.streaming import state as S
 
@@ -34,13 +36,18 @@ ds AS (SELECT q.vec_id AS query_id, v.vec_id AS key, {COS} AS score FROM v q, v
 de AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ds QUALIFY rank <= 20)"""
 
 
-def bm25(t: Tables, k: int = 20, keep=None) -> DataFrame:
-    return R.bm25(t.benchmark, t.documents, query_key="item_id", query_text="text", key="doc_id", text=F.col("text"), k=k, keep=keep)
+def forward(t: Tables) -> I.Forward:
+    """The index of `documents`, shared by the queries of a session."""
+    return shared(t, "forward", ["documents"], lambda: I.build(t.documents, "doc_id", F.col("text")))
+
+
+def bm25(t: Tables, k: int = 20, keep: DataFrame | None = None) -> DataFrame:
+    return I.bm25(t.benchmark, forward(t), query_key="item_id", query_text="text", k=k, keep=keep)
 
 
 def dense(t: Tables, k: int = 20) -> DataFrame:
     asked = t.embeddings.where("vec_id % 100 = 0")
-    return R.dense(asked, t.embeddings, query_key="vec_id", query_vector="embedding", key="vec_id", vector="embedding", k=k)
+    return I.cosine_top(asked, t.embeddings, query_key="vec_id", query_vector="embedding", key="vec_id", vector="embedding", k=k)
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -71,9 +78,9 @@ def r2(t: Tables) -> DataFrame:
 
 @query("r3_postings", f"WITH {BM25_CTE} SELECT p.doc_id AS key, p.term, p.tf::BIGINT AS tf, df.df::BIGINT AS df, dl.dl::BIGINT AS dl FROM p JOIN df USING (term) JOIN dl USING (doc_id)")
 def r3(t: Tables) -> DataFrame:
-    post = R.postings(t.documents, "doc_id", F.col("text"))
-    df, dl, _ = R.corpus_stats(post, t.documents, "doc_id")
-    return post.join(df, "term").join(dl, "key").select("key", "term", "tf", "df", "dl")
+    index = forward(t)
+    post = index.rows.select("key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return post.select("key", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).join(index.df, "term").select("key", "term", "tf", "df", "dl")
 
 
 @query("r4_bm25_topk", f"WITH {BM25_CTE} SELECT query_id, key, score, rank FROM bm WHERE rank <= {K}")
@@ -87,7 +94,7 @@ def r4(t: Tables) -> DataFrame:
 )
 def r4_filtered(t: Tables) -> DataFrame:
     """A filter on the documents leaves the corpus statistics as they are."""
-    return ranked(bm25(t, K, F.col("lang") == "en"))
+    return ranked(bm25(t, K, t.documents.where("lang = 'en'").select(F.col("doc_id").alias("key"))))
 
 
 @query("r5_dense_topk", f"WITH {DENSE_CTE} SELECT query_id, key, score, rank FROM de WHERE rank <= {K}")
@@ -195,10 +202,11 @@ def r10(t: Tables) -> DataFrame:
 
 
 def expected_hits(t: Tables) -> DataFrame:
-    """query_id, key, lang: documents that hold the passage. The passages ask all documents, in one nested loop."""
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).where("length(passage) > 0")
-    docs = t.documents.select(F.col("doc_id").alias("key"), "lang", "text")
-    return docs.join(asked, F.contains(F.col("text"), F.col("passage"))).select("query_id", "key", "lang")
+    """query_id, key, lang: documents that hold the passage."""
+    held = lambda: C.contained(t.documents, t.benchmark, key="doc_id", text="text", passage_key="item_id", passage="text")
+    hits = shared(t, "expected", ["documents", "benchmark"], held)
+    langs = t.documents.select(F.col("doc_id").alias("key"), "lang")
+    return hits.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key")).join(langs, "key")
 
 
 RERANK_CTE = f"""{BM25_CTE},
@@ -305,7 +313,7 @@ SELECT query_id, chunk_id AS key, rank, md5({WINDOW_SQL}) AS context_md5 FROM s
 def r17(t: Tables) -> DataFrame:
     chunks = line_chunks(t)
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    hits = chunks.where("length(chunk) >= 20").join(asked, F.contains(F.col("passage"), F.col("chunk")))
+    hits = C.parts_of(chunks.select("chunk_id", "parent_id", "chunk"), asked, piece="chunk", text="passage", least=20)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.length("chunk")), "chunk_id")
     hits = hits.select("query_id", F.col("chunk_id").alias("key"), F.row_number().over(order).cast("long").alias("rank"), F.col("parent_id").cast("string").alias("parent_id"), F.col("chunk").alias("text"))
     parents = t.documents.select(F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("parent_text"))
