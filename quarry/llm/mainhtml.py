@@ -10,13 +10,17 @@ centre, and is taken whole, whatever its classes and links. The smallest density
 the path, a subtree is taken if its density reaches NEAR of the threshold; below that, the markup settles close cases: headings,
 prose in a wrapper of the centre, and what stands in the same <article> are taken unless most of their characters are links.
 
-Left out before anything is counted: elements that are no article text by their tag or role, hidden ones, and those with a class
-or id whose head word (the last one that says more than a place or a shape: the second of `post-comments-list`) names menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments. Roles, classes and forms are not believed of an element
-that holds the page's <h1> or <main>. Time and memory grow with the length of the page, at any depth of nesting.
+Left out before anything is counted: elements that are no article text by their tag, and hidden ones. Roles, forms, and classes and
+ids that name menus, headers, footers, sidebars, notices, adverts, forms or reader comments are claims, which links, place and
+density have to bear out. The article is first looked for without the claimed elements. A claim is plain if all words of the name
+speak for it (`post-comments-list`, not `market-share`) and the element is no paragraph, table or other prose by itself. What is
+claimed plainly goes if a quarter of its characters are links, if it stands outside the article's centre, or if its density is below
+the centre's; a vague claim only counts where half the characters are links. No claim is believed of an element that holds the page's
+<h1> or <main>, and none at all if the claimed elements hold four fifths of the text of a page without <article>, <main> or <h1>. Time and memory grow with the length of the
+page, at any depth of nesting.
 
 Defined results: null, empty and wordless pages give the empty string; unclosed tags, comments and quotes run to the end of the
-page; end tags without a start are ignored; very long pages are read whole, one at a time; repeated rows are extracted row by row;
+page; end tags without a start are ignored; bytes that are not UTF-8 count as the replacement character; very long pages are read whole, one at a time; repeated rows are extracted row by row;
 an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
@@ -46,22 +50,25 @@ OUTSIDE = frozenset(
     " embed svg canvas audio video noembed noframes dialog menu".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Head words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: Words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 MARKS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner"
     " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar"
     " sidebar aside rail widget widgets related recommended share sharing social buttons"
     " header masthead footer colophon copyright"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall login signup"
-    " form search searchform"
-    " comment comments commentlist disqus respond reply replies discussion".split()
+    " form search searchform comment comments commentlist disqus respond".split()
 )
-#: Words of a place or a shape, which are never the head word.
+#: Marks that an article's own parts may have as well: never plain.
+VAGUE = frozenset("discussion reply replies form notice notices alert related".split())
+#: Words of a place or a shape, which say nothing.
 SHAPES = frozenset("list box section container wrapper wrap block area inner outer left right top bottom item items unit slot panel row col".split())
-#: Words that make a header part of the article.
+#: Words of the page and its readers, which say nothing either; of a header, they make it part of the article.
 OWN = frozenset("article entry post story content page title".split())
+SITE = frozenset("site web blog my js id view thread user reader readers visitor top bottom main global primary secondary mobile desktop google dfp sticky fixed full text image video link links area zone bar group wide unit".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
+PARAGRAPHS = frozenset("p blockquote pre li dd dt td th tr tbody table figure figcaption h1 h2 h3 h4 h5 h6 span em strong b i".split())
 NEVER_MARKED = frozenset("html body main article".split())
 #: The share of the threshold from which a subtree beside the centre's path is article text, whatever its markup.
 NEAR = 0.25
@@ -102,17 +109,22 @@ class Node:
         self.density = self.total = 0.0
 
 
-def head_word(name: str) -> tuple[str, set[str]]:
-    """The head word of a class or id, and all of its words."""
+def claim(name: str) -> str:
+    """What a class or id says: "plain" if all of its words mark what is no article text, "vague" if the last one that says anything
+    does, else "". """
     words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
     says = [w for w in words if w not in SHAPES]
-    return (says[-1] if says else ""), set(words)
+    if not says or says[-1] not in MARKS | VAGUE or (says[-1] == "header" and OWN.intersection(says)):
+        return ""
+    return "plain" if all(w in MARKS or w in OWN or w in SITE for w in says) and says[-1] not in VAGUE else "vague"
 
 
 def _mark(tag: str, attrs: str, parent: Node) -> str:
-    """Why an element, by its own tag and attributes, holds no article text: "sure", "claimed", or "" if nothing says so."""
+    """What an element's own tag and attributes say against it: "sure", "plain", "vague" or nothing."""
     if tag == "form":
-        return "claimed"
+        return "plain"
+    if tag == "footer" and parent.tag in PARAGRAPHS:
+        return ""  # the author of a quotation
     if tag in OUTSIDE:
         return "sure"
     if tag == "header":
@@ -127,12 +139,11 @@ def _mark(tag: str, attrs: str, parent: Node) -> str:
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return "sure"
     if found.get("role", "").lower() in ROLES:
-        return "claimed"
-    for name in (found.get("id", ""), *found.get("class", "").split()):
-        head, words = head_word(name)
-        if head in MARKS and not (head == "header" and words & OWN):
-            return "claimed"
-    return ""
+        return "plain"
+    claims = {claim(name) for name in (found.get("id", ""), *found.get("class", "").split())}
+    if "plain" in claims and tag not in PARAGRAPHS:
+        return "plain"
+    return "vague" if claims & {"plain", "vague"} else ""
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -205,14 +216,12 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, ra
     return chars / t * adjusted / math.log(max(2.0, base))
 
 
-def weigh(nodes: list[Node]) -> None:
-    """What is left out, then counts, density and density sum of every other node."""
-    for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.holds |= node.holds or node.tag in ("h1", "main")
-    for node in nodes:
-        node.out = (node.parent is not None and node.parent.out) or node.mark == "sure" or (node.mark == "claimed" and not node.holds)
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, densities and density sums of all nodes that are not out."""
     own: list[int] = [0] * len(nodes)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for k in range(len(nodes) - 1, -1, -1):
         node = nodes[k]
         if node.out:
@@ -238,6 +247,43 @@ def weigh(nodes: list[Node]) -> None:
             node.parent.total += node.density
 
 
+def weigh(nodes: list[Node]) -> None:
+    """What is left out, then counts, density and density sum of every other node."""
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.holds |= node.holds or node.tag in ("h1", "main")
+
+    def leave_out(gone) -> None:
+        for node in nodes:
+            node.out = (node.parent is not None and node.parent.out) or node.mark == "sure" or gone(node)
+
+    claimed = [n for n in nodes if n.mark in ("plain", "vague") and not n.holds]
+    leave_out(lambda n: False)
+    _count(nodes)
+    if not claimed:
+        return
+    whole, seen = nodes[0].chars, {id(n): (n.chars, n.link_chars, n.density) for n in claimed if not n.out}
+    claims = set(seen)
+    leave_out(lambda n: id(n) in claims)
+    _count(nodes)
+    centre, rest = centre_of(nodes), nodes[0].chars
+    believed = 4 * rest > whole - rest or any(n.chars and not n.out and n.tag in ("article", "main", "h1") for n in nodes)
+    inside: set[int] = set()
+    if centre is not None:
+        for node in nodes:  # parents come first
+            if node is centre or (node.parent is not None and id(node.parent) in inside):
+                inside.add(id(node))
+    gone = set()
+    for node in claimed:
+        chars, links, density = seen.get(id(node), (0, 0, 0.0))
+        if 2 * links > chars:
+            gone.add(id(node))
+        elif node.mark == "plain" and centre is not None and believed and (4 * links >= chars or id(node) not in inside or density < centre.density):
+            gone.add(id(node))
+    leave_out(lambda n: id(n) in gone)
+    _count(nodes)
+
+
 def _blocks(top: Node, taken: set[int], texts: set[int]) -> list[str]:
     """The blocks of text below top in page order. taken: the subtrees to take; texts: nodes whose own strings are taken."""
     out: list[str] = []
@@ -307,7 +353,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [main_text(page) for page in batch.column("html").cast(pa.string()).to_pylist()]
+            texts = [main_text(page.decode("utf-8", "replace") if page is not None else None) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[id_col, url_col, "text", "n_chars"],
