@@ -9,7 +9,9 @@ Works for word-level BPE files of the tokenizers library: NFC, white-space foldi
 end-of-word suffix, no decoder (decoding joins the token strings with one space). Special tokens in a text are recognised
 before normalisation, as the library does.
 
-Defined results: a null text is an empty one and gives no ids and the empty string; repeated rows are encoded row by row.
+Defined results: a null text is an empty one and gives no ids and the empty string; bytes that are not UTF-8 count as the replacement
+character; repeated rows are encoded row by row, null ids too; very long texts are encoded whole, one at a time; an empty table gives
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -243,7 +245,7 @@ def encode(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(*shared.value)
         for batch in slices(batches, "body", 2 << 20):
-            texts = [t or "" for t in batch.column("body").cast(pa.string()).to_pylist()]
+            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("body").to_pylist()]
             coded = list(bpe.encode(texts))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -35,6 +35,7 @@ FOREIGN = 0.05
 SLOTS_PER_GRAM = 16
 SLICE = 2 << 20  # bytes of text whose n-grams are held at once: some 50 bytes of arrays for each
 
+#: What may be a letter (Unicode category L, as str.isalpha tells): the class also has signs such as ² and Ⅷ.
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes other than letters become spaces.
 _ONLY_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -43,8 +44,8 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 def _plain(body: bytes | None) -> bytes:
     """Lower-cased words between single spaces, or nothing if the text has no letter."""
-    text = (body or b"").decode()
-    if not _LETTER.search(text):
+    text = (body or b"").decode("utf-8", "replace")
+    if not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return b""
     return b" " + b" ".join(text.lower().encode().translate(_ONLY_LETTERS).split()) + b" "
 
