@@ -1,7 +1,8 @@
 """Near-duplicate detection with a MinHash LSH forest; links are confirmed on full shingle sets.
 
 1. Every document becomes its set of distinct word shingles, hashed to 64 bits, a 128-bit key of the whole set and a label
-   of DEPTH minima for each tree. Documents with equal sets are one class, known by its smallest doc_id.
+   of DEPTH minima for each tree. Documents with equal sets are one class. Classes are numbered in the order of their smallest
+   doc_ids, so the smallest class of a component has its smallest doc_id.
 2. The forest: for each tree the classes are sorted by label over the whole cluster (a range partitioning by tree, label and
    id, so that no label, however frequent, has to fit a task). Classes whose labels share their first BASE minima form a
    region; a region of more than REGION classes is split by the next minimum, down to DEPTH. A region's members are joined to
@@ -22,9 +23,10 @@ Tasks are dealt by text bytes: small clusters share work items of about ITEM_BYT
 broadcast the few frequent ones (`graph.py`), so a group that holds a third of all rows does not land in one task.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; texts with fewer words than a
-shingle are one shingle; very long texts count whole; a null doc_id takes no part and gives a null component_id, kept; a doc_id
-names one document: rows that repeat it must repeat its text (with different texts, one of them, any, stands for all in the
-confirmation), and all of them are returned; an empty table gives no rows; other columns, whatever their names, are not read.
+shingle are one shingle; very long texts count whole; a null doc_id takes no part and gives a null component_id, kept; rows that
+repeat a doc_id are documents of their own: each is linked by its own text, has the component of that text, and is kept if no
+smaller doc_id is in it (so rows of one doc_id never make each other go); an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +37,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, stored, table
 from quarry.llm.graph import components, spread_join
 from quarry.llm.repeats import buckets, mix, named
+from quarry.operators.ranks import running
 
 DEPTH = 8
 BASE = 6
@@ -105,7 +108,7 @@ def minima(sets: list[np.ndarray], trees: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """docs: id, body. id, n (size of the set), key (of the set) and labels (its minima)."""
+    """docs: id, print, body. id, print, n (size of the set), key (of the set) and labels (its minima)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
@@ -118,14 +121,15 @@ def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("print"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(labels, pa.binary()),
                 ],
-                names=["id", "n", "key", "labels"],
+                names=["id", "print", "n", "key", "labels"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, key binary, labels binary")
+    return docs.mapInArrow(run, "id long, print long, n long, key binary, labels binary")
 
 
 def _forest(classes: DataFrame, count: int) -> DataFrame:
@@ -278,29 +282,31 @@ def _verify(work: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similar: tuple[int, int] = SIMILAR
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similar: tuple[int, int] = SIMILAR, text_hash: str | None = None
 ) -> DataFrame:
     """Per row of docs: id_col, n_shingles, component_id (smallest id reachable over links) and kept (id_col = component_id).
 
     Texts are linked if their shingles of `width` words have similar[1] * intersection >= similar[0] * union.
+    text_hash: name of a further column with hash_of() of the row's text, which tells rows of one id apart.
     """
     n, trees = buckets(docs), trees_for(similar)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), hash_of(F.col(text_col)).alias("print"), F.col(text_col).cast("binary").alias("body"))
     sketches = stored(_sketches(rows, width, trees), "sketches")
     sets = sketches.where("id is not null and key is not null")
-    reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
+    reps = sets.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("print", F.struct("id", "print")).alias("print"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    reps = stored(running(reps, [], [F.col("rep").asc(), F.col("key").asc()], rank="node"), "classes")
     # joins of whole texts or labels with lists of ids are shuffles at every size
-    wanted = reps.select(F.col("rep").alias("id")).hint("shuffle_hash")
-    classes = sets.join(wanted, "id", "left_semi").select("id", "labels").dropDuplicates(["id"])
+    wanted = reps.select(F.col("rep").alias("id"), "print", "node").hint("shuffle_hash")
+    classes = sets.join(wanted, ["id", "print"]).select(F.col("node").alias("id"), "labels").dropDuplicates(["id"])
 
     clusters = components(_forest(classes, trees))
-    clusters = clusters.join(reps.select(F.col("rep").alias("id"), "n").hint("shuffle_hash"), "id")
+    clusters = clusters.join(reps.select(F.col("node").alias("id"), "n", "rep", "print").hint("shuffle_hash"), "id")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     members = spread_join(clusters, sizes.select("root", blocks.alias("blocks"), "size"), "root", "size", sketches.count())
-    members = members.select("id", F.col("root").alias("cluster"), "blocks")
+    members = members.select("id", "rep", "print", F.col("root").alias("cluster"), "blocks")
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")))
-    texts = rows.where("id is not null").join(members.hint("shuffle_hash"), "id").dropDuplicates(["id"])
+    texts = rows.where("id is not null").withColumnRenamed("id", "rep").join(members.hint("shuffle_hash"), ["rep", "print"]).dropDuplicates(["id"])
     texts = stored(texts.select("id", "cluster", "blocks", "block", "body", F.octet_length("body").cast("long").alias("bytes")), "members")
 
     # small clusters share items; a block of a large cluster is an item of its own
@@ -318,11 +324,17 @@ def near_duplicates(
         ids = links.select(F.explode(F.array("a", "b")).alias("id")).unionByName(roots.select("id")).distinct()
         roots = ids.join(roots, "id", "left")
         roots = roots.withColumn("old", F.coalesce("root", "id")).join(moved, "old", "left").select("id", F.coalesce("new", "old").alias("root"))
+    more = [F.col("print").alias(text_hash)] if text_hash else []
     return _labels(sketches, reps, roots).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *more
     )
 
 
+def hash_of(text: Column) -> Column:
+    """Tells texts of one id apart; a null text has a hash of its own."""
+    return F.xxhash64(text.cast("binary"), text.isNull())
+
+
 def _finish(large: DataFrame, roots: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     """Links a, b between roots of clusters of several blocks: each block against the first, then what is left against all."""
 
@@ -358,13 +370,14 @@ def _finish(large: DataFrame, roots: DataFrame, width: int, similar: tuple[int,
 
 
 def _labels(sketches: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """sketches with component_id."""
-    known = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("root", "rep").alias("component_id"), "rows")
-    known = stored(known, "known")
-    part = sketches.select("id", "n", "key")
+    """sketches with component_id: the smallest id of the classes that have the class's root, or the row's own id."""
+    known = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_root = stored(known.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "roots")
+    known = stored(spread_join(known.select("key", "root", "rows"), per_root, "root", "size", reps.count()).select("key", "component_id", "rows"), "known")
+    part = sketches.select("id", "print", "n", "key")
     inside = F.col("id").isNotNull() & F.col("key").isNotNull()
-    with_class = spread_join(part.where(inside), known, "key", "rows", sketches.count()).select("id", "n", "component_id")
-    return with_class.unionByName(part.where(~inside).select("id", "n", F.col("id").alias("component_id")))
+    with_class = spread_join(part.where(inside), known, "key", "rows", sketches.count()).select("id", "print", "n", "component_id")
+    return with_class.unionByName(part.where(~inside).select("id", "print", "n", F.col("id").alias("component_id")))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
