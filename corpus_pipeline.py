@@ -34,10 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    copy = spare(docs, "copy")
-    copies = minhash.near_duplicates(docs, width=NEAR_WIDTH, similar=NEAR_SIMILAR).where("not kept").select(F.col("doc_id").alias(copy)).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col(copy), "left_anti")
+    """Keeps the document with the smallest doc_id of each group of near duplicates. Rows of one doc_id with different texts are
+    documents of their own."""
+    copy, mark = spare(docs, "copy"), spare(docs, "copy_hash")
+    found = minhash.near_duplicates(docs, width=NEAR_WIDTH, similar=NEAR_SIMILAR, text_hash=mark)
+    copies = found.where("not kept").select(F.col("doc_id").alias(copy), mark).distinct()
+    same = (docs["doc_id"] == copies[copy]) & (minhash.hash_of(docs["text"]) == copies[mark])
+    return docs.join(copies, same, "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
