@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators.names import most_similar
+from quarry.operators.ranks import running
 
 GENERIC = ("article", "manuscript", "paper")
 
@@ -152,62 +151,16 @@ def _containing(i: DataFrame, f: DataFrame, n: int = 8) -> DataFrame:
     return within(f, "fn", i, "n").unionByName(within(i, "n", f, "fn")).distinct()
 
 
-#: Names of a block, and names that one step compares a name with.
-FUZZY_BLOCK, FUZZY_STEP = 2048, 64
-
-
-def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of each name (-1 beyond its end), lengths, and how often letters of each of 32 classes occur."""
-    size = np.array([len(x) for x in names])
-    letters = np.full((len(names), int(size.max())), -1, dtype=np.int32)
-    counts = np.zeros((len(names), 32), dtype=np.int32)
-    for k, x in enumerate(names):
-        letters[k, : len(x)] = [ord(c) for c in x]
-        counts[k] = np.bincount(letters[k, : len(x)] % 32, minlength=32)
-    return letters, size, counts
-
-
-def distances(a: np.ndarray, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The Levenshtein distance of one name (letters) to each of several."""
-    at = np.arange(letters.shape[1] + 1, dtype=np.int32)
-    row = np.tile(at, (len(letters), 1))
-    for k, letter in enumerate(a.tolist(), 1):
-        to = np.empty_like(row)
-        to[:, 0] = k
-        np.minimum(row[:, 1:] + 1, row[:, :-1] + (letters != letter), out=to[:, 1:])
-        row = np.minimum.accumulate(to - at, axis=1) + at
-    return row[np.arange(len(letters)), size]
-
-
-def most_similar(names: list[str], files: list[str], least: float) -> Iterator[tuple[str, str, float]]:
-    """Per name each file of the best similarity, if that is `least` or more; names and files are not empty.
-
-    Two names whose letter counts differ by x are (x + difference of lengths) / 2 edits apart at least; files are compared
-    from the best such bound down until no bound reaches the best similarity found.
-    """
-    own_letters, own_size, own_counts = _codes(names)
-    letters, size, counts = _codes(files)
-    for k, name in enumerate(names):
-        longer = np.maximum(size, own_size[k])
-        bound = 1 - ((np.abs(counts - own_counts[k]).sum(axis=1) + np.abs(size - own_size[k])) // 2) / longer
-        order = np.argsort(-bound, kind="stable")
-        best, found = least, []
-        for start in range(0, len(order), FUZZY_STEP):
-            some = order[start : start + FUZZY_STEP]
-            some = some[bound[some] >= best - 1e-9]
-            if not len(some):
-                break
-            score = 1 - distances(own_letters[k, : own_size[k]], letters[some], size[some]) / longer[some]
-            found += zip(some.tolist(), score.tolist())
-            best = max(best, float(score.max()))
-        yield from ((name, files[j], s) for j, s in found if s >= best - 1e-9)
+#: Names of a block.
+FUZZY_BLOCK = 2048
 
 
 def _fuzzy(i: DataFrame, f: DataFrame, least: float) -> DataFrame:
     """n, fn, score: of each name n the most similar names fn, if `least` or more. i: n; f: fn; distinct and not empty.
 
     At 0.45 two names need not share even a pair of letters, so no key of a join keeps every match: all blocks of names
-    are compared with all blocks of file names.
+    are compared with all blocks of file names; within two blocks by a trie of the file names (names.py), which leaves branches that
+    no name can be similar to, and shares the work on common heads.
     """
     item_blocks, file_blocks = [max(1, -(-d.count() // FUZZY_BLOCK)) for d in (i, f)]
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -269,6 +222,6 @@ def _best_file(rows: DataFrame, key: str) -> DataFrame:
 
 def fill_by_order(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str) -> DataFrame:
     """The i-th row without a match takes the i-th free one of its group."""
-    a = left.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(left_key)))
-    b = right.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(right_key)))
+    a = running(left, [group], [F.col(left_key).asc()], rank="i")
+    b = running(right, [group], [F.col(right_key).asc()], rank="i")
     return a.join(b.select(group, "i", right_key), [group, "i"], "left").drop("i")

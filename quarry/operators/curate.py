@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieve import band_signs, cosine
+from quarry.operators.ranks import running
 
 
 def variant_filter(variants: DataFrame, seeds: DataFrame, same: str, order: list[str], text: str, label_ok: Column, *, least: int = 4, most: int = 120) -> DataFrame:
@@ -31,10 +31,6 @@ def templated(kinds: list[tuple[str, DataFrame, str, str, list[str], Column]]) -
     return out
 
 
-def question_hash(c: Column) -> Column:
-    return F.sha1(F.regexp_replace(F.lower(F.trim(c)), "[\\s\\p{Punct}]+", ""))
-
-
 def first_by_hash(rows: DataFrame, hash_: str, order: list[str]) -> DataFrame:
     """The first row of each hash. The smallest order key is an aggregate, so many copies combine before the shuffle."""
     rest = [c for c in rows.columns if c != hash_ and c not in order]
@@ -48,7 +44,7 @@ def allocate(counts: dict[str, int], n: int) -> dict[str, int]:
     if not total:
         return {}
     n = min(n, total)
-    share = {k: min(c, max(1, round(n * c / total))) for k, c in counts.items()}
+    share = {k: min(c, max(1, int(n * c / total + 0.5))) for k, c in counts.items()}
     ideal = {k: n * c / total for k, c in counts.items()}
     while sum(share.values()) > n:
         able = [k for k in share if share[k] > 1] or list(share)
@@ -59,31 +55,47 @@ def allocate(counts: dict[str, int], n: int) -> dict[str, int]:
 
 
 def stratified(rows: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
-    """Exactly n rows in proportion to the classes, picked by a hash of seed and key. Only the class counts reach the driver."""
+    """Exactly n rows in proportion to the classes, picked by a hash of seed and key. Only the class counts reach the driver, and no
+    class is sorted in one task."""
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    places = rows.sparkSession.createDataFrame(list(allocate(counts, n).items()) or [("", 0)], f"{by} string, places long")
-    order = Window.partitionBy(by).orderBy(F.sha1(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    picked = rows.join(F.broadcast(places), by).withColumn("__n", F.row_number().over(order))
-    return picked.where("__n <= places").drop("__n", "places")
+    kind = rows.select(by, F.lit(0).cast("long").alias("__places")).schema
+    places = rows.sparkSession.createDataFrame(list(allocate(counts, n).items()), kind)
+    order = [F.sha1(F.concat(F.lit(seed), F.col(key).cast("string"))).asc(), F.col(key).asc()]
+    numbered = running(rows, [by], order, rank="__n").withColumnRenamed(by, "__by")
+    few = F.broadcast(places.withColumnRenamed(by, "__class"))  # one row a class
+    picked = numbered.join(few, F.col("__by").eqNullSafe(F.col("__class"))).where("__n <= __places")
+    return picked.withColumnRenamed("__by", by).select(*rows.columns)
 
 
 def hold_out(rows: DataFrame, by: str, group: str, tenths: int, seed: str) -> tuple[DataFrame, DataFrame]:
     """(held, train): of each class the first ceil(share) rows by hash; train loses every row of a held group."""
-    order = Window.partitionBy(by).orderBy(F.sha1(F.concat(F.lit(seed), F.col(group).cast("string"))), group)
-    numbered = rows.withColumn("__n", F.row_number().over(order))
-    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") * tenths / 10).alias("__most"))
-    held = numbered.join(F.broadcast(sizes), by).where("__n <= __most").drop("__n", "__most")
+    order = [F.sha1(F.concat(F.lit(seed), F.col(group).cast("string"))).asc(), F.col(group).asc(), *[F.col(c).asc() for c in rows.columns if c not in (by, group)]]
+    numbered = running(rows, [by], order, rank="__n").withColumnRenamed(by, "__by")
+    sizes = rows.groupBy(F.col(by).alias("__class")).agg(F.ceil(F.count("*") * tenths / 10).alias("__most"))  # one row a class
+    held = numbered.join(F.broadcast(sizes), F.col("__by").eqNullSafe(F.col("__class"))).where("__n <= __most").withColumnRenamed("__by", by).select(*rows.columns)
     return held, rows.join(held.select(group).distinct(), group, "left_anti")
 
 
-def near_pairs(vectors: DataFrame, key: str, vector: str, width: int, least: float, *, bands: int = 48, bits: int = 4, seed: int = 5) -> DataFrame:
-    """a < b and their cosine, for pairs at or above `least` that share a band of hyperplane signs."""
-    signs = band_signs(width, bands, bits, seed)
-    banded = vectors.select(F.col(key).alias("k"), F.explode(signs(F.col(vector))).alias("band"))
-    pairs = banded.select(F.col("k").alias("a"), "band").join(banded.select(F.col("k").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
-    v = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    scored = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
-    return scored.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= least)
+def real_first(rows: DataFrame, by: str, key: str, real: str, *, test: int, val: int, cap: int, seed: str) -> DataFrame:
+    """rows with split: test, val, train or none.
+
+    test takes real rows only, in proportion to the classes. val takes the other real ones, filled up to its size in proportion with
+    made ones (or, if there are enough real ones, its share of these). train takes made rows that are left, `cap` of a class at most,
+    by a hash of seed and key. Keys are unique. Only class counts reach the driver.
+    """
+    held = lambda df, name: df.select(key, F.lit(name).alias("split"))
+    known, made = rows.where(real), rows.where(~F.col(real))
+    tested = stratified(known, by, key, test, seed + "t")
+    rest = known.join(tested.select(key), key, "left_anti")
+    n = rest.count()
+    valued = stratified(made, by, key, val - n, seed + "v") if n < val else stratified(rest, by, key, val, seed + "v")
+    left = made.join(valued.select(key), key, "left_anti")
+    order = [F.sha1(F.concat(F.lit(seed), F.col(key).cast("string"))).asc(), F.col(key).asc()]
+    trained = running(left, [by], order, rank="__n").where(F.col("__n") <= cap)
+    parts = held(tested, "test").unionByName(held(valued, "val")).unionByName(held(trained, "train"))
+    if n < val:
+        parts = parts.unionByName(held(rest, "val"))
+    return rows.join(parts, key, "left").withColumn("split", F.coalesce("split", F.lit("none"))).select(*rows.columns, "split")
 
 
 def _best(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import build as B
+from quarry.operators.ranks import running
 from quarry.plans.base import Tables, query
 
 BLOCKS = """
@@ -98,8 +99,7 @@ def c6(t: Tables) -> DataFrame:
 )
 def c7(t: Tables) -> DataFrame:
     """Figures that are large enough, numbered within their item."""
-    w = W.partitionBy("label").orderBy("vec_id")
-    return boxes(t).where("area >= 0.02").select("vec_id", "label", "area", F.row_number().over(w).cast("long").alias("number"))
+    return running(boxes(t).where("area >= 0.02"), ["label"], [F.col("vec_id").asc()], rank="number").select("vec_id", "label", "area", "number")
 
 
 @query(

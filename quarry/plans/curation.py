@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import curate as D
+from quarry.operators import pairs as P
 from quarry.plans.base import Tables, query
 from quarry.plans.corpus import SECT, sectioned
 from quarry.plans.evaluation import NORM
@@ -36,28 +37,44 @@ def d2(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.coalesce("label", F.lit("other")).alias("label"), ((F.col("lang") == "en") != (F.col("quality") == 1)).alias("review"))
 
 
-@query("d3_stratified")
+def alloc(name: str, rows: str, by: str, n: str) -> str:
+    """SQL of `allocate`: CTEs that end in one of the given name with k and places, for the classes of a relation."""
+    return f"""{name}_c AS (SELECT {by} AS k, count(*) AS c, least({n}, sum(count(*)) OVER ()) AS n, sum(count(*)) OVER () AS t FROM {rows} GROUP BY {by}),
+{name}_s AS (SELECT *, least(c, greatest(1, floor(n * c / t + 0.5))) AS s, n * c / t AS ideal FROM {name}_c),
+{name}_r AS (SELECT *, sum(s) OVER () - n AS surplus, row_number() OVER (ORDER BY s > 1 DESC, s - ideal DESC, k DESC) AS down, row_number() OVER (ORDER BY s < c DESC, s - ideal, k) AS up FROM {name}_s),
+{name} AS (SELECT k, s - (surplus > 0 AND down <= surplus)::INTEGER + (surplus < 0 AND up <= -surplus)::INTEGER AS places FROM {name}_r)"""
+
+
+def picked(rows: str, by: str, key: str, places: str, seed: str) -> str:
+    """SQL of `stratified`: the rows of a relation that take the places."""
+    return f"(SELECT * EXCLUDE (pk) FROM (SELECT x.*, row_number() OVER (PARTITION BY {by} ORDER BY sha1('{seed}' || {key}::VARCHAR), {key}) AS pk FROM {rows} x) JOIN {places} ON k = {by} WHERE pk <= places)"
+
+
+@query("d3_stratified", f"WITH {alloc('a', 'documents', 'lang', '100')} SELECT doc_id, lang FROM {picked('documents', 'lang', 'doc_id', 'a', 's1')}")
 def d3(t: Tables) -> DataFrame:
     """100 examples in proportion to their languages: the number is the feature."""
     return D.stratified(t.documents.select("doc_id", "lang"), "lang", "doc_id", 100, "s1")
 
 
-SPLIT = "s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('s2' || doc_id::VARCHAR), doc_id) AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents), p AS (SELECT doc_id, lang, CASE WHEN n <= ceil(c * 0.1) THEN 'test' WHEN n <= 2 * ceil(c * 0.1) THEN 'val' ELSE 'train' END AS split FROM s)"
-
-
-def _sha(sql: str) -> str:
-    return sql.replace("sha1(", "sha256(")
+TEST, VAL, CAP = 300, 150, 1200
+SPLIT = f"""e AS (SELECT doc_id, lang, true AS is_real FROM labels JOIN documents USING (doc_id) WHERE quality = 1 UNION ALL SELECT -doc_id - 1, lang, false FROM documents),
+re AS (SELECT * FROM e WHERE is_real), ma AS (SELECT * FROM e WHERE NOT is_real), {alloc('ta', 're', 'lang', str(TEST))}, te AS (SELECT doc_id FROM {picked('re', 'lang', 'doc_id', 'ta', 's2t')}),
+rr AS (SELECT * FROM re WHERE doc_id NOT IN (SELECT doc_id FROM te)), pool AS (SELECT * FROM ma WHERE (SELECT count(*) FROM rr) < {VAL} UNION ALL SELECT * FROM rr WHERE (SELECT count(*) FROM rr) >= {VAL}),
+{alloc('va', 'pool', 'lang', f'{VAL} - CASE WHEN (SELECT count(*) FROM rr) < {VAL} THEN (SELECT count(*) FROM rr) ELSE 0 END')},
+vv AS (SELECT doc_id FROM {picked('pool', 'lang', 'doc_id', 'va', 's2v')} UNION ALL SELECT doc_id FROM rr WHERE (SELECT count(*) FROM rr) < {VAL}),
+tr AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha1('s2' || doc_id::VARCHAR), doc_id) AS n FROM ma WHERE doc_id NOT IN (SELECT doc_id FROM vv)) WHERE n <= {CAP}),
+p AS (SELECT e.*, CASE WHEN te.doc_id IS NOT NULL THEN 'test' WHEN vv.doc_id IS NOT NULL THEN 'val' WHEN tr.doc_id IS NOT NULL THEN 'train' ELSE 'none' END AS split
+  FROM e LEFT JOIN te ON te.doc_id = e.doc_id LEFT JOIN vv ON vv.doc_id = e.doc_id LEFT JOIN tr ON tr.doc_id = e.doc_id)"""
 
 
 def splits(t: Tables) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("s2"), F.col("doc_id").cast("string")), 256), "doc_id")
-    sizes = t.documents.groupBy("lang").agg(F.ceil(F.count("*") * 0.1).alias("tenth"))
-    rows = t.documents.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).join(F.broadcast(sizes), "lang")
-    split = F.when(F.col("n") <= F.col("tenth"), "test").when(F.col("n") <= 2 * F.col("tenth"), "val").otherwise("train")
-    return rows.select("doc_id", "lang", split.alias("split"))
+    """Documents with a good label are the real examples, all documents (under ids of their own) the made ones."""
+    real = t.labels.where("quality = 1").join(t.documents.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.lit(True).alias("is_real"))
+    made = t.documents.select((-F.col("doc_id") - 1).alias("doc_id"), "lang", F.lit(False).alias("is_real"))
+    return D.real_first(real.unionByName(made), "lang", "doc_id", "is_real", test=TEST, val=VAL, cap=CAP, seed="s2")
 
 
-@query("d4_splits", f"WITH {_sha(SPLIT)} SELECT doc_id, lang, split FROM p")
+@query("d4_splits", f"WITH {SPLIT} SELECT doc_id, lang, is_real, split FROM p")
 def d4(t: Tables) -> DataFrame:
     return splits(t)
 
@@ -69,17 +86,21 @@ def d5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where("n <= 40").drop("n")
 
 
-@query("d6_distribution", f"WITH {_sha(SPLIT)} SELECT coalesce(lang, 'all') AS lang, count(*) FILTER (split = 'test')::BIGINT AS test, count(*) FILTER (split = 'train')::BIGINT AS train, count(*) FILTER (split = 'val')::BIGINT AS val, count(*)::BIGINT AS total FROM p GROUP BY ROLLUP (lang)")
+@query(
+    "d6_distribution",
+    f"WITH {SPLIT} SELECT coalesce(lang, 'all') AS lang, count(*) FILTER (split = 'test')::BIGINT AS test, count(*) FILTER (split = 'train')::BIGINT AS train, count(*) FILTER (split = 'val')::BIGINT AS val, count(*) FILTER (split = 'none')::BIGINT AS left_over, count(*) FILTER (split = 'test' AND is_real)::BIGINT AS real_test, count(*)::BIGINT AS total FROM p GROUP BY ROLLUP (lang)",
+)
 def d6(t: Tables) -> DataFrame:
-    counts = [F.count_if(F.col("split") == s).alias(s) for s in ("test", "train", "val")]
-    return splits(t).rollup("lang").agg(*counts, F.count("*").alias("total")).withColumn("lang", F.coalesce("lang", F.lit("all")))
+    counts = [F.count_if(F.col("split") == s).alias(name) for s, name in (("test", "test"), ("train", "train"), ("val", "val"), ("none", "left_over"))]
+    real = F.count_if((F.col("split") == "test") & F.col("is_real")).alias("real_test")
+    return splits(t).rollup("lang").agg(*counts, real, F.count("*").alias("total")).withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 
 HOLD = """n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY sha1('s4' || conv_id::VARCHAR), conv_id, turn) AS n, ceil(count(*) OVER (PARTITION BY role) * 2 / 10) AS most FROM conversations),
 h AS (SELECT conv_id, turn, role FROM n WHERE n <= most)"""
 
 
-@query("d7_group_hold_out")
+@query("d7_group_hold_out", f"WITH {HOLD} SELECT conv_id, turn, role, 'held' AS split FROM h UNION ALL SELECT conv_id, turn, role, 'train' FROM n WHERE conv_id NOT IN (SELECT conv_id FROM h)")
 def d7(t: Tables) -> DataFrame:
     """A fifth of each class is held out by conversation; training keeps nothing of a held conversation."""
     held, train = D.hold_out(t.conversations.select("conv_id", "turn", "role"), "role", "conv_id", 2, "s4")
@@ -139,7 +160,11 @@ def d11(t: Tables) -> DataFrame:
     return rows.orderBy("h", "doc_id", "ord").limit(200).select("doc_id", "ord")
 
 
-@query("d12_quota_sample")
+QUOTA = f"""{SECT}, q0 AS (SELECT doc_id, ord, CASE WHEN count(*) OVER (PARTITION BY block_type) < 20 THEN 'other' ELSE block_type END AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM s),
+q AS (SELECT doc_id, ord, kind, concat_ws('-', doc_id, ord) AS key FROM q0 WHERE i <= 2), {alloc('a', 'q', 'kind', '60')}"""
+
+
+@query("d12_quota_sample", f"WITH {QUOTA} SELECT doc_id, ord, kind FROM {picked('q', 'kind', 'key', 'a', 's5')}")
 def d12(t: Tables) -> DataFrame:
     """60 chunks shared out over block types, rare types merged, two a document at most: the numbers are the caller's."""
     rows = sectioned(t).select("doc_id", "ord", "block_type")
@@ -162,13 +187,13 @@ PAIR_LEAST = 0.3
 
 @query("d13_greedy_pairs")
 def d13(t: Tables) -> DataFrame:
-    return D.greedy_pairs(D.near_pairs(t.embeddings, "vec_id", "embedding", 64, PAIR_LEAST), _checkpoint(t.spark))
+    return D.greedy_pairs(P.near_pairs(t.embeddings, "vec_id", "embedding", PAIR_LEAST), _checkpoint(t.spark))
 
 
 @query("d14_seed_clusters")
 def d14(t: Tables) -> DataFrame:
     """Clusters of three at most, made by the seeds in id order."""
-    edges = D.near_pairs(t.embeddings, "vec_id", "embedding", 64, PAIR_LEAST)
+    edges = P.near_pairs(t.embeddings, "vec_id", "embedding", PAIR_LEAST)
     clusters = D.seed_clusters(t.embeddings.select(F.col("vec_id").alias("v")), edges, 3, _checkpoint(t.spark))
     return clusters.select("seed", F.col("member").alias("vec_id"), "score")
 

@@ -16,6 +16,7 @@ from quarry.operators import curate as D
 from quarry.operators import evaluate as E
 from quarry.operators import logs as A
 from quarry.operators import sync as Y
+from quarry.operators.pairs import near_pairs
 from quarry.plans.registry import QUERIES
 from quarry.sources import files as S
 
@@ -111,8 +112,8 @@ def test_cross_lingual(spark):
     assert not crossed("what is it", "model") and not crossed("这是什么") and not crossed("这是什么", "模型")
 
 
-def test_recall_of_near_pairs(spark):
-    """Pairs that share a band of signs, against all pairs."""
+def test_near_pairs(spark):
+    """Pairs of tiles against all pairs."""
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 32))
     v[100:200] = v[:100] + 0.6 * rng.normal(size=(100, 32))
@@ -120,9 +121,12 @@ def test_recall_of_near_pairs(spark):
     for least in (0.3, 0.6):
         wanted = {(a, b) for a, b in np.argwhere(unit @ unit.T >= least).tolist() if a < b}
         rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
-        found = {(r.a, r.b) for r in D.near_pairs(rows, "k", "v", 32, least).collect()}
-        assert found <= wanted | {p for p in found if abs(unit[p[0]] @ unit[p[1]] - least) < 1e-5}
-        assert len(found & wanted) >= 0.95 * len(wanted)
+        pairs = [(r.a, r.b) for r in near_pairs(rows, "k", "v", least, tile=64).collect()]
+        assert len(pairs) == len(set(pairs))
+        assert all(abs(unit[a] @ unit[b] - least) < 2e-6 for a, b in set(pairs) ^ wanted)
+    odd = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [2.0, 2.0]), (None, [1.0, 1.0]), (6, [float("nan"), 1.0])], "k long, v array<double>")
+    assert sorted(map(tuple, near_pairs(odd, "k", "v", 0.9).collect())) == [(4, 5, 1.0), (4, 5, 1.0)]
+    assert near_pairs(odd.limit(0), "k", "v", 0.9).count() == 0
 
 
 def test_recall_of_dense_lsh(spark):

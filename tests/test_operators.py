@@ -16,6 +16,7 @@ from quarry.operators import evaluate as E
 from quarry.operators import logs as A
 from quarry.operators import retrieve as R
 from quarry.operators import sync as Y
+from quarry.operators.pairs import near_pairs
 from quarry.plans.registry import QUERIES
 
 
@@ -83,7 +84,7 @@ def test_dense_lsh_recall(spark):
 
 
 def test_greedy_pairs(spark):
-    edges = D.near_pairs(spark.read.parquet(f"{DATA}/embeddings.parquet"), "vec_id", "embedding", 64, 0.3)
+    edges = near_pairs(spark.read.parquet(f"{DATA}/embeddings.parquet"), "vec_id", "embedding", 0.3)
     every = sorted(((r.score, r.a, r.b) for r in edges.collect()), reverse=True)
     used, expected = set(), set()
     for _, a, b in every:

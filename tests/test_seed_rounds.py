@@ -8,6 +8,7 @@ import pytest
 from conftest import DATA
 
 from quarry.operators import curate as D
+from quarry.operators.pairs import near_pairs
 from quarry.plans.curation import PAIR_LEAST, _checkpoint
 from quarry.plans.registry import QUERIES
 
@@ -49,7 +50,7 @@ def test_rounds_equal_one_by_one(spark, edges):
 
 def test_query_equals_one_by_one(spark):
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    edges = [tuple(r) for r in D.near_pairs(vectors, "vec_id", "embedding", 64, PAIR_LEAST).collect()]
+    edges = [tuple(r) for r in near_pairs(vectors, "vec_id", "embedding", PAIR_LEAST).collect()]
     expected = one_by_one([r.vec_id for r in vectors.collect()], edges, 3)
     got = sorted((r.seed, r.vec_id, r.score) for r in QUERIES["d14_seed_clusters"](spark, DATA).collect())
     assert got and got == expected
