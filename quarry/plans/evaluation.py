@@ -109,16 +109,6 @@ def e6(t: Tables) -> DataFrame:
     return grams.join(titles, "p").groupBy("conv_id", "turn").agg(F.min_by("cited", F.struct("i", "cited")).alias("cited"))
 
 
-VERDICT = "CASE category WHEN 'none' THEN NOT item_hit WHEN 'en' THEN chunk_hit ELSE chunk_hit OR item_hit END"
-
-
-@query("e7_case_verdict", f"WITH {SCORE} SELECT case_id, category, {VERDICT} AS passed, category = 'fr' AND hit_rank IS NULL AS unjudged FROM res")
-def e7(t: Tables) -> DataFrame:
-    """Categories have rules of their own: nothing to find, the exact chunk, or chunk or item."""
-    passed = F.when(F.col("category") == "none", ~F.col("item_hit")).when(F.col("category") == "en", F.col("chunk_hit")).otherwise(F.col("chunk_hit") | F.col("item_hit"))
-    return scored(t).select("case_id", "category", passed.alias("passed"), ((F.col("category") == "fr") & F.col("hit_rank").isNull()).alias("unjudged"))
-
-
 RUN = """run AS (SELECT event_id, ts, event_type AS category, user_id, strftime(ts, '%Y-%m-%d') AS run, value > 40 AS passed, value < 2 AS unjudged, value * 10 AS latency_ms,
   CASE WHEN event_type = 'error' THEN NULL ELSE (user_id % 3 > 0) END AS intent_ok, CASE WHEN value < 90 THEN floor(value / 10) + 1 END AS hit_rank FROM events)"""
 
@@ -136,19 +126,6 @@ def share(condition):
     return F.round(F.avg(F.when(condition, 1.0).otherwise(0.0)), 6)
 
 
-@query(
-    "e8_run_summary",
-    f"""WITH {RUN} SELECT run, count(*)::BIGINT AS total, round(avg(CASE WHEN unjudged THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate_judged,
-  round(avg(CASE WHEN intent_ok THEN 1.0 WHEN NOT intent_ok THEN 0.0 END), 6) AS intent_accuracy, round(avg(CASE WHEN hit_rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(median(latency_ms), 6) AS median_ms FROM run GROUP BY run""",
-)
-def e8(t: Tables) -> DataFrame:
-    judged = F.when(~F.col("unjudged"), F.when(F.col("passed"), 1.0).otherwise(0.0))
-    return runs(t).groupBy("run").agg(
-        F.count("*").alias("total"), F.round(F.avg(judged), 6).alias("pass_rate_judged"), F.round(F.avg(F.when(F.col("intent_ok"), 1.0).when(~F.col("intent_ok"), 0.0)), 6).alias("intent_accuracy"),
-        share(F.col("hit_rank").isNotNull()).alias("hit_rate"), F.round(F.median("latency_ms"), 6).alias("median_ms"),
-    )
-
-
 @query(
     "e9_category_report",
     f"WITH {SCORE} SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS n, round(avg(CASE WHEN item_hit THEN 1.0 ELSE 0.0 END), 6) AS recall, round(sum(coalesce(1.0::DOUBLE / hit_rank, 0)) / count(*), 6) AS mrr FROM res GROUP BY ROLLUP (category)",
@@ -179,14 +156,6 @@ def e11(t: Tables) -> DataFrame:
     return runs(t).where("not passed").select("event_id", reasons.alias("reasons"))
 
 
-@query("e12_rescore", "SELECT c.conv_id, c.turn, l.quality = 1 AND length(c.text) >= 100 AS passed, l.doc_id IS NULL AS unmatched FROM conversations c LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = c.conv_id WHERE role = 'assistant'")
-def e12(t: Tables) -> DataFrame:
-    """Stored answers under new rules; answers without a case are counted, not judged."""
-    cases = t.labels.select(F.col("doc_id").alias("conv_id"), "quality").distinct().withColumn("case", F.lit(1))
-    joined = t.conversations.where("role = 'assistant'").join(cases, "conv_id", "left")
-    return joined.select("conv_id", "turn", ((F.col("quality") == 1) & (F.length("text") >= 100)).alias("passed"), F.col("case").isNull().alias("unmatched"))
-
-
 @query(
     "e13_trend",
     f"""WITH {RUN}, r AS (SELECT run, round(avg(CASE WHEN unjudged THEN NULL WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM run GROUP BY run)
