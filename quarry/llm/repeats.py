@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import TABLES, WRITTEN, shared_dir, slices, stored
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Rows without an id are later than every other row.
 NO_ID = np.iinfo(np.int64).max
