@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.anchors import spread_windows
+
 # Error classes by the first rule with a keyword in the lower-cased message.
 ERRORS = (
     ("config_error", (".env", "api_key")),
@@ -76,11 +78,15 @@ def owners(events: DataFrame, thread: str, user: str, ts: str, order: str) -> Da
     return events.groupBy(thread).agg(F.min_by(user, F.struct(ts, order)).alias("owner"), F.max(ts).alias("last_active"))
 
 
-def anchored_windows(events: DataFrame, key: str, ts: str, order: str, *, seconds: int, limit: int) -> DataFrame:
+#: Requests of a key from which on its windows are found by range search and doubled jumps instead of in one task.
+FOLDED = 5_000_000
+
+
+def anchored_windows(events: DataFrame, key: str, ts: str, order: str, *, seconds: int, limit: int, folded: int = FOLDED) -> DataFrame:
     """Fixed windows that begin at the first request after the last window: window_start, nth request in it, over the limit.
 
-    A window's start depends on the window before it, so the fold runs over each key's sorted rows; a partition is streamed and
-    holds one window at a time, however many rows a key has.
+    A window's start depends on the window before it. For keys of up to `folded` requests a fold runs over each key's sorted rows, a
+    partition being streamed; keys with more are spread over tasks (anchors.py). The result is the same.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +102,12 @@ def anchored_windows(events: DataFrame, key: str, ts: str, order: str, *, second
             yield pd.DataFrame({key: pdf[key], order: pdf[order], "window_start": starts, "nth": numbers, "over": [i > limit for i in numbers]})
 
     rows = events.select(key, order, F.expr(f"unix_micros(cast({ts} as timestamp))").alias("__us"))
-    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, "__us", order)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > folded).select(key).collect()]  # rows / folded at most
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    ordered = rows.where(~is_hot).repartition(F.col(key)).sortWithinPartitions(key, "__us", order)
     schema = rows.select(key, order).schema.add("window_start", "long").add("nth", "long").add("over", "boolean")
-    return ordered.mapInPandas(fold, schema)
+    out = ordered.mapInPandas(fold, schema)
+    return out.unionByName(spread_windows(rows.where(is_hot), key, "__us", order, seconds=seconds, limit=limit)) if hot else out
 
 
 def budget(turns: DataFrame, thread: str, order: str, cost: str, most: float) -> DataFrame:
