@@ -162,7 +162,17 @@ def s15(t: Tables) -> DataFrame:
     return hashed.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "length", "sha256")
 
 
-@query("s16_cases_by_id", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'documents' ELSE 'labels' END AS origin FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+@query(
+    "s16_cases_by_id",
+    "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'labels' WHEN d.doc_id % 3 = 0 THEN 'again' ELSE 'documents' END AS origin FROM (SELECT * FROM documents WHERE doc_id % 50 <> 1) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
+)
 def s16(t: Tables) -> DataFrame:
-    first = t.documents.select("doc_id", F.lit("documents").alias("origin"))
-    return S.cases_by_id([first, t.labels.select("doc_id", F.lit("labels").alias("origin"))], "doc_id")
+    """Two case files: in the first one some ids come again further down, and some lines are cut off."""
+    case = lambda origin: F.to_json(F.struct("doc_id", F.lit(origin).alias("origin")))
+    whole = t.documents.select(F.lit(0).alias("part"), "doc_id", F.when(F.col("doc_id") % 50 == 1, F.left(case("documents"), F.lit(9))).otherwise(case("documents")).alias("value"))
+    again = t.documents.where("doc_id % 3 = 0 and doc_id % 50 <> 1").select(F.lit(1).alias("part"), "doc_id", case("again").alias("value"))
+    first, second = scratch(t, "s16-first"), scratch(t, "s16-second")
+    whole.unionByName(again).coalesce(1).sortWithinPartitions("part", "doc_id").select("value").write.text(first)  # one file, in this order
+    t.labels.select(case("labels").alias("value")).write.text(second)
+    read = [S.read_case_lines(t.spark, path, "doc_id long, origin string") for path in (first, second)]
+    return S.cases_by_id(read, "doc_id", "line")

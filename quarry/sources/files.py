@@ -87,12 +87,22 @@ def chat_line(system: str, user: Column, assistant: Column) -> Column:
     return F.to_json(F.struct(F.array(message("system", F.lit(system)), message("user", user), message("assistant", assistant)).alias("messages")))
 
 
-def cases_by_id(tables: list[DataFrame], key: str) -> DataFrame:
-    """Several case tables as one: the last table that has an id wins; rows without an id are left out."""
+def read_case_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with `line`, which orders the lines of a file as they stand there. Lines that do not parse are rows of nulls."""
+    m = F.col("_metadata")
+    place = F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(F.from_json("value", schema).alias("c"), place.alias("line")).select("c.*", "line")
+
+
+def cases_by_id(tables: list[DataFrame], key: str, line: str | None = None) -> DataFrame:
+    """Several case tables as one: the last table that has an id wins, and within a table its last line; rows without an id are left out.
+
+    line: the column that orders the rows of a table, which is not returned. Without it the largest row of an id wins.
+    """
     rows = None
     for i, df in enumerate(tables):
         part = df.where(F.col(key).isNotNull()).withColumn("__file", F.lit(i))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    rest = [c for c in rows.columns if c not in (key, "__file")]
-    best = rows.groupBy(key).agg(F.max(F.struct("__file", *rest)).alias("b"))
+    rest = [c for c in rows.columns if c not in (key, "__file", line)]
+    best = rows.groupBy(key).agg(F.max(F.struct("__file", *([line] if line else []), *rest)).alias("b"))
     return best.select(key, *[F.col("b")[c].alias(c) for c in rest])
