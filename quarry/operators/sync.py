@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,46 @@ def enqueue(jobs: DataFrame, asked: DataFrame, key: list[str], *, revive: bool =
     return both.select(*key, status.alias("status"), attempts.cast("int").alias("attempts"))
 
 
+def delete_by_event(ledger: DataFrame, jobs: DataFrame, events: DataFrame, key: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger and the work list after delete events (key). Rows of the ledger that are not soft-deleted yet become so, and each
+    asks for a job mark_missing with its target, or revives the one it has. Events of unknown rows, and those that come again, do nothing.
+    """
+    named = events.select(key).distinct()
+    hit = ledger.where("status <> 'soft_deleted'").join(named, key, "left_semi")
+    marked = ledger.join(named.withColumn("__named", F.lit(True)), key, "left")
+    marked = marked.withColumn("status", F.when(F.col("__named"), "soft_deleted").otherwise(F.col("status"))).drop("__named")
+    asked = hit.select(key, F.lit("mark_missing").alias("job_type"), F.col(target).alias("target"))
+    return marked, enqueue(jobs, asked, [key, "job_type", "target"], revive=True)
+
+
+def repair(ledger: DataFrame, jobs: DataFrame, drifted: DataFrame, key: str, print_: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, work list, repaired keys) after items were found to have drifted: active rows lose their content hash, so that no
+    short cut skips them, and their upsert job is asked for or revived. A row whose hash is empty already waits, and is not repaired again.
+    """
+    broken = ledger.where((F.col("status") == "active") & (F.col(print_) != "")).join(drifted.select(key), key, "left_semi")
+    cleared = ledger.join(broken.select(key, F.lit("").alias("__print")), key, "left")
+    cleared = cleared.withColumn(print_, F.coalesce("__print", print_)).drop("__print")
+    asked = broken.select(key, F.lit("upsert").alias("job_type"), F.col(target).alias("target"))
+    return cleared, enqueue(jobs, asked, [key, "job_type", "target"], revive=True), broken.select(key)
+
+
+def apply_events(ledger: DataFrame, batch: DataFrame, key: str, route: Column) -> DataFrame:
+    """The rows that a batch of events (key, ts, event_id) changes: key, status and the jobs that it asks for.
+
+    A change makes a row active, or new if it is unknown, and asks for upsert. A delete makes one soft-deleted that is not so yet,
+    and asks for mark_missing; it does nothing to a row that is unknown when it comes. Events of a key count in order of ts and event_id.
+    """
+    at = F.struct("ts", "event_id")
+    when = batch.groupBy(key).agg(F.min(F.when(route == "change", at)).alias("first"), F.max(F.when(route == "change", at)).alias("last"), F.max(F.when(route == "delete", at)).alias("gone"))
+    rows = when.where("last is not null or gone is not null").join(ledger.select(key, "status"), key, "left")
+    standing = F.coalesce(F.col("status") != "soft_deleted", F.lit(False))
+    deletes = F.col("gone").isNotNull() & (standing | F.coalesce(F.col("first") < F.col("gone"), F.lit(False)))
+    ends = deletes & (F.col("last").isNull() | (F.col("gone") > F.col("last")))
+    status = F.when(ends, "soft_deleted").when(F.col("last").isNotNull(), "active").otherwise(F.col("status"))
+    asked = F.array_compact(F.array(F.when(deletes, "mark_missing"), F.when(F.col("last").isNotNull(), "upsert")))
+    return rows.select(key, status.alias("status"), asked.alias("jobs")).where("status is not null")
+
+
 def reachable(edges: DataFrame, roots: DataFrame, store) -> DataFrame:
     """node and depth of every node that can be reached from the roots, level by level until a level is empty; a node that was
     reached before is not walked again, so loops end. edges: parent, child; roots: node. store(df) writes df and reads it again.
@@ -112,10 +154,12 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version() if version is None else version}")
 
-    def commit(self, df: DataFrame, checks: DataFrame | None = None) -> int:
-        """Writes the next version; readers see it only if every check is ok."""
+    def commit(self, df: DataFrame, checks: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Writes the next version; readers see it only if every check is ok. checks may be a function of the rows as written."""
         number = (self.version() or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        if callable(checks):
+            checks = checks(self.read(number))
         if checks is not None and (broken := checks.where("not ok").limit(5).collect()):
             raise ValueError(f"version {number} is not taken over: {[r['name'] for r in broken]}")
         fs, marker = self._fs(f"{self.path}/taken-{number}")

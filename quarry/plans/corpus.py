@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import build as B
+from quarry.operators.nested import inline_text
 from quarry.operators.ranks import running
 from quarry.plans.base import Tables, query
 
@@ -37,11 +38,25 @@ def sectioned(t: Tables) -> DataFrame:
     return B.sections(normalized(t), "doc_id", "ord")
 
 
-@query("c1_inline_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+@query(
+    "c1_inline_text",
+    "SELECT conv_id, string_agg(CASE WHEN turn % 4 = 3 THEN '' ELSE text END || CASE WHEN turn % 4 = 2 THEN turn::VARCHAR ELSE '' END, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
+)
 def c1(t: Tables) -> DataFrame:
-    """Nested content (a JSON list of lists of strings) becomes one string."""
-    nested = t.conversations.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.array(x["text"]))).alias("content"))
-    return nested.select("conv_id", F.array_join(F.flatten(F.from_json("content", "array<array<string>>")), " ").alias("text"))
+    """Content in all its forms (the turns of a conversation are the items): strings, objects, lists of objects, lists in lists with
+    numbers between; an object as content has no text."""
+    said = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("content")))
+    quoted = F.regexp_extract(said, '(?s)"content":(.*)}$', 1)  # the text as a JSON string
+    fill = lambda form, *cols: F.format_string(form, *cols)
+    form = (
+        F.when(F.col("turn") % 4 == 0, quoted)
+        .when(F.col("turn") % 4 == 1, fill('{"type":"p","content":[%s]}', said))
+        .when(F.col("turn") % 4 == 2, fill('{"content":[[%s,[{"content":[[],%d]}]]]}', quoted, F.col("turn")))
+        .otherwise(fill('{"type":"note","content":{"content":%s}}', quoted))
+    )
+    items = F.array_sort(F.collect_list(F.struct("turn", "text", form.alias("form"))))
+    contents = t.conversations.groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["form"]), ","), F.lit("]")).alias("content"))
+    return inline_text(contents, "conv_id", "content")
 
 
 @query("c2_normalize_blocks", f"WITH {KEPT} SELECT doc_id, ord, block_type, text FROM k")

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import sync as Y
 from quarry.plans.base import Tables, query
 from quarry.plans.scans import scratch
+from quarry.sources.shared import stored
 from quarry.streaming import events as T
 from quarry.streaming import state as S
+from quarry.streaming.changes import Changes
 
 #: Later than all events, so that the watermark passes every window; dropped from results.
 MARKER = "2100-01-01 00:00:00"
@@ -67,23 +70,32 @@ def t4(t: Tables) -> DataFrame:
     return done(t, jobs, "t4").where("user_id >= 0")
 
 
-@query("t5_apply_to_ledger", "SELECT user_id, CASE WHEN max_by(event_type, (ts, event_id)) = 'error' THEN 'soft_deleted' ELSE 'active' END AS status FROM events GROUP BY user_id")
+@query(
+    "t5_apply_to_ledger",
+    """WITH e AS (SELECT user_id, min((ts, event_id)) FILTER (event_type IN ('purchase', 'signup')) AS f, max((ts, event_id)) FILTER (event_type IN ('purchase', 'signup')) AS l, max((ts, event_id)) FILTER (event_type = 'error') AS g FROM events GROUP BY user_id),
+j AS (SELECT coalesce(user_id, doc_id) AS user_id, l, g, doc_id IS NOT NULL AS known, g IS NOT NULL AND (doc_id IS NOT NULL OR coalesce(f < g, false)) AS deletes FROM documents FULL JOIN e ON user_id = doc_id)
+SELECT 'ledger' AS part, user_id, CASE WHEN deletes AND (l IS NULL OR g > l) THEN 'soft_deleted' ELSE 'active' END AS status, NULL AS job_type FROM j WHERE known OR l IS NOT NULL
+UNION ALL SELECT 'job', user_id, 'pending', 'mark_missing' FROM j WHERE deletes UNION ALL SELECT 'job', user_id, 'pending', 'upsert' FROM j WHERE l IS NOT NULL""",
+)
 def t5(t: Tables) -> DataFrame:
-    """Micro-batches change a versioned ledger; the batch id stands in the rows, so a batch that comes again changes nothing."""
-    from quarry.operators.sync import VersionedTable
-
-    ledger = VersionedTable(t.spark, scratch(t, "ledger"))
+    """The documents are the ledger; purchases and signups of a user change the row of that id, errors delete it. Three micro-batches
+    leave their changes, and the jobs they ask for."""
+    ledger = Changes(t.spark, scratch(t, "ledger"), ["user_id"], "user_id long, status string")
+    jobs = Changes(t.spark, scratch(t, "jobs"), ["user_id", "job_type"], "user_id long, job_type string, status string, attempts int")
+    ledger.write(0, t.documents.select(F.col("doc_id").alias("user_id"), F.lit("active").alias("status")))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        old = ledger.read() if ledger.version() else batch.sparkSession.createDataFrame([], "user_id long, ts timestamp, event_id long, event_type string, batch long")
-        if old.where(F.col("batch") == batch_id).limit(1).count():
-            return
-        rows = old.unionByName(batch.where("event_id >= 0").select("user_id", "ts", "event_id", "event_type", F.lit(batch_id).cast("long").alias("batch")))
-        last = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "batch")).alias("m")).select("user_id", "m.*")
-        ledger.commit(last.select("user_id", "ts", "event_id", "event_type", "batch"))
+        number = batch_id + 1  # the ledger as it stands is batch 0
+        named = batch.select("user_id").distinct()
+        changed = stored(Y.apply_events(ledger.read(number).join(named, "user_id", "left_semi"), batch, "user_id", T.route()), "t5-batch")
+        asked = changed.select("user_id", F.explode("jobs").alias("job_type"))
+        old = jobs.read(number).join(asked, ["user_id", "job_type"], "left_semi")
+        jobs.write(number, Y.enqueue(old, asked, ["user_id", "job_type"], revive=True))
+        ledger.write(number, changed.select("user_id", "status"))
 
-    T.apply_batches(stream(t), apply, scratch(t, "ledger-state"))
-    return ledger.read().select("user_id", F.when(F.col("event_type") == "error", "soft_deleted").otherwise("active").alias("status"))
+    T.apply_batches(in_order(t, "t5-events", "event_type"), apply, scratch(t, "t5-state"))
+    rows = ledger.read().select(F.lit("ledger").alias("part"), "user_id", "status")
+    return rows.unionByName(jobs.read().select(F.lit("job").alias("part"), "user_id", "status", "job_type"), allowMissingColumns=True)
 
 
 @query("t6_reconcile", "SELECT user_id, max(event_id) AS last_event, count(*)::BIGINT AS n, 2 AS passes FROM events GROUP BY user_id")
@@ -109,10 +121,10 @@ def t6(t: Tables) -> DataFrame:
     return totals.read()
 
 
-def in_order(t: Tables, name: str) -> DataFrame:
+def in_order(t: Tables, name: str, *more: str) -> DataFrame:
     """The events as a stream of three files, one after the other in time, each a micro-batch of its own."""
     path = scratch(t, name)
-    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", *more)
     for i, days in enumerate(("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20")):
         rows.where(days).coalesce(1).write.parquet(f"{path}/{i}")
     source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import sync as Y
 from quarry.plans.base import Tables, query
+from quarry.plans.retrieval import BM25_CTE
 from quarry.plans.scans import scratch
 
 
@@ -131,11 +132,34 @@ def y11(t: Tables) -> DataFrame:
     return outcomes(t).where("outcome = 'restored'").select("doc_id", F.lit("active").alias("status"), F.lit(0).alias("missing_count"))
 
 
-@query("y12_delete_by_event", f"WITH {BASE} SELECT doc_id, CASE WHEN doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'soft_deleted' ELSE status END AS status FROM ledger")
+WORK = """jobs AS (SELECT doc_id, 'upsert' AS job_type, md5(source) AS target, CASE WHEN status = 'active' THEN 'completed' ELSE 'running' END AS status FROM ledger
+  UNION ALL SELECT doc_id, 'mark_missing', md5(source), 'failed' FROM ledger WHERE source = 'src1')"""
+
+
+def work(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The ledger with its metadata hash, and a work list: an upsert of every row; removals of one source have failed before."""
+    rows = ledger(t).withColumn("target", F.md5("source"))
+    job = lambda df, kind, status: df.select("doc_id", F.lit(kind).alias("job_type"), "target", status.alias("status"), F.lit(1).alias("attempts"))
+    jobs = job(rows, "upsert", F.when(F.col("status") == "active", "completed").otherwise("running"))
+    return rows, jobs.unionByName(job(rows.where("source = 'src1'"), "mark_missing", F.lit("failed")))
+
+
+@query(
+    "y12_delete_by_event",
+    f"""WITH {BASE}, {WORK}, gone AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), hit AS (SELECT doc_id, md5(source) AS target FROM ledger WHERE doc_id IN (SELECT user_id FROM gone))
+SELECT 'ledger' AS part, doc_id, NULL AS job_type, CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN 'soft_deleted' ELSE status END AS status, NULL::INTEGER AS attempts FROM ledger
+UNION ALL SELECT 'job', doc_id, job_type, CASE WHEN job_type = 'mark_missing' AND doc_id IN (SELECT doc_id FROM hit) THEN 'pending' ELSE status END,
+  CASE WHEN job_type = 'mark_missing' AND doc_id IN (SELECT doc_id FROM hit) THEN 0 ELSE 1 END FROM jobs
+UNION ALL SELECT 'job', doc_id, 'mark_missing', 'pending', 0 FROM hit WHERE doc_id NOT IN (SELECT doc_id FROM jobs WHERE job_type = 'mark_missing')""",
+)
 def y12(t: Tables) -> DataFrame:
-    """Delete events (errors, by the id of their user) mark rows of the ledger, once or often alike."""
-    gone = t.events.where("event_type = 'error'").select(F.col("user_id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
-    return ledger(t).join(gone, "doc_id", "left").select("doc_id", F.when(F.col("hit"), "soft_deleted").otherwise(F.col("status")).alias("status"))
+    """Delete events (errors, by the id of their user) mark rows of the ledger and ask for their removal; they come twice here."""
+    rows, jobs = work(t)
+    gone = t.events.where("event_type = 'error'").select(F.col("user_id").alias("doc_id"))
+    for _ in range(2):
+        rows, jobs = Y.delete_by_event(rows, jobs, gone, "doc_id", "target")
+    out = rows.select(F.lit("ledger").alias("part"), "doc_id", "status")
+    return out.unionByName(jobs.select(F.lit("job").alias("part"), "doc_id", "job_type", "status", "attempts"), allowMissingColumns=True)
 
 
 PURGE = """x AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), m AS (SELECT max(ts) AS now FROM events),
@@ -184,6 +208,28 @@ def y16(t: Tables) -> DataFrame:
     return Y.drift(t.documents, t.documents.join(t.labels, "doc_id", "left_semi"), "source")
 
 
+LINES = "lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS r(i))"
+
+
+@query(
+    "y16_repair",
+    f"""WITH {BASE}, {LINES}, drift AS (SELECT doc_id, count(*) FILTER (length(line) > 0) AS e, count(*) FILTER (length(line) > 0 AND length(line) % 41 > 0) AS a FROM lines GROUP BY doc_id HAVING e <> a),
+{WORK}, fix AS (SELECT doc_id FROM ledger WHERE status = 'active' AND doc_id IN (SELECT doc_id FROM drift))
+SELECT o.doc_id, CASE WHEN f.doc_id IS NULL THEN print ELSE '' END AS print, CASE WHEN f.doc_id IS NULL THEN j.status ELSE 'pending' END AS job, CASE WHEN f.doc_id IS NULL THEN 1 ELSE 0 END AS attempts,
+  CASE WHEN f.doc_id IS NULL THEN 0 ELSE 1 END AS repairs FROM ledger o JOIN jobs j ON j.doc_id = o.doc_id AND job_type = 'upsert' LEFT JOIN fix f ON f.doc_id = o.doc_id""",
+)
+def y16_repair(t: Tables) -> DataFrame:
+    """The index has lost chunks (lines of some lengths). Two rounds of repair come after each other; the second has nothing left to do."""
+    chunks = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
+    off = Y.drift(chunks, chunks.where("length(line) % 41 > 0"), "doc_id")
+    rows, jobs = work(t)
+    rows, jobs, first = Y.repair(rows, jobs, off, "doc_id", "print", "target")
+    rows, jobs, second = Y.repair(rows, jobs, off, "doc_id", "print", "target")
+    count = first.unionByName(second).groupBy("doc_id").agg(F.count("*").cast("int").alias("repairs"))
+    upserts = jobs.where("job_type = 'upsert'").select("doc_id", F.col("status").alias("job"), "attempts")
+    return rows.select("doc_id", "print").join(upserts, "doc_id").join(count, "doc_id", "left").fillna(0, ["repairs"])
+
+
 @query(
     "y17_revision",
     "SELECT source, (1 + max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + max(CASE WHEN lang IS NULL OR lang <> 'en' THEN 1 ELSE 0 END))::INTEGER AS revision, count(*)::BIGINT AS rows FROM documents GROUP BY source",
@@ -225,6 +271,44 @@ def y18(t: Tables) -> DataFrame:
     return out
 
 
+TITLE = "regexp_replace(left(text, 60), '\\s+', ' ', 'g')"
+
+
+@query(
+    "y18_checked_load",
+    f"""WITH {LINES}, load AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+titles AS (SELECT doc_id AS item_id, {TITLE} AS text FROM load WHERE doc_id % 100 = 0 AND text IS NOT NULL), {BM25_CTE.replace('benchmark', 'titles')}
+SELECT name, b AS broken, b = 0 AS ok FROM (
+  SELECT 'children' AS name, count(*)::BIGINT AS b FROM load WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE length(line) > 0)
+  UNION ALL SELECT 'references', count(*)::BIGINT FROM lines WHERE length(line) = 0 AND doc_id IN (SELECT doc_id FROM load)
+  UNION ALL SELECT 'title_search', count(*)::BIGINT FROM titles WHERE item_id NOT IN (SELECT key FROM bm WHERE rank <= 3 AND query_id = key)
+  UNION ALL SELECT 'count_back', 0 UNION ALL SELECT 'others', 0)""",
+)
+def y18_checked(t: Tables) -> DataFrame:
+    """The load of the documents that are new (without labels) or toxic into a table of lines. Parents name their empty lines too."""
+    from quarry.operators import gates
+    from quarry.operators import index as I
+    from quarry.plans.retrieval import forward
+
+    old = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = t.documents.select("doc_id", "text").join(old, "doc_id", "left")
+    number = lambda p: F.concat(F.col("item").cast("string"), F.lit(p))
+    lines = docs.select(F.col("doc_id").alias("item"), "toxic", F.posexplode(F.split("text", "\n")).alias("i", "text")).where("length(text) > 0")
+    lines = lines.select("item", "toxic", F.concat(number("_c"), F.col("i").cast("string")).alias("chunk_id"), number("_p").alias("parent_id"), "text")
+    table = Y.VersionedTable(t.spark, scratch(t, "y18"))
+    table.commit(lines.where("toxic is not null").drop("toxic"))
+    due = docs.where("toxic is null or toxic = 1").select(F.col("doc_id").alias("item"), "text")
+    ids = F.transform(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lambda i: F.concat(number("_c"), i.cast("string")))
+    parents = due.where("text is not null").select("item", number("_p").alias("chunk_id"), ids.alias("child_ids"))
+    items = due.select("item", F.when(F.col("item") % 100 == 0, F.regexp_replace(F.left("text", F.lit(60)), "\\s+", " ")).alias("title"))
+
+    def find(asked: DataFrame) -> DataFrame:
+        hits = I.bm25(asked, forward(t), query_key="item", query_text="title", k=3)
+        return hits.select(F.col("query_id").alias("item"), F.col("key").alias("found"))
+
+    return gates.load(table, lines.where("toxic is null or toxic = 1").drop("toxic"), parents, items, find)
+
+
 @query("y19_status_rollup", f"WITH {BASE} SELECT status, source, count(*)::BIGINT AS n FROM ledger GROUP BY ROLLUP (status, source)")
 def y19(t: Tables) -> DataFrame:
     return ledger(t).rollup("status", "source").agg(F.count("*").alias("n"))
