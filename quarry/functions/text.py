@@ -88,5 +88,17 @@ def token_estimate(c: Column) -> Column:
     return cjk * 0.8 + (F.length(c) - cjk) * 0.25 + 4
 
 
+def is_chinese(c: Column) -> Column:
+    """More than 0.3 of the characters are CJK."""
+    return count_of(c, CJK) / F.greatest(F.length(c), F.lit(1)) > 0.3
+
+
+def words_or_signs(c: Column) -> Column:
+    """Lower-case words, or the single characters of a Chinese text, both without punctuation."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    words = F.filter(F.split(F.regexp_replace(low, FOLDED, " "), " "), lambda w: w != "")
+    return F.when(is_chinese(low), F.filter(F.split(normalized(c), ""), lambda w: w != "")).otherwise(words)
+
+
 def first_line(c: Column) -> Column:
     return F.substring_index(c, "\n", 1)

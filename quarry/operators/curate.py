@@ -5,9 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X
+
 from quarry.operators.ranks import running
 
 
+# Words that say nothing about an answer, the least length of a keyword, the share of keywords that may be missing,
+# the most that a question may share with its source, and the words by which a third question refers to the first.
+KEYWORD_STOPWORDS = (
+    "did the and for with that this from are was were has have not but its their there which study paper research result results data "
+    "method methods used using also such these those than can may more most other into been they when"
+).split()
+LEAST_KEYWORD, MISSING, OVERLAP, GRAM = 4, 0.34, 0.65, 5
+REFERRING = "这篇|那篇|它|该文|这篇文章|此文献|前者|后者|上述|这个"
+
+
+def kept_keywords(words: Column) -> Column:
+    """Words worth checking an answer for: Chinese ones of two characters, others of four that are no stop words."""
+    fits = lambda w: F.when(X.is_chinese(w), F.length(w) >= 2).otherwise((F.length(w) >= LEAST_KEYWORD) & ~F.lower(w).isin(KEYWORD_STOPWORDS))
+    return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: (w != "") & fits(w))
+
+
+def missing_keywords(words: Column, source: Column) -> Column:
+    lost = lambda folded: F.filter(words, lambda w: (X.normalized(w) == "") | ~F.contains(folded, X.normalized(w)))
+    return F.get(F.transform(F.array(X.normalized(source)), lost), F.lit(0))  # the source is folded once, not for each word
+
+
+def keywords_hold(words: Column, source: Column) -> Column:
+    """True if there are keywords and at most the tolerated share of them is missing from the source."""
+    n = F.size(words)
+    return (n > 0) & (1 - F.size(missing_keywords(words, source)) / F.greatest(n, F.lit(1)) >= 1 - MISSING)
+
+
+def three_turn_case(turns: Column, title: Column, answer: Column, words: Column, referring: str = REFERRING) -> Column:
+    """True for a usable case of three questions: all of them and an answer are there, two keywords at least are kept, the first
+    question has the first eight characters of the title, and the third refers back."""
+    blank = F.exists(turns, lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")
+    named = (F.coalesce(title, F.lit("")) != "") & F.contains(F.get(turns, F.lit(0)), F.left(title, F.lit(8)))
+    good = (F.size(turns) == 3) & ~blank & (F.trim(answer) != "") & (F.size(kept_keywords(words)) >= 2) & named & F.get(turns, F.lit(2)).rlike(referring)
+    return F.coalesce(good, F.lit(False))
+
+
+def _grams(words: Column) -> Column:
+    """words is a column, not an expression, or each gram would split the text again."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, GRAM), " "))
+    return F.when(n >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def question_overlap(questions: DataFrame, sources: DataFrame, *, key: str, question: str, source_key: str, source: str) -> DataFrame:
+    """How much of each question stands in a source: key, grams (its distinct 5-grams of words, or of signs in Chinese), sources that
+    share one, nearest (the source that shares most, the smallest at a tie), shared, and kept (at most 0.65 of the grams shared).
+
+    Only sources in the question's script count. Questions of fewer than five words have no grams and are kept. The sources' grams
+    meet those of the questions before anything of them is shuffled twice; a gram that stands often in a source counts once.
+    """
+    def words(rows: DataFrame, name: str, text: str) -> DataFrame:
+        return rows.select(name, X.is_chinese(F.coalesce(F.col(text), F.lit(""))).alias("zh"), X.words_or_signs(F.col(text)).alias("w"))
+
+    q = words(questions, key, question).select(key, "zh", _grams(F.col("w")).alias("g"))
+    s = words(sources, source_key, source).select(source_key, "zh", F.explode(_grams(F.col("w"))).alias("gram"))
+    pairs = s.join(q.select(key, "zh", F.explode("g").alias("gram")), ["zh", "gram"]).groupBy(key, source_key).agg(F.count("*").alias("shared"))
+    best = pairs.groupBy(key).agg(F.count("*").alias("sources"), F.min(F.struct((-F.col("shared")).alias("less"), F.col(source_key).alias("nearest"))).alias("b"))
+    found = best.select(key, "sources", F.col("b.nearest").alias("nearest"), (-F.col("b.less")).alias("shared"))
+    rows = q.select(key, F.size("g").alias("grams")).join(found, key, "left").fillna(0, ["sources", "shared"])
+    return rows.withColumn("kept", F.col("shared") <= F.col("grams") * OVERLAP)
+
+
+def capped_sample(rows: DataFrame, item: str, key: list[str], order: Column, *, cap: Column | int, n: int, used: DataFrame | None = None) -> DataFrame:
+    """n rows by order, of each item at most cap; rows that an earlier sample has used take no part."""
+    pool = rows if used is None else rows.join(used.select(*key), key, "left_anti")
+    place = F.row_number().over(Window.partitionBy(item).orderBy("__order", *key))
+    pool = pool.withColumn("__order", order).withColumn("__place", place).where(F.col("__place") <= (F.lit(cap) if isinstance(cap, int) else cap))
+    return pool.orderBy("__order", *key).limit(n).drop("__order", "__place")
+
+
 def variant_filter(variants: DataFrame, seeds: DataFrame, same: str, order: list[str], text: str, label_ok: Column, *, least: int = 4, most: int = 120) -> DataFrame:
     """variants with the reason why each is dropped, or `kept`: length, label, seed, repeat (a kept one before it, by order, is the same).
 

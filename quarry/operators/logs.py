@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X
 from quarry.operators.anchors import spread_windows
 
 # Error classes by the first rule with a keyword in the lower-cased message.
@@ -22,6 +24,48 @@ ERRORS = (
     ("model_request_error", ("badrequest", "bad request", "error code: 400")),
 )
 OTHER_ERROR = "internal_error"
+# Names of intents, limits of a rewrite and of a translation (times the question's length, and more), its CJK share.
+INTENTS = ("simple_qa", "metadata_query", "summary_paper", "summary_ppt", "group_report", "compare_papers")
+REWRITE, TRANSLATION, TRANSLATION_CJK = (5, 50), (4, 80), 0.15
+TAG, UNLABELLED = "intent:", "未标注"
+
+
+def accepted(kind: Column, asked: Column, said: Column) -> Column:
+    """Why a model's output is refused, or `accepted`, by its kind: a rewrite is empty or too_long; a translation also not_translated
+    (CJK characters from 0.15 of it), after quotes around it are gone; an intent is empty or unknown."""
+    bare = F.trim(F.coalesce(said, F.lit("")))
+    bare = F.when(kind == "translation", F.regexp_replace(F.regexp_replace(bare, '^"+|"+$', ""), "^'+|'+$", "")).otherwise(bare)
+    over = lambda limit: F.length(bare) > F.length(asked) * limit[0] + limit[1]
+    return (
+        F.when(bare == "", "empty")
+        .when(kind == "intent", F.when(bare.isin(*INTENTS), "accepted").otherwise("unknown"))
+        .when(kind == "rewrite", F.when(over(REWRITE), "too_long").otherwise("accepted"))
+        .otherwise(F.when(over(TRANSLATION), "too_long").when(X.cjk_share(bare) >= TRANSLATION_CJK, "not_translated").otherwise("accepted"))
+    )
+
+
+def cost_by_intent(calls: DataFrame, tags: str, tokens: str) -> DataFrame:
+    """intent, tokens, calls, share, place and top. The intent is that of the first tag `intent:...`; calls without one are unlabelled.
+    The share is null where there are no tokens at all. Top is the intent with most tokens, but an unlabelled one is none."""
+    tag = F.get(F.filter(F.col(tags), lambda x: F.startswith(x, F.lit(TAG))), F.lit(0))
+    intent = F.coalesce(F.nullif(F.substring(tag, len(TAG) + 1, 1 << 30), F.lit("")), F.lit(UNLABELLED))
+    cost = calls.groupBy(intent.alias("intent")).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.count("*").alias("calls"))
+    total = F.sum("tokens").over(Window.partitionBy())  # these windows run over one row for each intent
+    out = cost.withColumn("share", F.when(total > 0, F.round(F.col("tokens") / total, 4))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("tokens"), "intent")))
+    return out.withColumn("top", (F.col("place") == 1) & (F.col("intent") != UNLABELLED))
+
+
+def clear_threads(tables: dict[str, tuple[DataFrame, str]], threads: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables (name: rows and their thread column) without the threads, and how many rows of each went: thread, part, removed.
+    A blank thread clears nothing; a thread that a table does not have counts 0 there."""
+    gone = threads.select(F.trim(F.col("thread").cast("string")).alias("thread")).where("thread <> ''").distinct()
+    kept, counts = {}, []
+    for name, (rows, column) in tables.items():
+        own = F.col(column).cast("string")
+        kept[name] = rows.join(gone.withColumnRenamed("thread", "__thread"), own == F.col("__thread"), "left_anti")
+        sizes = rows.groupBy(own.alias("thread")).agg(F.count("*").alias("removed"))
+        counts.append(gone.join(sizes, "thread", "left").select("thread", F.lit(name).alias("part"), F.coalesce("removed", F.lit(0)).alias("removed")))
+    return kept, reduce(DataFrame.unionByName, counts)
 
 
 def error_class(message: Column) -> Column:

@@ -111,6 +111,34 @@ def small_to_big(hits: DataFrame, parents: DataFrame, k: int) -> DataFrame:
     return joined.unionByName(rest).where(F.col("rank") <= k)
 
 
+def scoped_confidence(confident: Column, reranked: Column, item_filter: Column, hits: Column) -> Column:
+    """Null where nothing was reranked. Hits from the one item that was named count as confident even below the gate."""
+    return F.when(reranked, F.when(item_filter & (hits > 0), True).otherwise(confident))
+
+
+def keeps_references(intent: Column) -> Column:
+    """Rows of reference sections only stay for questions without an intent, or about metadata."""
+    return F.coalesce(intent, F.lit("")).isin("", "metadata_query")
+
+
+def cap_sources(sources: DataFrame, answers: DataFrame, by: str, order: str, n: str, same: list[str], *, cap: int = 20, text: str = "text") -> DataFrame:
+    """The sources under an answer, with their place. Of equal ones (in all columns of `same`, null like empty) the first stays. Numbered
+    ones come first by number, the others in their order. Beyond cap, those that the answer cites ([n], [资料n], up to two digits) stay
+    and the first others fill what is left; if more are cited, all of these stay. answers: by, text.
+    """
+    first = Window.partitionBy(by, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same]).orderBy(order)
+    one = sources.withColumn("__i", F.row_number().over(first)).where("__i = 1").drop("__i")
+    cites = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("\\[(?:资料)?([0-9]{1,2})\\]"), 1), lambda x: x.cast("int"))
+    one = one.join(answers.select(by, cites.alias("__cites")), by, "left")
+    one = one.withColumn("__cited", F.coalesce(F.array_contains("__cites", F.col(n).cast("int")), F.lit(False)))
+    whole = Window.partitionBy(by)
+    ordered = [F.col(n).isNull(), F.col(n), F.col(order)]
+    one = one.withColumn("__all", F.count("*").over(whole)).withColumn("__kept", F.count_if("__cited").over(whole)).withColumn("__slot", F.row_number().over(Window.partitionBy(by, "__cited").orderBy(*ordered)))
+    kept = one.where((F.col("__all") <= cap) | F.col("__cited") | (F.col("__slot") <= cap - F.col("__kept")))
+    out = kept.withColumn("place", F.row_number().over(whole.orderBy(*ordered)))
+    return out.select(*sources.columns, "place", F.col("__cited").alias("cited"))
+
+
 def citation_numbers(uses: DataFrame) -> DataFrame:
     """uses: thread, ord, source. Sources are numbered by first use within the thread, without gaps."""
     first = uses.groupBy("thread", "source").agg(F.min("ord").alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +88,15 @@ def a8(t: Tables) -> DataFrame:
 
 @query(
     "a9_cost_by_intent",
-    f"WITH {LOG}, c AS (SELECT intent, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS calls FROM log GROUP BY intent) SELECT intent, tokens, calls, round(tokens / sum(tokens) OVER (), 6) AS share, rank() OVER (ORDER BY tokens DESC) AS place FROM c",
+    f"""WITH {LOG}, c AS (SELECT CASE intent WHEN 'error' THEN '未标注' WHEN 'signup' THEN '未标注' ELSE intent END AS intent, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS calls FROM log GROUP BY 1),
+p AS (SELECT *, round(tokens / sum(tokens) OVER (), 4) AS share, row_number() OVER (ORDER BY tokens DESC, intent)::INTEGER AS place FROM c) SELECT *, place = 1 AND intent <> '未标注' AS top FROM p""",
 )
 def a9(t: Tables) -> DataFrame:
-    cost = log(t).groupBy("intent").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
-    total = cost.agg(F.sum("tokens").alias("all"))  # the windows below run over one row for each intent
-    out = cost.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("tokens") / F.col("all"), 6))
-    return out.select("intent", "tokens", "calls", "share", F.rank().over(Window.orderBy(F.desc("tokens"))).cast("long").alias("place"))
+    """Calls carry tags; errors have none of an intent and signups an empty one."""
+    tag = F.when(F.col("intent") == "signup", "intent:").when(F.col("intent") != "error", F.concat(F.lit("intent:"), F.col("intent")))
+    tags = F.array_compact(F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), tag, F.lit("intent:late")))
+    tags = F.when(F.col("intent") == "error", F.slice(tags, 1, 1)).otherwise(tags)
+    return A.cost_by_intent(log(t).withColumn("tags", tags), "tags", "tokens")
 
 
 @query("a10_tokens_by_request", f"WITH {LOG} SELECT thread, intent, sum(tokens)::BIGINT AS tokens, sum(tokens // 3)::BIGINT AS output_tokens, count(*)::BIGINT AS calls FROM log GROUP BY ALL")
@@ -158,15 +162,24 @@ def a15(t: Tables) -> DataFrame:
 
 @query(
     "a16_accept_output",
-    """WITH h AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) > 5 * length(asked) + 50 THEN 'too_long' ELSE 'accepted' END AS verdict FROM h WHERE role = 'assistant' AND asked IS NOT NULL""",
+    """WITH a AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations), h AS (SELECT * FROM a WHERE role = 'assistant' AND asked IS NOT NULL),
+x AS (SELECT conv_id, turn, 'rewrite' AS kind, text, asked, trim(text) AS said FROM h
+  UNION ALL SELECT conv_id, turn, 'translation', text, asked, CASE WHEN conv_id % 4 = 0 THEN trim(text || repeat('文', length(text) // 3)) ELSE trim(text) END FROM h
+  UNION ALL SELECT conv_id, turn, 'intent', text, asked, CASE turn WHEN 1 THEN 'simple_qa' WHEN 3 THEN 'Simple_qa' WHEN 5 THEN '' ELSE 'group_report' END FROM h)
+SELECT conv_id, turn, kind, CASE WHEN said = '' THEN 'empty' WHEN kind = 'intent' THEN CASE WHEN said IN ('simple_qa', 'group_report') THEN 'accepted' ELSE 'unknown' END
+  WHEN kind = 'rewrite' THEN CASE WHEN length(said) > 5 * length(asked) + 50 THEN 'too_long' ELSE 'accepted' END
+  WHEN length(said) > 4 * length(asked) + 80 THEN 'too_long' WHEN conv_id % 4 = 0 AND length(text) // 3 >= 0.15 * length(said) THEN 'not_translated' ELSE 'accepted' END AS verdict FROM x""",
 )
 def a16(t: Tables) -> DataFrame:
-    """A rewrite (here: an answer) is taken only if its length is in proportion to what was asked."""
+    """Each answer as a rewrite and as a translation of what was asked (in quotes; every fourth conversation's half in Chinese), and a name
+    of an intent beside it."""
     asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     said = t.conversations.withColumn("asked", asked).where("role = 'assistant' and asked is not null")
-    verdict = F.when(F.trim("text") == "", "empty").when(F.length("text") > 5 * F.length("asked") + 50, "too_long").otherwise("accepted")
-    return said.select("conv_id", "turn", verdict.alias("verdict"))
+    told = F.when(F.col("conv_id") % 4 == 0, F.concat("text", F.expr("repeat('文', length(text) div 3)"))).otherwise(F.concat(F.lit(' "'), F.trim("text"), F.lit('" ')))
+    intent = F.when(F.col("turn") == 1, "simple_qa").when(F.col("turn") == 3, "Simple_qa").when(F.col("turn") == 5, " ").otherwise("group_report")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("said")) for k, v in (("rewrite", F.col("text")), ("translation", told), ("intent", intent))])
+    rows = said.select("conv_id", "turn", "asked", F.inline(kinds))
+    return rows.select("conv_id", "turn", "kind", A.accepted(F.col("kind"), F.col("asked"), F.col("said")).alias("verdict"))
 
 
 MESSAGE = "CASE WHEN event_type <> 'error' THEN 'ok' WHEN value < 20 THEN 'Error code: 429' WHEN value < 40 THEN 'Request timed out' WHEN value < 60 THEN 'Connection refused' ELSE 'boom' END"
@@ -190,18 +203,35 @@ def a18(t: Tables) -> DataFrame:
 
 @query(
     "a19_overview",
-    "SELECT 'documents' AS metric, count(*)::BIGINT AS value FROM documents UNION ALL SELECT 'labels', count(*)::BIGINT FROM labels UNION ALL SELECT 'pages', count(*)::BIGINT FROM pages UNION ALL SELECT 'sources', count(DISTINCT source)::BIGINT FROM documents",
+    """SELECT 'documents' AS metric, NULL AS kind, count(*)::BIGINT AS value FROM documents UNION ALL SELECT 'chunks', NULL, sum(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0)))::BIGINT FROM documents
+UNION ALL SELECT 'parents', NULL, count(text)::BIGINT FROM documents UNION ALL SELECT 'manifest', NULL, count(DISTINCT doc_id)::BIGINT FROM labels UNION ALL SELECT 'set', role, count(*)::BIGINT FROM conversations GROUP BY role
+UNION ALL SELECT 'last_load_us', NULL, epoch_us(max(ts)) FROM events WHERE event_type <> 'error' UNION ALL SELECT 'newest_result', event_type, max_by(event_id, (ts, event_id)) FROM events GROUP BY event_type""",
 )
 def a19(t: Tables) -> DataFrame:
-    one = lambda name, df, what: df.agg(what.alias("value")).select(F.lit(name).alias("metric"), "value")
-    out = one("documents", t.documents, F.count("*"))
-    for name, df, what in (("labels", t.labels, F.count("*")), ("pages", t.pages, F.count("*")), ("sources", t.documents, F.countDistinct("source"))):
-        out = out.unionByName(one(name, df, what))
-    return out
+    """Counts of what there is, the last load, the sizes of the sets and the newest result of each kind, in long form."""
+    one = lambda metric, df, what, by=None: (df.groupBy(by) if by else df.groupBy()).agg(what.cast("long").alias("value")).select(F.lit(metric).alias("metric"), F.col(by).alias("kind") if by else F.lit(None).cast("string").alias("kind"), "value")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0))
+    parts = [
+        one("documents", t.documents, F.count("*")),
+        one("chunks", t.documents.where("text is not null"), F.sum(lines)),
+        one("parents", t.documents, F.count("text")),
+        one("manifest", t.labels, F.countDistinct("doc_id")),
+        one("set", t.conversations, F.count("*"), "role"),
+        one("last_load_us", t.events.where("event_type <> 'error'"), F.unix_micros(F.max(F.col("ts").cast("timestamp")))),
+        one("newest_result", t.events, F.max_by("event_id", F.struct("ts", "event_id")), "event_type"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("a20_clear_threads", "SELECT conv_id, count(*)::BIGINT AS kept_turns FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")
+@query(
+    "a20_clear_threads",
+    """WITH g AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'), n AS (SELECT 'turns' AS part, conv_id AS k FROM conversations UNION ALL SELECT 'checkpoints', user_id FROM events UNION ALL SELECT 'writes', doc_id FROM labels)
+SELECT conv_id::VARCHAR AS thread, p AS part, (SELECT count(*) FROM n WHERE part = p AND k = conv_id)::BIGINT AS removed, NULL::BIGINT AS kept FROM g, (VALUES ('turns'), ('checkpoints'), ('writes')) AS v(p)
+UNION ALL SELECT NULL, part, NULL, count(*) FILTER (k IS NULL OR k NOT IN (SELECT conv_id FROM g))::BIGINT FROM n GROUP BY part""",
+)
 def a20(t: Tables) -> DataFrame:
-    """Threads to be cleared (those with a system turn) leave the table whole."""
-    gone = t.conversations.where("role = 'system'").select("conv_id").distinct()
-    return t.conversations.join(gone, "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("kept_turns"))
+    """Threads with a system turn are cleared: rows of their id leave three tables, with the counts of what went and what stays."""
+    gone = t.conversations.where("role = 'system'").select(F.concat(F.lit(" "), F.col("conv_id").cast("string")).alias("thread"))
+    kept, removed = A.clear_threads({"turns": (t.conversations, "conv_id"), "checkpoints": (t.events, "user_id"), "writes": (t.labels, "doc_id")}, gone)
+    stays = reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("kept")).withColumn("part", F.lit(name)) for name, rows in kept.items()])
+    return removed.unionByName(stays, allowMissingColumns=True)

@@ -11,7 +11,7 @@ from quarry.operators import pairs as P
 from quarry.plans.base import Tables, query
 from quarry.plans.corpus import SECT, sectioned
 from quarry.plans.evaluation import NORM
-from quarry.sources.shared import shared_folder
+from quarry.sources.shared import shared_folder, stored
 
 QH = "sha1(regexp_replace(lower(trim(text)), '[\\s!-/:-@\\[-`{-~]+', '', 'g'))"
 Q = f"""q AS (SELECT conv_id, turn, text, {QH.replace('sha1(', 'md5(')} AS h, CASE role WHEN 'user' THEN 0 ELSE 1 END AS pool FROM conversations)"""
@@ -119,45 +119,62 @@ def d8(t: Tables) -> DataFrame:
     return D.variant_filter(variants, questions(t).where("pool = 0"), "h", ["conv_id", "turn"], "text", F.col("own") == "same").select("conv_id", "turn", "reason")
 
 
+STOP = ", ".join(f"'{w}'" for w in D.KEYWORD_STOPWORDS)
+WORDY = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), lambda x: length(x) >= {D.LEAST_KEYWORD} AND x NOT IN ({STOP}))))"
+
+
 @query(
     "d9_keywords",
-    "WITH w AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 5 AND x NOT IN ('there', 'which')))) AS k FROM benchmark) SELECT item_id, array_to_string(k, ',') AS keywords, len(k) >= 3 AS enough FROM w",
+    f"""WITH w AS (SELECT item_id, {WORDY.format('b.text')} AS k, {NORM.format('d.text')} AS s FROM benchmark b LEFT JOIN documents d ON doc_id = item_id),
+m AS (SELECT *, list_filter(k, lambda x: NOT contains(s, x)) AS missing FROM w)
+SELECT item_id, array_to_string(k, ',') AS keywords, len(k) >= 2 AS enough, array_to_string(missing, ',') AS missing, len(k) > 0 AND 1 - len(missing) / greatest(len(k), 1) >= 1 - 0.34::DOUBLE AS verified FROM m""",
 )
 def d9(t: Tables) -> DataFrame:
-    """Words worth checking an answer for: five letters or more, no stop words, three at least."""
-    words = F.filter(X.tokens(F.col("text")), lambda w: (F.length(w) >= 5) & ~w.isin("there", "which"))
-    rows = t.benchmark.select("item_id", F.array_sort(F.array_distinct(words)).alias("k"))
-    return rows.select("item_id", F.array_join("k", ",").alias("keywords"), (F.size("k") >= 3).alias("enough"))
+    """The keywords of each passage, and if they hold in its source (the document of the same id here)."""
+    source = t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("source"))
+    rows = t.benchmark.select("item_id", F.array_sort(D.kept_keywords(F.array_distinct(X.tokens(F.col("text"))))).alias("k")).join(source, "item_id", "left")
+    lost = F.array_join(D.missing_keywords(F.col("k"), F.col("source")), ",")
+    return rows.select("item_id", F.array_join("k", ",").alias("keywords"), (F.size("k") >= 2).alias("enough"), lost.alias("missing"), D.keywords_hold(F.col("k"), F.col("source")).alias("verified"))
 
 
-GRAMS = "w AS (SELECT conv_id, role, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM conversations), g AS (SELECT DISTINCT conv_id, role, array_to_string(k[i:i + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(k) - 1, 1))) AS r(i) WHERE len(k) >= 3)"
+def _gram_sql(table: str, key: str) -> str:
+    words = f"list_filter(string_split({NORM.format('text').replace(chr(39) * 2 + ', ' + chr(39) + 'g', chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g')}, ' '), lambda x: x <> '')"
+    return f"SELECT DISTINCT {key}, array_to_string(k[i:i + 4], ' ') AS g FROM (SELECT {key}, {words} AS k FROM {table}), unnest(range(1, greatest(len(k) - 3, 1))) AS r(i)"
 
 
 @query(
     "d10_overlap",
-    f"WITH {GRAMS}, u AS (SELECT * FROM g WHERE role = 'user'), a AS (SELECT * FROM g WHERE role = 'assistant') SELECT u.conv_id, count(*)::BIGINT AS grams, count(a.g)::BIGINT AS shared, count(a.g) / count(*) <= 0.65 AS kept FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.g = u.g GROUP BY u.conv_id",
+    f"""WITH q AS ({_gram_sql('benchmark', 'item_id')}), s AS ({_gram_sql('documents', 'doc_id')}),
+p AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN s USING (g) GROUP BY ALL), b AS (SELECT item_id, count(*) AS sources, min_by(doc_id, (-shared, doc_id)) AS nearest, max(shared) AS shared FROM p GROUP BY item_id),
+n AS (SELECT i.item_id, count(q.g) AS grams FROM benchmark i LEFT JOIN q ON q.item_id = i.item_id GROUP BY i.item_id)
+SELECT item_id, grams::INTEGER AS grams, coalesce(sources, 0)::BIGINT AS sources, nearest, coalesce(shared, 0)::BIGINT AS shared, coalesce(shared, 0) <= grams * 0.65::DOUBLE AS kept FROM n LEFT JOIN b USING (item_id)""",
 )
 def d10(t: Tables) -> DataFrame:
-    """How much of a question stands in its source (questions and answers of a conversation here): word trigrams."""
-    w = t.conversations.select("conv_id", "role", X.tokens(F.col("text")).alias("k")).where("size(k) >= 3")
-    grams = w.select("conv_id", "role", F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 2), lambda i: F.array_join(F.slice("k", i, 3), " "))).alias("g")).distinct()
-    asked = grams.where("role = 'user'").select("conv_id", "g")
-    said = grams.where("role = 'assistant'").select("conv_id", "g", F.lit(1).alias("hit"))
-    rows = asked.join(said, ["conv_id", "g"], "left").groupBy("conv_id").agg(F.count("*").alias("grams"), F.count("hit").alias("shared"))
-    return rows.withColumn("kept", F.col("shared") / F.col("grams") <= 0.65)
+    """How much of each passage stands in a document, by 5-grams of words."""
+    return D.question_overlap(t.benchmark, t.documents, key="item_id", question="text", source_key="doc_id", source="text")
 
 
 @query(
     "d11_capped_sample",
-    f"""WITH {SECT}, c AS (SELECT doc_id, ord, sha256(doc_id::VARCHAR || '-' || ord::VARCHAR) AS h FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, ord) <= 3)
-SELECT doc_id, ord FROM c ORDER BY h, doc_id, ord LIMIT 200""",
+    f"""WITH {SECT}, x AS (SELECT doc_id, ord, length(s.text) % 5 = 0 AS special, sha256(doc_id::VARCHAR || '-' || ord::VARCHAR) AS h, lang = 'de' AS wide FROM s JOIN documents USING (doc_id)),
+e1 AS (SELECT * FROM (SELECT * FROM x WHERE wide QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, ord) <= 6) ORDER BY h, doc_id, ord LIMIT 90),
+e2 AS (SELECT * FROM (SELECT * FROM x WHERE wide IS NOT true QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, ord) <= 3) ORDER BY h, doc_id, ord LIMIT 90),
+u AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2),
+e3 AS (SELECT * FROM (SELECT * FROM x WHERE special AND NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = x.doc_id AND u.ord = x.ord) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, ord) <= 2) ORDER BY h, doc_id, ord LIMIT 20)
+SELECT doc_id, ord, CASE WHEN wide THEN 'wide' ELSE 'other' END AS part FROM u UNION ALL SELECT doc_id, ord, 'special' FROM e3""",
 )
 def d11(t: Tables) -> DataFrame:
-    """200 chunks, three a document at most: both numbers are the caller's."""
+    """Three draws, one after the other: six chunks a document of the language with few documents, three of the others, then two of a
+    special kind from what is not used yet."""
     h = F.sha2(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("ord").cast("string")), 256)
-    rows = sectioned(t).select("doc_id", "ord", h.alias("h"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "ord"))).where("n <= 3")
-    return rows.orderBy("h", "doc_id", "ord").limit(200).select("doc_id", "ord")
+    wide = t.documents.select("doc_id", F.coalesce(F.col("lang") == "de", F.lit(False)).alias("wide"))
+    rows = sectioned(t).select("doc_id", "ord", (F.length("text") % 5 == 0).alias("special")).join(wide, "doc_id")
+    key = ["doc_id", "ord"]
+    first = D.capped_sample(rows.where("wide"), "doc_id", key, h, cap=6, n=90).withColumn("part", F.lit("wide"))
+    first = first.unionByName(D.capped_sample(rows.where("not wide"), "doc_id", key, h, cap=3, n=90).withColumn("part", F.lit("other")))
+    used = stored(first.select(*key, "part"), "d11")
+    special = D.capped_sample(rows.where("special"), "doc_id", key, h, cap=2, n=20, used=used)
+    return used.unionByName(special.select(*key, F.lit("special").alias("part")))
 
 
 QUOTA = f"""{SECT}, q0 AS (SELECT doc_id, ord, CASE WHEN count(*) OVER (PARTITION BY block_type) < 20 THEN 'other' ELSE block_type END AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM s),
@@ -227,16 +244,28 @@ def d15(t: Tables) -> DataFrame:
     )
 
 
+PRONOUN = "\\b(it|this|that|le|der)\\b"
+
+
 @query(
     "d16_three_turns",
-    f"""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
-p AS (SELECT conv_id, max(text) FILTER (n = 1) AS one, max(text) FILTER (n = 3) AS three FROM u GROUP BY conv_id)
-SELECT conv_id, contains({NORM.format('one')}, 'the') AND coalesce(regexp_matches(lower(three), '\\b(it|this|that|le|der)\\b'), false) AS good FROM p""",
+    rf"""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, max_by(text, turn) AS answer, min_by(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+p AS (SELECT conv_id, max(text) FILTER (n = 1) AS one, max(text) FILTER (n = 2) AS two, max(text) FILTER (n = 3) AS three FROM u GROUP BY conv_id),
+c AS (SELECT p.*, answer, {NORM.format('said')} AS folded, {WORDY.format('answer')} AS k, CASE WHEN p.conv_id % 3 = 0 THEN left(d.text, 20) ELSE substr(one, 4, 20) END AS title FROM p LEFT JOIN a USING (conv_id) LEFT JOIN documents d ON doc_id = conv_id)
+SELECT conv_id, coalesce(trim(one) <> '' AND trim(two) <> '' AND trim(three) <> '' AND trim(answer) <> '' AND len(k) >= 2 AND title <> '' AND contains(one, left(title, 8)) AND regexp_matches(lower(three), '\b(it|this|that|le|der)\b'), false) AS good,
+  coalesce(len(k) > 0 AND 1 - len(list_filter(k, lambda x: NOT contains(folded, x))) / greatest(len(k), 1) >= 1 - 0.34::DOUBLE, false) AS verified FROM c""",
 )
 def d16(t: Tables) -> DataFrame:
-    """The first question names its subject, the third one refers to it by a pronoun."""
+    """The first three questions of a conversation as a case; the title is that of a document, or words of the first question."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     asked = t.conversations.where("role = 'user'").select("conv_id", "text", n.alias("n"))
-    p = asked.groupBy("conv_id").agg(F.max(F.when(F.col("n") == 1, F.col("text"))).alias("one"), F.max(F.when(F.col("n") == 3, F.col("text"))).alias("three"))
-    pronoun = F.coalesce(F.lower("three").rlike("\\b(it|this|that|le|der)\\b"), F.lit(False))
-    return p.select("conv_id", (F.contains(X.normalized(F.col("one")), F.lit("the")) & pronoun).alias("good"))
+    p = asked.groupBy("conv_id").agg(*[F.max(F.when(F.col("n") == i, F.col("text"))).alias(name) for i, name in enumerate(("one", "two", "three"), 1)])
+    said = t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"), F.min_by("text", "turn").alias("said"))
+    titles = t.documents.select(F.col("doc_id").alias("conv_id"), F.left("text", F.lit(20)).alias("t"))
+    c = p.join(said, "conv_id", "left").join(titles, "conv_id", "left")
+    title = F.when(F.col("conv_id") % 3 == 0, F.col("t")).otherwise(F.substring("one", 4, 20))
+    c = c.withColumn("words", D.kept_keywords(F.array_distinct(X.tokens(F.col("answer")))))
+    words = F.col("words")
+    good = D.three_turn_case(F.array("one", "two", F.lower("three")), title, F.col("answer"), words, PRONOUN)
+    return c.select("conv_id", good.alias("good"), F.coalesce(D.keywords_hold(words, F.col("said")), F.lit(False)).alias("verified"))

@@ -253,17 +253,24 @@ def r13(t: Tables) -> DataFrame:
 
 @query(
     "r14_item_override",
-    f"""WITH {RERANK_CTE}, m AS (SELECT query_id, max(rerank_score) AS top_score FROM rr GROUP BY query_id),
-x AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0)
-SELECT m.query_id, top_score >= 0.3 AS confident, (x.item_id IS NOT NULL) AS item_filter, (top_score >= 0.3 OR x.item_id IS NOT NULL) AS final_confident
+    f"""WITH {RERANK_CTE}, x AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
+h AS (SELECT query_id, rerank_score FROM rr JOIN documents ON doc_id = key WHERE source IS DISTINCT FROM 'src1' OR query_id % 3 < 2),
+m AS (SELECT query_id, count(*) AS hits, max(rerank_score) AS top_score FROM h GROUP BY query_id)
+SELECT m.query_id, hits, CASE WHEN m.query_id % 5 > 0 THEN top_score >= 0.3 END AS confident, (x.item_id IS NOT NULL) AS item_filter,
+  CASE WHEN m.query_id % 5 > 0 THEN (top_score >= 0.3 OR x.item_id IS NOT NULL) END AS final_confident
 FROM m LEFT JOIN x ON x.item_id = m.query_id""",
 )
 def r14(t: Tables) -> DataFrame:
-    """A question about one known item is answered from it even below the gate."""
+    """A question about one known item is answered from it even below the gate. Intents go by id here (none, metadata, others), one
+    source stands for reference sections, and every fifth query was not reranked."""
     known = expected_hits(t).select("query_id").distinct().withColumn("item_filter", F.lit(True))
-    best = reranked(t).groupBy("query_id").agg((F.max("rerank_score") >= 0.3).alias("confident"))
+    intent = F.element_at(F.array(*map(F.lit, ("", "metadata_query", "summary_paper"))), (F.col("query_id") % 3 + 1).cast("int"))
+    sources = t.documents.select(F.col("doc_id").alias("key"), F.coalesce(F.col("source") == "src1", F.lit(False)).alias("is_reference"))
+    hits = reranked(t).join(sources, "key").where(~F.col("is_reference") | R.keeps_references(intent))
+    was = F.col("query_id") % 5 > 0
+    best = hits.groupBy("query_id").agg(F.count("*").alias("hits"), (F.max("rerank_score") >= 0.3).alias("confident")).withColumn("confident", F.when(was, F.col("confident")))
     out = best.join(known, "query_id", "left").withColumn("item_filter", F.coalesce("item_filter", F.lit(False)))
-    return out.withColumn("final_confident", F.col("confident") | F.col("item_filter"))
+    return out.withColumn("final_confident", R.scoped_confidence(F.col("confident"), was, F.col("item_filter"), F.col("hits")))
 
 
 @query(
@@ -385,15 +392,21 @@ def r21(t: Tables) -> DataFrame:
 
 @query(
     "r22_cap_sources",
-    f"""WITH {DENSE_CTE}, x AS (SELECT query_id, key, rank, (key % 3 = 0) AS cited FROM de),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cited DESC, rank) AS slot, count(*) FILTER (cited) OVER (PARTITION BY query_id) AS n FROM x)
-SELECT query_id, key, rank, cited FROM p WHERE cited OR slot <= 10""",
+    f"""WITH {DENSE_CTE.replace('rank <= 20', 'rank <= 60')}, x AS (SELECT query_id, key, rank, CASE WHEN rank % 4 > 0 THEN 61 - rank END AS n, key % 7 AS a, CASE WHEN key % 3 > 0 THEN label END AS b, key % 2 AS c FROM de JOIN embeddings ON vec_id = key),
+o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id, a, b, c ORDER BY rank) = 1),
+z AS (SELECT *, n IS NOT NULL AND key % 4 = 1 AND query_id % 300 > 0 AS cited FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, cited ORDER BY n IS NULL, n, rank) AS slot, count(*) OVER (PARTITION BY query_id) AS total, count(*) FILTER (cited) OVER (PARTITION BY query_id) AS kept FROM z)
+SELECT query_id, key, n::INTEGER AS n, cited, row_number() OVER (PARTITION BY query_id ORDER BY n IS NULL, n, rank)::INTEGER AS place FROM p WHERE total <= 20 OR cited OR slot <= 20 - kept""",
 )
 def r22(t: Tables) -> DataFrame:
-    """Cited sources always stay; the others fill what is left of ten places."""
-    hits = dense(t).select("query_id", "key", F.col("rank").cast("long").alias("rank"), (F.col("key") % 3 == 0).alias("cited"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cited"), "rank")
-    return hits.withColumn("slot", F.row_number().over(w)).where("cited or slot <= 10").drop("slot")
+    """Sixty hits as sources, three of four numbered; the answer of a query cites some of them in both forms, and one that is no source."""
+    hits = dense(t, 60).join(t.embeddings.select(F.col("vec_id").alias("key"), "label"), "key")
+    hits = hits.select("query_id", "key", "rank", F.when(F.col("rank") % 4 > 0, 61 - F.col("rank")).alias("n"), (F.col("key") % 7).alias("a"), F.when(F.col("key") % 3 > 0, F.col("label")).alias("b"), (F.col("key") % 2).alias("c"))
+    form = F.when(F.col("key") % 8 == 1, F.format_string("so [%d]", "n")).otherwise(F.format_string("[资料%d].", "n"))
+    unique = hits.withColumn("i", F.row_number().over(Window.partitionBy("query_id", "a", "b", "c").orderBy("rank"))).where("i = 1")
+    said = F.array_join(F.collect_list(F.when((F.col("key") % 4 == 1) & F.col("n").isNotNull() & (F.col("query_id") % 300 > 0), form)), " ")
+    answers = unique.groupBy("query_id").agg(F.concat(said, F.lit(" [123] [99]")).alias("text"))
+    return R.cap_sources(hits, answers, "query_id", "rank", "n", ["a", "b", "c"]).select("query_id", "key", "n", "cited", "place")
 
 
 @query(
