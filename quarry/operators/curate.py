@@ -77,7 +77,7 @@ def capped_sample(rows: DataFrame, item: str, key: list[str], order: Column, *,
     pool = rows if used is None else rows.join(used.select(*key), key, "left_anti")
     place = F.row_number().over(Window.partitionBy(item).orderBy("__order", *key))
     pool = pool.withColumn("__order", order).withColumn("__place", place).where(F.col("__place") <= (F.lit(cap) if isinstance(cap, int) else cap))
-    return pool.orderBy("__order", *key).limit(n).drop("__order", "__place")
+    return pool.orderBy("__order", *key).limit(n).select(*rows.columns)
 
 
 def variant_filter(variants: DataFrame, seeds: DataFrame, same: str, order: list[str], text: str, label_ok: Column, *, least: int = 4, most: int = 120) -> DataFrame:

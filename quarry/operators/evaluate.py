@@ -129,3 +129,24 @@ def class_report(rows: DataFrame, gold: str, pred: str) -> DataFrame:
         "class", "support", "predicted", "correct", ratio(F.col("correct"), F.col("predicted")).alias("precision"), ratio(F.col("correct"), F.col("support")).alias("recall"),
         ratio(2 * F.col("correct"), F.when((F.col("support") > 0) & (F.col("predicted") > 0) & (F.col("correct") > 0), F.col("support") + F.col("predicted"))).alias("f1"),
     )
+
+
+# The intent that a category of cases expects; the other categories expect none.
+CATEGORY_INTENT = {
+    "metadata": "metadata_query",
+    "summary_paper": "summary_paper",
+    "compare_papers": "compare_papers",
+    "group_report": "group_report",
+    "en_fact": "simple_qa",
+    "zh_fact": "simple_qa",
+    "cross_lingual": "simple_qa",
+}
+
+
+def case_correctness(category: Column, intent: Column, resolved: Column, expected: Column) -> tuple[Column, Column]:
+    """(intent_ok, item_ok). The intent is right if it is that of the category; null without an expectation or an intent. The item that
+    a coreference case resolved is right if it is an expected one; null for other cases or if none was resolved."""
+    want = F.create_map(*[F.lit(x) for pair in CATEGORY_INTENT.items() for x in pair])[category]
+    given = want.isNotNull() & (F.coalesce(intent, F.lit("")) != "")
+    told = (category == "coreference") & resolved.isNotNull() & (resolved.cast("string") != "")
+    return F.when(given, want == intent), F.when(told, F.coalesce(F.array_contains(expected, resolved), F.lit(False)))

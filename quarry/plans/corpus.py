@@ -10,6 +10,7 @@ from quarry.functions import text as X
 from quarry.operators import build as B
 from quarry.operators.nested import inline_text
 from quarry.operators.ranks import running
+from quarry.operators.sync import upsert
 from quarry.plans.base import Tables, query
 
 BLOCKS = """
@@ -246,13 +247,16 @@ def c20(t: Tables) -> DataFrame:
 
 @query(
     "c21_enrich_figures",
-    f"WITH {CAPTIONS} SELECT e.vec_id, concat_ws(chr(10), c.caption, 'type: ' || label::VARCHAR, '1. ' || c.url2) AS text FROM embeddings e LEFT JOIN (SELECT c.page_id, caption, url AS url2 FROM c JOIN pages USING (page_id)) c ON c.page_id = e.vec_id",
+    f"WITH {CAPTIONS} SELECT e.vec_id, CASE WHEN p.page_id IS NULL THEN 'figure ' || label::VARCHAR ELSE concat_ws(chr(10), c.caption, 'type: ' || label::VARCHAR, '1. ' || url) END AS text, label FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id LEFT JOIN c ON c.page_id = p.page_id",
 )
 def c21(t: Tables) -> DataFrame:
-    """Figures (vectors) with the facts of their captions (pages of the same id): numbered claims below the summary."""
+    """Figures (vectors) take the facts of their captions (pages of the same id) over: numbered claims below the summary. Those
+    without facts keep their text, and all keep their other columns."""
     facts = captions(t).select(F.col("page_id").alias("vec_id"), "caption", F.array("url").alias("claims"))
     numbered = F.array_join(F.transform("claims", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
-    return t.embeddings.join(facts, "vec_id", "left").select("vec_id", F.concat_ws("\n", "caption", F.concat(F.lit("type: "), F.col("label").cast("string")), numbered).alias("text"))
+    figures = t.embeddings.select("vec_id", F.concat(F.lit("figure "), F.col("label").cast("string")).alias("text"), "label")
+    told = figures.join(facts, "vec_id").select("vec_id", F.concat_ws("\n", "caption", F.concat(F.lit("type: "), F.col("label").cast("string")), numbered).alias("text"), "label")
+    return upsert(figures, told, "vec_id")
 
 
 @query(

@@ -244,7 +244,7 @@ def d15(t: Tables) -> DataFrame:
     )
 
 
-PRONOUN = "\\b(it|this|that|le|der)\\b"
+PRONOUN = "(^|\\s)(it|this|that|le|der)(\\s|$)"
 
 
 @query(
@@ -253,7 +253,7 @@ PRONOUN = "\\b(it|this|that|le|der)\\b"
 a AS (SELECT conv_id, max_by(text, turn) AS answer, min_by(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 p AS (SELECT conv_id, max(text) FILTER (n = 1) AS one, max(text) FILTER (n = 2) AS two, max(text) FILTER (n = 3) AS three FROM u GROUP BY conv_id),
 c AS (SELECT p.*, answer, {NORM.format('said')} AS folded, {WORDY.format('answer')} AS k, CASE WHEN p.conv_id % 3 = 0 THEN left(d.text, 20) ELSE substr(one, 4, 20) END AS title FROM p LEFT JOIN a USING (conv_id) LEFT JOIN documents d ON doc_id = conv_id)
-SELECT conv_id, coalesce(trim(one) <> '' AND trim(two) <> '' AND trim(three) <> '' AND trim(answer) <> '' AND len(k) >= 2 AND title <> '' AND contains(one, left(title, 8)) AND regexp_matches(lower(three), '\b(it|this|that|le|der)\b'), false) AS good,
+SELECT conv_id, coalesce(trim(one) <> '' AND trim(two) <> '' AND trim(three) <> '' AND trim(answer) <> '' AND len(k) >= 2 AND title <> '' AND contains(one, left(title, 8)) AND regexp_matches(lower(three), '(^|\s)(it|this|that|le|der)(\s|$)'), false) AS good,
   coalesce(len(k) > 0 AND 1 - len(list_filter(k, lambda x: NOT contains(folded, x))) / greatest(len(k), 1) >= 1 - 0.34::DOUBLE, false) AS verified FROM c""",
 )
 def d16(t: Tables) -> DataFrame:

@@ -402,13 +402,17 @@ def e24(t: Tables) -> DataFrame:
 
 @query(
     "e25_intent_correctness",
-    "SELECT event_id, CASE WHEN value >= 5 AND event_type <> 'error' THEN (CASE WHEN event_type IN ('view', 'click') THEN 'browse' ELSE 'act' END) = (CASE WHEN user_id % 4 > 0 THEN 'browse' ELSE 'act' END) END AS intent_ok FROM events",
+    """SELECT event_id, CASE WHEN value >= 5 AND event_type NOT IN ('error', 'signup') THEN (CASE WHEN user_id % 4 > 0 THEN 'metadata_query' ELSE 'simple_qa' END) = CASE event_type WHEN 'view' THEN 'metadata_query' WHEN 'click' THEN 'simple_qa' ELSE 'summary_paper' END END AS intent_ok,
+  CASE WHEN event_type = 'signup' AND event_id % 5 > 0 THEN event_id % 3 < 2 END AS item_ok FROM events""",
 )
 def e25(t: Tables) -> DataFrame:
-    expected = t.spark.createDataFrame([("view", "browse"), ("click", "browse"), ("purchase", "act"), ("signup", "act")], "event_type string, expected string")  # a fixed table
-    got = F.when(F.col("value") >= 5, F.when(F.col("user_id") % 4 > 0, "browse").otherwise("act"))
-    rows = t.events.join(F.broadcast(expected), "event_type", "left").withColumn("got", got)
-    return rows.select("event_id", F.when(F.col("expected").isNotNull() & F.col("got").isNotNull(), F.col("expected") == F.col("got")).alias("intent_ok"))
+    """Events as cases: their types stand for categories; small values have no intent, and every fifth case resolved no item."""
+    kinds = {"view": "metadata", "click": "en_fact", "purchase": "summary_paper", "signup": "coreference", "error": "refusal"}
+    category = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    intent = F.when(F.col("value") >= 5, F.when(F.col("user_id") % 4 > 0, "metadata_query").otherwise("simple_qa")).otherwise("")
+    resolved = F.when(F.col("event_id") % 5 > 0, F.col("user_id") + F.col("event_id") % 3)
+    checks = E.case_correctness(category, intent, resolved, F.array(F.col("user_id"), F.col("user_id") + 1))
+    return t.events.select("event_id", *[c.alias(name) for name, c in zip(("intent_ok", "item_ok"), checks)])
 
 
 @query("e26_case_question", "SELECT conv_id, max_by(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY conv_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quarry.operators import index as I
 from quarry.operators import retrieve as R
 from quarry.plans.base import Tables, query, shared
 from quarry.plans.scans import scratch
+from quarry.sources.shared import stored
 from quarry.streaming import state as S
 
 K = 10
@@ -175,30 +178,43 @@ def r9(t: Tables) -> DataFrame:
     return R.branch_queries(queries, told, "item_id", "text")
 
 
+VARIANTS = ("dense", "dense_sparse", "concatenated", "three_way")
+
+
 @query(
     "r10_variant_recall",
-    f"""WITH {HYBRID_CTE},
-x AS (SELECT item_id AS query_id, doc_id AS key, lang FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
-fr AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM fu),
-vs AS (SELECT 'sparse' AS variant, query_id, key FROM bm WHERE rank <= 10
-  UNION ALL SELECT 'dense', query_id, key FROM de WHERE rank <= 10
-  UNION ALL SELECT 'fused', query_id, key FROM fr WHERE rank <= 10),
-e AS (SELECT DISTINCT variant, query_id, x.key, lang FROM x, (SELECT DISTINCT variant FROM vs) WHERE variant = 'sparse' OR query_id % 100 = 0)
-SELECT e.variant, lang, count(*)::BIGINT AS expected, count(vs.key)::BIGINT AS found, round(count(vs.key) / count(*), 6) AS recall
-FROM e LEFT JOIN vs ON vs.variant = e.variant AND vs.query_id = e.query_id AND vs.key = e.key GROUP BY ALL""",
+    f"""WITH told AS (SELECT doc_id, nullif(trim(CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE left(text, 60) END), '') AS told FROM documents WHERE doc_id % 2 = 0),
+asked AS (SELECT item_id * 4 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 4 + 1, told FROM benchmark JOIN told ON doc_id = item_id WHERE told IS NOT NULL
+  UNION ALL SELECT item_id * 4 + 2, concat_ws(' ', text, told) FROM benchmark LEFT JOIN told ON doc_id = item_id),
+{BM25_CTE.replace('FROM benchmark', 'FROM asked')},{DENSE_CTE.replace('q.vec_id % 100 = 0', 'q.vec_id IN (SELECT item_id FROM benchmark)')},
+br AS (SELECT v, query_id, key, rank FROM de, (VALUES ('dense'), ('dense_sparse'), ('concatenated'), ('three_way')) AS t(v)
+  UNION ALL SELECT 'dense_sparse', query_id // 4, key, rank FROM bm WHERE query_id % 4 = 1 UNION ALL SELECT 'concatenated', query_id // 4, key, rank FROM bm WHERE query_id % 4 = 2
+  UNION ALL SELECT 'three_way', query_id // 4, key, rank FROM bm WHERE query_id % 4 < 2),
+fu AS (SELECT v, query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM br GROUP BY ALL),
+fr AS (SELECT v, query_id, key FROM fu QUALIFY row_number() OVER (PARTITION BY v, query_id ORDER BY score DESC, key) <= {K}),
+x AS (SELECT item_id AS query_id, doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
+c AS (SELECT query_id, count(*) AS n FROM x GROUP BY query_id),
+r AS (SELECT t.v, c.query_id, c.n, count(fr.key) / c.n AS recall FROM c CROSS JOIN (VALUES ('dense'), ('dense_sparse'), ('concatenated'), ('three_way')) AS t(v) JOIN x ON x.query_id = c.query_id
+  LEFT JOIN fr ON fr.v = t.v AND fr.query_id = x.query_id AND fr.key = x.key GROUP BY t.v, c.query_id, c.n)
+SELECT v AS variant, CASE WHEN n = 1 THEN 'one' ELSE 'many' END AS category, count(*)::BIGINT AS cases, round(avg(recall), 6) AS recall FROM r GROUP BY ALL""",
 )
 def r10(t: Tables) -> DataFrame:
-    sparse, dense_ = bm25(t), dense(t)
-    fused = R.fuse([sparse.where("query_id % 100 = 0"), dense_], K)
-    variants = {"sparse": sparse, "dense": dense_, "fused": fused}
-    all_ = None
-    for name, df in variants.items():
-        part = df.where(F.col("rank") <= K).select(F.lit(name).alias("variant"), "query_id", "key")
-        all_ = part if all_ is None else all_.unionByName(part)
-    expected = expected_hits(t).select("query_id", "key", "lang").withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-    expected = expected.where("variant = 'sparse' or query_id % 100 = 0")  # what each variant was asked
-    found = expected.join(all_.withColumn("hit", F.lit(1)), ["variant", "query_id", "key"], "left")
-    return found.groupBy("variant", "lang").agg(F.count("*").alias("expected"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    """Mean set recall of four ways to ask: the vector alone; with the translation's words; with passage and translation as one text of
+    words; with both of them as branches of their own. Cases that expect nothing take no part; the others are told apart by whether
+    they expect one document or many."""
+    told = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.left("text", F.lit(60))).alias("told"))
+    both = t.benchmark.join(told.withColumn("told", F.nullif(F.trim("told"), F.lit(""))), "item_id", "left")
+    texts = F.array(F.col("text"), F.col("told"), F.concat_ws(" ", "text", "told"))
+    asked = both.select("item_id", F.posexplode(texts).alias("kind", "text")).where("text is not null").withColumn("asked", F.col("item_id") * 4 + F.col("kind"))
+    hits = stored(I.bm25(asked, forward(t), query_key="asked", query_text="text", k=20), "r10")
+    branch = lambda kind: hits.where(F.col("query_id") % 4 == kind).withColumn("query_id", F.expr("query_id div 4"))
+    vectors = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    dense_ = stored(I.cosine_top(vectors, t.embeddings, query_key="vec_id", query_vector="embedding", key="vec_id", vector="embedding", k=20), "r10")
+    ways = dict(zip(VARIANTS, ([dense_], [dense_, branch(1)], [dense_, branch(2)], [dense_, branch(1), branch(0)])))
+    found = reduce(DataFrame.unionByName, [R.fuse(parts, K).select(F.lit(name).alias("variant"), "query_id", "key", F.lit(1).alias("hit")) for name, parts in ways.items()])
+    expected = expected_hits(t).select("query_id", "key", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))
+    cases = expected.join(found, ["variant", "query_id", "key"], "left").groupBy("variant", "query_id").agg(F.count("*").alias("n"), (F.count("hit") / F.count("*")).alias("recall"))
+    return cases.groupBy("variant", F.when(F.col("n") == 1, "one").otherwise("many").alias("category")).agg(F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
 def expected_hits(t: Tables) -> DataFrame:
