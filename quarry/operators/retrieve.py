@@ -196,3 +196,21 @@ def source_blocks(df: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("n", F.expr("try_cast(nullif(regexp_extract(block, '^资料(\\\\d+)', 1), '') as long)"))
     rows = rows.select("*", *[c.alias(name) for name, c in fields.items()]).drop("block")
     return rows.where("title <> '' or item_id <> '' or source_file <> ''")
+
+
+#: What a request's text is split by before it is a key: white space of any script.
+SPACES = r"[\t-\r\x1c- \x{85}\p{Z}]+"
+
+
+def request_key(text: Column, item: Column, min_score: Column, top_k: Column, revision: Column, include_reference: Column) -> Column:
+    """The key under which a result may be used again: whatever changes the result is part of it, the spacing of the text is not.
+
+    Letter case and punctuation stay, as another question may differ in them alone. Null parts are empty ones, and so is a top_k of 0;
+    scores count to four places.
+    """
+    folded = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    number = F.when(F.coalesce(top_k, F.lit(0)) == 0, "").otherwise(top_k.cast("string"))
+    flag = F.when(include_reference, "True").when(~include_reference, "False")
+    parts = [folded, item, F.format_string("%.4f", min_score), number, revision.cast("string"), flag]
+    parts[2] = F.when(min_score.isNotNull(), parts[2])
+    return F.sha2(F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), "\x1f"), 256)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import logs as A
-from quarry.plans.base import Tables, query
+from quarry.plans.base import Tables, anchored_sql, query
 
 LOG = """log AS (SELECT event_id, ts, user_id, event_type AS intent, event_type <> 'error' AS success, value * 10 AS latency_ms, floor(value * 100)::BIGINT AS tokens,
   (user_id % 30)::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS thread, props FROM events)"""
@@ -109,7 +109,11 @@ def a11(t: Tables) -> DataFrame:
     return log(t).groupBy("thread").agg(F.sum("tokens").alias("tokens")).withColumn("over", F.col("tokens") > 50_000)
 
 
-@query("a12_anchored_windows")
+ANCHORED_SQL = f"""WITH {anchored_sql('SELECT user_id AS k, event_id, epoch_us(ts) AS us FROM events', 3600)}
+SELECT k AS user_id, event_id, start AS window_start, row_number() OVER (PARTITION BY k, start ORDER BY us, event_id) AS nth, nth > 3 AS over FROM w"""
+
+
+@query("a12_anchored_windows", ANCHORED_SQL)
 def a12(t: Tables) -> DataFrame:
     return A.anchored_windows(t.events, "user_id", "ts", "event_id", seconds=3600, limit=3)
 

@@ -46,3 +46,15 @@ def query(name: str, sql: str | None = None):
         return function
 
     return register
+
+
+def anchored_sql(rows: str, seconds: int) -> str:
+    """SQL of windows anchored at a key's first request after its last window: CTEs that end in `w` (k, event_id, us, start).
+
+    rows: a relation with k, event_id and us. The first window starts at a key's first row; the others follow from pointers to the
+    first row at or after a window's end.
+    """
+    return f"""RECURSIVE e AS ({rows}), p AS (SELECT DISTINCT k, us FROM e),
+nx AS (SELECT k, us, min(us) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN {seconds * 1_000_000} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM p),
+a AS (SELECT k, min(us) AS us FROM p GROUP BY k UNION SELECT nx.k, nx.nxt FROM a JOIN nx ON nx.k = a.k AND nx.us = a.us WHERE nx.nxt IS NOT NULL),
+w AS (SELECT e.*, max(a.us) OVER (PARTITION BY e.k ORDER BY e.us) AS start FROM e LEFT JOIN a ON e.k = a.k AND e.us = a.us)"""

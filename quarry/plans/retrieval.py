@@ -11,7 +11,7 @@ from quarry.functions import text as X
 from quarry.operators import contain as C
 from quarry.operators import index as I
 from quarry.operators import retrieve as R
-from quarry.plans.base import Tables, query, shared
+from quarry.plans.base import Tables, anchored_sql, query, shared
 from quarry.plans.scans import scratch
 from quarry.sources.shared import stored
 from quarry.streaming import state as S
@@ -447,6 +447,51 @@ def r24(t: Tables) -> DataFrame:
     return t.events.groupBy(key.alias("request_key")).agg(F.count("*").alias("requests"))
 
 
+def _key_sql(text: str, item: str, min_score: str, top_k: str, revision: str, reference: str) -> str:
+    number = f"CASE WHEN coalesce({top_k}, 0) = 0 THEN '' ELSE ({top_k})::VARCHAR END"
+    flag = f"CASE {reference} WHEN true THEN 'True' WHEN false THEN 'False' ELSE '' END"
+    score = f"CASE WHEN ({min_score}) IS NULL THEN '' ELSE printf('%.4f', {min_score}) END"
+    folded = rf"trim(regexp_replace(coalesce({text}, ''), '{R.SPACES}', ' ', 'g'))"
+    return f"sha256(concat_ws(chr(31), {folded}, coalesce({item}, ''), {score}, {number}, {revision}, {flag}))"
+
+
+@query(
+    "r24_full_key",
+    f"""WITH k AS (SELECT conv_id, turn, {_key_sql('text', "CASE WHEN conv_id % 5 > 0 THEN (conv_id % 7)::VARCHAR END", "CASE WHEN turn % 3 = 1 THEN 0.35::DOUBLE WHEN turn % 3 = 2 THEN 0.2::DOUBLE END",
+  "CASE WHEN conv_id % 2 = 0 THEN 5 ELSE 0 END", "'3'", "CASE WHEN turn % 2 = 0 THEN role = 'user' END")} AS request_key FROM conversations)
+SELECT request_key, count(*)::BIGINT AS requests, min(conv_id)::BIGINT AS first_conv FROM k GROUP BY request_key""",
+)
+def r24_full(t: Tables) -> DataFrame:
+    """The turns as requests with every part of the key: item, least score, number of results, revision, reference rows or not."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    item = F.when(conv % 5 > 0, (conv % 7).cast("string"))
+    least = F.when(turn % 3 == 1, 0.35).when(turn % 3 == 2, 0.2)
+    key = R.request_key(F.col("text"), item, least, F.when(conv % 2 == 0, 5).otherwise(0), F.lit(3), F.when(turn % 2 == 0, F.col("role") == "user"))
+    return t.conversations.groupBy(key.alias("request_key")).agg(F.count("*").alias("requests"), F.min(conv.cast("long")).alias("first_conv"))
+
+
+TTL = 3600  # seconds that a result may be used again
+EVENT_KEY_SQL = _key_sql("' ' || event_type || chr(12288) || ' list '", "floor(user_id / 10)::BIGINT::VARCHAR", "CASE WHEN event_type = 'error' THEN 0.35::DOUBLE END", "5", "'1'", "true")
+
+
+@query(
+    "r24_cache_stream",
+    f"""WITH {anchored_sql(f'SELECT {EVENT_KEY_SQL} AS k, event_id, epoch_us(ts) AS us FROM events', TTL)}
+SELECT k AS request_key, event_id, start AS written_us, row_number() OVER (PARTITION BY k, start ORDER BY us, event_id) > 1 AS hit FROM w""",
+)
+def r24_stream(t: Tables) -> DataFrame:
+    """Requests as they come, by key: computed, or answered by a result that is less than an hour old."""
+    item = F.floor(F.col("user_id") / 10).cast("string")
+    text = F.concat(F.lit(" "), "event_type", F.lit("\u3000 list "))
+    key = R.request_key(text, item, F.when(F.col("event_type") == "error", 0.35), F.lit(5), F.lit(1), F.lit(True))
+    inbox = scratch(t, "r24-requests")
+    requests = t.events.select(key.alias("request_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for i, days in enumerate(("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20")):
+        requests.where(days).coalesce(1).write.parquet(f"{inbox}/{i}")
+    source = t.spark.readStream.schema(requests.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(inbox)
+    return S.run_with_state(S.answered_before(source, "request_key", "ts", TTL), scratch(t, "r24-hits"), scratch(t, "r24-state"))
+
+
 @query("r25_card_text", "SELECT doc_id, md5(CASE WHEN lang = 'en' THEN string_split(text, ' the ')[1] ELSE text END) AS text_md5 FROM documents")
 def r25(t: Tables) -> DataFrame:
     """Texts of one type are cut at a marker."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import sync as Y
+from quarry.plans.analytics import ANCHORED_SQL
 from quarry.plans.base import Tables, query
 from quarry.plans.scans import scratch
 from quarry.sources.shared import stored
@@ -131,7 +132,7 @@ def in_order(t: Tables, name: str, *more: str) -> DataFrame:
     return source.parquet(path)
 
 
-@query("t7_anchored_windows")
+@query("t7_anchored_windows", ANCHORED_SQL)
 def t7(t: Tables) -> DataFrame:
     """The batch twin's windows; what the watermark has passed is no longer in the state."""
     rows = S.anchored(in_order(t, "t7-events"), "user_id", "ts", 3600, 3)

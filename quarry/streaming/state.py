@@ -136,6 +136,15 @@ def anchored(events: DataFrame, key: str, ts: str, seconds: int, limit: int) ->
     return rows.groupBy(key).transformWithStateInPandas(Anchored(key, seconds, limit), schema, "append", "eventTime")
 
 
+def answered_before(requests: DataFrame, key: str, ts: str, ttl: int) -> DataFrame:
+    """key, event_id, written_us, hit of every request: a hit is one within ttl seconds of the request whose result was kept.
+
+    A hit does not renew a result, so its time runs from the request that made it: a window anchored there, of which all requests
+    but the first are hits. A result's state goes when the watermark passes its end, and ties are in order of event_id.
+    """
+    return anchored(requests, key, ts, ttl, 1).select(key, "event_id", F.col("window_start").alias("written_us"), F.col("over").alias("hit"))
+
+
 class Numbers(StatefulProcessor):
     """The sources of a thread, numbered without gaps in the order in which they come."""
 
