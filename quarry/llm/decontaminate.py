@@ -4,9 +4,10 @@ The normalised benchmark items are built into one generalised suffix automaton p
 documents stream through it word by word; at each word the automaton holds the longest suffix of the document read so far
 that occurs in some item. Wherever that length reaches the window, the window's words are hit.
 
-The benchmark is cut into blocks of at most `block_words` words, so an automaton never outgrows a worker, which builds that of a
-block once. One block is one narrow pass over the documents, and the spans of several blocks are merged per document (by the
-place of its row, so with several blocks docs has to be a table that reads the same each time).
+The benchmark is cut into blocks of at most `block_words` words and BLOCK_BYTES bytes (or one item), so an automaton never
+outgrows a worker, which builds that of a block once. One block is one narrow pass over the documents. With several, the documents
+are written to the shared folder with a number for each row, and so are the hits of each block before the next one leaves its table:
+no more than two are on the driver at a time. The spans are merged by the rows' numbers.
 
 `decontaminate` drops documents at or above the coverage limit. In all others it cuts out the hit spans of at least `least_span`
 words (one window, so that a short item like a single common word is not cut out of prose). A cut text is not searched again.
@@ -21,17 +22,19 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import slices, table
+from quarry.llm.common import slices, stored, table
 
 WINDOW = 13
 #: Words of benchmark text in one automaton. A bound on memory, not on work: further items go to further blocks.
 BLOCK_WORDS = 400_000
+BLOCK_BYTES = 16 << 20
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither a digit nor a letter into a space.
 _FOLD = bytes(
@@ -195,17 +198,17 @@ def _hits_of_block(docs: DataFrame, items: list[tuple[str | None, bytes]], windo
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
-    """The items in blocks of at most block_words words (or one item), one block on the driver at a time."""
-    block, total = [], 0
+    """The items in blocks of at most block_words words and BLOCK_BYTES bytes (or one item), one after the other."""
+    block, total, size = [], 0, 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("body"))
     for row in rows.toLocalIterator():
         n = len(words_of(row.body))
-        if block and total + n > block_words:
+        if n and block and (total + n > block_words or size + len(row.body) > BLOCK_BYTES):
             yield block
-            block, total = [], 0
+            block, total, size = [], 0, 0
         if n:
             block.append((row.name, bytes(row.body)))
-            total += n
+            total, size = total + n, size + len(row.body)
     yield block
 
 
@@ -233,8 +236,13 @@ def benchmark_hits(
     if second is None:
         hits = _hits_of_block(base, first, window, least_span)
     else:
-        base = base.withColumn("__at", F.monotonically_increasing_id())
-        hits = _merged([_hits_of_block(base, block, window) for block in (first, second, *blocks)], [id_col, *keep])
+        base = stored(base.withColumn("__at", F.monotonically_increasing_id()), "benchmark-rows")
+        parts = [stored(_hits_of_block(base.select("__at", "__body"), first, window), "benchmark-hits")]
+        while second is not None:
+            found = _hits_of_block(base.select("__at", "__body"), second, window).where("size(__spans) > 0")
+            parts.append(stored(found, "benchmark-hits"))
+            second = next(blocks, None)
+        hits = _merged(base.drop("__body"), parts)
         if least_span:
             long = F.filter("__spans", lambda s: s["last"] - s["first"] >= least_span)
             body = F.when(F.size(long) > 0, text.cast("binary"))  # only these texts go through Python
@@ -246,11 +254,10 @@ def benchmark_hits(
     return hits.select(id_col, *[F.col("__" + c).alias(c) for c in ("n_words", "n_hit", "spans", "items")])
 
 
-def _merged(blocks: list[DataFrame], columns: list[str]) -> DataFrame:
-    """Several blocks: spans overlap between blocks, so runs are merged per row by a gaps-and-islands window."""
-    parts = blocks[0].select("__at", "__n_words", "__spans", "__items")
-    for part in blocks[1:]:
-        parts = parts.unionByName(part.select(parts.columns))
+def _merged(docs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """docs with the hits of all blocks, of which the first has every row: spans overlap between blocks, so runs are merged per row
+    by a gaps-and-islands window."""
+    parts = reduce(DataFrame.unionByName, blocks)
     runs = parts.select("__at", F.explode("__spans").alias("s")).select("__at", "s.first", "s.last")
     w = Window.partitionBy("__at").orderBy("first", "last")
     reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -263,7 +270,7 @@ def _merged(blocks: list[DataFrame], columns: list[str]) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
     )
     empty = F.array().cast("array<struct<first:int,last:int>>")
-    found = blocks[0].select("__at", *columns).join(per_row, "__at").join(spans, "__at", "left")
+    found = docs.join(per_row, "__at").join(spans, "__at", "left")
     return found.withColumn("__spans", F.coalesce("__spans", empty)).drop("__at")
 
 
