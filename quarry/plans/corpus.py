@@ -181,16 +181,44 @@ def c13(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.char_limit(F.col("text")).alias("char_limit"))
 
 
+def _limit_sql(n: str, cjk: str, marks: str) -> str:
+    each = f"({cjk} * {X.TOKENS_CJK}::DOUBLE + greatest(0, {n} - {cjk} - {marks}) * {X.TOKENS_LATIN}::DOUBLE + {marks} * {X.TOKENS_PUNCTUATION}::DOUBLE) / {n}"
+    return f"CASE WHEN {n} = 0 THEN {X.EMPTY_LIMIT} ELSE greatest({X.LEAST_LIMIT}, floor({X.MAX_TOKENS} * {X.SAFETY}::DOUBLE / ({each}))::BIGINT) END"
+
+
+#: Child chunks, a step of the recursion for each sentence of a section: `done` chunks are full, and the one that is being filled has
+#: `held` sentences of `size` characters. A sentence is in chunk `first`; a cut one goes on to chunk `done`.
+CHILDREN = f"""RECURSIVE {SECT.lstrip()}, whole AS (SELECT doc_id, section_no, section, string_agg(text, ' ' ORDER BY ord) AS text FROM s WHERE block_type = 'text' GROUP BY ALL),
+cut AS (SELECT doc_id, section_no, {SENT} AS parts FROM whole),
+sent AS MATERIALIZED (SELECT doc_id, section_no, i, t, length(t) AS n, length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')) AS c, length(t) - length(regexp_replace(t, {PUNCT}, '', 'g')) AS m
+  FROM (SELECT doc_id, section_no, i, parts[i] AS t FROM cut, unnest(range(1, len(parts) + 1)) AS r(i))),
+fold AS (SELECT doc_id, section_no, 0::BIGINT AS i, 0::BIGINT AS first, 0::BIGINT AS done, 0::BIGINT AS held, 0::BIGINT AS size, 0::BIGINT AS cjk, 0::BIGINT AS marks, false AS long, 0::BIGINT AS own FROM whole
+UNION ALL SELECT doc_id, section_no, i, done + 1, CASE WHEN long THEN done + ceil(n / own)::BIGINT ELSE done END, CASE WHEN long THEN 0 ELSE held + 1 END, CASE WHEN long THEN 0 ELSE size END,
+  CASE WHEN long THEN 0 ELSE cjk + c END, CASE WHEN long THEN 0 ELSE marks + m END, long, own
+  FROM (SELECT doc_id, section_no, i, n, c, m, own, n > own AS long, done + (held > 0 AND (flush OR n > own))::BIGINT AS done, CASE WHEN flush THEN 0 ELSE held END AS held,
+      CASE WHEN flush THEN n ELSE joined END AS size, CASE WHEN flush THEN 0 ELSE cjk END AS cjk, CASE WHEN flush THEN 0 ELSE marks END AS marks
+    FROM (SELECT *, held > 0 AND joined > {_limit_sql('joined', '(cjk + c)', '(marks + m)')} AS flush
+      FROM (SELECT sent.doc_id, sent.section_no, sent.i, n, c, m, done, held, cjk, marks, size + n + (held > 0)::BIGINT AS joined, {_limit_sql('n', 'c', 'm')} AS own
+        FROM fold JOIN sent ON sent.doc_id = fold.doc_id AND sent.section_no = fold.section_no AND sent.i = fold.i + 1)))),
+pieces AS (SELECT doc_id, section_no, first AS chunk, string_agg(t, ' ' ORDER BY i) AS text FROM fold JOIN sent USING (doc_id, section_no, i) WHERE NOT long GROUP BY ALL
+  UNION ALL SELECT doc_id, section_no, first + k, substr(t, 1 + k * own, own) FROM fold JOIN sent USING (doc_id, section_no, i), unnest(range(0, done - first + 1)) AS r(k) WHERE long),
+chunks AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, chunk) AS seq, section_no, section, pieces.text FROM pieces JOIN whole USING (doc_id, section_no))"""
+PARENTS = f"""{CHILDREN}, parent AS (SELECT doc_id, seq, 1::BIGINT AS parent_no, section_no, length(text)::BIGINT + 2 AS held, length(text) AS n_chars FROM chunks WHERE seq = 1
+UNION ALL SELECT doc_id, seq, parent_no + new::BIGINT, section_no, CASE WHEN new THEN 0 ELSE held END + n_chars + 2, n_chars
+  FROM (SELECT c.doc_id, c.seq, p.parent_no, c.section_no, p.held, length(c.text) AS n_chars, c.section_no <> p.section_no OR p.held + length(c.text) + 2 > {B.PARENT_CHARS} AS new
+    FROM parent p JOIN chunks c ON c.doc_id = p.doc_id AND c.seq = p.seq + 1))"""
+
+
 def child_chunks(t: Tables) -> DataFrame:
     return B.children(sectioned(t), "doc_id", "ord")
 
 
-@query("c14_children")
+@query("c14_children", f"WITH {CHILDREN} SELECT doc_id, seq::INTEGER AS seq, section_no::BIGINT AS section_no, section, text FROM chunks")
 def c14(t: Tables) -> DataFrame:
     return child_chunks(t).select("doc_id", "seq", "section_no", "section", "text")
 
 
-@query("c15_parents")
+@query("c15_parents", f"WITH {PARENTS} SELECT doc_id, seq::INTEGER AS seq, parent_no, n_chars::INTEGER AS n_chars FROM parent")
 def c15(t: Tables) -> DataFrame:
     return B.parents(child_chunks(t), "doc_id").select("doc_id", "seq", "parent_no", F.length("text").alias("n_chars"))
 
