@@ -101,12 +101,15 @@ gr AS (SELECT conv_id, turn, i, substr(n, i, 8) AS p FROM an, unnest(range(1, gr
 SELECT conv_id, turn, min_by(cited, (i, cited)) AS cited FROM gr JOIN tt USING (p) GROUP BY ALL""",
 )
 def e6(t: Tables) -> DataFrame:
-    """The first title whose 8-letter prefix an answer holds: the answers' 8-grams join the prefixes."""
+    """The first title whose 8-letter prefix an answer holds: the answers' 8-grams join the prefixes.
+
+    Spark takes the grams for as small as the answers' file and would broadcast them; so the prefixes are hashed, part by part.
+    """
     prefix = F.left(X.normalized(X.first_line(F.col("text"))), F.lit(8))
     titles = t.documents.select("doc_id", prefix.alias("p")).where("length(p) = 8").groupBy("p").agg(F.min("doc_id").alias("cited"))
     said = t.conversations.where("role = 'assistant'").select("conv_id", "turn", X.normalized(F.col("text")).alias("n")).where("length(n) >= 8")
     grams = said.select("conv_id", "turn", "n", F.explode(F.sequence(F.lit(1), F.length("n") - 7)).alias("i")).select("conv_id", "turn", "i", F.expr("substring(n, i, 8)").alias("p"))
-    return grams.join(titles, "p").groupBy("conv_id", "turn").agg(F.min_by("cited", F.struct("i", "cited")).alias("cited"))
+    return grams.join(titles.hint("shuffle_hash"), "p").groupBy("conv_id", "turn").agg(F.min_by("cited", F.struct("i", "cited")).alias("cited"))
 
 
 RUN = """run AS (SELECT event_id, ts, event_type AS category, user_id, strftime(ts, '%Y-%m-%d') AS run, value > 40 AS passed, value < 2 AS unjudged, value * 10 AS latency_ms,
