@@ -210,8 +210,7 @@ def d13(t: Tables) -> DataFrame:
 @query("d14_seed_clusters")
 def d14(t: Tables) -> DataFrame:
     """Clusters of three at most, made by the seeds in id order."""
-    edges = P.near_pairs(t.embeddings, "vec_id", "embedding", PAIR_LEAST)
-    clusters = D.seed_clusters(t.embeddings.select(F.col("vec_id").alias("v")), edges, 3, _checkpoint(t.spark))
+    clusters = P.seed_clusters(t.embeddings, "vec_id", "embedding", PAIR_LEAST, 3)
     return clusters.select("seed", F.col("member").alias("vec_id"), "score")
 
 

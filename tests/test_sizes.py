@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import numpy as np
 from conftest import DATA
 
+from quarry.operators import pairs
 from quarry.plans.registry import QUERIES
 
 
@@ -12,3 +16,38 @@ def test_grams_of_answers_are_not_broadcast(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastExchange" not in plan
+
+
+def one_by_one(vectors, least, size):
+    left, out = sorted(vectors), []
+    while left:
+        seed = left.pop(0)
+        near = sorted(((round(float(vectors[seed] @ vectors[x]), 6), x) for x in left), reverse=True)
+        for score, other in [n for n in near if n[0] >= least][: size - 1]:
+            left.remove(other)
+            out.append((seed, other, score))
+    return sorted(out)
+
+
+def test_clusters_of_copies_and_short_lists_equal_one_by_one(spark):
+    """Blocks that end early, since the seeds of a group of copies want the same neighbours."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((120, 8))
+    v[20:70] = v[20]
+    vectors = {i: x / np.sqrt(x @ x) for i, x in enumerate(v)}
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in vectors.items()], "i long, v array<double>").repartition(3)
+    for seeds, listed in ((64, 128), (5, 20), (4096, 1 << 17)):
+        got = pairs.seed_clusters(rows, "i", "v", 0.4, 3, seeds=seeds, listed=listed)
+        assert sorted((r.seed, r.member, r.score) for r in got.collect()) == one_by_one(vectors, 0.4, 3)
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, None])], "i long, v array<double>")
+    assert pairs.seed_clusters(odd, "i", "v", 0.4, 3).count() == 0
+
+
+def test_links_of_clusters_are_not_written(spark):
+    """Half a million links between copies, of which nothing but the vectors and the clusters comes to the shared folder."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    rows = spark.range(1000).selectExpr("id AS i", "array(1.0D, id / 1e6D) AS v")
+    before = size()
+    assert pairs.seed_clusters(rows, "i", "v", 0.9, 3).count() == 666
+    assert size() - before < 2_000_000
