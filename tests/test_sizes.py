@@ -8,6 +8,7 @@ import numpy as np
 from conftest import DATA
 
 from quarry.operators import pairs
+from quarry.operators.retrieve import dense_lsh
 from quarry.plans.registry import QUERIES
 
 
@@ -51,3 +52,13 @@ def test_links_of_clusters_are_not_written(spark):
     before = size()
     assert pairs.seed_clusters(rows, "i", "v", 0.9, 3).count() == 666
     assert size() - before < 2_000_000
+
+
+def test_pairs_of_a_band_are_not_rows(spark):
+    """Vectors that share all bands: every pair of query and vector meets, but they are no rows of a shuffle; zero vectors take no part."""
+    rows = spark.range(3000).selectExpr("id AS i", "IF(id = 5, array(0.0D, 0.0D), array(1.0D, id / 1e4D)) AS v")
+    got = dense_lsh(rows.where("i % 100 = 0"), rows, key="i", vector="v", width=2, k=3)
+    top = {(r.query_id, r.rank): r.key for r in got.collect()}
+    assert len(top) == 90 and top[0, 1] == 0 and top[2900, 1] <= 2900
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert 5 not in top.values()
