@@ -131,7 +131,7 @@ class Rows:
     def of(cls, bodies: list[bytes | None], hashes: _Hashes) -> Rows:
         found = [hashed(b, hashes) for b in bodies]
         style = np.array([features(b) for b in bodies], dtype=np.float64).reshape(-1, FEATURES)
-        return cls(style, np.concatenate([np.zeros(0, "<u2"), *found]).astype(np.int64), np.array([len(f) for f in found], dtype=np.int64))
+        return cls(style, np.concatenate([np.zeros(0, "<u2"), *found]), np.array([len(f) for f in found], dtype=np.int64))
 
     def __len__(self) -> int:
         return len(self.style)
@@ -166,14 +166,35 @@ def _share(rows: Rows) -> np.ndarray:
     return 1 / np.sqrt(np.maximum(1, rows.counts))
 
 
-def design(edges: np.ndarray, rows: Rows) -> np.ndarray:
-    """One row of factors for the weights per text; the last is that of the bias."""
-    out = np.zeros((len(rows), FEATURES * BINS + BUCKETS + 1), dtype=np.float32)
-    out[np.arange(len(rows))[:, None], _bins(edges, rows)] = 1
-    row = np.repeat(np.arange(len(rows)), rows.counts)
-    out[row, FEATURES * BINS + rows.buckets] = _share(rows)[row]
-    out[:, -1] = 1
-    return out
+class Design:
+    """The factors of the weights of each text, as places: those of its bins and, all texts one after another, of its buckets."""
+
+    def __init__(self, edges: np.ndarray, rows: Rows):
+        self.bins = _bins(edges, rows).astype(np.int16)
+        self.buckets, self.share = rows.buckets, _share(rows).astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(rows.counts)])
+
+    def __len__(self) -> int:
+        return len(self.bins)
+
+    def of(self, chosen: np.ndarray) -> np.ndarray:
+        """The rows of `chosen` as a matrix."""
+        counts = self.start[chosen + 1] - self.start[chosen]
+        row = np.repeat(np.arange(len(chosen)), counts)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + self.start[chosen][row]
+        out = np.zeros((len(chosen), FEATURES * BINS + BUCKETS + 1), dtype=np.float32)
+        out[np.arange(len(chosen))[:, None], self.bins[chosen]] = 1
+        out[row, FEATURES * BINS + self.buckets[place]] = self.share[chosen][row]
+        out[:, -1] = 1
+        return out
+
+    def outputs(self, w: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """The outputs for the rows of `chosen`, a part at a time."""
+        return np.concatenate([self.of(chosen[at : at + STEP_ROWS]) @ w for at in range(0, len(chosen), STEP_ROWS)] or [np.zeros(0, np.float32)])
+
+
+def design(edges: np.ndarray, rows: Rows) -> Design:
+    return Design(edges, rows)
 
 
 def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
@@ -182,15 +203,15 @@ def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float
     return prior * loss(p).mean(), loss(-u).mean() - prior * loss(-p).mean()
 
 
-def _descend(positive: np.ndarray, unlabelled: np.ndarray, steps: int, penalty: float, bias: float, gradient) -> np.ndarray:
-    """Weights after `steps` of Adam over batches of both samples. gradient(p, u): the derivative for each output, times their number."""
-    w = np.zeros(positive.shape[1], dtype=np.float32)
+def _descend(positive: Design, unlabelled: Design, of_p: np.ndarray, of_u: np.ndarray, steps: int, penalty: float, bias: float, gradient) -> np.ndarray:
+    """Weights after `steps` of Adam over batches of both samples' rows of_p and of_u; only a batch is a matrix. gradient(p, u): the derivative for each output, times their number."""
+    w = np.zeros(FEATURES * BINS + BUCKETS + 1, dtype=np.float32)
     w[-1] = bias
     first, second = np.zeros(len(w)), np.zeros(len(w))
     rng = np.random.default_rng(11)
     draw = lambda x, most: x[rng.integers(0, len(x), most)] if len(x) > most else x
     for turn in range(1, steps + 1):
-        p, u = draw(positive, STEP_ROWS), draw(unlabelled, 2 * STEP_ROWS)
+        p, u = positive.of(draw(of_p, STEP_ROWS)), unlabelled.of(draw(of_u, 2 * STEP_ROWS))
         each_p, each_u = gradient(p @ w, u @ w)
         g = each_p @ p / len(p) + each_u @ u / len(u)
         g[:-1] += penalty * w[:-1]
@@ -200,16 +221,16 @@ def _descend(positive: np.ndarray, unlabelled: np.ndarray, steps: int, penalty:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: Design, unlabelled: Design) -> float:
     """The share of positives among unlabelled rows, from the two samples alone."""
     if min(len(positive), len(unlabelled)) < 2 * FOLDS:
         return 0.5
     of_p, of_u = [], []
     for k in range(FOLDS):
         out_p, out_u = np.arange(len(positive)) % FOLDS == k, np.arange(len(unlabelled)) % FOLDS == k
-        w = _descend(positive[~out_p], unlabelled[~out_u], PLAIN_STEPS, PLAIN_PENALTY, 0.0, lambda p, u: (_sigmoid(p) - 1, _sigmoid(u)))
-        of_p.append(positive[out_p] @ w)
-        of_u.append(unlabelled[out_u] @ w)
+        w = _descend(positive, unlabelled, np.flatnonzero(~out_p), np.flatnonzero(~out_u), PLAIN_STEPS, PLAIN_PENALTY, 0.0, lambda p, u: (_sigmoid(p) - 1, _sigmoid(u)))
+        of_p.append(positive.outputs(w, np.flatnonzero(out_p)))
+        of_u.append(unlabelled.outputs(w, np.flatnonzero(out_u)))
     p, u = np.sort(np.concatenate(of_p)), np.sort(np.concatenate(of_u))
     above_p, above_u = _above(p, p), _above(u, p)
     chance = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
@@ -246,8 +267,9 @@ def fit(positive: Rows, unlabelled: Rows, prior: float | None = None) -> Quality
             return good + rest_p, rest_u
         return -rest_p, -rest_u  # below zero the estimate over-fits: step back
 
-    w = _descend(of_p, of_u, STEPS, PENALTY, float(np.log(prior / (1 - prior))), gradient)
-    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - decision(of_p @ w, of_u @ w, prior)
+    all_p, all_u = np.arange(len(of_p)), np.arange(len(of_u))
+    w = _descend(of_p, of_u, all_p, all_u, STEPS, PENALTY, float(np.log(prior / (1 - prior))), gradient)
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - decision(of_p.outputs(w, all_p), of_u.outputs(w, all_u), prior)
     return QualityModel(edges, w)
 
 
@@ -267,7 +289,7 @@ def _features(docs: DataFrame) -> DataFrame:
 def _unpacked(packed: list[bytes]) -> Rows:
     style = np.array([np.frombuffer(x, "<f8", FEATURES) for x in packed]).reshape(-1, FEATURES)
     buckets = [np.frombuffer(x, "<u2", offset=8 * FEATURES) for x in packed]
-    return Rows(style, np.concatenate([np.zeros(0, "<u2"), *buckets]).astype(np.int64), np.array([len(b) for b in buckets], dtype=np.int64))
+    return Rows(style, np.concatenate([np.zeros(0, "<u2"), *buckets]), np.array([len(b) for b in buckets], dtype=np.int64))
 
 
 def samples(
@@ -287,9 +309,10 @@ def samples(
 
 def learn(docs: DataFrame, labels: DataFrame, **how) -> QualityModel:
     """docs and labels hold training rows only. how: as in samples(). Two rows an id and no more come to the driver."""
-    found = [(r.key, r.id, bytes(r.x)) for r in samples(docs, labels, **how).collect()]
-    found.sort(key=lambda r: r[:2])
-    pick = lambda key: _unpacked([x for k, _, x in found if k == key])
+    found = samples(docs, labels, **how).toArrow()
+    key, order = found.column("key").to_numpy(), np.lexsort((found.column("id").to_numpy(), found.column("key").to_numpy()))
+    packed = found.column("x").to_pylist()
+    pick = lambda k: _unpacked([packed[i] for i in order if key[i] == k])
     return fit(pick(1), pick(0))
 
 
