@@ -11,6 +11,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from quarry.operators import index, pairs
+from quarry.operators.evaluate import keyword_coverage
 from quarry.operators.retrieve import dense_lsh
 from quarry.plans.registry import QUERIES
 
@@ -91,3 +92,11 @@ def test_slices_give_the_same_index_and_scores(spark, monkeypatch):
     monkeypatch.setattr(index, "WORDS", 500)
     monkeypatch.setattr(index, "MEETINGS", 50)
     assert whole[1] and whole == found()
+
+
+def test_an_answer_is_folded_once_for_all_keywords(spark):
+    rows = spark.createDataFrame([("The cat sat", ["cat", "dog", "!", None]), (None, ["a"]), ("x", None)], "a string, k array<string>")
+    df = rows.select(keyword_coverage(F.col("a"), F.col("k")).alias("c"))
+    assert [(r.c.hit, r.c.total, r.c.missing) for r in df.collect()] == [(1, 2, ["dog"]), (0, 1, ["a"]), (0, 0, [])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(a#") == 1
