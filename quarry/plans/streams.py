@@ -5,6 +5,8 @@ The table's file is read as a stream of its folder; windows that the watermark h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +96,9 @@ def t5(t: Tables) -> DataFrame:
         jobs.write(number, Y.enqueue(old, asked, ["user_id", "job_type"], revive=True))
         ledger.write(number, changed.select("user_id", "status"))
 
-    T.apply_batches(in_order(t, "t5-events", "event_type"), apply, scratch(t, "t5-state"))
+    state = scratch(t, "t5-state")
+    for arrived in in_order(t, "t5-events", timed(t, "event_type")):
+        T.apply_batches(arrived, apply, state)
     rows = ledger.read().select(F.lit("ledger").alias("part"), "user_id", "status")
     return rows.unionByName(jobs.read().select(F.lit("job").alias("part"), "user_id", "status", "job_type"), allowMissingColumns=True)
 
@@ -122,21 +126,26 @@ def t6(t: Tables) -> DataFrame:
     return totals.read()
 
 
-def in_order(t: Tables, name: str, *more: str) -> DataFrame:
-    """The events as a stream of three files, one after the other in time, each a micro-batch of its own."""
+def in_order(t: Tables, name: str, rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows that come in three parts, one after the other in time: the stream of what has come so far, after each part. A run takes up
+    what is new as one micro-batch, of as many files as the part has tasks."""
     path = scratch(t, name)
-    rows = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", *more)
     for i, days in enumerate(("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20")):
-        rows.where(days).coalesce(1).write.parquet(f"{path}/{i}")
-    source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
-    return source.parquet(path)
+        rows.where(days).write.parquet(f"{path}/{i}")
+        yield t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def timed(t: Tables, *more: str) -> DataFrame:
+    return t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", *more)
 
 
 @query("t7_anchored_windows", ANCHORED_SQL)
 def t7(t: Tables) -> DataFrame:
     """The batch twin's windows; what the watermark has passed is no longer in the state."""
-    rows = S.anchored(in_order(t, "t7-events"), "user_id", "ts", 3600, 3)
-    return S.run_with_state(rows, scratch(t, "t7"), scratch(t, "t7-state"))
+    out, state = scratch(t, "t7"), scratch(t, "t7-state")
+    for arrived in in_order(t, "t7-events", timed(t)):
+        rows = S.run_with_state(S.anchored(arrived, "user_id", "ts", 3600, 3), out, state)
+    return rows
 
 
 @query(
@@ -166,5 +175,7 @@ SELECT thread, epoch_us(last) AS last_us, rows FROM h WHERE epoch_us(last) + 3 *
 def t9_stale(t: Tables) -> DataFrame:
     """Threads (a user's day) of which nothing has come for three days, by the clock of the events, which lags ten minutes."""
     thread = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    rows = S.stale_threads(in_order(t, "t9-events").select("ts", thread.alias("thread")), "thread", "ts", 3 * 86_400_000)
-    return S.run_with_state(rows, scratch(t, "t9-stale"), scratch(t, "t9-stale-state"))
+    out, state = scratch(t, "t9-stale"), scratch(t, "t9-stale-state")
+    for arrived in in_order(t, "t9-events", timed(t)):
+        rows = S.run_with_state(S.stale_threads(arrived.select("ts", thread.alias("thread")), "thread", "ts", 3 * 86_400_000), out, state)
+    return rows
