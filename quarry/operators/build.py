@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from quarry.functions import text as X
 DROPPED = ("header", "footer", "page_number")
 FRONT = "（前置内容）"
 PARENT_CHARS = 3500
+#: Bytes of texts that a task has as Python objects at once (one text at least).
+SLICE = 1 << 20
 NOISE = (
     "reference", "参考文献", "（前置内容）", "front matter", "acknowledg", "致谢", "author contribution", "作者贡献", "competing interest",
     "利益冲突", "data availability", "数据可用性", "additional information", "supplementary", "附录", "funding", "基金",
@@ -177,22 +181,39 @@ def children(sectioned: DataFrame, key: str, order: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(order, "text")))
     whole = sectioned.where("block_type = 'text'").groupBy(key, "section_no", "section").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"))
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(pack_sentences)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for each in batches for part in _cut(each, "text")):
+            chunks = [pack_sentences(x.as_py() or "") for x in batch.column("text")]
+            at = pa.array([i for i, c in enumerate(chunks) for _ in c], pa.int32())
+            own = [batch.column(c).take(at) for c in (key, "section_no", "section")]
+            pos, text = pa.array([i for c in chunks for i in range(len(c))], pa.int32()), pa.array([x for c in chunks for x in c], pa.string())
+            yield pa.RecordBatch.from_arrays([*own, pos, text], names=[key, "section_no", "section", "pos", "text"])
 
-    parts = whole.select(key, "section_no", "section", F.posexplode(packed("text")).alias("pos", "text"))
+    kind = whole.select(key, "section_no", "section", F.lit(0).alias("pos"), "text").schema
+    parts = whole.select(key, "section_no", "section", "text").mapInArrow(packed, kind)
     return parts.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("section_no", "pos"))).drop("pos")
 
 
+def _cut(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about SLICE bytes of a column, or one row that is longer."""
+    upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def parents(chunks: DataFrame, key: str) -> DataFrame:
-    """chunks with parent_no: children of one section packed in order while their characters, 2 more each, fit PARENT_CHARS."""
+    """chunks with parent_no: children of one section packed in order while their characters, 2 more each, fit PARENT_CHARS.
+
+    The fold reads keys and lengths; the chunks' other columns go through as they are."""
 
-    def fold(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: tuple | None = None
-        for pdf in batch:
+        for batch in (part for each in batches for part in _cut(each, "text")):
             numbers = []
-            for item, section, size in zip(pdf[key], pdf["section_no"], pdf["text"].str.len()):
+            for item, section, size in zip(*(c.to_pylist() for c in (batch.column(key), batch.column("section_no"), pc.utf8_length(batch.column("text"))))):
                 if state is None or state[0] != item:
                     state = (item, section, 1, size + 2)
                 elif state[1] != section or state[3] + size + 2 > PARENT_CHARS:
@@ -200,10 +221,10 @@ def parents(chunks: DataFrame, key: str) -> DataFrame:
                 else:
                     state = (item, section, state[2], state[3] + size + 2)
                 numbers.append(state[2])
-            yield pdf.assign(parent_no=numbers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "parent_no"])
 
     ordered = chunks.repartition(F.col(key)).sortWithinPartitions(key, "seq")
-    return ordered.mapInPandas(fold, chunks.schema.add("parent_no", "long"))
+    return ordered.mapInArrow(fold, chunks.schema.add("parent_no", "long"))
 
 
 def usable(section: Column, block_type: Column, text: Column, is_reference: Column) -> Column:
