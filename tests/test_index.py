@@ -87,3 +87,24 @@ def test_cosine(spark, monkeypatch, words, chunk):
         want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:12], 1)]
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
     assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-6)
+
+
+def test_weighted_terms(spark):
+    rows = [(1, "a b", "a c 检索"), (2, None, "c c"), (2, "C", "c d"), (None, "x", "x"), (None, "x", None), (3, "", None), (7, "n", "7 7")]
+    weights = {"title": 3, "id": 2, "text": 1}
+
+    def found(part):
+        got = index.weighted_terms(spark.createDataFrame(part, "id int, title string, text string"), "id", weights)
+        return got, sorted(map(tuple, got.select("key", "term", "tf").collect()), key=str)
+
+    want = Counter()
+    for i, title, text in rows:
+        for field, w in ((title, 3), (None if i is None else str(i), 2), (text, 1)):
+            words = re.findall("[a-z0-9]+", (field or "").lower()) + (["检", "索", "检索"] if "检" in (field or "") else [])
+            want.update({(i, x): w * n for x, n in Counter(words).items()})
+    df, got = found(rows)
+    assert got == sorted(((*k, n) for k, n in want.items()), key=str) and df.columns == ["key", "term", "tf"]
+    single = [r for r in rows if r[0] not in (2, None)]
+    df, got = found(single)
+    assert got == sorted(((*k, n) for k, n in want.items() if k[0] not in (2, None)), key=str)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # keys that are unique are never shuffled
