@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-
+from quarry.operators.contain import blocks
+from quarry.operators.index import slices
 from quarry.operators.ranks import running
+from quarry.sources.shared import stored
 
 
 # Words that say nothing about an answer, the least length of a keyword, the share of keywords that may be missing,
@@ -17,6 +25,8 @@ KEYWORD_STOPWORDS = (
     "method methods used using also such these those than can may more most other into been they when"
 ).split()
 LEAST_KEYWORD, MISSING, OVERLAP, GRAM = 4, 0.34, 0.65, 5
+#: Characters of the grams that a task looks for at once.
+GRAM_CHARS = 1 << 22
 REFERRING = "这篇|那篇|它|该文|这篇文章|此文献|前者|后者|上述|这个"
 
 
@@ -53,20 +63,70 @@ def _grams(words: Column) -> Column:
     return F.when(n >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def _trie(grams: list[tuple[bool, list[str], int]]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The words of the grams, the edges of each level of their trie (node of the level above times words, plus word, ascending: a
+    node is its edge's place), and the numbers of the grams in the order of the last level. The script is the node of the first level.
+    """
+    terms = sorted({w for _, gram, _ in grams for w in gram})
+    code = {w: i for i, w in enumerate(terms)}
+    node = np.array([int(zh) for zh, _, _ in grams])
+    edges = []
+    for at in range(GRAM):
+        every, node = np.unique(node * len(terms) + np.array([code[gram[at]] for _, gram, _ in grams]), return_inverse=True)
+        edges.append(every)
+    numbers = np.zeros(len(grams), np.int64)
+    numbers[node] = [number for _, _, number in grams]
+    return terms, edges, numbers
+
+
+def _walk(batches: Iterator[pa.RecordBatch], terms: list[str], edges: list[np.ndarray], numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The key and the number of each gram of the trie that stands in a text (key, words, zh), once for each text."""
+    known = pa.array(terms, pa.string())
+    for batch in (part for whole in batches for part in slices(whole)):
+        words = batch.column(1)
+        lengths = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+        code = pc.index_in(pc.list_flatten(words), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        at = np.flatnonzero(code >= 0)
+        at = at[at <= len(code) - GRAM]
+        at = at[text[at] == text[at + GRAM - 1]]
+        node = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[text[at]]
+        for i, every in enumerate(edges):
+            word = code[at + i]
+            edge = node * len(terms) + word
+            node = np.minimum(np.searchsorted(every, edge), len(every) - 1)
+            real = (word >= 0) & (every[node] == edge)
+            at, node = at[real], node[real]
+        found = np.unique(text[at].astype(np.int64) * len(numbers) + node)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found // len(numbers))), pa.array(numbers[found % len(numbers)])], names=["__source", "number"])
+
+
 def question_overlap(questions: DataFrame, sources: DataFrame, *, key: str, question: str, source_key: str, source: str) -> DataFrame:
     """How much of each question stands in a source: key, grams (its distinct 5-grams of words, or of signs in Chinese), sources that
     share one, nearest (the source that shares most, the smallest at a tie), shared, and kept (at most 0.65 of the grams shared).
 
-    Only sources in the question's script count. Questions of fewer than five words have no grams and are kept. The sources' grams
-    meet those of the questions before anything of them is shuffled twice; a gram that stands often in a source counts once.
+    Only sources in the question's script count. Questions of fewer than five words have no grams and are kept. The distinct grams of
+    the questions are walked word by word within the tasks, so the grams of the sources are never made; a gram that stands often in a
+    source counts once. Each block of GRAM_CHARS is one pass over the sources.
     """
     def words(rows: DataFrame, name: str, text: str) -> DataFrame:
         return rows.select(name, X.is_chinese(F.coalesce(F.col(text), F.lit(""))).alias("zh"), X.words_or_signs(F.col(text)).alias("w"))
 
     q = words(questions, key, question).select(key, "zh", _grams(F.col("w")).alias("g"))
-    s = words(sources, source_key, source).select(source_key, "zh", F.explode(_grams(F.col("w"))).alias("gram"))
-    pairs = s.join(q.select(key, "zh", F.explode("g").alias("gram")), ["zh", "gram"]).groupBy(key, source_key).agg(F.count("*").alias("shared"))
-    best = pairs.groupBy(key).agg(F.count("*").alias("sources"), F.min(F.struct((-F.col("shared")).alias("less"), F.col(source_key).alias("nearest"))).alias("b"))
+    asked = q.select(key, "zh", F.explode("g").alias("gram"))
+    distinct = stored(asked.select("zh", "gram").distinct().withColumn("number", F.monotonically_increasing_id()), "grams")
+    s = words(sources, source_key, source).select(F.col(source_key).alias("__source"), "w", "zh")
+    schema = s.select("__source", F.lit(0).cast("long").alias("number")).schema
+
+    def search(block: list) -> DataFrame:
+        trie = _trie([(r["zh"], r["gram"].split(" "), r["number"]) for r in block])
+        return stored(s.mapInArrow(lambda batches: _walk(batches, *trie), schema), "overlaps")
+
+    parts = [search(block) for block in blocks(distinct, "number", F.length("gram"), GRAM_CHARS)]
+    hits = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], schema)
+    hits = hits.distinct().withColumnRenamed("__source", "nearest").join(distinct, "number").join(asked, ["zh", "gram"])
+    pairs = hits.groupBy(key, "nearest").agg(F.count("*").alias("shared"))
+    best = pairs.groupBy(key).agg(F.count("*").alias("sources"), F.min(F.struct((-F.col("shared")).alias("less"), "nearest")).alias("b"))
     found = best.select(key, "sources", F.col("b.nearest").alias("nearest"), (-F.col("b.less")).alias("shared"))
     rows = q.select(key, F.size("g").alias("grams")).join(found, key, "left").fillna(0, ["sources", "shared"])
     return rows.withColumn("kept", F.col("shared") <= F.col("grams") * OVERLAP)

@@ -105,6 +105,31 @@ def test_question_overlap(spark, question, sources, want):
     assert (r.grams, r.sources, r.nearest, r.shared, r.kept) == want
 
 
+def test_question_overlap_of_many_grams(spark, monkeypatch):
+    """Several blocks of grams, repeated and null source keys, words that only some questions have, against sets of grams."""
+    rng = random.Random(11)
+    text = lambda most: " ".join(rng.choices("abcd", k=rng.randrange(most)) + rng.choices(["e", ""], k=1))
+    asked = [(i, text(14)) for i in range(40)] + [(50, ZH), (51, "a b c d"), (52, None)]
+    held = [(i, text(60)) for i in range(60)] + [(3, text(60)), (None, text(60)), (70, ZH[2:]), (71, "a b c d"), (72, None)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    of = lambda t: grams(list(t) if t in (ZH, ZH[2:]) else (t or "").split())
+    sources: dict = {}
+    for k, t in held:
+        sources.setdefault(k, set()).update(of(t))
+    want = {}
+    for i, t in asked:
+        shared = {k: len(of(t) & g) for k, g in sources.items() if of(t) & g}
+        best = min(((-n, k is not None, k or 0) for k, n in shared.items()), default=None)
+        n = -best[0] if best else 0
+        want[i] = (len(of(t)), len(shared), best[2] if best and best[1] else None, n, n <= 0.65 * len(of(t)))
+    q, s = spark.createDataFrame(asked, "i int, q string"), spark.createDataFrame(held, "k int, t string")
+    for size in (1 << 22, 100):
+        monkeypatch.setattr(D, "GRAM_CHARS", size)
+        df = D.question_overlap(q, s, key="i", question="q", source_key="k", source="t")
+        assert {r.i: (r.grams, r.sources, r.nearest, r.shared, r.kept) for r in df.collect()} == want
+    assert any(x[1] for x in want.values()) and {x[4] for x in want.values()} == {True, False}
+
+
 def test_keywords(spark):
     words = F.array(*map(F.lit, [" model ", "Data", "tree", "abc", "图", "图像", ""]))
     source = F.lit("Mo-del of 图 像")
