@@ -123,7 +123,8 @@ def sides(word: str, i: int, pivot: bool) -> Iterator[tuple[str, str, int, int,
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: every ordered pair of near words. words: word, n.
 
-    The number of bigrams is bounded by the alphabet (90 x 90), so their frequencies are broadcast.
+    The number of bigrams is bounded by the alphabet (90 x 90), so their frequencies are broadcast. Prefixes are not: Spark takes the
+    size of the words for that of their keys, of which a word has dozens.
     """
     cuts = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))
     frequent = words.select(F.explode(cuts).alias("g")).groupBy("g").agg(F.count("*").alias("n")).orderBy("n", "g").collect()
@@ -151,7 +152,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     pivots = words.select("word", "n").mapInArrow(keyed(True), kind)
     prefixes = words.select("word", "n").mapInArrow(keyed(False), kind).select("h", F.col("word").alias("near"), F.col("n").alias("near_n"))
     close = (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)
-    pairs = pivots.join(prefixes, "h").where(close).select("word", "n", "near", "near_n")
+    pairs = pivots.join(prefixes.hint("merge"), "h").where(close).select("word", "n", "near", "near_n")
     turned = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return pairs.unionByName(turned).distinct()
 
@@ -160,12 +161,12 @@ def roots(forms: DataFrame) -> DataFrame:
     """word, root: where the forms lead. forms: word, form.
 
     Pointers double in each round. A form is FORM_TIMES as frequent as its word, so chains are short, and as few words are near
-    one word (by its length) as few meet in a form.
+    one word (by its length) as few meet in a form. Files are compressed, so their size does not tell if rows can be broadcast.
     """
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        joined = now.join(ahead, "root", "left")
+        joined = now.join(ahead.hint("merge"), "root", "left")
         now = stored(joined.select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
         if not now.where("moved").limit(1).count():
             return now.drop("moved")
@@ -177,11 +178,11 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words = stored(count_words(docs, id_col, text_col), "words")
     pairs = near_pairs(words)
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("form"))).alias("b"))
-    rows = words.join(best, "word", "left")
+    rows = words.join(best.hint("merge"), "word", "left")
     has = -F.col("b.m") >= FORM_TIMES * F.col("n")
     rows = stored(rows.select("word", F.when(has, F.col("b.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, -F.col("b.m")).alias("form_n")), "forms")
     led = roots(rows.where("form is not null"))
-    return rows.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(led.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

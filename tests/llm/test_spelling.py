@@ -112,3 +112,14 @@ def test_broken_runs(spark):
 
 def test_no_words(spark):
     assert found(spark, []) == [] and found(spark, [(1, "a b c"), (2, None)]) == []
+
+
+def test_no_words_are_broadcast(spark):
+    """The files of the words may be small where their keys are not: 56 rows a word."""
+    docs = spark.createDataFrame([(i, " ".join(["wording", "wordings", "swordings"] * 5)) for i in range(3)], "doc_id long, text string")
+    pairs = near_pairs(spark.createDataFrame([("wording", 9), ("wordings", 5)], "word string, n long"))
+    every = variants(docs)
+    for df in (pairs, every):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
