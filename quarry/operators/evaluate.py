@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text as X
-
 
-MAX_KEYWORDS = 99
 
+from quarry.functions import text as X
 
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
-    """hit, total and missing: of the keywords that are not blank, how many of the first MAX_KEYWORDS the answer says, how many there
-    are, and those that it does not say."""
+    """hit, total and missing: of the keywords that are not blank, how many the answer says, how many there are, and those that it does
+    not say."""
     folded = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.struct(k.alias("k"), X.normalized(k).alias("n")))
     once = F.struct(X.normalized(answer).alias("said"), F.filter(folded, lambda w: w["n"] != "").alias("w"))  # not for each keyword again
 
     def counted(c: Column) -> Column:
         holds = lambda w: F.contains(c["said"], w["n"])
         missing = F.transform(F.filter(c["w"], lambda w: ~holds(w)), lambda w: w["k"])
-        return F.struct(F.size(F.filter(F.slice(c["w"], 1, MAX_KEYWORDS), holds)).alias("hit"), F.size(c["w"]).alias("total"), missing.alias("missing"))
+        return F.struct(F.size(F.filter(c["w"], holds)).alias("hit"), F.size(c["w"]).alias("total"), missing.alias("missing"))
 
     return F.get(F.transform(F.array(once), counted), F.lit(0))
 

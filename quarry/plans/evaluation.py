@@ -30,7 +30,7 @@ def e1(t: Tables) -> DataFrame:
     "e2_keyword_coverage",
     f"""WITH h AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
 k AS (SELECT conv_id, turn, {NORM.format('text')} AS n, list_filter(string_split(coalesce(asked, ''), ' '), lambda k: {NORM.format('k')} <> '') AS w FROM h WHERE role = 'assistant')
-SELECT conv_id, turn, len(list_filter(w[1:99], lambda k: contains(n, {NORM.format('k')})))::BIGINT AS hit, len(w)::BIGINT AS total, array_to_string(list_filter(w, lambda k: NOT contains(n, {NORM.format('k')})), ',') AS missing FROM k""",
+SELECT conv_id, turn, len(list_filter(w, lambda k: contains(n, {NORM.format('k')})))::BIGINT AS hit, len(w)::BIGINT AS total, array_to_string(list_filter(w, lambda k: NOT contains(n, {NORM.format('k')})), ',') AS missing FROM k""",
 )
 def e2(t: Tables) -> DataFrame:
     """How many words of its question an answer says."""

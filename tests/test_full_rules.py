@@ -106,6 +106,12 @@ def test_keyword_coverage(spark):
     assert (c.hit, c.total, c.missing) == (0, 0, [])
 
 
+def test_all_keywords_count(spark):
+    words = [f"w{i}e" for i in range(250)]
+    c = one(spark, E.keyword_coverage(F.lit(" ".join(words[1:])), F.array(*map(F.lit, words))))
+    assert (c.hit, c.total, c.missing) == (249, 250, ["w0e"])
+
+
 def test_cross_lingual(spark):
     crossed = lambda q, *k: one(spark, E.cross_lingual(F.lit(q), F.array(*map(F.lit, k)).cast("array<string>")))
     assert crossed("这是什么", "model", "loss", "3.41") and not crossed("这是什么", "model", "3.41")
