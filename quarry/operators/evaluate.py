@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 from quarry.functions import text as X
 
+
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
     """hit, total and missing: of the keywords that are not blank, how many the answer says, how many there are, and those that it does
     not say."""
