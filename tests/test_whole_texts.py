@@ -30,6 +30,14 @@ def test_rerank_scores_are_of_whole_texts(spark, late):
     same_rows(QUERIES["r11_rerank"](spark, folder), con.sql(ORACLE_SQL["r11_rerank"]))
 
 
+def test_an_override_looks_at_whole_texts(spark, late):
+    folder, con = late
+    spark.createDataFrame([(1, "filler " * 220 + "alpha beta gamma delta", "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    (row,) = QUERIES["r14_item_override"](spark, folder).collect()
+    assert (row.query_id, row.hits, row.confident, row.item_filter) == (1, 1, True, True)
+    same_rows(QUERIES["r14_item_override"](spark, folder), con.sql(ORACLE_SQL["r14_item_override"]))
+
+
 def test_the_verdict_keeps_its_beginning_of_texts(spark, late):
     folder, con = late
     same_rows(QUERIES["r12_verdict"](spark, folder), con.sql(ORACLE_SQL["r12_verdict"]))
