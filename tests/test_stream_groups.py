@@ -55,3 +55,40 @@ def test_windows_of_a_group_share_a_state(spark, tmp_path, monkeypatch, parts):
         expected.append((k, i, micros(start), n + 1, n + 1 > 3))
     assert sorted(map(str, map(tuple, out.select("user_id", "event_id", "window_start", "nth", "over").collect()))) == sorted(map(str, expected))
     assert states(spark, f"{tmp_path}/state", "window") <= 4
+
+
+def test_numbers_of_a_group_share_a_state(spark, tmp_path, monkeypatch):
+    """Threads with and without a name, rows without ord or source, and more micro-batches than a list has parts."""
+    monkeypatch.setattr(S, "GROUPS", 4)
+    monkeypatch.setattr(S, "PARTS", 2)
+    rng = random.Random(7)
+    uses = [(rng.choice([None, *range(40)]), at, rng.choice([None, *(f"source{i}" for i in range(25))])) for at in range(1200)]
+    uses = [(None if k is None else k * 10**9, at // 3, s) for k, at, s in uses] + [(5, None, "unplaced"), (5, None, "source1"), (6, None, "unplaced")]
+    rows = [[u for u in uses if (9 if u[1] is None else u[1] // 40) == i] for i in range(10)]
+    stream = S.citation_numbers(feed(spark, tmp_path, rows, "thread long, ord long, source string", 1))
+    out = S.run_with_state(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    first, expected = {}, []
+    for k, at, source in uses:
+        if source is not None:
+            at = float("inf") if at is None else at
+            first[k, source] = min(at, first.get((k, source), at))
+    for k in {k for k, _ in first}:
+        mine = sorted((at, source) for (name, source), at in first.items() if name == k)
+        expected += [(k, source, None if at == float("inf") else at, n) for n, (at, source) in enumerate(mine, 1)]
+    assert sorted(map(str, map(tuple, out.select("thread", "source", "first", "number").collect()))) == sorted(map(str, expected))
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "known").option("flattenCollectionTypes", True).load()
+    assert 1 <= held.select("key").distinct().count() <= 4
+    assert held.count() <= 4 * 3
+
+
+def test_turns_without_number_are_numbered_last(spark, tmp_path):
+    from conftest import same_rows
+    import duckdb
+
+    from quarry.plans.registry import ORACLE_SQL, QUERIES
+
+    rows = [(1, 0, "user", "wonderful"), (1, 4, "user", "excellent"), (1, None, "user", "something wonderful")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    same_rows(QUERIES["r20_citation_stream"](spark, str(tmp_path)), con.sql(ORACLE_SQL["r20_citation_stream"]))
