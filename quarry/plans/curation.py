@@ -11,7 +11,7 @@ from quarry.operators import pairs as P
 from quarry.plans.base import Tables, query
 from quarry.plans.corpus import SECT, sectioned
 from quarry.plans.evaluation import NORM
-from quarry.sources.shared import shared_folder, stored
+from quarry.sources.shared import stored
 
 QH = "sha1(regexp_replace(lower(trim(text)), '[\\s!-/:-@\\[-`{-~]+', '', 'g'))"
 Q = f"""q AS (SELECT conv_id, turn, text, {QH.replace('sha1(', 'md5(')} AS h, CASE role WHEN 'user' THEN 0 ELSE 1 END AS pool FROM conversations)"""
@@ -192,19 +192,12 @@ def d12(t: Tables) -> DataFrame:
     return D.stratified(capped.withColumn("key", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("ord").cast("string"))), "kind", "key", 60, "s5").drop("key")
 
 
-def _checkpoint(spark):
-    """Writes each round to the session's shared folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return lambda df: df.checkpoint()
-
-
 PAIR_LEAST = 0.3
 
 
 @query("d13_greedy_pairs")
 def d13(t: Tables) -> DataFrame:
-    return D.greedy_pairs(P.near_pairs(t.embeddings, "vec_id", "embedding", PAIR_LEAST), _checkpoint(t.spark))
+    return P.greedy_pairs(t.embeddings, "vec_id", "embedding", PAIR_LEAST)
 
 
 @query("d14_seed_clusters")
